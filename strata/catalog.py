@@ -1,0 +1,6 @@
+"""Named queries over the driver's tables, with their DuckDB equivalents."""
+
+from __future__ import annotations
+
+QUERIES: dict = {}
+ORACLE_SQL: dict[str, str] = {}
