@@ -2,12 +2,14 @@
 
 from __future__ import annotations
 
-from strata.llm import sharding
+from strata.llm import quality, sharding
 
 QUERIES = {
+    "op1_quality_cascade": quality.op1_quality_cascade,
     "op9_feistel_shards": sharding.op9_feistel_shards,
 }
 
 ORACLE_SQL = {
+    "op1_quality_cascade": quality.op1_sql(),
     "op9_feistel_shards": sharding.op9_sql(),
 }
