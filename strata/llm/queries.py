@@ -2,10 +2,11 @@
 
 from __future__ import annotations
 
-from strata.llm import packing, pfor, quality, sharding
+from strata.llm import bpe, packing, pfor, quality, sharding
 
 QUERIES = {
     "op1_quality_cascade": quality.op1_quality_cascade,
+    "op5_bpe_lexicon": bpe.op5_bpe_lexicon,
     "op7_pfor_blocks": pfor.op7_pfor_blocks,
     "op8_slack_packing": packing.op8_slack_packing,
     "op9_feistel_shards": sharding.op9_feistel_shards,
