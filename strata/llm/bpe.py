@@ -286,11 +286,12 @@ def build_lexicon(df: DataFrame, tokenizer_path: str, text_col: str = "text", wo
 
 
 def ship(spark, data: bytes) -> str:
-    """Sends a file to all executors; its name there."""
+    """Sends a file to all executors; its name there. Equal data keep one path, which may be added again."""
     name = f"lexicon-{hashlib.sha256(data).hexdigest()[:24]}.bin"
-    path = os.path.join(os.path.realpath(tempfile.mkdtemp()), name)
-    with open(path, "wb") as f:
+    path = os.path.join(os.path.realpath(tempfile.gettempdir()), name)
+    with open(path + ".new", "wb") as f:
         f.write(data)
+    os.replace(path + ".new", path)
     spark.sparkContext.addFile(path)
     return name
 
