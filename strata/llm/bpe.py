@@ -202,7 +202,7 @@ class Lexicon:
 class Encoder:
     """Whole texts to ids; remembers the ids of at most ``limit`` chunks between spaces."""
 
-    def __init__(self, bpe: Bpe, lexicon: Lexicon | None, limit: int = 1_000_000):
+    def __init__(self, bpe: Bpe, lexicon: Lexicon | None, limit: int = 500_000):
         outer = self
         self.bpe, self.lexicon = bpe, lexicon
 
@@ -214,9 +214,17 @@ class Encoder:
             def __missing__(self, chunk: str) -> bytes:
                 if len(self) >= limit:
                     self.clear()
-                out = self[chunk] = outer.pattern(self.prefix + chunk)
+                out = self[chunk] = outer.words[self.prefix + chunk] if chunk.isalpha() else outer.pattern(self.prefix + chunk)
                 return out
 
+        class Words(dict):
+            def __missing__(self, word: str) -> bytes:
+                if len(self) >= limit:
+                    self.clear()
+                out = self[word] = array("I", outer.word(word.encode())).tobytes()
+                return out
+
+        self.words = Words()
         self.line_start, self.after_space = Memory(""), Memory(" ")
         self.newline = self.pattern("\n")
 
@@ -225,7 +233,7 @@ class Encoder:
         return self.bpe.merge(word) if found is None else found
 
     def pattern(self, text: str) -> bytes:
-        return array("I", [i for w in self.bpe.find(text) for i in self.word(w.encode())]).tobytes()
+        return b"".join(map(self.words.__getitem__, self.bpe.find(text)))
 
     def plain(self, text: str) -> bytes:
         """Text without added tokens. Where single white-space characters separate chunks, no match of the
@@ -252,7 +260,7 @@ class Encoder:
 
 
 def count_words(df: DataFrame, text_col: str = "text") -> DataFrame:
-    """word (between white space), n: over all rows. Summed in each task before rows are dealt by word."""
+    """word (UTF-8 bytes between white space), n: over all rows. Summed in each task before rows are dealt by word."""
 
     def run(batches):
         counts: Counter = Counter()
@@ -261,7 +269,7 @@ def count_words(df: DataFrame, text_col: str = "text") -> DataFrame:
             keys = list(counts)
             for at in range(0, len(keys), 50_000):
                 part = keys[at : at + 50_000]
-                yield pa.RecordBatch.from_arrays([pa.array([k.decode() for k in part], pa.string()), pa.array([counts[k] for k in part], pa.int64())], names=["word", "n"])
+                yield pa.RecordBatch.from_arrays([pa.array(part, pa.binary()), pa.array([counts[k] for k in part], pa.int64())], names=["word", "n"])
             counts.clear()
 
         for b in pieces(batches):
@@ -271,13 +279,13 @@ def count_words(df: DataFrame, text_col: str = "text") -> DataFrame:
                 yield from emit()
         yield from emit()
 
-    return df.select(F.col(f"`{text_col}`").alias("text")).mapInArrow(run, "word string, n long").groupBy("word").agg(F.sum("n").alias("n"))
+    return df.select(F.col(f"`{text_col}`").alias("text")).mapInArrow(run, "word binary, n long").groupBy("word").agg(F.sum("n").alias("n"))
 
 
 def build_lexicon(df: DataFrame, tokenizer_path: str, text_col: str = "text", words: int = LEXICON_WORDS) -> bytes:
     """The compiled lexicon of the most frequent words (ties by the word itself)."""
     bpe = Bpe(tokenizer_path)
-    top = [r["word"] for r in count_words(df, text_col).orderBy(F.desc("n"), "word").limit(words).collect()]
+    top = [bytes(r["word"]).decode() for r in count_words(df, text_col).orderBy(F.desc("n"), "word").limit(words).collect()]
     entries = {}
     for w in top:
         for t in (*bpe.find(" " + w), *bpe.find(w)):
@@ -324,9 +332,19 @@ def decode(df: DataFrame, tokenizer_path: str) -> DataFrame:
     kind = df.schema["id"].dataType.simpleString()
 
     def run(batches):
-        token = Bpe(tokenizer_path).tokens.__getitem__
+        tokens = Bpe(tokenizer_path).tokens
+        size = np.array([len(t) for t in tokens], np.int64)
+        start = np.cumsum(size) - size
+        letters = np.frombuffer(b"".join(tokens), np.uint8)
         for b in pieces(batches):
-            out = [b"".join(map(token, ids or ())).decode("utf-8", "replace") for ids in b.column(1).to_pylist()]
+            lists = b.column(1)
+            ids = lists.flatten().to_numpy(zero_copy_only=False)
+            n = np.diff(lists.offsets.to_numpy()) if lists.null_count == 0 else np.array([len(x or ()) for x in lists.to_pylist()], np.int64)
+            own = size[ids]
+            ends = np.cumsum(own)
+            raw = letters[np.repeat(start[ids] - (ends - own), own) + np.arange(ends[-1] if len(ends) else 0)].tobytes()
+            cuts = np.concatenate([[0], ends])[np.concatenate([[0], np.cumsum(n)])]
+            out = [raw[x:y].decode("utf-8", "replace") for x, y in zip(cuts[:-1].tolist(), cuts[1:].tolist(), strict=True)]
             yield pa.RecordBatch.from_arrays([b.column(0), b.column(1), pa.array(out, pa.string())], names=["id", "ids", "text"])
 
     return df.select("id", "ids").mapInArrow(run, f"id {kind}, ids array<int>, text string")
