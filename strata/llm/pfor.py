@@ -1,8 +1,8 @@
 """Token ids in files of patched frame-of-reference blocks.
 
 One segment holds the ids of consecutive documents (ascending id): a document directory, an index of
-block starts, and blocks of 128 ids. A block subtracts its minimum, packs the differences at the width
-that holds a chosen percentile of them, and lists the others as exceptions (position, high bits).
+block starts, and blocks of 128 ids. A block subtracts its minimum, packs the differences bit plane by bit plane at the
+width that holds a chosen percentile of them, and lists the others as exceptions (position, high bits).
 Segments are rows of a Parquet table in the shared folder, so any store that Spark reaches can hold
 them; the payload of each is self-contained and is what ``decode_segment`` reads.
 
@@ -24,6 +24,7 @@ from strata.llm.common import binary_array, shared_path, table
 from strata.llm.tokens import token_ids
 
 BLOCK = 128
+HEAD = 6
 PERCENTILE = 90
 SEGMENT_IDS = 500_000
 MAGIC = b"PFB1"
@@ -50,24 +51,26 @@ def encode_ids(ids: np.ndarray, percentile: int = PERCENTILE) -> bytes:
     width = widths_of(deltas, percentile) if blocks else np.zeros(0, np.int64)
     high = deltas >> width[:, None]
     count = (high > 0).sum(axis=1)
-    packed: list[bytes] = [b""] * blocks
+    size = HEAD + BLOCK // 8 * width + 5 * count
+    starts = np.cumsum(size) - size
+    out = np.zeros(int(size.sum()), np.uint8)
+    head = np.zeros((blocks, HEAD), np.uint8)
+    head[:, :4] = low.astype("<u4").view(np.uint8).reshape(blocks, 4)
+    head[:, 4], head[:, 5] = width, count
+    out[starts[:, None] + np.arange(HEAD)] = head
     for w in np.unique(width[width > 0]):
         rows = np.flatnonzero(width == w)
-        bits = (deltas[rows][:, :, None] >> np.arange(w)) & 1
-        body = np.packbits(bits.astype(np.uint8).reshape(len(rows), -1), axis=1, bitorder="little")
-        for r, x in zip(rows, body, strict=True):
-            packed[r] = x.tobytes()
-    where = np.nonzero(high)
-    ends = np.cumsum(count)
-    place, value = where[1].astype(np.uint8), high[where].astype("<u4")
-    out, starts, at = [], np.empty(blocks, "<u8"), 0
-    for k in range(blocks):
-        a, b = int(ends[k] - count[k]), int(ends[k])
-        body = struct.pack("<IBB", int(low[k]), int(width[k]), b - a) + packed[k] + place[a:b].tobytes() + value[a:b].tobytes()
-        starts[k] = at
-        at += len(body)
-        out.append(body)
-    return struct.pack("<QI", len(ids), blocks) + starts.tobytes() + b"".join(out)
+        own = deltas[rows].astype(np.uint32)
+        planes = np.empty((len(rows), w, BLOCK), np.uint8)
+        for j in range(w):
+            planes[:, j] = own >> np.uint32(j) & np.uint32(1)
+        out[starts[rows][:, None] + HEAD + np.arange(BLOCK // 8 * w)] = np.packbits(planes.reshape(len(rows), -1), axis=1, bitorder="little")
+    block, place = np.nonzero(high)
+    nth = np.arange(len(block)) - np.repeat(np.cumsum(count) - count, count)
+    lists = (starts + HEAD + BLOCK // 8 * width)[block]
+    out[lists + nth] = place
+    out[(lists + count[block] + 4 * nth)[:, None] + np.arange(4)] = high[block, place].astype("<u4").view(np.uint8).reshape(-1, 4)
+    return struct.pack("<QI", len(ids), blocks) + starts.astype("<u8").tobytes() + out.tobytes()
 
 
 def decode_ids(data: bytes) -> np.ndarray:
@@ -80,14 +83,17 @@ def decode_ids(data: bytes) -> np.ndarray:
     full = np.zeros((blocks, BLOCK), np.int64)
     for w in np.unique(width[width > 0]):
         rows = np.flatnonzero(width == w)
-        body = raw[starts[rows][:, None] + 6 + np.arange(BLOCK // 8 * w)]
-        bits = np.unpackbits(body, axis=1, bitorder="little").reshape(len(rows), BLOCK, w)
-        full[rows] = bits.astype(np.int64) @ (1 << np.arange(w))
-    for k in np.flatnonzero(count):
-        a = int(starts[k] + 6 + BLOCK // 8 * width[k])
-        n = int(count[k])
-        place = raw[a : a + n]
-        full[k, place] |= np.frombuffer(data, "<u4", n, a + n).astype(np.int64) << width[k]
+        body = raw[starts[rows][:, None] + HEAD + np.arange(BLOCK // 8 * w)]
+        planes = np.unpackbits(body, axis=1, bitorder="little").reshape(len(rows), w, BLOCK)
+        own = planes[:, 0].astype(np.uint32)
+        for j in range(1, w):
+            own |= planes[:, j].astype(np.uint32) << np.uint32(j)
+        full[rows] = own
+    block = np.repeat(np.arange(blocks), count)
+    nth = np.arange(len(block)) - np.repeat(np.cumsum(count) - count, count)
+    lists = (starts + HEAD + BLOCK // 8 * width)[block]
+    high = raw[(lists + count[block] + 4 * nth)[:, None] + np.arange(4)].copy().view("<u4").reshape(-1).astype(np.int64)
+    full[block, raw[lists + nth]] |= high << width[block]
     return (full + low[:, None]).reshape(-1)[:total].astype("<u4")
 
 

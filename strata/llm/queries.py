@@ -2,11 +2,12 @@
 
 from __future__ import annotations
 
-from strata.llm import bpe, packing, pfor, quality, sharding
+from strata.llm import bpe, packing, pfor, quality, sharding, toxicity
 
 QUERIES = {
     "op1_quality_cascade": quality.op1_quality_cascade,
     "op5_bpe_lexicon": bpe.op5_bpe_lexicon,
+    "op6_subword_toxicity": toxicity.op6_subword_toxicity,
     "op7_pfor_blocks": pfor.op7_pfor_blocks,
     "op8_slack_packing": packing.op8_slack_packing,
     "op9_feistel_shards": sharding.op9_feistel_shards,

@@ -10,7 +10,6 @@ Cases: null and empty texts have no ids of their own; texts of any length are en
 
 from __future__ import annotations
 
-import functools
 import json
 import re
 from array import array
@@ -33,6 +32,21 @@ def byte_letters() -> dict[int, int]:
     return {b: b for b in own} | {b: 256 + i for i, b in enumerate(rest)}
 
 
+class Parts(dict):
+    """Pre-token to its ids as bytes, from the library's model: chunks that differ in punctuation or case share them."""
+
+    def __init__(self, model, limit: int):
+        super().__init__()
+        self.tokenize, self.limit, self.letters = model.tokenize, limit, byte_letters()
+
+    def __missing__(self, part: str) -> bytes:
+        if len(self) >= self.limit:
+            self.clear()
+        mapped = part if part.isascii() and part.isprintable() else part.encode().decode("latin-1").translate(self.letters)
+        out = self[part] = array("I", [t.id for t in self.tokenize(mapped)]).tobytes()
+        return out
+
+
 class ChunkEncoder(dict):
     """Chunk (bytes) to its ids as little-endian unsigned 32-bit bytes; remembers ``limit`` chunks at most.
 
@@ -40,7 +54,7 @@ class ChunkEncoder(dict):
     normalizer and model directly, which skips what the library does for offsets; else to the whole tokenizer.
     """
 
-    def __init__(self, path: str, limit: int = 1_000_000):
+    def __init__(self, path: str, limit: int = 800_000):
         import regex
         from tokenizers import Tokenizer
 
@@ -57,7 +71,7 @@ class ChunkEncoder(dict):
         self.find = None
         if [x["type"] for x in steps] == ["Split", "ByteLevel"] and steps[0]["invert"] and steps[0]["behavior"] == "Removed" and not steps[1]["add_prefix_space"] and norm == ["NFC", "Replace", "Lowercase"]:
             self.find = regex.compile(steps[0]["pattern"]["Regex"]).findall
-        self.bytes = byte_letters()
+        self.parts = Parts(self.tokenizer.model, limit)
 
     def whole(self, text: str) -> bytes:
         return np.array(self.tokenizer.encode(text, add_special_tokens=False).ids, dtype="<u4").tobytes()
@@ -70,15 +84,10 @@ class ChunkEncoder(dict):
             out = self.whole(text)
         else:
             text = text.lower() if chunk.isascii() else self.tokenizer.normalizer.normalize_str(text)
-            found = [text] if chunk.isalpha() else self.find(text)
-            out = array("I", [t.id for x in found for t in self.model_tokenize(x if x.isascii() and x.isprintable() else x.encode().decode("latin-1").translate(self.bytes))]).tobytes()
+            out = self.parts[text] if chunk.isalpha() else b"".join(map(self.parts.__getitem__, self.find(text)))
         self[chunk] = out
         return out
 
-    @functools.cached_property
-    def model_tokenize(self):
-        return self.tokenizer.model.tokenize
-
     def batch(self, rows: list[bytes]) -> list[bytes]:
         out = []
         for r in rows:
