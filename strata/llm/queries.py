@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from strata.llm import bpe, packing, pfor, quality, sharding, toxicity
+from strata.llm import bpe, minhash, packing, pfor, quality, sharding, toxicity
 
 QUERIES = {
     "op1_quality_cascade": quality.op1_quality_cascade,
@@ -11,6 +11,7 @@ QUERIES = {
     "op7_pfor_blocks": pfor.op7_pfor_blocks,
     "op8_slack_packing": packing.op8_slack_packing,
     "op9_feistel_shards": sharding.op9_feistel_shards,
+    "op10_circulant_minhash": minhash.op10_circulant_minhash,
 }
 
 ORACLE_SQL = {
