@@ -31,7 +31,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from strata.llm.common import pieces, table, texts
+from strata.llm.common import checkpoint, pieces, table, texts
 from strata.llm.tokens import byte_letters
 
 LEXICON_WORDS = 16_384
@@ -71,7 +71,22 @@ class Bpe:
         self.special = regex.compile("|".join(map(regex.escape, sorted(self.added, key=len, reverse=True)))) if self.added else None
         self.spaces = regex.compile(r"\s\s|^\s|\s$").search
 
-    def merge(self, word: bytes) -> list[int]:
+        self.merge = self._fast_merge(model["merges"], vocab) or self.merge_pairs
+
+    def _fast_merge(self, merges: list, vocab: dict):
+        """The same merges by tiktoken's compiled loop, where the vocabulary lists merges in their order (its
+        ranks are then the ids)."""
+        try:
+            import tiktoken
+        except ImportError:
+            return None
+        made = [new for _, new in sorted(self.merges.values())]
+        if made != list(range(256, 256 + len(merges))) or sorted(self.byte_ids) != list(range(256)):
+            return None
+        ranks = {self.tokens[i]: i for i in vocab.values()}
+        return tiktoken.Encoding("lexicon", pat_str=PATTERN, mergeable_ranks=ranks, special_tokens={})._core_bpe.encode_single_piece
+
+    def merge_pairs(self, word: bytes) -> list[int]:
         """Ids of one pre-token: always the adjacent pair of lowest rank, leftmost first."""
         ids = [self.byte_ids[b] for b in word]
         if len(ids) > LONG_WORD:
@@ -283,9 +298,17 @@ def count_words(df: DataFrame, text_col: str = "text") -> DataFrame:
 
 
 def build_lexicon(df: DataFrame, tokenizer_path: str, text_col: str = "text", words: int = LEXICON_WORDS) -> bytes:
-    """The compiled lexicon of the most frequent words (ties by the word itself)."""
+    """The compiled lexicon of the most frequent words: all whose count reaches a level (sixteen to each doubling)
+    that at most ``words`` words reach."""
     bpe = Bpe(tokenizer_path)
-    top = [bytes(r["word"]).decode() for r in count_words(df, text_col).orderBy(F.desc("n"), "word").limit(words).collect()]
+    counts = checkpoint(count_words(df, text_col).where("n > 1").withColumn("level", F.floor(F.log2("n") * 16).cast("int")))
+    left, least = words, None
+    for r in counts.groupBy("level").count().orderBy(F.desc("level")).collect():  # at most 16 * 63 levels
+        left -= r["count"]
+        if left < 0:
+            break
+        least = r["level"]
+    top = [] if least is None else [bytes(r["word"]).decode() for r in counts.where(F.col("level") >= least).collect()]
     entries = {}
     for w in top:
         for t in (*bpe.find(" " + w), *bpe.find(w)):
