@@ -36,7 +36,7 @@ BANDS = 56
 SMALL = 16
 LAGS = 2
 #: A list of ids is broadcast only up to this many rows (16 bytes each); beyond it the join shuffles.
-BROADCAST_ROWS = 1_000_000
+BROADCAST_ROWS = 250_000
 PICKING_ROUNDS = 2
 
 

@@ -2,10 +2,11 @@
 
 from __future__ import annotations
 
-from strata.llm import bpe, minhash, packing, pfor, quality, sharding, toxicity
+from strata.llm import bpe, minhash, packing, pfor, quality, sharding, toxicity, windows
 
 QUERIES = {
     "op1_quality_cascade": quality.op1_quality_cascade,
+    "op4_compact_windows": windows.op4_compact_windows,
     "op5_bpe_lexicon": bpe.op5_bpe_lexicon,
     "op6_subword_toxicity": toxicity.op6_subword_toxicity,
     "op7_pfor_blocks": pfor.op7_pfor_blocks,
