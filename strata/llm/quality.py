@@ -142,8 +142,14 @@ def apply_rules(df: DataFrame, text_col: str = "text", keep: list[str] | None =
 
 
 def filter_quality(df: DataFrame, text_col: str = "text") -> DataFrame:
-    """The rows that fail no rule, with all their columns."""
-    return apply_rules(df, text_col).where("kept").select("row_.*")
+    """The rows that fail no rule, with all their columns.
+
+    The row number in the condition keeps Catalyst from pushing it below the projections that compute the
+    counts: written out there, it would compute each of them many times over.
+    """
+    found = apply_rules(df, text_col)
+    asked = found.select("row_", (F.col("kept") & (F.monotonically_increasing_id() >= 0)).alias("stays_"))
+    return asked.where("stays_").select("row_.*")
 
 
 def op1_quality_cascade(spark, sf_dir: str) -> DataFrame:
