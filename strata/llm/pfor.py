@@ -20,8 +20,8 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from strata.llm.common import binary_array, shared_path, table
-from strata.llm.tokens import token_ids
+from strata.llm.common import binary_array, pieces, shared_path, table, texts
+from strata.llm.tokens import ChunkEncoder
 
 BLOCK = 128
 HEAD = 6
@@ -34,7 +34,7 @@ def widths_of(deltas: np.ndarray, percentile: int = PERCENTILE) -> np.ndarray:
     """Bits that hold the given percentile of each row of ``deltas``."""
     rank = min(BLOCK - 1, (BLOCK * percentile + 99) // 100 - 1)
     at = np.partition(deltas, rank, axis=1)[:, rank]
-    return np.where(at > 0, np.floor(np.log2(np.maximum(at, 1))).astype(np.int64) + 1, 0)
+    return np.where(at > 0, np.floor(np.log2(np.maximum(at, 1).astype(np.float64))).astype(np.int64) + 1, 0)
 
 
 def encode_ids(ids: np.ndarray, percentile: int = PERCENTILE) -> bytes:
@@ -47,9 +47,9 @@ def encode_ids(ids: np.ndarray, percentile: int = PERCENTILE) -> bytes:
         full[len(ids) :] = ids[-1]  # the last block is filled with its last id; the count cuts it off again
     full = full.reshape(blocks, BLOCK)
     low = full.min(axis=1) if blocks else np.zeros(0, np.int64)
-    deltas = full - low[:, None]
+    deltas = (full - low[:, None]).astype(np.uint32)
     width = widths_of(deltas, percentile) if blocks else np.zeros(0, np.int64)
-    high = deltas >> width[:, None]
+    high = deltas >> width[:, None].astype(np.uint32)
     count = (high > 0).sum(axis=1)
     size = HEAD + BLOCK // 8 * width + 5 * count
     starts = np.cumsum(size) - size
@@ -60,7 +60,7 @@ def encode_ids(ids: np.ndarray, percentile: int = PERCENTILE) -> bytes:
     out[starts[:, None] + np.arange(HEAD)] = head
     for w in np.unique(width[width > 0]):
         rows = np.flatnonzero(width == w)
-        own = deltas[rows].astype(np.uint32)
+        own = deltas[rows]
         planes = np.empty((len(rows), w, BLOCK), np.uint8)
         for j in range(w):
             planes[:, j] = own >> np.uint32(j) & np.uint32(1)
@@ -134,6 +134,8 @@ def write_token_files(df: DataFrame, path: str, tokenizer_path: str, id_col: str
     parts = int(spark.conf.get("spark.sql.shuffle.partitions"))
     dealt = df.select(F.col(f"`{id_col}`").cast("long").alias("doc_id"), F.col(f"`{text_col}`").alias("text")).repartitionByRange(parts, "doc_id").sortWithinPartitions("doc_id")
 
+    end = b"" if end_id is None else np.array([end_id], "<u4").tobytes()
+
     def segments(batches):
         from pyspark import TaskContext
 
@@ -149,18 +151,18 @@ def write_token_files(df: DataFrame, path: str, tokenizer_path: str, id_col: str
             seq, before, docs, held, size = seq + 1, before + size, [], [], 0
             return row
 
-        for b in batches:
-            for d, x in zip(b.column(0).to_pylist(), b.column(1).to_pylist(), strict=True):
+        encoder = ChunkEncoder(tokenizer_path)
+        for b in pieces(batches):
+            for d, x in zip(b.column(0).to_pylist(), encoder.batch(texts(b.column(1))), strict=True):
                 docs.append(d)
-                held.append(x)
-                size += len(x) // 4
+                held.append(x + end)
+                size += len(held[-1]) // 4
                 if size >= SEGMENT_IDS:
                     yield flush()
         if docs:
             yield flush()
 
-    ids = token_ids(dealt, tokenizer_path, "doc_id", "text", end_id)
-    ids.mapInArrow(segments, "range long, seq long, before long, n_ids long, payload binary").write.option("compression", "none").parquet(path)
+    dealt.mapInArrow(segments, "range long, seq long, before long, n_ids long, payload binary").write.option("compression", "none").parquet(path)
 
 
 def read_token_files(spark, path: str) -> DataFrame:

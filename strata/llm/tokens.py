@@ -94,7 +94,8 @@ class ChunkEncoder(dict):
             if any(a in r for a in self.added) or not r.isascii() and UNUSUAL.search(r.decode()) or UNUSUAL_ASCII.search(r):
                 out.append(self.whole(r.decode()))
             else:
-                out.append(b"".join(map(self.__getitem__, r.split())))
+                # A-Z go first where the tokenizer lower-cases anyway: fewer distinct chunks
+                out.append(b"".join(map(self.__getitem__, (r.lower() if self.find else r).split())))
         return out
 
 
