@@ -28,13 +28,13 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from strata.llm.common import WordHash, binary_array, checkpoint, components, mix64, pieces, shared_path, shingle_hashes, table, texts
+from strata.llm.common import WordHash, binary_array, checkpoint, components, mix64, pieces, shared_path, shingle_hashes, small_batches, table, texts
 
 CIRCLE = 1 << 20
 ROWS = 8
-BANDS = 56
-SMALL = 16
-LAGS = 2
+BANDS = 64
+SMALL = 8
+LAGS = 3
 #: A list of ids is broadcast only up to this many rows (16 bytes each); beyond it the join shuffles.
 BROADCAST_ROWS = 250_000
 PICKING_ROUNDS = 1
@@ -119,7 +119,7 @@ def neighbours(banded: DataFrame) -> DataFrame:
 
     def run(batches):
         tail_key = tail_node = np.zeros(0, np.int64)
-        run_at, pivot = 0, 0  # rows of the current key so far, and its first class
+        run_at = 0  # rows of the current key so far
         for b in batches:
             new_key, new_node = b.column(1).to_numpy(), b.column(0).to_numpy()
             if not len(new_key):
@@ -130,13 +130,12 @@ def neighbours(banded: DataFrame) -> DataFrame:
             head = np.concatenate([[old == 0 or new_key[0] != tail_key[-1]], new_key[1:] != new_key[:-1]])
             begin = np.maximum.accumulate(np.where(head, index, -1))
             place = np.where(begin >= 0, index - begin, index + run_at)
-            first = np.where(begin >= 0, new_node[np.maximum(begin, 0)], pivot)
-            a, c = [first[place > 0]], [new_node[place > 0]]
+            a, c = [], []
             for lag in range(1, SMALL):
-                at = index[(place >= lag) & ((place < SMALL) | (lag <= LAGS)) & (place != lag)]
+                at = index[(place >= lag) & ((place < SMALL) | (lag <= LAGS))]
                 a.append(node[at + old - lag])
                 c.append(new_node[at])
-            run_at, pivot = int(place[-1]) + 1, int(first[-1])
+            run_at = int(place[-1]) + 1
             tail_key, tail_node = key[-SMALL:], node[-SMALL:]
             x, y = np.concatenate(a), np.concatenate(c)
             low, high = np.minimum(x, y), np.maximum(x, y)
@@ -206,7 +205,8 @@ def link_rounds(pairs: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
         n = chosen.count()
         if n == 0:
             break
-        good = checkpoint(checked(chosen, n, sets, percent))
+        with small_batches(spark, 256):  # a row holds two sets
+            good = checkpoint(checked(chosen, n, sets, percent))
         links = good if links is None else links.union(good)
         roots = checkpoint(components(links))
         if turn >= PICKING_ROUNDS:
@@ -233,7 +233,8 @@ def near_duplicates(df: DataFrame, id_col: str = "doc_id", text_col: str = "text
     n = need.count()
     # equal rows can repeat an id: one of them gives the set
     wanted = docs.withColumnRenamed("doc_id", "node").join(maybe_broadcast(need, n), "node", "left_semi")
-    set_rows(wanted, width).groupBy("node").agg(F.first("shingles").alias("shingles")).write.parquet(f"{at}/sets")
+    with small_batches(spark, 1024):
+        set_rows(wanted, width).groupBy("node").agg(F.first("shingles").alias("shingles")).write.parquet(f"{at}/sets")
     roots = link_rounds(pairs, spark.read.schema("node long, shingles binary").parquet(f"{at}/sets"), percent)
     small = roots.groupBy("root").agg(F.min("node").alias("low"))
     named = roots.join(small, "root").select("node", "low")
