@@ -27,6 +27,8 @@ BLOCK = 128
 HEAD = 6
 PERCENTILE = 90
 SEGMENT_IDS = 500_000
+#: Distinct chunks that a worker remembers while it writes.
+CHUNKS = 1_300_000
 MAGIC = b"PFB1"
 
 
@@ -151,7 +153,7 @@ def write_token_files(df: DataFrame, path: str, tokenizer_path: str, id_col: str
             seq, before, docs, held, size = seq + 1, before + size, [], [], 0
             return row
 
-        encoder = ChunkEncoder(tokenizer_path)
+        encoder = ChunkEncoder(tokenizer_path, CHUNKS)
         for b in pieces(batches):
             for d, x in zip(b.column(0).to_pylist(), encoder.batch(texts(b.column(1))), strict=True):
                 docs.append(d)

@@ -54,7 +54,7 @@ class ChunkEncoder(dict):
     normalizer and model directly, which skips what the library does for offsets; else to the whole tokenizer.
     """
 
-    def __init__(self, path: str, limit: int = 800_000):
+    def __init__(self, path: str, limit: int = 600_000):
         import regex
         from tokenizers import Tokenizer
 
