@@ -57,7 +57,7 @@ def detect(window: Column, block_size: int = 512) -> Column:
     first = F.hex(F.substring(window, 1, 4))
     tags = [F.when(first.startswith(digits), code(name)) for name, digits in TAGS]
     part = F.when((n >= 512) & _bytes_at(window, 510, "55AA"), code("PART"))
-    pdf = F.when(F.position(F.unhex(F.lit("25504446")), F.substring(window, 1, 1024)) > 0, code("PDF"))
+    pdf = F.when(F.contains(F.substring(window, 1, 1024), F.unhex(F.lit("25504446"))), code("PDF"))  # by bytes; position() steps by characters
     some = lambda *c: F.filter(F.array(*c), lambda x: x.isNotNull())
     head = some(*text, *systems)
     constant = is_constant(F.substring(window, 1, block_size))

@@ -33,11 +33,16 @@ def nested_text(items: DataFrame, max_depth: int) -> DataFrame:
     return below.select("node", "shown")
 
 
-def block_lines(blocks: DataFrame) -> DataFrame:
-    """offset, line: the ordered report. Input: offset (bytes), brief, description, path, owner_offset (null if its own)."""
+def block_lines_column():
+    """One line from the columns offset (bytes), brief, description, path, owner_offset (null if the block is its own)."""
     own = F.format_string("%13d %-12s # %s Path:%s", F.col("offset"), F.col("brief"), F.coalesce("description", F.lit("")), F.coalesce("path", F.lit("")))
     more = F.format_string("%13d %-12s # Continuation of data starting at block %d", F.col("offset"), F.col("brief"), F.col("owner_offset"))
-    return blocks.select("offset", F.when(F.col("owner_offset").isNull(), own).otherwise(more).alias("line"))
+    return F.when(F.col("owner_offset").isNull(), own).otherwise(more)
+
+
+def block_lines(blocks: DataFrame) -> DataFrame:
+    """offset, line of the rows that ``block_lines_column`` describes."""
+    return blocks.select("offset", block_lines_column().alias("line"))
 
 
 def path_lines(items: DataFrame) -> DataFrame:
