@@ -2,10 +2,12 @@
 
 from __future__ import annotations
 
-from strata.llm import bpe, minhash, packing, pfor, quality, sharding, toxicity, windows
+from strata.llm import bpe, chroma, minhash, packing, pfor, quality, sharding, toxicity, urllists, windows
 
 QUERIES = {
     "op1_quality_cascade": quality.op1_quality_cascade,
+    "op2_chroma_prints": chroma.op2_chroma_prints,
+    "op3_temporal_list": urllists.op3_temporal_list,
     "op4_compact_windows": windows.op4_compact_windows,
     "op5_bpe_lexicon": bpe.op5_bpe_lexicon,
     "op6_subword_toxicity": toxicity.op6_subword_toxicity,
@@ -17,5 +19,6 @@ QUERIES = {
 
 ORACLE_SQL = {
     "op1_quality_cascade": quality.op1_sql(),
+    "op3_temporal_list": urllists.OP3_SQL,
     "op9_feistel_shards": sharding.op9_sql(),
 }
