@@ -14,8 +14,17 @@ from strata.llm import minhash, packing, quality, toxicity, windows
 from strata.llm.common import shared_path, table
 
 
+#: Rows of the Arrow batches in all stages: whole texts of any length pass through them.
+BATCH_ROWS = "1000"
+
+
+def small_batches(spark) -> None:
+    spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", BATCH_ROWS)
+
+
 def drop_toxic(spark, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents that score below the threshold. The model learns from labelled rows of the whole table."""
+    small_batches(spark)
     model = toxicity.train(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
     return toxicity.filter_toxic(docs, model)
 
@@ -27,16 +36,19 @@ def drop_low_quality(spark, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 def drop_near_duplicates(spark, docs: DataFrame, sf_dir: str) -> DataFrame:
     """One document, that of least id, of each component over 5-word shingles with a similarity of 0.8 or more."""
+    small_batches(spark)
     return minhash.drop_near_duplicates(docs, width=5, percent=80)
 
 
 def cut_repeated_passages(spark, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Passages of at least 50 words stay in the document of least id that holds them."""
+    small_batches(spark)
     return windows.cut_passages(docs)
 
 
 def pack_sequences(spark, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Pieces of token ids in sequences of at most 4096."""
+    small_batches(spark)
     import public_tokenizers
 
     packed = packing.pack_texts(docs, public_tokenizers.path("word_bpe_49k.json"))

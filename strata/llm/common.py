@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import ctypes
 import uuid
 from contextlib import contextmanager
 
@@ -30,6 +31,17 @@ def shared_path(spark: SparkSession, kind: str) -> str:
     return f"{shared_dir(spark).rstrip('/')}/{kind}-{uuid.uuid4().hex}"
 
 
+def trim(*caches: dict) -> None:
+    """Empties caches and hands freed memory back, so that an idle worker kept for reuse stays small."""
+    for c in caches:
+        c.clear()
+    pa.default_memory_pool().release_unused()
+    try:
+        ctypes.CDLL(None).malloc_trim(0)
+    except (AttributeError, OSError):  # no glibc
+        pass
+
+
 @contextmanager
 def small_batches(spark: SparkSession, rows: int):
     """Arrow batches of at most ``rows`` rows for what is run inside: bounds a worker's memory where rows hold texts."""

@@ -28,7 +28,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from strata.llm.common import WordHash, binary_array, checkpoint, components, mix64, pieces, shared_path, shingle_hashes, small_batches, table, texts
+from strata.llm.common import WordHash, binary_array, checkpoint, components, mix64, pieces, shared_path, shingle_hashes, small_batches, table, texts, trim
 
 CIRCLE = 1 << 20
 ROWS = 8
@@ -97,6 +97,7 @@ def sketches(df: DataFrame, width: int) -> DataFrame:
                 for i, k in zip(rows, band_keys(np.stack(sigs)), strict=True):
                     keys[i] = k.tobytes()
             yield pa.RecordBatch.from_arrays([b.column(0), pa.array(n, pa.int64()), pa.array(h1, pa.int64()), pa.array(h2, pa.int64()), binary_array(keys)], names=["doc_id", "n_shingles", "h1", "h2", "keys"])
+        trim(words)
 
     return df.mapInArrow(run, "doc_id long, n_shingles long, h1 long, h2 long, keys binary")
 
@@ -178,6 +179,7 @@ def set_rows(docs: DataFrame, width: int) -> DataFrame:
         words = WordHash()
         for b in pieces(batches):
             yield pa.RecordBatch.from_arrays([b.column(0), binary_array([shingle_set(t, width, words).tobytes() for t in texts(b.column(1))])], names=["node", "shingles"])
+        trim(words)
 
     return docs.select("node", "text").mapInArrow(run, "node long, shingles binary")
 
@@ -223,7 +225,8 @@ def near_duplicates(df: DataFrame, id_col: str = "doc_id", text_col: str = "text
     spark = df.sparkSession
     docs = df.select(F.col(f"`{id_col}`").cast("long").alias("doc_id"), F.col(f"`{text_col}`").alias("text"))
     at = shared_path(spark, "minhash")
-    sketches(docs, width).write.parquet(f"{at}/sketches")
+    with small_batches(spark, 1024):
+        sketches(docs, width).write.parquet(f"{at}/sketches")
     seen = spark.read.parquet(f"{at}/sketches")
     known = seen.where("doc_id is not null and h1 is not null")
     known.groupBy("h1", "h2").agg(F.min("doc_id").alias("node"), F.first("keys").alias("keys")).write.parquet(f"{at}/classes")

@@ -18,7 +18,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 
-from strata.llm.common import binary_array, pieces, texts
+from strata.llm.common import binary_array, pieces, texts, trim
 
 #: White space beyond ASCII, and characters that a normalizer could join to what stands before them.
 UNUSUAL_ASCII = re.compile(rb"[\x1c-\x1f]")
@@ -108,6 +108,7 @@ def token_ids(df: DataFrame, tokenizer_path: str, id_col: str = "doc_id", text_c
         for b in pieces(batches):
             ids = [x + end for x in encoder.batch(texts(b.column(1)))]
             yield pa.RecordBatch.from_arrays([b.column(0), binary_array(ids)], names=["id", "ids"])
+        trim(encoder, encoder.parts)
 
     kept = df.selectExpr(f"`{id_col}` as id", f"`{text_col}` as text")
     kind = kept.schema["id"].dataType.simpleString()

@@ -28,7 +28,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from strata.llm.common import pieces, table, texts
+from strata.llm.common import pieces, table, texts, trim
 
 BUCKETS = 1 << 17
 MASK = BUCKETS - 1
@@ -269,6 +269,7 @@ def score(df: DataFrame, model: Model, id_col: str = "doc_id", text_col: str = "
                 z = m.scale * (worst_window(v) + m.bias) + m.shift if len(v) else -np.inf
                 out.append(float(1 / (1 + np.exp(-np.clip(z, -500, 500)))) if len(v) else 0.0)
             yield pa.RecordBatch.from_arrays([b.column(0), pa.array(out, pa.float64())], names=["id", "score"])
+        trim(words)
 
     return kept.mapInArrow(run, f"id {kind}, score double")
 
@@ -287,6 +288,7 @@ def filter_toxic(df: DataFrame, model: Model, text_col: str = "text", threshold:
                 v = words_of(words, t.split())
                 keep.append(not len(v) or 1 / (1 + np.exp(-np.clip(m.scale * (worst_window(v) + m.bias) + m.shift, -500, 500))) < threshold)
             yield b.filter(pa.array(keep, pa.bool_()))
+        trim(words)
 
     return df.mapInArrow(run, df.schema)
 
