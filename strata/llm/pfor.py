@@ -21,14 +21,14 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from strata.llm.common import binary_array, pieces, shared_path, table, texts
-from strata.llm.tokens import ChunkEncoder
+from strata.llm.tokens import worker_encoder
 
 BLOCK = 128
 HEAD = 6
 PERCENTILE = 90
 SEGMENT_IDS = 500_000
 #: Distinct chunks that a worker remembers while it writes.
-CHUNKS = 1_300_000
+CHUNKS = 1_000_000
 MAGIC = b"PFB1"
 
 
@@ -153,7 +153,7 @@ def write_token_files(df: DataFrame, path: str, tokenizer_path: str, id_col: str
             seq, before, docs, held, size = seq + 1, before + size, [], [], 0
             return row
 
-        encoder = ChunkEncoder(tokenizer_path, CHUNKS)
+        encoder = worker_encoder(tokenizer_path, CHUNKS)
         for b in pieces(batches):
             for d, x in zip(b.column(0).to_pylist(), encoder.batch(texts(b.column(1))), strict=True):
                 docs.append(d)

@@ -10,6 +10,7 @@ Cases: null and empty texts have no ids of their own; texts of any length are en
 
 from __future__ import annotations
 
+import functools
 import json
 import re
 from array import array
@@ -99,16 +100,22 @@ class ChunkEncoder(dict):
         return out
 
 
+@functools.lru_cache(maxsize=1)
+def worker_encoder(path: str, limit: int = 600_000) -> ChunkEncoder:
+    """One encoder per worker process: what a task has learned serves the next one."""
+    return ChunkEncoder(path, limit)
+
+
 def token_ids(df: DataFrame, tokenizer_path: str, id_col: str = "doc_id", text_col: str = "text", end_id: int | None = None) -> DataFrame:
     """id, ids (binary: little-endian unsigned 32-bit) of every text, with ``end_id`` after each where given."""
     end = b"" if end_id is None else np.array([end_id], dtype="<u4").tobytes()
 
     def run(batches):
-        encoder = ChunkEncoder(tokenizer_path)
+        encoder = worker_encoder(tokenizer_path)
         for b in pieces(batches):
             ids = [x + end for x in encoder.batch(texts(b.column(1)))]
             yield pa.RecordBatch.from_arrays([b.column(0), binary_array(ids)], names=["id", "ids"])
-        trim(encoder, encoder.parts)
+        trim()
 
     kept = df.selectExpr(f"`{id_col}` as id", f"`{text_col}` as text")
     kind = kept.schema["id"].dataType.simpleString()
