@@ -76,10 +76,8 @@ class Bpe:
     def _fast_merge(self, merges: list, vocab: dict):
         """The same merges by tiktoken's compiled loop, where the vocabulary lists merges in their order (its
         ranks are then the ids)."""
-        try:
-            import tiktoken
-        except ImportError:
-            return None
+        import tiktoken
+
         made = [new for _, new in sorted(self.merges.values())]
         if made != list(range(256, 256 + len(merges))) or sorted(self.byte_ids) != list(range(256)):
             return None
