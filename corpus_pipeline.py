@@ -16,6 +16,8 @@ from strata.llm.common import shared_path, table
 
 #: Rows of the Arrow batches in all stages: whole texts of any length pass through them.
 BATCH_ROWS = "1000"
+#: Distinct chunks that a worker remembers while packing: it shares its executor with what earlier stages left idle.
+CHUNKS = 120_000
 
 
 def small_batches(spark) -> None:
@@ -51,7 +53,7 @@ def pack_sequences(spark, docs: DataFrame, sf_dir: str) -> DataFrame:
     small_batches(spark)
     import public_tokenizers
 
-    packed = packing.pack_texts(docs, public_tokenizers.path("word_bpe_49k.json"))
+    packed = packing.pack_texts(docs, public_tokenizers.path("word_bpe_49k.json"), chunks=CHUNKS)
     return packed.select(F.col("id").alias("doc_id"), "start", "length", "ids", "doc_tokens", "sequence_id", "offset")
 
 

@@ -57,7 +57,7 @@ def small_batches(spark: SparkSession, rows: int):
 class WordHash(dict):
     """Word (bytes) to a 64-bit hash; remembers at most ``limit`` words, which bounds its memory."""
 
-    def __init__(self, limit: int = 250_000):
+    def __init__(self, limit: int = 150_000):
         super().__init__()
         self.limit = limit
 

@@ -34,7 +34,7 @@ CIRCLE = 1 << 20
 ROWS = 8
 BANDS = 64
 SMALL = 8
-LAGS = 3
+LAGS = 2
 #: A list of ids is broadcast only up to this many rows (16 bytes each); beyond it the join shuffles.
 BROADCAST_ROWS = 250_000
 PICKING_ROUNDS = 1
@@ -110,6 +110,7 @@ def explode_keys(classes: DataFrame) -> DataFrame:
             keys = np.frombuffer(b"".join(b.column(1).to_pylist()), np.int64).reshape(-1, BANDS)
             node = np.repeat(b.column(0).to_numpy(), BANDS)
             yield pa.RecordBatch.from_arrays([pa.array(node), pa.array(keys.reshape(-1)), pa.array(np.roll(keys, -1, axis=1).reshape(-1))], names=["node", "key", "next"])
+        trim()
 
     return classes.select("node", "keys").mapInArrow(run, "node long, key long, next long")
 
@@ -120,7 +121,7 @@ def neighbours(banded: DataFrame) -> DataFrame:
 
     def run(batches):
         tail_key = tail_node = np.zeros(0, np.int64)
-        run_at = 0  # rows of the current key so far
+        run_at, lowest = 0, 0  # rows of the current key so far, and its least class
         for b in batches:
             new_key, new_node = b.column(1).to_numpy(), b.column(0).to_numpy()
             if not len(new_key):
@@ -131,7 +132,12 @@ def neighbours(banded: DataFrame) -> DataFrame:
             head = np.concatenate([[old == 0 or new_key[0] != tail_key[-1]], new_key[1:] != new_key[:-1]])
             begin = np.maximum.accumulate(np.where(head, index, -1))
             place = np.where(begin >= 0, index - begin, index + run_at)
-            a, c = [], []
+            seg = np.flatnonzero(head | (index == 0))
+            least = np.minimum.reduceat(new_node, seg)
+            if not head[0]:
+                least[0] = min(int(least[0]), lowest)
+            lowest = int(least[-1])
+            a, c = [np.repeat(least, np.diff(np.append(seg, len(new_node))))], [new_node]
             for lag in range(1, SMALL):
                 at = index[(place >= lag) & ((place < SMALL) | (lag <= LAGS))]
                 a.append(node[at + old - lag])
@@ -168,6 +174,7 @@ def checked(pairs: DataFrame, n_pairs: int, sets: DataFrame, percent: int) -> Da
                 both = len(np.intersect1d(p, q, assume_unique=True))
                 keep.append(100 * both >= percent * (len(p) + len(q) - both))
             yield batch.select(["a", "b"]).filter(pa.array(keep, pa.bool_()))
+        trim()
 
     return left.join(right.hint("merge"), "b").select("a", "b", "x", "y").mapInArrow(run, "a long, b long")
 

@@ -155,8 +155,8 @@ def pack(df: DataFrame, id_col: str = "id", ids_col: str = "ids", capacity: int
     return source.mapInArrow(run, f"id {kind}, start long, length long, ids binary, doc_tokens long, sequence_id long, offset long")
 
 
-def pack_texts(df: DataFrame, tokenizer_path: str, id_col: str = "doc_id", text_col: str = "text", end_id: int | None = 2) -> DataFrame:
-    return pack(token_ids(df, tokenizer_path, id_col, text_col, end_id))
+def pack_texts(df: DataFrame, tokenizer_path: str, id_col: str = "doc_id", text_col: str = "text", end_id: int | None = 2, chunks: int = 600_000) -> DataFrame:
+    return pack(token_ids(df, tokenizer_path, id_col, text_col, end_id, chunks))
 
 
 def op8_slack_packing(spark, sf_dir: str) -> DataFrame:

@@ -106,12 +106,15 @@ def worker_encoder(path: str, limit: int = 600_000) -> ChunkEncoder:
     return ChunkEncoder(path, limit)
 
 
-def token_ids(df: DataFrame, tokenizer_path: str, id_col: str = "doc_id", text_col: str = "text", end_id: int | None = None) -> DataFrame:
-    """id, ids (binary: little-endian unsigned 32-bit) of every text, with ``end_id`` after each where given."""
+def token_ids(df: DataFrame, tokenizer_path: str, id_col: str = "doc_id", text_col: str = "text", end_id: int | None = None, chunks: int = 600_000) -> DataFrame:
+    """id, ids (binary: little-endian unsigned 32-bit) of every text, with ``end_id`` after each where given.
+
+    A worker remembers at most ``chunks`` distinct chunks and as many parts of them.
+    """
     end = b"" if end_id is None else np.array([end_id], dtype="<u4").tobytes()
 
     def run(batches):
-        encoder = worker_encoder(tokenizer_path)
+        encoder = worker_encoder(tokenizer_path, chunks)
         for b in pieces(batches):
             ids = [x + end for x in encoder.batch(texts(b.column(1)))]
             yield pa.RecordBatch.from_arrays([b.column(0), binary_array(ids)], names=["id", "ids"])

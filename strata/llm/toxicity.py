@@ -70,7 +70,7 @@ class Model:
 class Words(dict):
     """Word to its share of a window's logit; None for words without letters or digits."""
 
-    def __init__(self, bucket: np.ndarray, limit: int = 400_000):
+    def __init__(self, bucket: np.ndarray, limit: int = 200_000):
         super().__init__()
         self.bucket, self.limit = bucket.tolist(), limit
 
