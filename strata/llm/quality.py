@@ -28,33 +28,36 @@ WINDOW = 5
 SAMPLE_ROWS = 200
 
 
+#: Rules beyond the base one, as DuckDB says them. All compare whole counts, so no rounding is involved.
+RULES_SQL = {
+    "symbols": "10 * n_symbols > n_words",
+    "duplicate_lines": "2 * n_dup_lines > n_lines",
+    "word_length": "word_chars < 2 * n_words OR word_chars > 15 * n_words",
+    "exclamations": "10 * (length(text) - length(replace(text, '!', ''))) > n_words",
+    "capitals": "2 * length(regexp_replace(text, '[^A-Z]+', '', 'g')) > length(regexp_replace(text, '[^A-Za-z]+', '', 'g'))",
+    "stuttering": "10 * len(list_filter(range(2, len(w) + 1), lambda i: w[i] = w[i - 1])) > 3 * n_words",
+}
+
+
 @dataclass(frozen=True)
 class Rule:
-    """A document fails where ``failed`` is true; ``sql`` says the same to DuckDB."""
+    """A document fails where ``failed`` is true."""
 
     name: str
     failed: Column
-    sql: str
 
 
 def rules() -> list[Rule]:
-    """Rules beyond the base one. All compare whole counts, so no rounding is involved."""
+    """The rules of ``RULES_SQL`` as Columns."""
     m, text = F.col("m_"), F.col("m_.text")
+    stutter = F.filter(m["hashes"], lambda x, i: (i > 0) & (x == F.get(m["hashes"], i - 1)))
     return [
-        Rule("symbols", 10 * m["n_symbols"] > m["n_words"], "10 * n_symbols > n_words"),
-        Rule("duplicate_lines", 2 * m["n_dup_lines"] > m["n_lines"], "2 * n_dup_lines > n_lines"),
-        Rule("word_length", (m["word_chars"] < 2 * m["n_words"]) | (m["word_chars"] > 15 * m["n_words"]), "word_chars < 2 * n_words OR word_chars > 15 * n_words"),
-        Rule("exclamations", 10 * (F.length(text) - F.length(F.replace(text, F.lit("!"), F.lit("")))) > m["n_words"], "10 * (length(text) - length(replace(text, '!', ''))) > n_words"),
-        Rule(
-            "capitals",
-            2 * F.length(F.regexp_replace(text, "[^A-Z]+", "")) > F.length(F.regexp_replace(text, "[^A-Za-z]+", "")),
-            "2 * length(regexp_replace(text, '[^A-Z]+', '', 'g')) > length(regexp_replace(text, '[^A-Za-z]+', '', 'g'))",
-        ),
-        Rule(
-            "stuttering",
-            10 * F.size(F.filter(m["hashes"], lambda x, i: (i > 0) & (x == F.get(m["hashes"], i - 1)))) > 3 * m["n_words"],
-            "10 * len(list_filter(range(2, len(w) + 1), lambda i: w[i] = w[i - 1])) > 3 * n_words",
-        ),
+        Rule("symbols", 10 * m["n_symbols"] > m["n_words"]),
+        Rule("duplicate_lines", 2 * m["n_dup_lines"] > m["n_lines"]),
+        Rule("word_length", (m["word_chars"] < 2 * m["n_words"]) | (m["word_chars"] > 15 * m["n_words"])),
+        Rule("exclamations", 10 * (F.length(text) - F.length(F.replace(text, F.lit("!"), F.lit("")))) > m["n_words"]),
+        Rule("capitals", 2 * F.length(F.regexp_replace(text, "[^A-Z]+", "")) > F.length(F.regexp_replace(text, "[^A-Za-z]+", ""))),
+        Rule("stuttering", 10 * F.size(stutter) > 3 * m["n_words"]),
     ]
 
 
@@ -177,7 +180,7 @@ BASE_SQL = "(n_words < 10 OR 100 * n_repeat_words > 20 * n_words)"
 
 
 def verdict_sql() -> str:
-    return " AND ".join(["NOT " + BASE_SQL, *[f"NOT ({r.sql})" for r in rules()]])
+    return " AND ".join(["NOT " + BASE_SQL, *[f"NOT ({r})" for r in RULES_SQL.values()]])
 
 
 def op1_sql() -> str:
