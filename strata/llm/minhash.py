@@ -266,3 +266,17 @@ def op10_circulant_minhash(spark, sf_dir: str) -> DataFrame:
     """Component of every document over sets of 2-word shingles."""
     found = near_duplicates(table(spark, sf_dir, "documents"), width=2, percent=80)
     return found.select("doc_id", "n_shingles", "component_id", (F.col("doc_id") == F.col("component_id")).alias("kept"))
+
+
+OP10_SQL = r"""
+WITH RECURSIVE t AS (SELECT doc_id, list_filter(regexp_split_to_array(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[\x20\x09-\x0D]+'), lambda x: x <> '') AS w FROM documents),
+s AS (SELECT doc_id, unnest(list_distinct(CASE WHEN len(w) < 2 THEN w ELSE list_transform(range(1, len(w)), lambda i: w[i] || ' ' || w[i + 1]) END)) AS sh FROM t),
+n AS (SELECT doc_id, count(*) AS n FROM s GROUP BY doc_id),
+k AS (SELECT doc_id, n, sh FROM s JOIN n USING (doc_id)),
+link AS (SELECT a.doc_id AS x, b.doc_id AS y FROM k a JOIN k b ON a.sh = b.sh AND a.doc_id < b.doc_id AND 100 * least(a.n, b.n) >= 80 * greatest(a.n, b.n)
+  GROUP BY a.doc_id, b.doc_id HAVING 100 * count(*) >= 80 * (any_value(a.n) + any_value(b.n) - count(*))),
+edge AS (SELECT x, y FROM link UNION ALL SELECT y, x FROM link),
+reach AS (SELECT doc_id AS d, doc_id AS c FROM documents UNION SELECT edge.y, reach.c FROM reach JOIN edge ON edge.x = reach.d),
+low AS (SELECT d, min(c) AS c FROM reach GROUP BY d)
+SELECT doc_id, CAST(coalesce(n, 0) AS BIGINT) AS n_shingles, c AS component_id, doc_id = c AS kept
+FROM documents JOIN low ON d = doc_id LEFT JOIN n USING (doc_id)"""

@@ -21,4 +21,5 @@ ORACLE_SQL = {
     "op1_quality_cascade": quality.op1_sql(),
     "op3_temporal_list": urllists.OP3_SQL,
     "op9_feistel_shards": sharding.op9_sql(),
+    "op10_circulant_minhash": minhash.OP10_SQL,
 }
