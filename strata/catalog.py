@@ -165,7 +165,7 @@ def _blocks(spark, d) -> DataFrame:
 
 @query(f"WITH c AS ({_CLAIMS}), b AS ({_BLOCKS}) SELECT l_suppkey, block FROM b WHERE NOT EXISTS (SELECT 1 FROM c WHERE c.l_suppkey = b.l_suppkey AND block >= pos AND block < pos + len)")
 def claim_block_membership(spark, d):
-    return claims.blocks_outside(_blocks(spark, d), _claims(spark, d), "l_suppkey")
+    return claims.blocks_outside(_blocks(spark, d), _claims(spark, d), "l_suppkey", bin_size=64)
 
 
 @query(f"WITH c AS ({_CLAIMS}), b AS ({_BLOCKS}) SELECT b.l_suppkey, block, count(*) AS n_claims, min(pos) AS first_pos FROM b JOIN c ON c.l_suppkey = b.l_suppkey AND block >= pos AND block < pos + len GROUP BY b.l_suppkey, block")

@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from collections.abc import Iterator
 
-import pandas as pd
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
@@ -75,32 +75,33 @@ def first_writer(claims: DataFrame, key: str, owner: str, order: str) -> DataFra
     return continuations(claims).groupBy(key, "block").agg(F.min(F.struct(F.col(order).alias("o"), F.col(owner).alias("w"))).alias("m")).select(key, "block", F.col("m.w").alias(owner))
 
 
-def _sweep(rows: Iterator[tuple[int, int, bool]]) -> Iterator[tuple[int, int]]:
-    """Left to right: a block is kept unless a kept block's claim holds it; a constant run is cut at the claim's end."""
-    covered = -1
-    for block, end, constant in rows:
-        if block >= covered:
-            yield block, block
-            covered = max(covered, end)
-        elif constant and end > covered:
-            yield block, covered
-            covered = end
-
-
 def accept_sweep(df: DataFrame, key: str) -> DataFrame:
     """key, block, start: the blocks kept by the ordered sweep. Input: key, block, claim_end (exclusive), constant.
 
-    Whether a block counts depends on those kept before it, so each source is folded in order by one task;
-    feed only blocks with claims and constant runs, which are few.
+    Left to right, a block is kept unless the claim of a kept block holds it; a constant run is cut at that
+    claim's end. Whether a block counts depends on those kept before it, so each source is folded in order by one
+    task, row after row with nothing held; feed only blocks with claims and constant runs, which are few.
     """
-
-    def fold(pdf: pd.DataFrame) -> pd.DataFrame:
-        pdf = pdf.sort_values(["block", "claim_end"])
-        kept = list(_sweep(zip(pdf["block"].tolist(), pdf["claim_end"].tolist(), pdf["constant"].tolist(), strict=True)))
-        return pd.DataFrame({key: pdf[key].iloc[0], "block": [b for b, _ in kept], "start": [s for _, s in kept]})
+    rows = df.select(key, "block", "claim_end", "constant")
+
+    def fold(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        source, covered, started = None, 0, False
+        for b in batches:
+            keys, kept, starts = [], [], []
+            for k, block, end, constant in zip(*[c.to_pylist() for c in b.columns], strict=True):
+                if not started or k != source:
+                    source, covered, started = k, block, True
+                if block < covered and not (constant and end > covered):
+                    continue
+                keys.append(k)
+                kept.append(block)
+                starts.append(max(block, covered))
+                covered = max(covered, end)
+            yield pa.RecordBatch.from_arrays([pa.array(keys, b.schema.field(0).type), pa.array(kept, pa.int64()), pa.array(starts, pa.int64())], names=[key, "block", "start"])
 
     kind = df.schema[key].dataType.simpleString()
-    return df.select(key, "block", "claim_end", "constant").groupBy(key).applyInPandas(fold, f"{key} {kind}, block long, start long")
+    dealt = rows.repartition(key).sortWithinPartitions(key, "block", "claim_end")
+    return dealt.mapInArrow(fold, f"{key} {kind}, block long, start long")
 
 
 def emit_blocks(accepted: DataFrame, claims: DataFrame, key: str, owner: str) -> DataFrame:
