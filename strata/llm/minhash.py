@@ -116,12 +116,16 @@ def explode_keys(classes: DataFrame) -> DataFrame:
 
 
 def neighbours(banded: DataFrame) -> DataFrame:
-    """Candidate pairs (a < b) with the number of bands that propose them."""
+    """Candidate pairs (a < b) with the number of bands that propose them.
+
+    A key that goes on over partitions is joined by its least class: each partition's least one meets it.
+    """
     parts = int(banded.sparkSession.conf.get("spark.sql.shuffle.partitions"))
 
     def run(batches):
         tail_key = tail_node = np.zeros(0, np.int64)
         run_at, lowest = 0, 0  # rows of the current key so far, and its least class
+        first_key, first_least = None, 0
         for b in batches:
             new_key, new_node = b.column(1).to_numpy(), b.column(0).to_numpy()
             if not len(new_key):
@@ -137,6 +141,10 @@ def neighbours(banded: DataFrame) -> DataFrame:
             if not head[0]:
                 least[0] = min(int(least[0]), lowest)
             lowest = int(least[-1])
+            if first_key is None:
+                first_key, first_least = int(new_key[0]), int(new_node[0])
+            if new_key[0] == first_key:
+                first_least = min(first_least, int(least[0]))
             a, c = [np.repeat(least, np.diff(np.append(seg, len(new_node))))], [new_node]
             for lag in range(1, SMALL):
                 at = index[(place >= lag) & ((place < SMALL) | (lag <= LAGS))]
@@ -147,10 +155,17 @@ def neighbours(banded: DataFrame) -> DataFrame:
             x, y = np.concatenate(a), np.concatenate(c)
             low, high = np.minimum(x, y), np.maximum(x, y)
             keep = low < high
-            yield pa.RecordBatch.from_arrays([pa.array(low[keep]), pa.array(high[keep])], names=["a", "b"])
+            yield pa.RecordBatch.from_arrays([pa.array(np.zeros(int(keep.sum()), bool)), pa.array(low[keep]), pa.array(high[keep])], names=["edge", "a", "b"])
+        if first_key is not None:  # what may go on in the partitions before and after: key and least class here
+            ends = {first_key: first_least} | {int(tail_key[-1]): lowest}
+            yield pa.RecordBatch.from_arrays([pa.array([True] * len(ends)), pa.array(list(ends), pa.int64()), pa.array(list(ends.values()), pa.int64())], names=["edge", "a", "b"])
 
     dealt = banded.repartitionByRange(parts, "key", "next", "node").sortWithinPartitions("key", "next", "node")
-    return dealt.mapInArrow(run, "a long, b long").groupBy("a", "b").agg(F.count("*").alias("bands"))
+    found = checkpoint(dealt.mapInArrow(run, "edge boolean, a long, b long").groupBy("edge", "a", "b").agg(F.count("*").alias("bands")))
+    ends = found.where("edge").select(F.col("a").alias("key"), F.col("b").alias("node"))
+    least = ends.groupBy("key").agg(F.min("node").alias("a"), F.count("*").alias("shares")).where("shares > 1")
+    joined = least.join(ends, "key").where("a < node").select("a", F.col("node").alias("b"), F.lit(1).cast("long").alias("bands"))
+    return found.where("not edge").select("a", "b", "bands").union(joined).groupBy("a", "b").agg(F.sum("bands").alias("bands"))
 
 
 def maybe_broadcast(df: DataFrame, rows: int) -> DataFrame:

@@ -55,6 +55,22 @@ def test_near_duplicates(spark, width):
     assert minhash.near_duplicates(frame(spark, [])).count() == 0
 
 
+def test_key_over_many_partitions(spark):
+    rows = [(k, 7, k * 7919 % 1000) for k in range(3000)] + [(k, 9, 0) for k in (1, 2)]
+    banded = spark.createDataFrame(rows, "node long, key long, next long").repartition(8)
+    before = spark.conf.get("spark.sql.shuffle.partitions")
+    for parts in ("1", "7"):
+        spark.conf.set("spark.sql.shuffle.partitions", parts)
+        try:
+            pairs = minhash.neighbours(banded).select("a", "b").collect()
+        finally:
+            spark.conf.set("spark.sql.shuffle.partitions", before)
+        assert len(set(pairs)) == len(pairs)
+        from tests.llm.helpers import components
+
+        assert set(components(range(3000), [tuple(p) for p in pairs]).values()) == {0}
+
+
 def test_compact_windows_match_brute_force():
     r = np.random.default_rng(0)
 
