@@ -11,8 +11,9 @@ classes share; in that order every class meets its neighbours, the first class o
 first ``SMALL`` of a key, all of them: rows grow with the classes, never with their square. Candidate pairs
 are counted over the bands. Then, in rounds, every component picks the two most promising of its pairs to
 other components, these are checked on the full sets, and links merge components; the last round checks all pairs
-that still join two components. No pair that banding found is dropped unchecked unless its two sides are
-already linked.
+that still join two components. Last, all pairs of one key that were no neighbours and are still in two components
+are compared by sketches that bound their similarity, and checked in the same way unless the bound excludes them;
+these comparisons grow with the classes of a key times those outside its main component. So no two classes that share a key stay unchecked unless they are already linked.
 
 Cases: null, empty and white-space texts have empty sets and are linked with nothing; a text with fewer
 words than the shingle width is one shingle; texts of any length are read whole; rows that repeat a doc_id
@@ -35,6 +36,9 @@ ROWS = 8
 BANDS = 64
 SMALL = 8
 LAGS = 2
+#: Classes in a block of a key, and slots of a set's sketch, for the pairs that were no neighbours.
+SHARE = 128
+SKETCH = 1024
 #: A list of ids is broadcast only up to this many rows (16 bytes each); beyond it the join shuffles.
 BROADCAST_ROWS = 250_000
 PICKING_ROUNDS = 1
@@ -194,6 +198,64 @@ def checked(pairs: DataFrame, n_pairs: int, sets: DataFrame, percent: int) -> Da
     return left.join(right.hint("merge"), "b").select("a", "b", "x", "y").mapInArrow(run, "a long, b long")
 
 
+def set_sketches(sets: DataFrame) -> DataFrame:
+    """node, sketch (binary): which of ``SKETCH`` slots the shingles of a set fall in."""
+
+    def run(batches):
+        for b in pieces(batches, 1024):
+            out = []
+            for x in b.column(1).to_pylist():
+                bits = np.zeros(SKETCH, np.uint8)
+                bits[(mix64(np.frombuffer(x, np.uint64)) % np.uint64(SKETCH)).astype(np.int64)] = 1
+                out.append(np.packbits(bits).tobytes())
+            yield pa.RecordBatch.from_arrays([b.column(0), binary_array(out)], names=["node", "sketch"])
+        trim()
+
+    return sets.select("node", "shingles").mapInArrow(run, "node long, sketch binary")
+
+
+def unproposed(members: DataFrame, sets: DataFrame, pairs: DataFrame, percent: int) -> DataFrame:
+    """Pairs (a < b, bands) that share a key but are not in ``pairs``, for classes of different components.
+
+    ``members`` has key, node, root and n (size of the set). Of two such classes one at least is outside the component
+    that most of the key's classes belong to, so blocks of those meet all blocks of the key: a key of one component
+    costs nothing. A slot that only x has holds a shingle that y lacks, so sizes and slots bound what two sets share;
+    pairs that cannot reach ``percent`` are left out, and no others.
+    """
+    per_root = members.groupBy("key", "root").agg(F.count("*").alias("c"))
+    keys = per_root.groupBy("key").agg(F.sum("c").alias("held"), F.count("*").alias("roots"), F.max(F.struct("c", "root")).getField("root").alias("main")).where("roots > 1 and held > 2")
+    mixed = members.join(keys.select("key", "main", F.ceil(F.col("held") / SHARE).alias("shares")), "key").withColumn("out", F.col("root") != F.col("main"))
+    mixed = mixed.join(set_sketches(sets), "node").withColumn("share", F.pmod(F.xxhash64("node"), "shares"))
+    lists = [F.collect_list(c).alias(f"{c}s") for c in ("node", "root", "n")]
+    blocks = checkpoint(mixed.groupBy("key", "out", "share").agg(*lists, F.collect_list("sketch").alias("sketches")))
+    one = blocks.where("out").select("key", F.col("share").alias("at"), *[F.col(c).alias(f"{c}_") for c in ("nodes", "roots", "ns", "sketches")])
+    met = one.join(blocks, "key").where("not out or at <= share").select("nodes_", "roots_", "ns_", "sketches_", "nodes", "roots", "ns", "sketches")
+
+    def run(batches):
+        for batch in pieces(batches, 64):
+            low, high = [], []
+            for i in range(batch.num_rows):
+                x, rx, nx, y, ry, ny = (batch.column(c)[i].values.to_numpy() for c in (0, 1, 2, 4, 5, 6))
+                sx, sy = (np.frombuffer(b"".join(batch.column(c)[i].as_py()), np.uint64).reshape(-1, SKETCH // 64) for c in (3, 7))
+                least, most = np.minimum.outer(nx, ny), np.maximum.outer(nx, ny)
+                p, q = np.nonzero((rx[:, None] != ry[None, :]) & (100 * least >= percent * most))
+                for at in range(0, len(p), 8192):
+                    u, v = p[at : at + 8192], q[at : at + 8192]
+                    lacks = np.bitwise_count(sx[u] & ~sy[v]).sum(axis=1, dtype=np.int64)
+                    more = np.bitwise_count(sy[v] & ~sx[u]).sum(axis=1, dtype=np.int64)
+                    both = np.minimum(nx[u] - lacks, ny[v] - more)
+                    ok = 100 * both >= percent * (nx[u] + ny[v] - both)
+                    low.append(np.minimum(x[u[ok]], y[v[ok]]))
+                    high.append(np.maximum(x[u[ok]], y[v[ok]]))
+            if low:
+                yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(low)), pa.array(np.concatenate(high))], names=["a", "b"])
+        trim()
+
+    with small_batches(members.sparkSession, 64):  # a row holds two blocks
+        found = checkpoint(met.mapInArrow(run, "a long, b long").groupBy("a", "b").agg(F.count("*").alias("bands")))
+    return found.join(pairs.select("a", "b"), ["a", "b"], "left_anti")
+
+
 def set_rows(docs: DataFrame, width: int) -> DataFrame:
     """node, shingles (binary, sorted longs) of the given (node, text) rows."""
 
@@ -206,10 +268,11 @@ def set_rows(docs: DataFrame, width: int) -> DataFrame:
     return docs.select("node", "text").mapInArrow(run, "node long, shingles binary")
 
 
-def link_rounds(pairs: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
-    """Components (node, root) of the candidate pairs that are similar, merged in rounds (see above)."""
+def link_rounds(pairs: DataFrame, sets: DataFrame, percent: int, roots: DataFrame | None = None) -> DataFrame:
+    """Components (node, root) of the candidate pairs that are similar, merged in rounds (see above); ``roots``: those known."""
     spark = pairs.sparkSession
-    left, roots, links, turn = pairs, None, None, 0
+    left, turn = pairs, 0
+    links = None if roots is None else roots.select(F.col("node").alias("a"), F.col("root").alias("b"))
     while True:
         if roots is not None:
             here = roots.select(F.col("node").alias("a"), F.col("root").alias("ra"))
@@ -251,7 +314,7 @@ def near_duplicates(df: DataFrame, id_col: str = "doc_id", text_col: str = "text
         sketches(docs, width).write.parquet(f"{at}/sketches")
     seen = spark.read.parquet(f"{at}/sketches")
     known = seen.where("doc_id is not null and h1 is not null")
-    known.groupBy("h1", "h2").agg(F.min("doc_id").alias("node"), F.first("keys").alias("keys")).write.parquet(f"{at}/classes")
+    known.groupBy("h1", "h2").agg(F.min("doc_id").alias("node"), F.first("keys").alias("keys"), F.first("n_shingles").alias("n")).write.parquet(f"{at}/classes")
     classes = spark.read.parquet(f"{at}/classes")
     pairs = checkpoint(neighbours(explode_keys(classes)))
     need = checkpoint(pairs.select(F.col("a").alias("node")).union(pairs.select(F.col("b").alias("node"))).distinct())
@@ -260,7 +323,13 @@ def near_duplicates(df: DataFrame, id_col: str = "doc_id", text_col: str = "text
     wanted = docs.withColumnRenamed("doc_id", "node").join(maybe_broadcast(need, n), "node", "left_semi")
     with small_batches(spark, 1024):
         set_rows(wanted, width).groupBy("node").agg(F.first("shingles").alias("shingles")).write.parquet(f"{at}/sets")
-    roots = link_rounds(pairs, spark.read.schema("node long, shingles binary").parquet(f"{at}/sets"), percent)
+    sets = spark.read.schema("node long, shingles binary").parquet(f"{at}/sets")
+    roots = link_rounds(pairs, sets, percent)
+    # every class of a key that others share is in ``need``, as it meets one of them at least
+    again = classes.join(maybe_broadcast(need, n), "node", "left_semi")
+    of_node = again.select("node", "n").join(roots, "node", "left").select("node", "n", F.coalesce("root", "node").alias("root"))
+    members = checkpoint(explode_keys(again).select("node", "key").join(maybe_broadcast(of_node, n), "node"))
+    roots = link_rounds(unproposed(members, sets, pairs, percent), sets, percent, roots)
     small = roots.groupBy("root").agg(F.min("node").alias("low"))
     named = roots.join(small, "root").select("node", "low")
     by_class = classes.select("h1", "h2", "node").join(named, "node", "left").select("h1", "h2", F.coalesce("low", "node").alias("component_id"))

@@ -71,6 +71,23 @@ def test_key_over_many_partitions(spark):
         assert set(components(range(3000), [tuple(p) for p in pairs]).values()) == {0}
 
 
+def test_pairs_that_were_no_neighbours(spark, monkeypatch):
+    def with_far(banded):  # every class is proposed with one that it is not similar to
+        return banded.where("node > 2").select(F.lit(2).cast("long").alias("a"), F.col("node").alias("b"), F.lit(1).cast("long").alias("bands")).distinct()
+
+    monkeypatch.setattr(minhash, "neighbours", with_far)
+    base, rows = prose(50, 300).split(), [(1, prose(3, 100), "en", "s", 0)]
+    far = base[:15] + prose(51, 40).split() + base[40:]  # shares keys with all that follow, too far from them to be linked
+    rows.append((2, " ".join(far), "en", "s", 0))
+    for k in range(60):
+        own = base.copy()
+        own[5 * k : 5 * k + 2] = f"x{k} y{k}".split()
+        rows.append((100 + k, " ".join(own[:-60] + prose(52, 60).split()), "en", "s", 0))
+    want = near_components(rows, 2, 80)
+    assert want[2] == 2 and want[159] == 100
+    assert {r["doc_id"]: r["component_id"] for r in minhash.near_duplicates(frame(spark, rows), width=2).collect()} == want
+
+
 def test_compact_windows_match_brute_force():
     r = np.random.default_rng(0)
 
