@@ -47,7 +47,6 @@ def validity(entries: DataFrame) -> DataFrame:
 
 def active_at(captures: DataFrame, intervals: DataFrame, url_col: str = "url", at_col: str = "fetched") -> DataFrame:
     """Captures with ``blocked``, ``n_active`` (entries active then) and the longest such pattern with its date."""
-    spark = captures.sparkSession
     listed = checkpoint(intervals.select(F.col("pattern").alias("p_"), F.col("since").alias("s_"), F.col("until").alias("u_")))
     keyed = captures.withColumn("row_", F.monotonically_increasing_id())
     keyed = checkpoint(keyed.withColumn("host", host_of(F.col(url_col))))
@@ -57,7 +56,8 @@ def active_at(captures: DataFrame, intervals: DataFrame, url_col: str = "url", a
         hit = asked.join(F.broadcast(listed), (F.col("name_") == F.col("p_")) & holds)
     else:
         epoch = F.lit("1970-01-01").cast("date")
-        last = F.least("u_", F.date_add(F.greatest("s_", F.lit(spark.sql("select current_date()").first()[0])), 1))
+        latest = asked.agg(F.max(F.col("t_").cast("date"))).first()[0]  # no capture asks for a slot after this one
+        last = F.greatest("s_", F.least("u_", F.coalesce(F.lit(latest).cast("date"), "s_")))
         slots = F.sequence(F.floor(F.datediff("s_", epoch) / SLOT_DAYS), F.floor(F.datediff(last, epoch) / SLOT_DAYS))
         left = asked.withColumn("slot_", F.floor(F.datediff("t_", epoch) / SLOT_DAYS))
         right = listed.withColumn("slot_", F.explode(slots))

@@ -194,6 +194,14 @@ def test_temporal_list(spark, monkeypatch, bound):
     assert urllists.active_at(c, urllists.validity(e.limit(0))).where("blocked").count() == 0 and urllists.active_at(c.limit(0), urllists.validity(e)).count() == 0
 
 
+def test_captures_after_today(spark, monkeypatch):
+    monkeypatch.setattr(urllists, "BROADCAST_ROWS", 0)
+    day = datetime.date.today() + datetime.timedelta(900)
+    e = spark.createDataFrame([("a.org", datetime.date(2024, 1, 1), "add")], "pattern string, at date, action string")
+    c = spark.createDataFrame([(1, "http://a.org/1", day), (2, "http://a.org/1", datetime.date(2023, 1, 1))], "k long, url string, fetched date")
+    assert {r["k"]: r["blocked"] for r in urllists.active_at(c, urllists.validity(e)).collect()} == {1: True, 2: False}
+
+
 def test_pipeline_stages(spark, tmp_path):
     import corpus_pipeline
     from tests.llm.test_rows import toxic_rows
