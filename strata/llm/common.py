@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import ctypes
+import math
 import uuid
 from contextlib import contextmanager
 
@@ -31,6 +32,28 @@ def shared_path(spark: SparkSession, kind: str) -> str:
     return f"{shared_dir(spark).rstrip('/')}/{kind}-{uuid.uuid4().hex}"
 
 
+def remove(spark: SparkSession, *paths: str) -> None:
+    """Deletes folders that nothing reads any more, in whatever store they are."""
+    jvm, conf = spark._jvm, spark._jsc.hadoopConfiguration()
+    for path in paths:
+        at = jvm.org.apache.hadoop.fs.Path(path)
+        at.getFileSystem(conf).delete(at, True)
+
+
+#: Rows that one partition of a compacted checkpoint holds.
+COMPACT_ROWS = 200_000
+
+
+def compact(df: DataFrame) -> tuple[DataFrame, int]:
+    """A checkpoint in as many partitions as its rows need, and their number.
+
+    Loops over few rows would else send them through shuffles of (partitions) x (partitions) near-empty blocks.
+    """
+    out = checkpoint(df)
+    n = out.count()
+    return out.coalesce(max(1, math.ceil(n / COMPACT_ROWS))), n
+
+
 def trim(*caches: dict) -> None:
     """Empties caches and hands freed memory back, so that an idle worker kept for reuse stays small."""
     for c in caches:
@@ -117,7 +140,7 @@ def components(edges: DataFrame) -> DataFrame:
     component's size, every step is joins and sums by key, and each round is checkpointed, so neither
     the driver nor one task ever holds a component.
     """
-    e = checkpoint(edges.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).where("a < b").distinct())
+    e, _ = compact(edges.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).where("a < b").distinct())
     before = None
     while True:
         both = e.select(F.col("b").alias("u"), F.col("a").alias("v")).union(e.select(F.col("a").alias("u"), F.col("b").alias("v")))
@@ -126,8 +149,8 @@ def components(edges: DataFrame) -> DataFrame:
         least = large.groupBy("u").agg(F.min("v").alias("m"))
         small = large.join(least, "u")
         nxt = small.select(F.col("v").alias("b"), F.col("m").alias("a")).where("a < b").union(least.select(F.col("u").alias("b"), F.col("m").alias("a")))
-        e = checkpoint(nxt.select("a", "b").distinct())
-        state = e.agg(F.count("*"), F.sum("a"), F.sum("b"), F.sum(F.hash("a", "b").cast("long"))).first()
+        e, n = compact(nxt.select("a", "b").distinct())
+        state = (n, *e.agg(F.sum("a"), F.sum("b"), F.sum(F.hash("a", "b").cast("long"))).first())
         if state == before:
             break
         before = state

@@ -8,10 +8,14 @@ of both min-hashes. Equal keys of different documents are candidates: their stre
 into intervals, and the intervals are checked on the shingles themselves: stretches of ``SPAN`` shingles that
 share at least ``percent`` of their union are near-duplicate passages.
 
-Plan: documents of equal text are one (the least id stands for all). Keys that repeat in one block of documents
-are folded into one row before the shuffle, so a passage that a third of all documents hold costs few rows of
-one key; after it, each member of a key meets the member before it and the first one, and the first ``SMALL``
-meet each other. Rows grow with the text, never with the square of a passage's documents.
+Plan: documents of equal text are one (the least id stands for all). Rows go by key; the keys that a sample finds in
+many documents go in parts, and the first rows of the parts meet. Each row of a key meets the first and the one before
+it, the first ``SMALL`` meet each other, and these pairs are checked on the texts. So keys of up to ``SMALL`` rows are
+checked whole. In larger ones, all pairs that still join two components, or whose second stretch holds no passage yet that
+a smaller document holds, are compared by sketches in blocks, and checked too unless the sketch excludes them: every two
+documents that share a key are in one component, or proven not to share a passage there. Rows grow with the text, not with
+the square of a passage's documents; the sketches' comparisons grow with a key's rows times those outside its main
+component or still open.
 
 Cases: null, empty and short texts (under 50 words) hold no passage; texts of any length are read whole; rows
 that repeat a doc_id are one document each (all get the class of that id; with different texts the passages are
@@ -28,14 +32,23 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from strata.llm.common import WordHash, binary_array, checkpoint, components, mix64, pieces, shared_path, shingle_hashes, small_batches, table, texts, trim
+from strata.llm.common import WordHash, binary_array, checkpoint, compact, components, mix64, pieces, shared_path, shingle_hashes, small_batches, table, texts, trim
 from strata.llm.minhash import maybe_broadcast
 
 WIDTH = 5
 WORDS = 50
 SPAN = WORDS - WIDTH + 1
-BANDS = 3
+BANDS = 6
 SMALL = 8
+#: One document in so many is looked at to find keys that many hold; rows there that make a key frequent; rows of one
+#: part of such a key; keys that are listed at most.
+SAMPLE, FREQUENT, PART_ROWS, FREQUENT_KEYS = 100, 8, 20_000, 100_000
+#: Requests that go with one copy of a text.
+ASKED = 64
+#: Rows in a block of a key, blocks in a lane, and slots of a stretch's sketch, for pairs that keys do not propose.
+SHARE, LANE, SKETCH = 128, 16, 1024
+CANDIDATE = "kind int, a long, b long, x long, y long"
+PASSAGE = "a long, b long, a_from long, a_to long, b_from long, b_to long"
 WORD = re.compile(rb"[^\x20\x09-\x0D]+")
 
 
@@ -64,12 +77,12 @@ def compact_windows(values: np.ndarray, size: int) -> tuple[np.ndarray, np.ndarr
     opened = sliding(np.concatenate([pad, low, pad]), size, np.maximum)
     at = np.flatnonzero(values == opened)
     v = values[at]
-    before = np.arange(len(at)) - 1
-    while len(move := np.flatnonzero((before >= 0) & (v[before] > v))):
+    every = np.arange(len(at))
+    before, move = every - 1, every  # those that still have to move on
+    while len(move := move[(before[move] >= 0) & (v[before[move]] > v[move])]):
         before[move] = before[before[move]]
-    after = np.append(np.arange(len(at)) + 1, len(at))
-    w = np.append(v, 0)
-    while len(move := np.flatnonzero((after[:-1] < len(at)) & (w[after[:-1]] >= v))):
+    after, move, w = np.append(every + 1, len(at)), every, np.append(v, 0)
+    while len(move := move[(after[move] < len(at)) & (w[after[move]] >= v[move])]):
         after[move] = after[after[move]]
     after = after[:-1]
     left = np.where(before >= 0, at[before] + 1, 0)
@@ -110,7 +123,9 @@ def banded_windows(shingles: list[np.ndarray], size: int = SPAN) -> tuple[np.nda
         i, j = np.searchsorted(b1, begin, "right") - 1, np.searchsorted(b2, begin, "right") - 1
         ok = (i >= 0) & (j >= 0)
         begin, i, j = begin[ok], i[ok], j[ok]
-        lo, hi = np.maximum(l1[i], l2[j]), np.minimum(r1[i], r2[j])
+        # all stretches of ``size`` in the intersection that hold both shingles
+        first, last = np.minimum(c1[i], c2[j]), np.maximum(c1[i], c2[j])
+        lo, hi = np.maximum(np.maximum(l1[i], l2[j]), last - size + 1), np.minimum(np.minimum(r1[i], r2[j]), first + size - 1)
         key = mix64(mix64(whole[c1[i]] + np.uint64(band + 1)) + whole[c2[j]])
         text = np.searchsorted(starts, begin, "right") - 1
         out.append((text, key.view(np.int64), lo - starts[text], hi - starts[text]))
@@ -121,7 +136,7 @@ def banded_windows(shingles: list[np.ndarray], size: int = SPAN) -> tuple[np.nda
 
 
 def window_rows(docs: DataFrame) -> DataFrame:
-    """key, doc, span (from << 32 | to, in shingles), more (binary: doc, span of the block's other rows of that key)."""
+    """key, doc, span (from << 32 | to, in shingles) of every window of (doc_id, text) rows."""
 
     def run(batches):
         words = WordHash()
@@ -129,66 +144,91 @@ def window_rows(docs: DataFrame) -> DataFrame:
             ids = b.column(0).to_numpy()
             shingles = [shingle_hashes(words.of(t.lower().split()), WIDTH) for t in texts(b.column(1))]
             text, key, lo, hi = banded_windows([s if len(s) >= SPAN else s[:0] for s in shingles])
-            if not len(key):
-                continue
-            order = np.argsort(key, kind="stable")
-            key, doc, span = key[order], ids[text[order]], (lo << 32 | hi)[order]
-            head = np.flatnonzero(np.concatenate([[True], key[1:] != key[:-1]]))
-            count = np.diff(np.append(head, len(key)))
-            both = np.stack([doc, span], axis=1)
-            more: list = [None] * len(head)
-            for k in np.flatnonzero(count > 1):
-                more[k] = both[head[k] + 1 : head[k] + count[k]].tobytes()
-            for at in range(0, len(head), 20_000):
-                part = head[at : at + 20_000]
-                yield pa.RecordBatch.from_arrays([pa.array(key[part]), pa.array(doc[part]), pa.array(span[part]), pa.array(more[at : at + 20_000], pa.binary())], names=["key", "doc", "span", "more"])
+            for at in range(0, len(key), 20_000):
+                part = slice(at, at + 20_000)
+                yield pa.RecordBatch.from_arrays([pa.array(key[part]), pa.array(ids[text[part]]), pa.array((lo[part] << 32) | hi[part])], names=["key", "doc", "span"])
         trim(words)
 
-    return docs.mapInArrow(run, "key long, doc long, span long, more binary")
+    return docs.select("doc_id", "text").mapInArrow(run, "key long, doc long, span long")
+
+
+def frequent_keys(docs: DataFrame) -> DataFrame:
+    """key, parts: keys that many documents hold, and into how many parts their rows go.
+
+    They are counted in a hundredth of the documents (by hash of the id). The level rises with the rows, so at most
+    ``FREQUENT_KEYS`` keys are listed, whatever the input's size. They decide where rows go, not what is found.
+    """
+    rows = window_rows(docs.where(F.pmod(F.xxhash64("doc_id"), F.lit(SAMPLE)) == 0))
+    counts, _ = compact(rows.groupBy("key").agg(F.count("*").alias("n")).where(f"n >= {FREQUENT}"))
+    total = counts.agg(F.sum("n")).first()[0] or 0
+    return counts.where(F.col("n") >= max(FREQUENT, -(-total // FREQUENT_KEYS))).select("key", F.ceil(F.col("n") * SAMPLE / PART_ROWS).cast("int").alias("parts"))
+
 
+PAIR, MEMBER, EDGE = 0, 1, 2
+
+
+def candidates(docs: DataFrame) -> DataFrame:
+    """What the keys propose, as rows (kind, a, b, x, y).
+
+    ``PAIR``: documents a < b with the stretches of both that share a key. ``MEMBER``: key, document and stretch of
+    keys with more than ``SMALL`` rows, whose pairs are not all proposed. ``EDGE``: key, document and stretch of the
+    first row of each part of a frequent key.
+    """
+    spark = docs.sparkSession
+    parts = int(spark.conf.get("spark.sql.shuffle.partitions"))
+    rows = window_rows(docs).join(F.broadcast(frequent_keys(docs)), "key", "left")  # at most FREQUENT_KEYS rows
+    rows = rows.select("key", F.when(F.col("parts").isNull(), -1).otherwise(F.pmod(F.xxhash64("doc"), "parts")).cast("long").alias("part"), "doc", "span")
 
-def candidate_pairs(rows: DataFrame) -> DataFrame:
-    """a < b with the stretches of both that share a key (x of a, y of b)."""
-    parts = int(rows.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    def out(kind: int, *cols) -> pa.RecordBatch:
+        cols = [np.ascontiguousarray(c) for c in cols]
+        cols += [np.zeros(len(cols[0]), np.int64)] * (4 - len(cols))
+        return pa.RecordBatch.from_arrays([pa.array(np.full(len(cols[0]), kind, np.int32)), *map(pa.array, cols)], names=["kind", "a", "b", "x", "y"])
 
     def run(batches):
-        tail = np.zeros((0, 3), np.int64)  # key, doc, span of the last rows
+        tail = np.zeros((0, 4), np.int64)  # key, part, doc, span of the last rows
         place_before, pivot = 0, np.zeros(2, np.int64)
         for b in batches:
             if not b.num_rows:
                 continue
-            new = np.stack([b.column(i).to_numpy() for i in range(3)], axis=1)
+            new = np.stack([b.column(i).to_numpy() for i in range(4)], axis=1)
             old = len(tail)
             every = np.concatenate([tail, new])
             index = np.arange(len(new))
-            head = np.concatenate([[old == 0 or new[0, 0] != tail[-1, 0]], new[1:, 0] != new[:-1, 0]])
+            head = np.concatenate([[old == 0 or bool((new[0, :2] != tail[-1, :2]).any())], (new[1:, :2] != new[:-1, :2]).any(axis=1)])
             begin = np.maximum.accumulate(np.where(head, index, -1))
             place = np.where(begin >= 0, index - begin, index + place_before)
-            first = np.where((begin >= 0)[:, None], new[np.maximum(begin, 0), 1:], pivot)
-            left, right = [first[place > 0]], [new[place > 0, 1:]]
+            first = np.where((begin >= 0)[:, None], new[np.maximum(begin, 0), 2:], pivot)
+            left, right = [first[place > 0]], [new[place > 0, 2:]]
             for lag in range(1, SMALL):
                 at = index[(place > lag) & ((place < SMALL) | (lag == 1))]
-                left.append(every[at + old - lag, 1:])
-                right.append(new[at, 1:])
-            more = b.column(3)
-            for k in np.flatnonzero(np.asarray(more.is_valid())):
-                own = np.frombuffer(more[k].as_py(), np.int64).reshape(-1, 2)
-                left += [np.broadcast_to(new[k, 1:], own.shape), np.concatenate([new[k : k + 1, 1:], own[:-1]])[1:]]
-                right += [own, own[1:]]
-                if place[k]:
-                    left.append(np.broadcast_to(first[k], own.shape))
-                    right.append(own)
+                left.append(every[at + old - lag, 2:])
+                right.append(new[at, 2:])
+            split = new[:, 1] >= 0
+            whole = [new[split | (place >= SMALL)]]
+            full = index[(place == SMALL) & ~split]  # the key has more than SMALL rows: the first ones are members too
+            whole += [every[full + old - lag] for lag in range(1, SMALL + 1)]
             place_before, pivot, tail = int(place[-1]) + 1, first[-1], every[-SMALL:]
             x, y = np.concatenate(left), np.concatenate(right)
             swap = x[:, 0] > y[:, 0]
             x[swap], y[swap] = y[swap].copy(), x[swap].copy()
             keep = x[:, 0] < y[:, 0]
-            x, y = x[keep], y[keep]
-            yield pa.RecordBatch.from_arrays([pa.array(x[:, 0].copy()), pa.array(y[:, 0].copy()), pa.array(x[:, 1].copy()), pa.array(y[:, 1].copy())], names=["a", "b", "x", "y"])
+            yield out(PAIR, x[keep, 0], y[keep, 0], x[keep, 1], y[keep, 1])
+            members = np.concatenate(whole)
+            yield out(MEMBER, members[:, 0], members[:, 2], members[:, 3])
+            yield out(EDGE, *new[split & head][:, [0, 2, 3]].T)
         trim()
 
-    dealt = rows.repartition(parts, "key").sortWithinPartitions("key", "doc")
-    return dealt.mapInArrow(run, "a long, b long, x long, y long")
+    dealt = rows.repartition(parts, "key", "part").sortWithinPartitions("key", "part", "doc", "span")
+    at = shared_path(spark, "candidates")
+    dealt.mapInArrow(run, CANDIDATE).write.parquet(at)
+    return spark.read.schema(CANDIDATE).parquet(at)
+
+
+def joined_parts(found: DataFrame) -> DataFrame:
+    """Pairs (a, b, x, y) of the first rows of a key's parts with the first of them all."""
+    ends = found.where(F.col("kind") == EDGE).select(F.col("a").alias("key"), F.struct(F.col("b").alias("doc"), F.col("x").alias("span")).alias("end"))
+    least = ends.groupBy("key").agg(F.min("end").alias("low"), F.count("*").alias("n")).where("n > 1")
+    return least.join(ends, "key").where("low.doc < end.doc").select(F.col("low.doc").alias("a"), F.col("end.doc").alias("b"), F.col("low.span").alias("x"), F.col("end.span").alias("y"))
 
 
 def merged_intervals(pairs: DataFrame) -> DataFrame:
@@ -228,8 +268,7 @@ def similar_stretches(x: np.ndarray, y: np.ndarray, percent: int, size: int = SP
     if len(y) < size or len(x) < size:
         return []
     total = np.concatenate([[0], np.cumsum(hit)])
-    need = -(-2 * size * percent // (100 + percent))
-    starts = np.flatnonzero(total[size:] - total[:-size] >= need)
+    starts = np.flatnonzero(total[size:] - total[:-size] >= least_common(percent, size))
     out: list[list[int]] = []
     shift = np.where(hit, order[np.minimum(at, len(x) - 1)] - np.arange(len(y)), 0)
     for s in starts.tolist():
@@ -253,52 +292,180 @@ def similar_stretches(x: np.ndarray, y: np.ndarray, percent: int, size: int = SP
     return [tuple(o) for o in out]
 
 
-def cut_slices(docs: DataFrame, requests: DataFrame, side: str) -> DataFrame:
-    """The requests with the shingles of document ``side`` from its first to its last wanted position."""
-    lo, hi, name = ("x0", "x1", "sx") if side == "a" else ("y0", "y1", "sy")
-    rest = [c for c in requests.columns if c != side]
-    joined = docs.select(F.col("doc_id").alias(side), "text").join(requests, side).select(side, "text", *rest)
-
-    def run(batches):
-        words = WordHash()
-        last, shingles = None, None
-        for b in pieces(batches, 256):
-            out = []
-            for d, t, p, q in zip(b.column(side).to_pylist(), texts(b.column("text")), b.column(lo).to_pylist(), b.column(hi).to_pylist(), strict=True):
-                if d != last:
-                    last, shingles = d, shingle_hashes(words.of(t.lower().split()), WIDTH)
-                out.append(shingles[p : q + 1].tobytes())
-            yield pa.RecordBatch.from_arrays([b.column(side), *[b.column(c) for c in rest], binary_array(out)], names=[side, *rest, name])
-        trim(words)
+def least_common(percent: int, size: int = SPAN) -> int:
+    """Shingles that two stretches of ``size`` share at least at that similarity."""
+    return -(-2 * size * percent // (100 + percent))
 
-    kinds = {f.name: f.dataType.simpleString() for f in joined.schema.fields}
-    return joined.mapInArrow(run, ", ".join([f"{c} {kinds[c]}" for c in (side, *rest)] + [f"{name} binary"]))
 
+def asked_of(docs: DataFrame, asked: DataFrame, side: str, other: str) -> DataFrame:
+    """side, text, asked (array of structs): each text with what is asked of it, ``ASKED`` requests to a row or so.
 
-def passages(docs: DataFrame, percent: int = 80) -> DataFrame:
-    """Near-duplicate passages of distinct texts: a < b, and for both the first and last word of the stretch."""
+    A document of which much is asked is so many rows; its text is not repeated for each request.
+    """
+    n = asked.groupBy(F.col(side).alias("n_of_")).agg(F.ceil(F.count("*") / ASKED).alias("lanes_"))
+    lanes = asked.join(n, F.col(side) == F.col("n_of_")).withColumn("lane_", F.pmod(F.xxhash64(other, F.lit(3)), "lanes_"))
+    lists = lanes.groupBy(side, "lane_").agg(F.collect_list(F.struct(*[c for c in asked.columns if c != side])).alias("asked"))
+    return docs.select(F.col("doc_id").alias(side), "text").join(lists, side).select(side, "text", "asked")
+
+
+def slices(batches, wanted: list[str], first: str, last: str):
+    """For each text with what is asked of it: its id, the columns of the requests, and the shingles from ``first`` to ``last`` of each."""
+    words = WordHash()
+    for b in pieces(batches, 64):
+        lists = b.column(2)
+        ends = np.concatenate([[0], np.cumsum([len(x) for x in lists])]).tolist()
+        rows = lists.flatten()
+        cols = {c: rows.field(c) for c in wanted}
+        lo, hi = rows.field(first).to_pylist(), rows.field(last).to_pylist()
+        for i, (d, t) in enumerate(zip(b.column(0).to_pylist(), texts(b.column(1)), strict=True)):
+            shingles = shingle_hashes(words.of(t.lower().split()), WIDTH)
+            p, q = ends[i], ends[i + 1]
+            for at in range(p, q, 32):
+                to = min(q, at + 32)
+                yield d, {c: v.slice(at, to - at) for c, v in cols.items()}, [shingles[lo[k] : hi[k] + 1] for k in range(at, to)]
+    trim(words)
+
+
+def verified(docs: DataFrame, pairs: DataFrame, percent: int) -> DataFrame:
+    """Passages (a < b, and the first and last word in both) of the candidate pairs (a, b, x, y). Written as a table."""
     spark = docs.sparkSession
-    pairs = candidate_pairs(window_rows(docs.select("doc_id", "text")))
     with small_batches(spark, 1024):
-        requests = checkpoint(merged_intervals(pairs))
+        requests, _ = compact(merged_intervals(pairs))
+    ask = ["b", "x0", "x1", "y0", "y1"]
+
+    def cut(batches):
+        for d, cols, found in slices(batches, ask, "x0", "x1"):
+            yield pa.RecordBatch.from_arrays([pa.array([d] * len(found), pa.int64()), *[cols[c] for c in ask], binary_array([s.tobytes() for s in found])], names=["a", *ask, "sx"])
+
+    def check(batches):
+        rows: list[tuple] = []
+
+        def flush():
+            cols = list(zip(*rows, strict=True)) or [()] * 6
+            rows.clear()
+            return pa.RecordBatch.from_arrays([pa.array(c, pa.int64()) for c in cols], names=["a", "b", "a_from", "a_to", "b_from", "b_to"])
+
+        for b, cols, found in slices(batches, ["a", "x0", "y0", "sx"], "y0", "y1"):
+            for a, x0, y0, sx, sy in zip(*[cols[c].to_pylist() for c in ("a", "x0", "y0", "sx")], found, strict=True):
+                rows += [(a, b, x0 + p, x0 + q + WIDTH - 1, y0 + r, y0 + s + WIDTH - 1) for p, q, r, s in similar_stretches(np.frombuffer(sx, np.uint64), sy, percent)]
+            if len(rows) > 10_000:
+                yield flush()
+        yield flush()
+
     # requests grow with the corpus, so both joins deal by document; slices of a are sent on to b, not whole texts
-    with_a = cut_slices(docs, requests, "a")
-    joined = cut_slices(docs, with_a, "b")
+    with small_batches(spark, 64):
+        with_a = asked_of(docs, requests, "a", "b").mapInArrow(cut, "a long, b long, x0 long, x1 long, y0 long, y1 long, sx binary")
+        at = shared_path(spark, "passages")
+        asked_of(docs, with_a.drop("x1"), "b", "a").mapInArrow(check, PASSAGE).write.parquet(at)
+    return spark.read.schema(PASSAGE).parquet(at)
+
+
+def member_sketches(docs: DataFrame, members: DataFrame) -> DataFrame:
+    """The members (doc, span and others) with n (distinct shingles of the stretch), twice (its others) and sketch."""
+    asked = members.withColumn("lo", F.shiftright("span", 32)).withColumn("hi", F.col("span").bitwiseAND(F.lit(0xFFFFFFFF)))
+    kept = [c for c in members.columns if c != "doc"]
+    kinds = {f.name: f.dataType.simpleString() for f in members.schema.fields}
 
     def run(batches):
-        for batch in pieces(batches, 1024):
-            out = []
-            cols = [batch.column(c).to_pylist() for c in ("a", "b", "x0", "y0", "sx", "sy")]
-            for a, b, x0, y0, sx, sy in zip(*cols, strict=True):
-                for p, q, r, s in similar_stretches(np.frombuffer(sx, np.uint64), np.frombuffer(sy, np.uint64), percent):
-                    out.append((a, b, x0 + p, x0 + q + WIDTH - 1, y0 + r, y0 + s + WIDTH - 1))
-            rows = list(zip(*out, strict=True)) or [()] * 6
-            yield pa.RecordBatch.from_arrays([pa.array(c, pa.int64()) for c in rows], names=["a", "b", "a_from", "a_to", "b_from", "b_to"])
+        for d, cols, found in slices(batches, kept, "lo", "hi"):
+            sketch, n = [], []
+            for s in found:
+                own = np.unique(s)
+                bits = np.zeros(SKETCH, np.uint8)
+                bits[(mix64(own) % np.uint64(SKETCH)).astype(np.int64)] = 1
+                sketch.append(np.packbits(bits).tobytes())
+                n.append(len(own))
+            twice = [len(s) - k for s, k in zip(found, n, strict=True)]
+            yield pa.RecordBatch.from_arrays([pa.array([d] * len(n), pa.int64()), *[cols[c] for c in kept], pa.array(n, pa.int64()), pa.array(twice, pa.int64()), binary_array(sketch)], names=["doc", *kept, "n", "twice", "sketch"])
+
+    with small_batches(docs.sparkSession, 64):
+        joined = asked_of(docs, asked, "doc", "span").mapInArrow(run, ", ".join(["doc long", *[f"{c} {kinds[c]}" for c in kept], "n long, twice long, sketch binary"]))
+        return checkpoint(joined)
+
+
+def open_pairs(docs: DataFrame, members: DataFrame, found: DataFrame, roots: DataFrame, percent: int) -> DataFrame:
+    """Pairs (a < b, x, y, open) of one key that were not proposed and still matter, as far as sketches allow.
+
+    They matter where the documents are in two components, or where b's stretch holds no passage yet that a smaller
+    document holds (``open``). Documents of a key's main component without open stretches meet only the others, so a
+    passage that all its documents are known to share costs nothing. Two stretches of which one has too many shingles
+    in slots that the other leaves empty cannot share ``percent``; such pairs are left out, and no others.
+    """
+    spark = docs.sparkSession
+    lo, hi = F.shiftright("span", 32), F.col("span").bitwiseAND(F.lit(0xFFFFFFFF))
+    known = repeated_spans(found).select(F.col("doc_id").alias("doc"), "spans")
+    held = F.exists("spans", lambda s: F.least(s["hi"] - (WIDTH - 1), hi) - F.greatest(s["lo"], lo) + 1 >= SPAN)
+    rows = members.join(roots.select(F.col("node").alias("doc"), "root"), "doc", "left").join(known, "doc", "left")
+    rows = checkpoint(rows.select("key", "doc", "span", F.coalesce("root", "doc").alias("root"), (~F.coalesce(held, F.lit(False))).alias("open")))
+    per_root = rows.groupBy("key", "root").agg(F.count("*").alias("c"), F.min("doc").alias("low"), F.sum(F.col("open").cast("int")).alias("o"))
+    keys = per_root.groupBy("key").agg(F.sum("c").alias("held"), F.count("*").alias("roots"), F.min("low").alias("low"), F.sum("o").alias("o"), F.max(F.struct("c", "root")).getField("root").alias("main"))
+    keys = keys.where("roots > 1 or o > 1").select("key", "main", "low", F.ceil(F.col("held") / SHARE).alias("shares"))
+    mixed = rows.join(keys, "key").withColumn("open", F.col("open") & (F.col("doc") != F.col("low"))).withColumn("out", (F.col("root") != F.col("main")) | F.col("open"))
+    mixed = mixed.withColumn("share", F.pmod(F.xxhash64("doc"), "shares")).select("doc", "key", "span", "root", "open", "out", "share", "shares")
+    mixed = member_sketches(docs, mixed)
+    cols = ["doc", "span", "root", "open", "n", "twice", "sketch"]
+    blocks = checkpoint(mixed.groupBy("key", "out", "share").agg(*[F.collect_list(c).alias(c) for c in cols], F.first("shares").alias("shares")))
+    lanes = F.explode(F.sequence(F.lit(0), F.floor((F.col("shares") - 1) / LANE).cast("int"))).alias("lane")
+    one = blocks.where("out").select("key", F.col("share").alias("at"), lanes, *[F.col(c).alias(f"{c}_") for c in cols])
+    met = one.join(blocks.withColumn("lane", F.floor(F.col("share") / LANE).cast("int")), ["key", "lane"]).where("not out or at <= share").select(*[f"{c}_" for c in cols], *cols)
+    need = least_common(percent)
+
+    def run(batches):
+        for batch in pieces(batches, 64):
+            found_ = []
+            for i in range(batch.num_rows):
+                x, y = ([batch.column(k + at)[i].values for k in range(7)] for at in (0, 7))
+                (dx, sx, rx, ox, nx, tx), (dy, sy, ry, oy, ny, ty) = ([c.to_numpy(zero_copy_only=False) for c in z[:6]] for z in (x, y))
+                bx, by = (np.frombuffer(b"".join(z[6].to_pylist()), np.uint64).reshape(-1, SKETCH // 64) for z in (x, y))
+                less = dx[:, None] < dy[None, :]
+                opens = np.where(less, oy[None, :], ox[:, None])
+                p, q = np.nonzero((dx[:, None] != dy[None, :]) & ((rx[:, None] != ry[None, :]) | opens))
+                for at in range(0, len(p), 8192):
+                    u, v = p[at : at + 8192], q[at : at + 8192]
+                    lacks = np.bitwise_count(bx[u] & ~by[v]).sum(axis=1, dtype=np.int64)
+                    more = np.bitwise_count(by[v] & ~bx[u]).sum(axis=1, dtype=np.int64)
+                    ok = np.minimum(nx[u] - lacks, ny[v] - more) >= need - np.maximum(tx[u], ty[v])
+                    u, v = u[ok], v[ok]
+                    low = less[u, v]
+                    found_.append((np.where(low, dx[u], dy[v]), np.where(low, dy[v], dx[u]), np.where(low, sx[u], sy[v]), np.where(low, sy[v], sx[u]), opens[u, v]))
+            if found_:
+                yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(c)) for c in zip(*found_, strict=True)], names=["a", "b", "x", "y", "open"])
+        trim()
+
+    with small_batches(spark, 16):  # a row holds two blocks
+        return compact(met.mapInArrow(run, "a long, b long, x long, y long, open boolean").distinct())[0]
 
-    at = shared_path(spark, "passages")
-    with small_batches(spark, 256):
-        joined.mapInArrow(run, "a long, b long, a_from long, a_to long, b_from long, b_to long").write.parquet(at)
-    return spark.read.schema("a long, b long, a_from long, a_to long, b_from long, b_to long").parquet(at)
+
+def passages(docs: DataFrame, percent: int = 80) -> DataFrame:
+    """Near-duplicate passages of distinct texts: a < b, and for both the first and last word of the stretch."""
+    spark = docs.sparkSession
+    proposed = candidates(docs)
+    pairs = proposed.where(F.col("kind") == PAIR).select("a", "b", "x", "y")
+    found = verified(docs, pairs.union(joined_parts(proposed)), percent)
+    members = proposed.where(F.col("kind") == MEMBER).select(F.col("a").alias("key"), F.col("b").alias("doc"), F.col("x").alias("span")).distinct()
+    roots, _ = compact(components(found.select("a", "b")))
+    left = open_pairs(docs, members, found, roots, percent)
+    # first one pair for each open stretch and each two components, then all that still matter
+    for last in (False, True):
+        here, there = (roots.select(F.col("node").alias(c), F.col("root").alias(f"r{c}")) for c in "ab")
+        left = left.join(here, "a", "left").join(there, "b", "left").withColumn("ra", F.coalesce("ra", "a")).withColumn("rb", F.coalesce("rb", "b"))
+        if last:
+            done = repeated_spans(found).select(F.col("doc_id").alias("b"), "spans")
+            hi, lo = F.col("y").bitwiseAND(F.lit(0xFFFFFFFF)), F.shiftright("y", 32)
+            still = F.col("open") & ~F.coalesce(F.exists("spans", lambda s: F.least(s["hi"] - (WIDTH - 1), hi) - F.greatest(s["lo"], lo) + 1 >= SPAN), F.lit(False))
+            left = left.join(done, "b", "left").where((F.col("ra") != F.col("rb")) | still)
+            chosen = left.select("a", "b", "x", "y")
+        else:
+            pick = F.min(F.struct("a", "b", "x", "y")).alias("m")
+            chosen = left.where("open").groupBy("b", "y").agg(pick).select("m.*").union(left.where("ra <> rb").groupBy(F.least("ra", "rb"), F.greatest("ra", "rb")).agg(pick).select("m.*")).distinct()
+        chosen, n = compact(chosen)
+        if not n:
+            break
+        found = found.union(verified(docs, chosen, percent))
+        if not last:
+            roots, _ = compact(components(found.select("a", "b")))
+            left = left.select("a", "b", "x", "y", "open").join(chosen, ["a", "b", "x", "y"], "left_anti")
+    return found
 
 
 def first_of_texts(docs: DataFrame) -> DataFrame:
@@ -329,17 +496,15 @@ def repeated_spans(found: DataFrame) -> DataFrame:
 
 
 def passage_classes(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", percent: int = 80) -> DataFrame:
-    """doc_id, component_id (least id reachable over shared passages and equal texts), n_links (documents of other
-    text found to share a passage, as partner of a checked pair), n_passages and n_repeated_words (held by a
-    document of smaller id; for a copy of a text all passages of at least 50 words, that is its whole text)."""
+    """doc_id, n_words, component_id (least id reachable over shared passages and equal texts of at least 50 words),
+    n_linked (other rows of that component), n_passages and n_repeated_words (held by a document of smaller id; for a
+    copy of a text its whole text, if that has at least 50 words)."""
     docs = df.select(F.col(f"`{id_col}`").cast("long").alias("doc_id"), F.col(f"`{text_col}`").alias("text"))
     copies = first_of_texts(docs)
     found = passages(distinct_texts(docs, copies), percent)
     n_words = F.size(F.array_remove(F.split(F.coalesce("text", F.lit("")), r"[\x20\x09-\x0D]+"), "")).cast("long")
     counted = docs.select("doc_id", n_words.alias("n_words"))
-    ends = found.select("a", "b").distinct()
-    links = ends.select(F.col("a").alias("doc_id"), "b").union(ends.select(F.col("b").alias("doc_id"), "a")).groupBy("doc_id").agg(F.count("*").alias("n_links"))
-    roots = components(ends).groupBy("node").agg(F.min("root").alias("root"))
+    roots = components(found.select("a", "b"))
     # merged lengths of spans that may overlap, without leaving the JVM
     sorted_spans = F.sort_array("spans")
     merged = F.aggregate(
@@ -352,17 +517,18 @@ def passage_classes(df: DataFrame, id_col: str = "doc_id", text_col: str = "text
     repeats = repeated_spans(found).select("doc_id", merged.alias("m")).select("doc_id", F.col("m.words").alias("repeated"), F.col("m.runs").alias("passages"))
     first = copies.withColumnRenamed("first_id", "class_id")
     out = counted.join(first, "doc_id", "left").withColumn("class_id", F.coalesce("class_id", "doc_id"))
-    out = out.join(roots.withColumnRenamed("node", "class_id"), "class_id", "left").join(links.withColumnRenamed("doc_id", "class_id"), "class_id", "left")
-    out = out.join(repeats, "doc_id", "left")
+    out = out.join(roots.withColumnRenamed("node", "class_id"), "class_id", "left").join(repeats, "doc_id", "left")
     copy = (F.col("doc_id") != F.col("class_id")) & (F.col("n_words") >= WORDS)
     # a copy of a text under 50 words shares no passage, so it stays a class of its own
     short = F.col("n_words") < WORDS
-    return out.select(
+    rows = out.select(
         "doc_id", "n_words", F.when(short, F.col("doc_id")).otherwise(F.coalesce("root", "class_id")).alias("component_id"),
-        F.coalesce("n_links", F.lit(0)).cast("long").alias("n_links"),
         F.when(copy, 1).otherwise(F.coalesce("passages", F.lit(0))).cast("long").alias("n_passages"),
         F.when(copy, F.col("n_words")).otherwise(F.coalesce("repeated", F.lit(0))).cast("long").alias("n_repeated_words"),
     )
+    rows = checkpoint(rows)
+    sizes = rows.where("component_id is not null").groupBy("component_id").agg(F.count("*").alias("n")).where("n > 1")
+    return rows.join(sizes, "component_id", "left").select("doc_id", "n_words", "component_id", (F.coalesce("n", F.lit(1)) - 1).cast("long").alias("n_linked"), "n_passages", "n_repeated_words")
 
 
 def cut_passages(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", percent: int = 80) -> DataFrame:

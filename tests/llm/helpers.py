@@ -92,3 +92,32 @@ def shared_passages(rows, n):
         s = sorted(x for x in s if x is not None)
         links |= {(s[0], x) for x in s[1:]}
     return links
+
+
+def near_passages(rows, words_, width, percent):
+    """Pairs of documents with two stretches of that many words whose sets of shingles are near-equal: all windows against all."""
+    size, sets = words_ - width + 1, {}
+    for i, t, *_ in rows:
+        w = (t or "").encode().lower().split()
+        sh = [tuple(w[k : k + width]) for k in range(len(w) - width + 1)]
+        if i is not None and len(sh) >= size:
+            sets[i] = [frozenset(sh[k : k + size]) for k in range(len(sh) - size + 1)]
+    links, ids = set(), sorted(sets)
+    for k, a in enumerate(ids):
+        for b in ids[k + 1 :]:
+            if any(100 * len(x & y) >= percent * len(x | y) for x in sets[a] for y in sets[b] if not x.isdisjoint(y)):
+                links.add((a, b))
+    return links
+
+
+def hub_rows(n: int, hub_id: int, words_: int = 300, changed: int = 15, seed: int = 7):
+    """A hub and n texts that are each near it, and not near each other (2-word shingles, 0.8)."""
+    r = random.Random(seed)
+    hub = [f"h{k}" for k in range(words_)]
+    rows = [(hub_id, " ".join(hub), "en", "s", 0)]
+    for k in range(n):
+        own = hub.copy()
+        for p in r.sample(range(0, words_, 2), changed):
+            own[p] = f"x{k}y{p}"
+        rows.append((1000 + k, " ".join(own), "en", "s", 0))
+    return rows

@@ -11,7 +11,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from strata.llm import chroma, common, minhash, urllists, windows
-from tests.llm.helpers import SCHEMA, clashing, documents, frame, near_components, prose, shared_passages, shingles
+from tests.llm.helpers import SCHEMA, clashing, documents, frame, hub_rows, near_components, near_passages, prose, shared_passages, shingles
 
 
 def test_components(spark):
@@ -55,6 +55,16 @@ def test_near_duplicates(spark, width):
     assert minhash.near_duplicates(frame(spark, [])).count() == 0
 
 
+@pytest.mark.parametrize("hub_id,n,parts", [(1, 300, 1), (1150, 300, 8), (9000, 300, 3), (9000, 20, 8)])
+def test_hub(spark, hub_id, n, parts):
+    """All are linked through the hub alone, whichever id it has and however rows lie."""
+    rows = [r for r in hub_rows(n, hub_id) if r[0] != hub_id or r[1].startswith("h0 h1 h2")]
+    if hub_id == 1150:
+        rows = [(5000, *r[1:]) if r[0] == 1150 and k else r for k, r in enumerate(rows)]
+    got = minhash.near_duplicates(frame(spark, rows).repartition(parts), width=2).collect()
+    assert len(got) == n + 1 and {r["component_id"] for r in got} == {min(r[0] for r in rows)}
+
+
 def test_key_over_many_partitions(spark):
     rows = [(k, 7, k * 7919 % 1000) for k in range(3000)] + [(k, 9, 0) for k in (1, 2)]
     banded = spark.createDataFrame(rows, "node long, key long, next long").repartition(8)
@@ -119,7 +129,7 @@ def test_passages(spark):
     assert len(got) == len(rows)
     for a, b in shared_passages(rows, windows.WORDS):
         assert got[a]["component_id"] == got[b]["component_id"]
-    assert got[400]["component_id"] == 4 and got[401]["component_id"] == 401 and got[401]["n_links"] == 0
+    assert got[400]["component_id"] == 4 and got[401]["component_id"] == 401 and got[401]["n_linked"] == 0
     assert all(got[300 + k]["n_repeated_words"] >= 70 for k in range(30)) and got[4]["n_repeated_words"] == 0
     for i in (6, 7, 8, 9, 10, 11):
         assert got[i]["component_id"] == i and got[i]["n_repeated_words"] == 0
@@ -127,6 +137,51 @@ def test_passages(spark):
     assert windows.passage_classes(frame(spark, [])).count() == 0
 
 
+def passage_hub(n, hub_id, seed=3):
+    """A passage of 75 words and n texts with some of its words changed: each is near the hub's, none near another's."""
+    import random
+
+    r = random.Random(seed)
+    hub = [f"h{k}" for k in range(75)]
+    rows = [(hub_id, " ".join(hub), "en", "s", 0)]
+    for k in range(n):
+        own = hub.copy()
+        for p in r.sample(range(6, 69), 2):
+            own[p] = f"x{k}y{p}"
+        rows.append((1000 + k, f"{prose(5000 + k, 12)} {' '.join(own)}", "en", "s", 0))
+    return rows
+
+
+@pytest.mark.parametrize("hub_id,n,parts", [(1, 60, 1), (1030, 60, 8), (9000, 60, 3), (9000, 20, 8)])
+def test_passage_hub(spark, hub_id, n, parts):
+    """Held against all windows of all pairs, whichever id the hub has and however rows lie."""
+    rows = passage_hub(n, hub_id)
+    if hub_id == 1030:
+        rows = [(5000, *r[1:]) if r[0] == 1030 and k else r for k, r in enumerate(rows)]
+    from tests.llm.helpers import components
+
+    links = near_passages(rows, windows.WORDS, windows.WIDTH, 80)
+    want = components([r[0] for r in rows], links)
+    got = {r["doc_id"]: r for r in windows.passage_classes(frame(spark, rows).repartition(parts)).collect()}
+    assert {i: r["component_id"] for i, r in got.items()} == want
+    later = {b for _, b in links}
+    assert {i for i, r in got.items() if r["n_repeated_words"]} == later
+    assert all(r["n_linked"] == sum(v == want[i] for v in want.values()) - 1 for i, r in got.items())
+
+
+def test_frequent_keys(spark, monkeypatch):
+    """A passage of many documents, whose rows go in parts."""
+    monkeypatch.setattr(windows, "SAMPLE", 1)
+    monkeypatch.setattr(windows, "PART_ROWS", 10)
+    shared = prose(2, 70)
+    rows = [(k, f"{prose(300 + k, 20)} {shared} {prose(900 + k, 15)}", "en", "s", 0) for k in range(80)]
+    got = windows.passage_classes(frame(spark, rows)).collect()
+    assert {(r["component_id"], r["n_linked"]) for r in got} == {(0, 79)}
+    assert all(r["n_repeated_words"] >= 70 for r in got if r["doc_id"])
+    proposed = windows.candidates(frame(spark, rows))
+    assert proposed.where(F.col("kind") == windows.EDGE).count() > 0 and windows.joined_parts(proposed).count() > 0
+
+
 def test_cut_passages(spark):
     rows = passage_rows()
     df = clashing(frame(spark, rows))
