@@ -29,15 +29,16 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from strata.llm.common import WordHash, binary_array, checkpoint, components, mix64, pieces, shared_path, shingle_hashes, small_batches, table, texts, trim
+from strata.llm.common import WordHash, binary_array, checkpoint, compact, components, mix64, pieces, remove, shared_path, shingle_hashes, small_batches, table, texts, trim
 
 CIRCLE = 1 << 20
 ROWS = 8
 BANDS = 64
 SMALL = 8
 LAGS = 2
-#: Classes in a block of a key, and slots of a set's sketch, for the pairs that were no neighbours.
+#: Classes in a block of a key, blocks in a lane, and slots of a set's sketch, for the pairs that were no neighbours.
 SHARE = 128
+LANE = 16
 SKETCH = 1024
 #: A list of ids is broadcast only up to this many rows (16 bytes each); beyond it the join shuffles.
 BROADCAST_ROWS = 250_000
@@ -227,9 +228,12 @@ def unproposed(members: DataFrame, sets: DataFrame, pairs: DataFrame, percent: i
     mixed = members.join(keys.select("key", "main", F.ceil(F.col("held") / SHARE).alias("shares")), "key").withColumn("out", F.col("root") != F.col("main"))
     mixed = mixed.join(set_sketches(sets), "node").withColumn("share", F.pmod(F.xxhash64("node"), "shares"))
     lists = [F.collect_list(c).alias(f"{c}s") for c in ("node", "root", "n")]
-    blocks = checkpoint(mixed.groupBy("key", "out", "share").agg(*lists, F.collect_list("sketch").alias("sketches")))
-    one = blocks.where("out").select("key", F.col("share").alias("at"), *[F.col(c).alias(f"{c}_") for c in ("nodes", "roots", "ns", "sketches")])
-    met = one.join(blocks, "key").where("not out or at <= share").select("nodes_", "roots_", "ns_", "sketches_", "nodes", "roots", "ns", "sketches")
+    blocks = checkpoint(mixed.groupBy("key", "out", "share").agg(*lists, F.collect_list("sketch").alias("sketches"), F.first("shares").alias("shares")))
+    # the blocks of a key are dealt to lanes of ``LANE``, and its outer blocks go to every lane: a large key is many tasks
+    lane = F.floor(F.col("share") / LANE).cast("int")
+    cols = ("nodes", "roots", "ns", "sketches")
+    one = blocks.where("out").select("key", F.col("share").alias("at"), F.explode(F.sequence(F.lit(0), F.floor((F.col("shares") - 1) / LANE).cast("int"))).alias("lane"), *[F.col(c).alias(f"{c}_") for c in cols])
+    met = one.join(blocks.withColumn("lane", lane), ["key", "lane"]).where("not out or at <= share").select(*[f"{c}_" for c in cols], *cols)
 
     def run(batches):
         for batch in pieces(batches, 64):
@@ -252,7 +256,7 @@ def unproposed(members: DataFrame, sets: DataFrame, pairs: DataFrame, percent: i
         trim()
 
     with small_batches(members.sparkSession, 64):  # a row holds two blocks
-        found = checkpoint(met.mapInArrow(run, "a long, b long").groupBy("a", "b").agg(F.count("*").alias("bands")))
+        found, _ = compact(met.mapInArrow(run, "a long, b long").groupBy("a", "b").agg(F.count("*").alias("bands")))
     return found.join(pairs.select("a", "b"), ["a", "b"], "left_anti")
 
 
@@ -280,7 +284,7 @@ def link_rounds(pairs: DataFrame, sets: DataFrame, percent: int, roots: DataFram
             left = left.join(here, "a", "left").join(there, "b", "left").select("a", "b", "bands", F.coalesce("ra", "a").alias("ra"), F.coalesce("rb", "b").alias("rb")).where("ra <> rb")
         else:
             left = left.select("a", "b", "bands", F.col("a").alias("ra"), F.col("b").alias("rb"))
-        left = checkpoint(left)
+        left, _ = compact(left)
         if turn < PICKING_ROUNDS:
             both = left.select(F.col("ra").alias("r"), "bands", "a", "b").union(left.select(F.col("rb").alias("r"), "bands", "a", "b"))
             half = F.xxhash64("a", "b", F.lit(turn)) % 2 == 0
@@ -288,14 +292,13 @@ def link_rounds(pairs: DataFrame, sets: DataFrame, percent: int, roots: DataFram
             chosen = both.groupBy("r").agg(*best).select(F.explode(F.array("m0", "m1")).alias("m")).where("m is not null").select("m.a", "m.b").distinct()
         else:
             chosen = left.select("a", "b")
-        chosen = checkpoint(chosen)
-        n = chosen.count()
+        chosen, n = compact(chosen)
         if n == 0:
             break
         with small_batches(spark, 256):  # a row holds two sets
-            good = checkpoint(checked(chosen, n, sets, percent))
+            good, _ = compact(checked(chosen, n, sets, percent))
         links = good if links is None else links.union(good)
-        roots = checkpoint(components(links))
+        roots, _ = compact(components(links))
         if turn >= PICKING_ROUNDS:
             break
         left = left.join(chosen, ["a", "b"], "left_anti").select("a", "b", "bands")
@@ -316,9 +319,8 @@ def near_duplicates(df: DataFrame, id_col: str = "doc_id", text_col: str = "text
     known = seen.where("doc_id is not null and h1 is not null")
     known.groupBy("h1", "h2").agg(F.min("doc_id").alias("node"), F.first("keys").alias("keys"), F.first("n_shingles").alias("n")).write.parquet(f"{at}/classes")
     classes = spark.read.parquet(f"{at}/classes")
-    pairs = checkpoint(neighbours(explode_keys(classes)))
-    need = checkpoint(pairs.select(F.col("a").alias("node")).union(pairs.select(F.col("b").alias("node"))).distinct())
-    n = need.count()
+    pairs, _ = compact(neighbours(explode_keys(classes)))
+    need, n = compact(pairs.select(F.col("a").alias("node")).union(pairs.select(F.col("b").alias("node"))).distinct())
     # equal rows can repeat an id: one of them gives the set
     wanted = docs.withColumnRenamed("doc_id", "node").join(maybe_broadcast(need, n), "node", "left_semi")
     with small_batches(spark, 1024):
@@ -336,14 +338,16 @@ def near_duplicates(df: DataFrame, id_col: str = "doc_id", text_col: str = "text
     counts = seen.select("doc_id", "n_shingles", "h1", "h2")
     linked = counts.where("doc_id is not null and h1 is not null").join(by_class, ["h1", "h2"]).select("doc_id", "n_shingles", "component_id")
     alone = counts.where("doc_id is null or h1 is null").select("doc_id", "n_shingles", F.col("doc_id").alias("component_id"))
-    return linked.union(alone)
+    linked.union(alone).write.parquet(f"{at}/result")
+    remove(spark, *[f"{at}/{x}" for x in ("sketches", "classes", "sets")])
+    return spark.read.schema("doc_id long, n_shingles long, component_id long").parquet(f"{at}/result")
 
 
 def drop_near_duplicates(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", width: int = 5, percent: int = 80) -> DataFrame:
     """One document of each component, the one of least id; documents that are linked with nothing stay."""
     found = near_duplicates(df, id_col, text_col, width, percent)
-    others = found.where("doc_id <> component_id").select(F.col("doc_id").alias(id_col)).distinct()
-    return df.join(others, id_col, "left_anti").select(df.columns)
+    others = found.where("doc_id <> component_id").select(F.col("doc_id").alias("gone_")).distinct()
+    return df.join(others, F.col(f"`{id_col}`").cast("long") == F.col("gone_"), "left_anti")
 
 
 def op10_circulant_minhash(spark, sf_dir: str) -> DataFrame:
