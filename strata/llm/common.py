@@ -9,6 +9,7 @@ from contextlib import contextmanager
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute  # noqa: F401  used as pa.compute
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -77,25 +78,6 @@ def small_batches(spark: SparkSession, rows: int):
         spark.conf.set(name, before)
 
 
-class WordHash(dict):
-    """Word (bytes) to a 64-bit hash; remembers at most ``limit`` words, which bounds its memory."""
-
-    def __init__(self, limit: int = 150_000):
-        super().__init__()
-        self.limit = limit
-
-    def __missing__(self, word: bytes) -> int:
-        import xxhash
-
-        if len(self) >= self.limit:
-            self.clear()
-        h = self[word] = xxhash.xxh3_64_intdigest(word)
-        return h
-
-    def of(self, words: list[bytes]) -> np.ndarray:
-        return np.fromiter(map(self.__getitem__, words), dtype=np.uint64, count=len(words))
-
-
 def mix64(x: np.ndarray) -> np.ndarray:
     """A bijection on 64-bit integers that spreads every input bit."""
     x = x ^ (x >> np.uint64(31))
@@ -117,6 +99,59 @@ def shingle_hashes(words: np.ndarray, width: int) -> np.ndarray:
     return out
 
 
+#: Bytes that end a word, and a random 64-bit value of each byte; A-Z have those of a-z.
+_SPACES = np.isin(np.arange(256), [9, 10, 11, 12, 13, 32])
+_VALUES = np.random.default_rng(29).integers(1, 1 << 63, 256, dtype=np.uint64) * np.uint64(2) + np.uint64(1)
+_VALUES[65:91] = _VALUES[97:123]
+_VALUES[_SPACES] = 0
+_BASE = 0x9E3779B97F4A7C15
+
+
+def word_hashes(column: pa.Array) -> tuple[np.ndarray, np.ndarray]:
+    """64-bit hashes of the lower-cased (A-Z) words of all texts of a column, and where each text's begin (one more at the end).
+
+    A word's hash is the sum of its bytes' values times powers of ``_BASE``, mixed. All texts are hashed in one pass;
+    null is empty.
+    """
+    arr = column.cast(pa.large_binary())
+    if arr.null_count:
+        arr = arr.fill_null(b"")
+    offsets = np.frombuffer(arr.buffers()[1], np.int64)[arr.offset : arr.offset + len(arr) + 1]
+    if not len(arr) or offsets[-1] == offsets[0]:
+        return np.zeros(0, np.uint64), np.zeros(len(arr) + 1, np.int64)
+    data = np.frombuffer(arr.buffers()[2], np.uint8)[offsets[0] : offsets[-1]]
+    offsets = offsets - offsets[0]
+    letter = ~_SPACES[data]
+    opens = letter.copy()
+    opens[1:] &= ~letter[:-1]
+    edges = offsets[:-1][np.diff(offsets) > 0]
+    opens[edges] = letter[edges]
+    begin = np.flatnonzero(opens)
+    if not len(begin):
+        return np.zeros(0, np.uint64), np.zeros(len(arr) + 1, np.int64)
+    place = np.arange(begin[0], len(data)) - np.repeat(begin, np.diff(np.append(begin, len(data))))
+    powers = np.cumprod(np.full(int(place.max()) + 1, _BASE, np.uint64))
+    sums = np.add.reduceat(_VALUES[data[begin[0] :]] * powers[place], begin - begin[0])
+    return mix64(sums), np.searchsorted(begin, offsets)
+
+
+def text_shingles(column: pa.Array, width: int, limit: int = 4 << 20) -> list[np.ndarray]:
+    """Shingle hashes of each text of a column, in order (``shingle_hashes`` of its words).
+
+    Texts are hashed together, up to ``limit`` bytes at a time, as the temporary arrays are 30 times as large.
+    """
+    size = np.cumsum(np.nan_to_num(pa.compute.binary_length(column.cast(pa.large_binary())).to_numpy(zero_copy_only=False).astype(float)))
+    out: list[np.ndarray] = []
+    while len(out) < len(column):
+        at = len(out)
+        to = max(at + 1, int(np.searchsorted(size, (size[at - 1] if at else 0) + limit, "right")))
+        words, first = word_hashes(column.slice(at, to - at))
+        whole = shingle_hashes(words, width) if len(words) >= width else words[:0]
+        for p, q in zip(first[:-1].tolist(), first[1:].tolist(), strict=True):
+            out.append(whole[p : q - width + 1] if q - p >= width else shingle_hashes(words[p:q], width))
+    return out
+
+
 def texts(column: pa.Array) -> list[bytes]:
     """UTF-8 bytes of each text; null is empty."""
     return [b"" if v is None else v for v in column.cast(pa.binary()).to_pylist()]

@@ -29,7 +29,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from strata.llm.common import WordHash, binary_array, checkpoint, compact, components, mix64, pieces, remove, shared_path, shingle_hashes, small_batches, table, texts, trim
+from strata.llm.common import binary_array, checkpoint, compact, components, mix64, pieces, remove, shared_path, small_batches, table, text_shingles, trim
 
 CIRCLE = 1 << 20
 ROWS = 8
@@ -71,22 +71,16 @@ def band_keys(signatures: np.ndarray) -> np.ndarray:
     return keys
 
 
-def shingle_set(text: bytes, width: int, words: WordHash) -> np.ndarray:
-    """Distinct shingle hashes of a text, sorted; A-Z are lower-cased."""
-    return np.unique(shingle_hashes(words.of(text.lower().split()), width))
-
-
 def sketches(df: DataFrame, width: int) -> DataFrame:
     """doc_id, n_shingles, h1, h2 (hash of the set; null for an empty set), keys (binary: one long per band)."""
 
     def run(batches):
         import xxhash
 
-        ranks, words = rank_table(), WordHash()
+        ranks = rank_table()
         for b in pieces(batches):
             n, h1, h2, rows, sigs = [], [], [], [], []
-            for i, t in enumerate(texts(b.column(1))):
-                s = shingle_set(t, width, words)
+            for i, s in enumerate(map(np.unique, text_shingles(b.column(1), width))):
                 n.append(len(s))
                 if not len(s):
                     h1.append(None)
@@ -102,7 +96,7 @@ def sketches(df: DataFrame, width: int) -> DataFrame:
                 for i, k in zip(rows, band_keys(np.stack(sigs)), strict=True):
                     keys[i] = k.tobytes()
             yield pa.RecordBatch.from_arrays([b.column(0), pa.array(n, pa.int64()), pa.array(h1, pa.int64()), pa.array(h2, pa.int64()), binary_array(keys)], names=["doc_id", "n_shingles", "h1", "h2", "keys"])
-        trim(words)
+        trim()
 
     return df.mapInArrow(run, "doc_id long, n_shingles long, h1 long, h2 long, keys binary")
 
@@ -264,10 +258,9 @@ def set_rows(docs: DataFrame, width: int) -> DataFrame:
     """node, shingles (binary, sorted longs) of the given (node, text) rows."""
 
     def run(batches):
-        words = WordHash()
         for b in pieces(batches):
-            yield pa.RecordBatch.from_arrays([b.column(0), binary_array([shingle_set(t, width, words).tobytes() for t in texts(b.column(1))])], names=["node", "shingles"])
-        trim(words)
+            yield pa.RecordBatch.from_arrays([b.column(0), binary_array([np.unique(s).tobytes() for s in text_shingles(b.column(1), width)])], names=["node", "shingles"])
+        trim()
 
     return docs.select("node", "text").mapInArrow(run, "node long, shingles binary")
 

@@ -12,10 +12,9 @@ Plan: documents of equal text are one (the least id stands for all). Rows go by
 many documents go in parts, and the first rows of the parts meet. Each row of a key meets the first and the one before
 it, the first ``SMALL`` meet each other, and these pairs are checked on the texts. So keys of up to ``SMALL`` rows are
 checked whole. In larger ones, all pairs that still join two components, or whose second stretch holds no passage yet that
-a smaller document holds, are compared by sketches in blocks, and checked too unless the sketch excludes them: every two
-documents that share a key are in one component, or proven not to share a passage there. Rows grow with the text, not with
-the square of a passage's documents; the sketches' comparisons grow with a key's rows times those outside its main
-component or still open.
+a smaller document holds, are compared in cells of bounded size: every two documents that share a key are in one component,
+or proven not to share a passage there. Rows grow with the text, not with the square of a passage's documents; the
+comparisons in cells (counts of common shingles) grow with a key's rows times those outside its main component or open.
 
 Cases: null, empty and short texts (under 50 words) hold no passage; texts of any length are read whole; rows
 that repeat a doc_id are one document each (all get the class of that id; with different texts the passages are
@@ -32,21 +31,21 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from strata.llm.common import WordHash, binary_array, checkpoint, compact, components, mix64, pieces, shared_path, shingle_hashes, small_batches, table, texts, trim
+from strata.llm.common import binary_array, checkpoint, compact, components, mix64, pieces, shared_path, small_batches, table, text_shingles, texts, trim
 from strata.llm.minhash import maybe_broadcast
 
 WIDTH = 5
 WORDS = 50
 SPAN = WORDS - WIDTH + 1
-BANDS = 6
-SMALL = 8
+BANDS = 5
+SMALL = 4
 #: One document in so many is looked at to find keys that many hold; rows there that make a key frequent; rows of one
 #: part of such a key; keys that are listed at most.
 SAMPLE, FREQUENT, PART_ROWS, FREQUENT_KEYS = 100, 8, 20_000, 100_000
 #: Requests that go with one copy of a text.
 ASKED = 64
-#: Rows in a block of a key, blocks in a lane, and slots of a stretch's sketch, for pairs that keys do not propose.
-SHARE, LANE, SKETCH = 128, 16, 1024
+#: Rows of a key that are compared in one cell, and rows in a block there, for pairs that keys do not propose.
+CELL, BLOCK = 2048, 128
 CANDIDATE = "kind int, a long, b long, x long, y long"
 PASSAGE = "a long, b long, a_from long, a_to long, b_from long, b_to long"
 WORD = re.compile(rb"[^\x20\x09-\x0D]+")
@@ -135,19 +134,29 @@ def banded_windows(shingles: list[np.ndarray], size: int = SPAN) -> tuple[np.nda
     return tuple(np.concatenate(x) for x in zip(*out, strict=True))
 
 
+def merged_windows(text: np.ndarray, key: np.ndarray, lo: np.ndarray, hi: np.ndarray) -> tuple[np.ndarray, ...]:
+    """The windows with those of one text and key that overlap, one after the other, as one."""
+    if not len(key):
+        return text, key, lo, hi
+    order = np.lexsort((lo, text, key))
+    text, key, lo, hi = text[order], key[order], lo[order], hi[order]
+    begin = np.flatnonzero(np.concatenate([[True], (key[1:] != key[:-1]) | (text[1:] != text[:-1]) | (lo[1:] > hi[:-1])]))
+    return text[begin], key[begin], lo[begin], np.maximum.reduceat(hi, begin)
+
+
 def window_rows(docs: DataFrame) -> DataFrame:
-    """key, doc, span (from << 32 | to, in shingles) of every window of (doc_id, text) rows."""
+    """key, doc, span (from << 32 | to, in shingles) of every window of (doc_id, text) rows. Windows of one key that
+    overlap in a document, as where words repeat, are one row."""
 
     def run(batches):
-        words = WordHash()
         for b in pieces(batches, 256):
             ids = b.column(0).to_numpy()
-            shingles = [shingle_hashes(words.of(t.lower().split()), WIDTH) for t in texts(b.column(1))]
-            text, key, lo, hi = banded_windows([s if len(s) >= SPAN else s[:0] for s in shingles])
+            shingles = text_shingles(b.column(1), WIDTH)
+            text, key, lo, hi = merged_windows(*banded_windows([s if len(s) >= SPAN else s[:0] for s in shingles]))
             for at in range(0, len(key), 20_000):
                 part = slice(at, at + 20_000)
                 yield pa.RecordBatch.from_arrays([pa.array(key[part]), pa.array(ids[text[part]]), pa.array((lo[part] << 32) | hi[part])], names=["key", "doc", "span"])
-        trim(words)
+        trim()
 
     return docs.select("doc_id", "text").mapInArrow(run, "key long, doc long, span long")
 
@@ -269,13 +278,24 @@ def similar_stretches(x: np.ndarray, y: np.ndarray, percent: int, size: int = SP
         return []
     total = np.concatenate([[0], np.cumsum(hit)])
     starts = np.flatnonzero(total[size:] - total[:-size] >= least_common(percent, size))
+    if not len(starts):
+        return []
     out: list[list[int]] = []
-    shift = np.where(hit, order[np.minimum(at, len(x) - 1)] - np.arange(len(y)), 0)
+    place = order[np.minimum(at, len(x) - 1)]
+    shift = np.where(hit, place - np.arange(len(y)), 0)
+    shifts = np.unique(shift[hit])
+    if len(shifts) <= 16 and (sorted_x[1:] != sorted_x[:-1]).all() and len(np.unique(y)) == len(y):
+        # nothing repeats: at each shift, a start's common shingles are those whose place in x is in the window
+        views = np.lib.stride_tricks.sliding_window_view(np.where(hit, place, -len(x) - size), size)[starts]
+        begins = np.clip(starts[None, :] + shifts[:, None], 0, len(x) - size)
+        best = np.max([((views >= b[:, None]) & (views < b[:, None] + size)).sum(axis=1) for b in begins], axis=0)
+        starts = starts[best >= least_common(percent, size)]
     for s in starts.tolist():
         if out and s + size - 1 <= out[-1][3]:
             continue
         own = shift[s : s + size][hit[s : s + size]]
-        d = int(np.bincount(own - own.min()).argmax() + own.min())
+        # the commonest shift, of equals the largest: where words repeat, that is the one of the stretch's first shingles
+        d = int(own.max() - np.bincount(own.max() - own).argmax())
         x0 = min(max(0, s + d), len(x) - size)
         p, q = np.unique(x[x0 : x0 + size]), np.unique(y[s : s + size])
         both = len(np.intersect1d(p, q, assume_unique=True))
@@ -310,20 +330,18 @@ def asked_of(docs: DataFrame, asked: DataFrame, side: str, other: str) -> DataFr
 
 def slices(batches, wanted: list[str], first: str, last: str):
     """For each text with what is asked of it: its id, the columns of the requests, and the shingles from ``first`` to ``last`` of each."""
-    words = WordHash()
     for b in pieces(batches, 64):
         lists = b.column(2)
         ends = np.concatenate([[0], np.cumsum([len(x) for x in lists])]).tolist()
         rows = lists.flatten()
         cols = {c: rows.field(c) for c in wanted}
         lo, hi = rows.field(first).to_pylist(), rows.field(last).to_pylist()
-        for i, (d, t) in enumerate(zip(b.column(0).to_pylist(), texts(b.column(1)), strict=True)):
-            shingles = shingle_hashes(words.of(t.lower().split()), WIDTH)
+        for i, (d, shingles) in enumerate(zip(b.column(0).to_pylist(), text_shingles(b.column(1), WIDTH), strict=True)):
             p, q = ends[i], ends[i + 1]
             for at in range(p, q, 32):
                 to = min(q, at + 32)
                 yield d, {c: v.slice(at, to - at) for c, v in cols.items()}, [shingles[lo[k] : hi[k] + 1] for k in range(at, to)]
-    trim(words)
+    trim()
 
 
 def verified(docs: DataFrame, pairs: DataFrame, percent: int) -> DataFrame:
@@ -360,112 +378,164 @@ def verified(docs: DataFrame, pairs: DataFrame, percent: int) -> DataFrame:
     return spark.read.schema(PASSAGE).parquet(at)
 
 
-def member_sketches(docs: DataFrame, members: DataFrame) -> DataFrame:
-    """The members (doc, span and others) with n (distinct shingles of the stretch), twice (its others) and sketch."""
-    asked = members.withColumn("lo", F.shiftright("span", 32)).withColumn("hi", F.col("span").bitwiseAND(F.lit(0xFFFFFFFF)))
-    kept = [c for c in members.columns if c != "doc"]
-    kinds = {f.name: f.dataType.simpleString() for f in members.schema.fields}
+def open_members(members: DataFrame, found: DataFrame) -> DataFrame:
+    """The members of keys of which pairs still matter: key, doc, span, root, open, out, and the cells they go to.
 
-    def run(batches):
-        for d, cols, found in slices(batches, kept, "lo", "hi"):
-            sketch, n = [], []
-            for s in found:
-                own = np.unique(s)
-                bits = np.zeros(SKETCH, np.uint8)
-                bits[(mix64(own) % np.uint64(SKETCH)).astype(np.int64)] = 1
-                sketch.append(np.packbits(bits).tobytes())
-                n.append(len(own))
-            twice = [len(s) - k for s, k in zip(found, n, strict=True)]
-            yield pa.RecordBatch.from_arrays([pa.array([d] * len(n), pa.int64()), *[cols[c] for c in kept], pa.array(n, pa.int64()), pa.array(twice, pa.int64()), binary_array(sketch)], names=["doc", *kept, "n", "twice", "sketch"])
-
-    with small_batches(docs.sparkSession, 64):
-        joined = asked_of(docs, asked, "doc", "span").mapInArrow(run, ", ".join(["doc long", *[f"{c} {kinds[c]}" for c in kept], "n long, twice long, sketch binary"]))
-        return checkpoint(joined)
-
-
-def open_pairs(docs: DataFrame, members: DataFrame, found: DataFrame, roots: DataFrame, percent: int) -> DataFrame:
-    """Pairs (a < b, x, y, open) of one key that were not proposed and still matter, as far as sketches allow.
-
-    They matter where the documents are in two components, or where b's stretch holds no passage yet that a smaller
-    document holds (``open``). Documents of a key's main component without open stretches meet only the others, so a
-    passage that all its documents are known to share costs nothing. Two stretches of which one has too many shingles
-    in slots that the other leaves empty cannot share ``percent``; such pairs are left out, and no others.
+    Pairs matter where the documents are in two components, or where the stretch of the larger document holds no
+    passage yet that a smaller document holds (``open``). So only rows outside the key's main component and open ones
+    (``out``) have to meet all others, and a passage that all its documents are known to share costs nothing. A key's
+    rows are dealt to cells of ``CELL`` outer rows by ``CELL`` rows.
     """
-    spark = docs.sparkSession
     lo, hi = F.shiftright("span", 32), F.col("span").bitwiseAND(F.lit(0xFFFFFFFF))
+    roots = components(found.select("a", "b")).select(F.col("node").alias("doc"), "root")
     known = repeated_spans(found).select(F.col("doc_id").alias("doc"), "spans")
     held = F.exists("spans", lambda s: F.least(s["hi"] - (WIDTH - 1), hi) - F.greatest(s["lo"], lo) + 1 >= SPAN)
-    rows = members.join(roots.select(F.col("node").alias("doc"), "root"), "doc", "left").join(known, "doc", "left")
+    rows = members.join(roots, "doc", "left").join(known, "doc", "left")
     rows = checkpoint(rows.select("key", "doc", "span", F.coalesce("root", "doc").alias("root"), (~F.coalesce(held, F.lit(False))).alias("open")))
     per_root = rows.groupBy("key", "root").agg(F.count("*").alias("c"), F.min("doc").alias("low"), F.sum(F.col("open").cast("int")).alias("o"))
-    keys = per_root.groupBy("key").agg(F.sum("c").alias("held"), F.count("*").alias("roots"), F.min("low").alias("low"), F.sum("o").alias("o"), F.max(F.struct("c", "root")).getField("root").alias("main"))
-    keys = keys.where("roots > 1 or o > 1").select("key", "main", "low", F.ceil(F.col("held") / SHARE).alias("shares"))
+    keys = per_root.groupBy("key").agg(F.sum("c").alias("held"), F.count("*").alias("roots"), F.min("low").alias("low"), F.sum("o").alias("o"), F.max(F.struct("c", "root", "o")).alias("main"))
+    outs = F.col("held") - F.col("main.c") + F.col("main.o")  # the outer rows: all of other components, open ones of the main one
+    keys = keys.where("roots > 1 or o > 1").select("key", F.col("main.root").alias("main"), "low", F.ceil(outs / CELL).alias("rows_"), F.ceil(F.col("held") / CELL).alias("cols_"))
     mixed = rows.join(keys, "key").withColumn("open", F.col("open") & (F.col("doc") != F.col("low"))).withColumn("out", (F.col("root") != F.col("main")) | F.col("open"))
-    mixed = mixed.withColumn("share", F.pmod(F.xxhash64("doc"), "shares")).select("doc", "key", "span", "root", "open", "out", "share", "shares")
-    mixed = member_sketches(docs, mixed)
-    cols = ["doc", "span", "root", "open", "n", "twice", "sketch"]
-    blocks = checkpoint(mixed.groupBy("key", "out", "share").agg(*[F.collect_list(c).alias(c) for c in cols], F.first("shares").alias("shares")))
-    lanes = F.explode(F.sequence(F.lit(0), F.floor((F.col("shares") - 1) / LANE).cast("int"))).alias("lane")
-    one = blocks.where("out").select("key", F.col("share").alias("at"), lanes, *[F.col(c).alias(f"{c}_") for c in cols])
-    met = one.join(blocks.withColumn("lane", F.floor(F.col("share") / LANE).cast("int")), ["key", "lane"]).where("not out or at <= share").select(*[f"{c}_" for c in cols], *cols)
-    need = least_common(percent)
+    i, j = F.pmod(F.xxhash64("doc"), F.greatest("rows_", F.lit(1))), F.pmod(F.xxhash64("doc", F.lit(1)), "cols_")
+    return mixed.select("key", "doc", lo.alias("lo"), hi.alias("hi"), "root", "open", "out", i.alias("i"), j.alias("j"), "rows_", "cols_")
+
+
+def in_cells(rows: DataFrame) -> DataFrame:
+    """The members once for each cell: as an outer row (``u``) of its row of cells, as any row (``v``) of its column."""
+    cell = lambda i, j, u, v: F.struct(i.cast("int").alias("i"), j.cast("int").alias("j"), u.alias("u"), v.alias("v"))
+    own = F.transform(F.sequence(F.lit(0).cast("long"), F.greatest("rows_", F.lit(1)) - 1), lambda c: cell(c, F.col("j"), F.col("out") & (c == F.col("i")), F.lit(True)))
+    more = F.transform(F.filter(F.sequence(F.lit(0).cast("long"), F.col("cols_") - 1), lambda c: F.col("out") & (c != F.col("j"))), lambda c: cell(F.col("i"), c, F.lit(True), F.lit(False)))
+    return rows.withColumn("c", F.explode(F.concat(own, more))).select("key", "c.i", "c.j", "doc", "lo", "root", "open", "out", "c.u", "c.v", "shingles")
+
+
+class Cell:
+    """Members of one cell, sorted by document: finds the passages that still matter."""
+
+    def __init__(self, rows: list[tuple], percent: int):
+        doc, lo, root, opened, out, u, v, self.shingles = zip(*rows, strict=True)
+        self.doc, self.lo, self.root = (np.array(c, np.int64) for c in (doc, lo, root))
+        self.open, self.out = np.array(opened), np.array(out)
+        self.u, self.v = np.flatnonzero(u), np.flatnonzero(v)
+        self.percent, self.need = percent, least_common(percent)
+        self.up = {r: r for r in root}
+
+    def find(self, x: int) -> int:
+        while self.up[x] != x:
+            self.up[x] = x = self.up[self.up[x]]
+        return x
+
+    def matter(self, p: np.ndarray, q: np.ndarray) -> np.ndarray:
+        """Which pairs of rows matter, as a matrix; of two outer rows each pair counts once."""
+        dx, dy, rx, ry = self.doc[p][:, None], self.doc[q][None, :], self.root[p][:, None], self.root[q][None, :]
+        opens = np.where(dx < dy, self.open[q][None, :], self.open[p][:, None])
+        return (dx != dy) & ((rx != ry) | opens) & ~(self.out[q][None, :] & (dx > dy))
+
+    def passages(self):
+        """Rows (a, b, a_from, a_to, b_from, b_to) that join components or close open stretches, of all pairs that matter.
+
+        Pairs with too few common shingles, or without a stretch of ``SPAN`` with enough of them, are never similar.
+        """
+        if not self.matter(self.u, self.v).any():
+            return
+        size = np.array([len(s) for s in self.shingles])
+        _, ids = np.unique(np.concatenate(self.shingles), return_inverse=True)
+        ends = np.cumsum(size)
+        parts = [ids[e - n : e] for e, n in zip(ends.tolist(), size.tolist(), strict=True)]
+        twice = np.array([n - len(np.unique(x)) for n, x in zip(size.tolist(), parts, strict=True)])
+        local = np.full(int(ids.max()) + 1, -1, np.int64)
+        order = self.v[np.argsort(size[self.v], kind="stable")]  # stretches of like lengths in one block
+        for at in range(0, len(self.u), BLOCK):
+            p = self.u[at : at + BLOCK]
+            own = np.unique(np.concatenate([parts[k] for k in p]))
+            local[own] = np.arange(len(own))
+            x = np.zeros((len(p), len(own) + 1), np.float32)
+            for r, k in enumerate(p):
+                x[r, local[parts[k]]] = 1
+            for to in range(0, len(order), BLOCK):
+                q = order[to : to + BLOCK]
+                wanted = self.matter(p, q)
+                if not wanted.any():
+                    continue
+                width = int(size[q].max())
+                y = np.full((len(q), width), -1, np.int64)
+                for r, k in enumerate(q):
+                    y[r, : size[k]] = local[parts[k]]
+                z = np.zeros((len(q), len(own) + 1), np.float32)
+                z[np.arange(len(q))[:, None], y] = 1
+                z[:, -1] = 0  # shingles that no row of p holds
+                wanted &= x @ z.T >= self.need - np.maximum(twice[p][:, None], twice[q][None, :])
+                for r in np.flatnonzero(wanted.any(axis=1)):
+                    hits = np.flatnonzero(wanted[r])
+                    total = np.cumsum(np.pad(x[r][y[hits]], ((0, 0), (1, 0))), axis=1)
+                    hits = hits[(total[:, SPAN:] - total[:, :-SPAN] >= self.need - twice[p[r]]).any(axis=1)]
+                    for k in q[hits]:
+                        yield from self.checked(p[r], k)
+            local[own] = -1
+
+    def checked(self, p: int, q: int):
+        a, b = (p, q) if self.doc[p] < self.doc[q] else (q, p)
+        ra, rb = self.find(self.root[a]), self.find(self.root[b])
+        if ra == rb and not self.open[b]:
+            return
+        found = similar_stretches(self.shingles[a], self.shingles[b], self.percent)
+        if found:
+            self.up[max(ra, rb)] = min(ra, rb)
+            self.open[b] = False
+        for x0, x1, y0, y1 in found:
+            yield (int(self.doc[a]), int(self.doc[b]), int(self.lo[a] + x0), int(self.lo[a] + x1 + WIDTH - 1), int(self.lo[b] + y0), int(self.lo[b] + y1 + WIDTH - 1))
+
+
+def open_passages(docs: DataFrame, members: DataFrame, found: DataFrame, percent: int) -> DataFrame:
+    """Passages of pairs that share a key and were not proposed, as far as they still matter (``open_members``)."""
+    spark = docs.sparkSession
+    parts = int(spark.conf.get("spark.sql.shuffle.partitions"))
+    kept = ["key", "lo", "root", "open", "out", "i", "j", "rows_", "cols_"]
+    rows = open_members(members, found)
+    kinds = {f.name: f.dataType.simpleString() for f in rows.schema.fields}
 
-    def run(batches):
-        for batch in pieces(batches, 64):
-            found_ = []
-            for i in range(batch.num_rows):
-                x, y = ([batch.column(k + at)[i].values for k in range(7)] for at in (0, 7))
-                (dx, sx, rx, ox, nx, tx), (dy, sy, ry, oy, ny, ty) = ([c.to_numpy(zero_copy_only=False) for c in z[:6]] for z in (x, y))
-                bx, by = (np.frombuffer(b"".join(z[6].to_pylist()), np.uint64).reshape(-1, SKETCH // 64) for z in (x, y))
-                less = dx[:, None] < dy[None, :]
-                opens = np.where(less, oy[None, :], ox[:, None])
-                p, q = np.nonzero((dx[:, None] != dy[None, :]) & ((rx[:, None] != ry[None, :]) | opens))
-                for at in range(0, len(p), 8192):
-                    u, v = p[at : at + 8192], q[at : at + 8192]
-                    lacks = np.bitwise_count(bx[u] & ~by[v]).sum(axis=1, dtype=np.int64)
-                    more = np.bitwise_count(by[v] & ~bx[u]).sum(axis=1, dtype=np.int64)
-                    ok = np.minimum(nx[u] - lacks, ny[v] - more) >= need - np.maximum(tx[u], ty[v])
-                    u, v = u[ok], v[ok]
-                    low = less[u, v]
-                    found_.append((np.where(low, dx[u], dy[v]), np.where(low, dy[v], dx[u]), np.where(low, sx[u], sy[v]), np.where(low, sy[v], sx[u]), opens[u, v]))
-            if found_:
-                yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(c)) for c in zip(*found_, strict=True)], names=["a", "b", "x", "y", "open"])
+    def cut(batches):
+        for d, cols, own in slices(batches, kept, "lo", "hi"):
+            yield pa.RecordBatch.from_arrays([pa.array([d] * len(own), pa.int64()), *[cols[c] for c in kept], binary_array([s.tobytes() for s in own])], names=["doc", *kept, "shingles"])
+
+    def batch_of(out: list[tuple]) -> pa.RecordBatch:
+        cols = list(zip(*out, strict=True)) or [()] * 6
+        out.clear()
+        return pa.RecordBatch.from_arrays([pa.array(c, pa.int64()) for c in cols], names=["a", "b", "a_from", "a_to", "b_from", "b_to"])
+
+    def compare(batches):
+        group, held, out = None, [], []
+        for b in batches:
+            *names, shingles = b.columns
+            for row in zip(*[c.to_pylist() for c in names], shingles.to_pylist(), strict=True):
+                if row[:3] != group:
+                    if held:
+                        out += Cell(held, percent).passages()
+                    group, held = row[:3], []
+                held.append((*row[3:-1], np.frombuffer(row[-1], np.uint64)))
+            if len(out) > 10_000:
+                yield batch_of(out)
+        if held:
+            out += Cell(held, percent).passages()
+        yield batch_of(out)
         trim()
 
-    with small_batches(spark, 16):  # a row holds two blocks
-        return compact(met.mapInArrow(run, "a long, b long, x long, y long, open boolean").distinct())[0]
+    at = shared_path(spark, "open-passages")
+    with small_batches(spark, 64):
+        with_shingles = asked_of(docs, rows, "doc", "key").mapInArrow(cut, ", ".join(["doc long", *[f"{c} {kinds[c]}" for c in kept], "shingles binary"]))
+        dealt = in_cells(with_shingles).repartition(parts, "key", "i", "j").sortWithinPartitions("key", "i", "j", "doc", "lo")
+    with small_batches(spark, 1024):
+        dealt.mapInArrow(compare, PASSAGE).write.parquet(at)
+    return spark.read.schema(PASSAGE).parquet(at)
 
 
 def passages(docs: DataFrame, percent: int = 80) -> DataFrame:
     """Near-duplicate passages of distinct texts: a < b, and for both the first and last word of the stretch."""
-    spark = docs.sparkSession
     proposed = candidates(docs)
     pairs = proposed.where(F.col("kind") == PAIR).select("a", "b", "x", "y")
     found = verified(docs, pairs.union(joined_parts(proposed)), percent)
-    members = proposed.where(F.col("kind") == MEMBER).select(F.col("a").alias("key"), F.col("b").alias("doc"), F.col("x").alias("span")).distinct()
-    roots, _ = compact(components(found.select("a", "b")))
-    left = open_pairs(docs, members, found, roots, percent)
-    # first one pair for each open stretch and each two components, then all that still matter
-    for last in (False, True):
-        here, there = (roots.select(F.col("node").alias(c), F.col("root").alias(f"r{c}")) for c in "ab")
-        left = left.join(here, "a", "left").join(there, "b", "left").withColumn("ra", F.coalesce("ra", "a")).withColumn("rb", F.coalesce("rb", "b"))
-        if last:
-            done = repeated_spans(found).select(F.col("doc_id").alias("b"), "spans")
-            hi, lo = F.col("y").bitwiseAND(F.lit(0xFFFFFFFF)), F.shiftright("y", 32)
-            still = F.col("open") & ~F.coalesce(F.exists("spans", lambda s: F.least(s["hi"] - (WIDTH - 1), hi) - F.greatest(s["lo"], lo) + 1 >= SPAN), F.lit(False))
-            left = left.join(done, "b", "left").where((F.col("ra") != F.col("rb")) | still)
-            chosen = left.select("a", "b", "x", "y")
-        else:
-            pick = F.min(F.struct("a", "b", "x", "y")).alias("m")
-            chosen = left.where("open").groupBy("b", "y").agg(pick).select("m.*").union(left.where("ra <> rb").groupBy(F.least("ra", "rb"), F.greatest("ra", "rb")).agg(pick).select("m.*")).distinct()
-        chosen, n = compact(chosen)
-        if not n:
-            break
-        found = found.union(verified(docs, chosen, percent))
-        if not last:
-            roots, _ = compact(components(found.select("a", "b")))
-            left = left.select("a", "b", "x", "y", "open").join(chosen, ["a", "b", "x", "y"], "left_anti")
-    return found
+    members = proposed.where(F.col("kind") == MEMBER).select(F.col("a").alias("key"), F.col("b").alias("doc"), F.col("x").alias("span"))
+    return found.union(open_passages(docs, members, found, percent))
 
 
 def first_of_texts(docs: DataFrame) -> DataFrame:
