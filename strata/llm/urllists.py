@@ -8,7 +8,8 @@ host that a third of all captures share is spread over the slots and Spark can s
 Cases: of several entries of a pattern on one date the last word is ``remove``; adding what is active, or removing
 what is not, changes nothing; entries without pattern or date are void; a capture whose url is null, empty or
 without host, or whose date is null, is not blocked; repeated captures are returned as often as they occur; empty
-tables give empty results or no block; extra columns are ignored.
+tables give empty results or no block; extra columns of the captures are kept, but for those named like an added one
+(``ADDED``), whose place the added ones take. ``validity`` reads pattern, at and action only; a null action is a removal.
 """
 
 from __future__ import annotations
@@ -38,23 +39,35 @@ def names_above(host: Column) -> Column:
 
 def validity(entries: DataFrame) -> DataFrame:
     """pattern, since, until of dated entries."""
-    day = entries.where("pattern is not null and at is not null").groupBy(F.lower("pattern").alias("pattern"), "at").agg(F.min(F.col("action") == "add").alias("on"))
+    day = entries.where("pattern is not null and at is not null").groupBy(F.lower("pattern").alias("pattern"), "at").agg(F.min(F.coalesce(F.col("action") == "add", F.lit(False))).alias("on"))
     w = Window.partitionBy("pattern").orderBy("at")
     turned = day.withColumn("was", F.coalesce(F.lag("on").over(w), F.lit(False))).where("on <> was")
     spans = turned.withColumn("until", F.coalesce(F.lead("at").over(w), F.lit(FAR).cast("date")))
     return spans.where("on").select("pattern", F.col("at").alias("since"), "until")
 
 
+#: Columns that ``active_at`` adds.
+ADDED = ["host", "blocked", "n_active", "pattern", "since"]
+
+
 def active_at(captures: DataFrame, intervals: DataFrame, url_col: str = "url", at_col: str = "fetched") -> DataFrame:
-    """Captures with ``blocked``, ``n_active`` (entries active then) and the longest such pattern with its date."""
+    """Captures with ``host``, ``blocked``, ``n_active`` (entries active then) and the longest such pattern with its date."""
     listed = checkpoint(intervals.select(F.col("pattern").alias("p_"), F.col("since").alias("s_"), F.col("until").alias("u_")))
-    keyed = captures.withColumn("row_", F.monotonically_increasing_id())
-    keyed = checkpoint(keyed.withColumn("host", host_of(F.col(url_col))))
-    asked = keyed.where(f"host <> '' and {at_col} is not null").select("row_", F.col(at_col).alias("t_"), F.explode(names_above(F.col("host"))).alias("name_"))
+    names = [c for c in captures.columns if c not in ADDED]
+    row = F.struct(*[F.col(f"`{c}`") for c in names] or [F.lit(None).alias("none")])
+    # all that the captures bring along stays in one struct, so no name of theirs meets one of ours
+    keyed = checkpoint(captures.select(row.alias("row_"), F.monotonically_increasing_id().alias("n_"), host_of(F.col(f"`{url_col}`")).alias("h_"), F.col(f"`{at_col}`").alias("t_")))
+    asked = keyed.where("h_ <> '' and t_ is not null").select("n_", "t_", F.explode(names_above(F.col("h_"))).alias("name_"))
     holds = (F.col("t_") >= F.col("s_")) & (F.col("t_") < F.col("u_"))
     if listed.count() <= BROADCAST_ROWS:
         hit = asked.join(F.broadcast(listed), (F.col("name_") == F.col("p_")) & holds)
     else:
+        # nearly every capture asks for a name of one label: only those on the list, which are few, are dealt
+        tops = listed.where(~F.contains("p_", F.lit("."))).select("p_").distinct()
+        top = ~F.contains("name_", F.lit("."))
+        one = asked.where(top)
+        one = one.join(F.broadcast(tops) if tops.count() <= BROADCAST_ROWS else tops, F.col("name_") == F.col("p_"), "left_semi")
+        asked = asked.where(~top).union(one)
         epoch = F.lit("1970-01-01").cast("date")
         latest = asked.agg(F.max(F.col("t_").cast("date"))).first()[0]  # no capture asks for a slot after this one
         last = F.greatest("s_", F.least("u_", F.coalesce(F.lit(latest).cast("date"), "s_")))
@@ -62,9 +75,9 @@ def active_at(captures: DataFrame, intervals: DataFrame, url_col: str = "url", a
         left = asked.withColumn("slot_", F.floor(F.datediff("t_", epoch) / SLOT_DAYS))
         right = listed.withColumn("slot_", F.explode(slots))
         hit = left.join(right, (F.col("name_") == F.col("p_")) & (left["slot_"] == right["slot_"]) & holds)
-    found = hit.groupBy("row_").agg(F.count("*").alias("n_active"), F.max(F.struct(F.length("p_").alias("l"), F.col("p_").alias("p"), F.col("s_").alias("s"))).alias("m"))
-    out = keyed.join(found, "row_", "left")
-    return out.select(*captures.columns, "host", F.col("n_active").isNotNull().alias("blocked"), F.coalesce("n_active", F.lit(0)).cast("long").alias("n_active"), F.col("m.p").alias("pattern"), F.col("m.s").alias("since"))
+    found = hit.groupBy("n_").agg(F.count("*").alias("k_"), F.max(F.struct(F.length("p_").alias("l"), F.col("p_").alias("p"), F.col("s_").alias("s"))).alias("m_"))
+    out = keyed.join(found, "n_", "left")
+    return out.select(*[F.col("row_")[c].alias(c) for c in names], F.col("h_").alias("host"), F.col("k_").isNotNull().alias("blocked"), F.coalesce("k_", F.lit(0)).cast("long").alias("n_active"), F.col("m_.p").alias("pattern"), F.col("m_.s").alias("since"))
 
 
 def op3_temporal_list(spark, sf_dir: str) -> DataFrame:
