@@ -4,15 +4,17 @@ Documents longer than the capacity are cut at multiples of it; those pieces are
 The rest of each document is one piece. For one window of pieces at a time, a subset-sum dynamic program
 over bitsets (bit s: some multiset of the remaining lengths sums to s) picks the multiset that fills a
 sequence closest to the capacity, starting from the longest piece left; backtracking gives the count of
-each length, and the same multiset is used again for as long as its lengths last. When no multiset fills
-a sequence exactly any more, the pieces left are laid end to end and cut at the capacity, and what then
-remains is cut into sequences whose sizes are powers of two, which need no padding.
+each length, and the same multiset is used again for as long as its lengths last. Where the closest multiset
+leaves slack, every piece left is longer than that: the shortest one is cut, its first part fills the sequence
+and the rest is a piece again. What the last sequence holds is cut into sequences whose sizes are powers of
+two, so that nothing is padded.
 
 A window is at most ``WINDOW_IDS`` ids of one input partition, so memory is bounded whatever the
 partition holds, nothing is shuffled, and a lost task repeats with the same result.
 
-Cases: a document without ids yields no piece; documents of any length are used whole; repeated ids
-are separate documents; an empty table gives an empty result.
+Cases: a null text has no ids but the end id; a document without ids (``pack`` on null or empty ids) yields no
+piece; documents of any length are used whole; repeated ids are separate documents; an empty table gives an
+empty result; extra columns are ignored, whatever their names.
 """
 
 from __future__ import annotations
@@ -60,42 +62,45 @@ def pack_lengths(lengths: np.ndarray, capacity: int = CAPACITY) -> list[list[tup
 
     Every sequence but the last few is exactly full; those have sizes that are powers of two.
     """
-    stacks: dict[int, list[int]] = {}
-    for i in np.argsort(-np.arange(len(lengths)), kind="stable"):
+    stacks: dict[int, list[tuple[int, int]]] = {}  # length left: piece, start; taken from the end, so in order
+    for i in range(len(lengths) - 1, -1, -1):
         if lengths[i]:
-            stacks.setdefault(int(lengths[i]), []).append(int(i))
-    counts = {k: len(v) for k, v in stacks.items()}
+            stacks.setdefault(int(lengths[i]), []).append((i, 0))
     out: list[list[tuple[int, int, int]]] = []
-    order = sorted(counts, reverse=True)
-    while order:
-        first = order[0]
-        if not counts.get(first):
-            order.pop(0)
-            continue
-        chosen = closest_multiset(counts, capacity, first)
-        if sum(k * n for k, n in chosen.items()) < capacity:
-            order.pop(0)  # no exact fill with this length: its pieces are laid end to end below
-            continue
-        for _ in range(min(counts[k] // n for k, n in chosen.items())):
-            out.append([(stacks[k].pop(), 0, k) for k, n in chosen.items() for _ in range(n)])
-        for k in chosen:
-            counts[k] = len(stacks[k])
-            if not counts[k]:
-                del counts[k]
-    rest = [(i, k) for k in sorted(stacks, reverse=True) for i in reversed(stacks[k])]
-    total = sum(k for _, k in rest)
-    sizes = [capacity] * (total // capacity) + [1 << b for b in range(capacity.bit_length() - 1, -1, -1) if (total % capacity) >> b & 1]
-    at, used = 0, 0
-    for size in sizes:
-        row: list[tuple[int, int, int]] = []
+    last: list[tuple[int, int, int]] = []
+
+    def take(length: int) -> tuple[int, int, int]:
+        i, start = stacks[length].pop()
+        if not stacks[length]:
+            del stacks[length]
+        return i, start, length
+
+    while stacks:
+        chosen = closest_multiset({k: len(v) for k, v in stacks.items()}, capacity, max(stacks))
+        slack = capacity - sum(k * n for k, n in chosen.items())
+        times = min(len(stacks[k]) // n for k, n in chosen.items()) if not slack else 1
+        for _ in range(times):
+            row = [take(k) for k, n in chosen.items() for _ in range(n)]
+            if not slack:
+                out.append(row)
+            elif stacks:
+                i, start, k = take(min(stacks))
+                out.append([*row, (i, start, slack)])
+                stacks.setdefault(k - slack, []).append((i, start + slack))
+            else:
+                last = row
+    total = sum(n for _, _, n in last)
+    for b in range(capacity.bit_length() - 1, -1, -1):
+        size, row = total & 1 << b, []
         while size:
-            i, k = rest[at]
-            n = min(size, k - used)
-            row.append((i, used, n))
-            size, used = size - n, used + n
-            if used == k:
-                at, used = at + 1, 0
-        out.append(row)
+            i, start, n = last.pop(0)
+            if n > size:
+                last.insert(0, (i, start + size, n - size))
+                n = size
+            row.append((i, start, n))
+            size -= n
+        if row:
+            out.append(row)
     return out
 
 
