@@ -4,7 +4,8 @@ Words are counted over all documents; the most frequent ``LEXICON_WORDS`` (a bou
 the counts) are encoded once and compiled into a minimal acyclic automaton: states that accept the same
 suffixes are one state, and the number of words passed on the way to a final state is the word's index
 into a table of ids. The file is shipped by ``SparkContext.addFile`` and memory-mapped by every worker.
-Words that are not in it are merged exactly, pair by pair in rank order.
+Words that are not in it are merged exactly, pair by pair in rank order. A worker remembers the ids of the
+words it met, from the lexicon or merged.
 
 The tokenizer is read from its JSON file: merges, vocabulary, added tokens. Texts are cut by the
 byte-level pattern; added tokens in a text become their ids, as the tokenizers library does.
@@ -71,20 +72,7 @@ class Bpe:
         self.special = regex.compile("|".join(map(regex.escape, sorted(self.added, key=len, reverse=True)))) if self.added else None
         self.spaces = regex.compile(r"\s\s|^\s|\s$").search
 
-        self.merge = self._fast_merge(model["merges"], vocab) or self.merge_pairs
-
-    def _fast_merge(self, merges: list, vocab: dict):
-        """The same merges by tiktoken's compiled loop, where the vocabulary lists merges in their order (its
-        ranks are then the ids)."""
-        import tiktoken
-
-        made = [new for _, new in sorted(self.merges.values())]
-        if made != list(range(256, 256 + len(merges))) or sorted(self.byte_ids) != list(range(256)):
-            return None
-        ranks = {self.tokens[i]: i for i in vocab.values()}
-        return tiktoken.Encoding("lexicon", pat_str=PATTERN, mergeable_ranks=ranks, special_tokens={})._core_bpe.encode_single_piece
-
-    def merge_pairs(self, word: bytes) -> list[int]:
+    def merge(self, word: bytes) -> list[int]:
         """Ids of one pre-token: always the adjacent pair of lowest rank, leftmost first."""
         ids = [self.byte_ids[b] for b in word]
         if len(ids) > LONG_WORD:
