@@ -284,14 +284,30 @@ def similar_stretches(x: np.ndarray, y: np.ndarray, percent: int, size: int = SP
     place = order[np.minimum(at, len(x) - 1)]
     shift = np.where(hit, place - np.arange(len(y)), 0)
     shifts = np.unique(shift[hit])
-    if len(shifts) <= 16 and (sorted_x[1:] != sorted_x[:-1]).all() and len(np.unique(y)) == len(y):
+    again = np.argsort(y, kind="stable")
+    twice = y[again[1:]] == y[again[:-1]]
+    if twice.any():
+        # of a stretch's distinct shingles, at least ``percent`` must be in x at all
+        before = np.full(len(y), -1)
+        before[again[1:][twice]] = again[:-1][twice]
+        views = np.lib.stride_tricks.sliding_window_view(before, size)[starts] < starts[:, None]
+        held = views & np.lib.stride_tricks.sliding_window_view(hit, size)[starts]
+        ok = 100 * held.sum(axis=1) >= percent * views.sum(axis=1)
+        # stretches of the same shingles as an earlier one are like it: the first of each such set is tried
+        sums = np.where(views, np.lib.stride_tricks.sliding_window_view(mix64(y), size)[starts], np.uint64(0)).sum(axis=1)
+        _, sets = np.unique(sums, return_inverse=True)
+        starts, sets = starts[ok], sets[ok].tolist()
+    else:
+        sets = None
+    if sets is None and len(shifts) <= 16 and (sorted_x[1:] != sorted_x[:-1]).all():
         # nothing repeats: at each shift, a start's common shingles are those whose place in x is in the window
         views = np.lib.stride_tricks.sliding_window_view(np.where(hit, place, -len(x) - size), size)[starts]
         begins = np.clip(starts[None, :] + shifts[:, None], 0, len(x) - size)
         best = np.max([((views >= b[:, None]) & (views < b[:, None] + size)).sum(axis=1) for b in begins], axis=0)
         starts = starts[best >= least_common(percent, size)]
-    for s in starts.tolist():
-        if out and s + size - 1 <= out[-1][3]:
+    failed = set()
+    for k, s in enumerate(starts.tolist()):
+        if (out and s + size - 1 <= out[-1][3]) or (sets and sets[k] in failed):
             continue
         own = shift[s : s + size][hit[s : s + size]]
         # the commonest shift, of equals the largest: where words repeat, that is the one of the stretch's first shingles
@@ -300,6 +316,8 @@ def similar_stretches(x: np.ndarray, y: np.ndarray, percent: int, size: int = SP
         p, q = np.unique(x[x0 : x0 + size]), np.unique(y[s : s + size])
         both = len(np.intersect1d(p, q, assume_unique=True))
         if 100 * both < percent * (len(p) + len(q) - both):
+            if sets:
+                failed.add(sets[k])
             continue
         if out and s <= out[-1][3] + 1:
             out[-1][0], out[-1][1], out[-1][3] = min(out[-1][0], x0), max(out[-1][1], x0 + size - 1), s + size - 1
@@ -442,7 +460,8 @@ class Cell:
         _, ids = np.unique(np.concatenate(self.shingles), return_inverse=True)
         ends = np.cumsum(size)
         parts = [ids[e - n : e] for e, n in zip(ends.tolist(), size.tolist(), strict=True)]
-        twice = np.array([n - len(np.unique(x)) for n, x in zip(size.tolist(), parts, strict=True)])
+        row = np.repeat(np.arange(len(size)), size)
+        twice = size - np.bincount(np.unique(row * (int(ids.max()) + 1) + ids) // (int(ids.max()) + 1), minlength=len(size))
         local = np.full(int(ids.max()) + 1, -1, np.int64)
         order = self.v[np.argsort(size[self.v], kind="stable")]  # stretches of like lengths in one block
         for at in range(0, len(self.u), BLOCK):

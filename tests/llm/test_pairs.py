@@ -241,11 +241,16 @@ def test_temporal_list(spark, monkeypatch, bound):
     monkeypatch.setattr(urllists, "BROADCAST_ROWS", bound)
     day = lambda n: datetime.date(2024, 1, 1) + datetime.timedelta(n)
     entries = [("a.org", day(10), "add"), ("a.org", day(50), "remove"), ("a.org", day(50), "add"), ("a.org", day(70), "add"), ("A.org", day(90), "remove"), ("x.a.org", day(20), "add"), ("b.net", day(0), "remove"), (None, day(1), "add"), ("c.com", None, "add")]
-    captures = [(k, u, day(t)) for k, (u, t) in enumerate((u, t) for u in ("http://a.org/1", "https://X.A.org", "http://y.x.a.org/?q", "http://ba.org/", "b.net", "", None) for t in (0, 10, 19, 20, 49, 50, 60, 70, 89, 90, 200))] + [(999, "http://a.org", None)]
+    captures = [(k, u, day(t)) for k, (u, t) in enumerate((u, t) for u in ("http://a.org/1", "https://X.A.org", "http://y.x.a.org/?q", "http://ba.org/", "b.net", "", None) for t in (0, 10, 19, 20, 49, 50, 60, 70, 89, 90, 200, 27000))] + [(999, "http://a.org", None)]
     e = spark.createDataFrame(entries, "pattern string, at date, action string")
-    c = spark.createDataFrame(captures, "k long, url string, fetched date").withColumn("since", F.lit("clash")).withColumnRenamed("since", "extra")
+    c = spark.createDataFrame(captures, "k long, url string, fetched date")
+    for name in ("since", "pattern", "host", "row_", "n_", "h_", "a.b"):  # names that the operator uses or adds
+        c = c.withColumn(name, F.lit("clash"))
     got = {r["k"]: (r["blocked"], r["n_active"], r["pattern"]) for r in urllists.active_at(c, urllists.validity(e)).collect()}
     assert got == brute_list(captures, entries)
+    found = urllists.active_at(c, urllists.validity(e))
+    assert found.columns == ["k", "url", "fetched", "row_", "n_", "h_", "a.b", "host", "blocked", "n_active", "pattern", "since"]
+    assert found.where("row_ <> 'clash' or n_ <> 'clash' or `a.b` <> 'clash'").count() == 0
     assert urllists.active_at(c, urllists.validity(e.limit(0))).where("blocked").count() == 0 and urllists.active_at(c.limit(0), urllists.validity(e)).count() == 0
 
 

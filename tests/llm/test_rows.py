@@ -25,7 +25,7 @@ def library_ids(name):
 
 
 def test_quality_counts_and_verdicts(spark):
-    found = quality.apply_rules(clashing(frame(spark)), keep=["doc_id"]).select("row_.doc_id", "m_.*", "base_failed", "kept").collect()
+    found = quality.apply_rules(clashing(frame(spark)), keep=["doc_id"]).select("row_.doc_id", *[f"m_.{c}" for c in ("n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words")], "base_failed", "kept").collect()
     assert len(found) == len(documents())
     for r in found:
         text = next(t for i, t, *_ in documents() if i == r["doc_id"])
@@ -39,10 +39,27 @@ def test_quality_counts_and_verdicts(spark):
 
 def test_quality_order_changes_nothing(spark):
     df = frame(spark)
-    m = quality.measures(df, keep=["doc_id"])
-    orders = [[{"rule": r, "rejects": 0, "seconds": 0} for r in rules] for rules in (quality.rules(), quality.rules()[::-1])]
-    one, two = ([(r[0], r[1]) for r in m.select("row_.doc_id", quality.verdict(o)).collect()] for o in orders)
+    m, c = quality.measures(df, keep=["doc_id"]), quality.measured()
+    orders = [[{"rule": r} for r in rules] for rules in (quality.rules(), quality.rules()[::-1])]
+    one, two = ([(r[0], r[1]) for r in m.select("row_.doc_id", quality.verdict(o, c, quality.base_failed(c))).collect()] for o in orders)
     assert sorted(one, key=str) == sorted(two, key=str)
+    kept = {r["doc_id"] for r in quality.filter_quality(df).select("doc_id").collect()}
+    assert kept == {i for i, k in one if k}
+
+
+def test_costly_rules_come_last(spark):
+    """Of two rules that reject the same, the costly one is always asked second, and rejected rows never reach it."""
+    rows = [(k, f"{'bad' if k % 2 else 'good'} {prose(k, 300)}", "en", "s", 0) for k in range(60)]
+    bad = lambda c: F.startswith(c["text"], F.lit("bad"))
+    slow = lambda c: bad(c) & (F.size(F.array_distinct(F.transform(F.sequence(F.lit(1), F.lit(300)), lambda i: F.sha2(F.concat(c["text"], i.cast("string")), 512)))) > 0)
+    asked = [quality.Rule("a_slow", slow), quality.Rule("cheap", bad)]
+    for _ in range(10):
+        assert [x["rule"].name for x in quality.cascade_order(frame(spark, rows), asked=asked)] == ["cheap", "a_slow"]
+    trap = quality.Rule("trap", lambda c: F.when(bad(c), F.raise_error(F.lit("asked"))).otherwise(False).cast("boolean"))
+    c = quality.counts(F.col("text"), F.col("w"))
+    rows_ = quality._rows(frame(spark, rows), "text", ["doc_id"])
+    got = rows_.select(quality.verdict([{"rule": asked[1]}, {"rule": trap}], c, c["n_words"] < 10).alias("k")).where("k").count()
+    assert got == 30
 
 
 def test_quality_filter_keeps_columns_and_rows(spark):
@@ -160,9 +177,17 @@ def test_lexicon(tmp_path):
 
 def test_merges_agree():
     b = bpe.Bpe(P.path("byte_bpe_50k.json"))
-    assert b.merge_pairs(b"") == []
-    for w in [b"a", b" the", b"ab" * 400, "né日本".encode(), *[prose(k, 1).encode() for k in range(200)]]:
-        assert list(b.merge(w)) == b.merge_pairs(w)
+
+    def slowly(word):
+        ids = [b.byte_ids[x] for x in word]
+        while found := [(b.merges[p], i) for i, p in enumerate(zip(ids, ids[1:], strict=False)) if p in b.merges]:
+            (_, new), i = min(found)
+            ids[i : i + 2] = [new]
+        return ids
+
+    assert b.merge(b"") == []
+    for w in [b"a", b" the", b"ab" * 100, "né日本".encode(), *[prose(k, 1).encode() for k in range(100)], *["".join(prose(k, 30).split()).encode() for k in range(10)]]:
+        assert b.merge(w) == slowly(w)
 
 
 def toxic_rows(n, seed):
@@ -209,5 +234,28 @@ def test_toxicity_rows(spark):
     assert held == {i for i, *_ in rows if zlib.crc32(str(i).encode()) % 3 == 1}
 
 
-def test_digest_query_shape():
-    assert hashlib.sha256(b"").hexdigest().startswith("e3b0")
+def test_digests(spark, tmp_path):
+    t, ids = library_ids("byte_bpe_50k.json")
+    frame(spark).write.parquet(str(tmp_path / "documents.parquet"))
+    got = {r["doc_id"]: r for r in bpe.op5_bpe_lexicon(spark, str(tmp_path)).collect()}
+    assert len(got) == len(ids)
+    for i, x in ids.items():
+        text = t.decode(x, skip_special_tokens=False)
+        want = (len(x), hashlib.sha256(",".join(map(str, x)).encode()).hexdigest(), hashlib.sha256(text.encode()).hexdigest())
+        assert (got[i]["n_tokens"], got[i]["ids_sha256"], got[i]["decoded_sha256"]) == want, i
+
+
+def test_closest_multisets_are_used():
+    """Every sequence starts from the multiset closest to the capacity; only what fills its slack is cut."""
+    r = np.random.default_rng(4)
+    for lengths in (r.integers(1, 900, 20), r.integers(1, 4096, 400), np.full(50, 1000), np.array([5, 0, 7])):
+        seqs = packing.pack_lengths(lengths, 4096)
+        used = np.zeros(len(lengths), np.int64)
+        for row in seqs:
+            total = sum(n for _, _, n in row)
+            assert total == 4096 or total & total - 1 == 0
+            for i, _, n in row:
+                used[i] += n
+        assert (used == lengths).all()
+        cut = sum(len(row) for row in seqs) - int((lengths > 0).sum())
+        assert cut <= len(seqs) + 12
