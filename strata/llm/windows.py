@@ -299,14 +299,20 @@ def similar_stretches(x: np.ndarray, y: np.ndarray, percent: int, size: int = SP
         starts, sets = starts[ok], sets[ok].tolist()
     else:
         sets = None
-    if sets is None and len(shifts) <= 16 and (sorted_x[1:] != sorted_x[:-1]).all():
-        # nothing repeats: at each shift, a start's common shingles are those whose place in x is in the window
+    # where nothing repeats: at each shift, a start's common shingles are those whose place in x is in the window
+    exact = sets is None and 1 < len(shifts) <= 16 and bool((sorted_x[1:] != sorted_x[:-1]).all())
+
+    def possible(starts: np.ndarray) -> np.ndarray:
         views = np.lib.stride_tricks.sliding_window_view(np.where(hit, place, -len(x) - size), size)[starts]
         begins = np.clip(starts[None, :] + shifts[:, None], 0, len(x) - size)
         best = np.max([((views >= b[:, None]) & (views < b[:, None] + size)).sum(axis=1) for b in begins], axis=0)
-        starts = starts[best >= least_common(percent, size)]
+        return starts[best >= least_common(percent, size)]
+
     failed = set()
-    for k, s in enumerate(starts.tolist()):
+    todo, k = starts.tolist(), -1
+    while k + 1 < len(todo):
+        k += 1
+        s = todo[k]
         if (out and s + size - 1 <= out[-1][3]) or (sets and sets[k] in failed):
             continue
         own = shift[s : s + size][hit[s : s + size]]
@@ -318,6 +324,8 @@ def similar_stretches(x: np.ndarray, y: np.ndarray, percent: int, size: int = SP
         if 100 * both < percent * (len(p) + len(q) - both):
             if sets:
                 failed.add(sets[k])
+            elif exact and k + 1 < len(todo):
+                todo, k, exact = possible(starts[k + 1 :]).tolist(), -1, False
             continue
         if out and s <= out[-1][3] + 1:
             out[-1][0], out[-1][1], out[-1][3] = min(out[-1][0], x0), max(out[-1][1], x0 + size - 1), s + size - 1
@@ -325,8 +333,10 @@ def similar_stretches(x: np.ndarray, y: np.ndarray, percent: int, size: int = SP
             # the stretch goes on for as long as shingles keep matching on the same diagonal
             out.append([x0, x0 + size - 1, s, s + size - 1])
         o = out[-1]
-        while o[3] + 1 < len(y) and o[1] + 1 < len(x) and y[o[3] + 1] == x[o[1] + 1]:
-            o[1], o[3] = o[1] + 1, o[3] + 1
+        m = min(len(y) - o[3], len(x) - o[1]) - 1
+        same = y[o[3] + 1 : o[3] + 1 + m] == x[o[1] + 1 : o[1] + 1 + m]
+        m = m if same.all() else int(same.argmin())
+        o[1], o[3] = o[1] + m, o[3] + m
     return [tuple(o) for o in out]
 
 
