@@ -27,7 +27,7 @@ def classify(spark: SparkSession, path: str, block_size: int = 512, start_block:
     scanned = spark.read.format("blocks").option("path", path).option("blockSize", block_size).option("startBlock", start_block).load()
     seen = scanned.select("block", magic.detect(F.col("window"), block_size).alias("types"))
     seen = checkpoint(seen)
-    constant = F.array_contains("types", BY_NAME["CONSTANT"])
+    constant = F.col("types") == F.array(F.lit(BY_NAME["CONSTANT"]))  # a text of one letter is a text
     candidates = seen.where((F.size(F.array_except("types", F.array(F.lit(BY_NAME["UNIDENTIFIED"]), F.lit(BY_NAME["CONSTANT"])))) > 0) & ~constant)
 
     def cut(batches):

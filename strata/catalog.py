@@ -8,7 +8,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from strata import catalog_formats
+from strata import catalog_formats, catalog_ranges
 from strata.functions import bytes as by
 from strata.functions import magic, text, types
 from strata.operators import claims, routing
@@ -227,12 +227,12 @@ def _verdicts(spark, d) -> DataFrame:
     kind = F.element_at(F.array(*[F.lit(x) for x in ("image", "text", "pdf", "zlib")]), (F.col("l_suppkey") % 4 + 1).cast("int"))
     own = spark.createDataFrame([("zlib", 20)], "classifier string, own int")
     rows = read(spark, d, "lineitem").select("l_orderkey", kind.alias("classifier"), (F.col("l_partkey") % 101).cast("int").alias("confidence"), F.col("l_linenumber").alias("ord"))
-    return rows.join(F.broadcast(own), "classifier", "left").withColumn("threshold", F.coalesce("own", F.lit(types.THRESHOLD))).drop("own")
+    return routing.with_thresholds(rows, own, types.THRESHOLD)
 
 
 @query(f"WITH {_VERDICTS} SELECT l_orderkey, classifier, confidence, ord, threshold FROM v WHERE confidence >= threshold")
 def threshold_filter(spark, d):
-    return _verdicts(spark, d).where("confidence >= threshold").select("l_orderkey", "classifier", "confidence", "ord", "threshold")
+    return routing.satisfied(_verdicts(spark, d)).select("l_orderkey", "classifier", "confidence", "ord", "threshold")
 
 
 _BEST = f"{_VERDICTS}, best AS (SELECT l_orderkey, classifier, max((confidence, ord)) AS m FROM v WHERE confidence >= threshold GROUP BY 1, 2)"
@@ -256,13 +256,14 @@ def collect_all_verdicts(spark, d):
 @query("SELECT l_orderkey, l_linenumber, o_custkey FROM lineitem JOIN orders ON l_orderkey = o_orderkey AND l_linenumber % 2 = 0")
 def report_to_item(spark, d):
     reports = read(spark, d, "lineitem").where("l_linenumber % 2 = 0").select("l_orderkey", "l_linenumber")
-    return reports.join(read(spark, d, "orders").select("o_orderkey", "o_custkey"), F.col("l_orderkey") == F.col("o_orderkey")).select("l_orderkey", "l_linenumber", "o_custkey")
+    items = read(spark, d, "orders").select(F.col("o_orderkey").alias("l_orderkey"), "o_custkey")
+    return routing.reports_to_items(reports, items, "l_orderkey").select("l_orderkey", "l_linenumber", "o_custkey")
 
 
 @query("SELECT l_orderkey, l_linenumber FROM lineitem WHERE NOT EXISTS (SELECT 1 FROM orders WHERE o_orderkey = l_orderkey AND o_orderstatus <> 'F')")
 def orphan_reports(spark, d):
     wanted = read(spark, d, "orders").where("o_orderstatus <> 'F'").select(F.col("o_orderkey").alias("l_orderkey"))
-    return read(spark, d, "lineitem").select("l_orderkey", "l_linenumber").join(wanted, "l_orderkey", "left_anti")
+    return routing.orphan_reports(read(spark, d, "lineitem").select("l_orderkey", "l_linenumber"), wanted, "l_orderkey")
 
 
 # --- text ------------------------------------------------------------------------------------------------
@@ -485,5 +486,6 @@ def severity_route(spark, d):
     return logs.route(records, least=2).select("event_id", "severity", "sink")
 
 
-QUERIES.update(catalog_formats.QUERIES)
-ORACLE_SQL.update(catalog_formats.ORACLE_SQL)
+for part in (catalog_formats, catalog_ranges):
+    QUERIES.update(part.QUERIES)
+    ORACLE_SQL.update(part.ORACLE_SQL)

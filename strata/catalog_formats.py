@@ -15,6 +15,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from strata.operators import expand
+from strata.operators.classifiers import WHOLE
 
 QUERIES: dict = {}
 ORACLE_SQL: dict[str, str] = {}
@@ -44,44 +45,56 @@ def made(df: DataFrame, key: str, source: str, make) -> DataFrame:
     return expand.roots(df.select(key, build(F.col(key), F.col(source)).alias("payload")), key, "payload")
 
 
-def leaf_digests(items: DataFrame, depth: int, key: str) -> DataFrame:
-    """Digest of what stands at ``depth``, by root."""
-    level = items
-    for _ in range(depth):
-        found = expand.classify_items(level)
-        level = found.select("node", "root", "depth", "path", F.explode("children").alias("c")).select(
-            F.concat("path", F.lit(":mnt-"), "c.kind").alias("node"), F.col("node").alias("parent"), "root", (F.col("depth") + 1).alias("depth"), F.concat("path", F.lit(":mnt-"), "c.kind").alias("path"), F.col("c.name").alias("name"), F.col("c.payload").alias("payload")
-        )
-    return level.select(F.col("root").alias(key), F.col("depth"), F.md5("payload").alias("digest"))
+def level_digests(items: DataFrame, key: str) -> DataFrame:
+    """key, depth, digest of all that the items unfold to, without bounds."""
+    found = expand.expand(items, limits=WHOLE)
+    return found.select(F.col("root").alias(key), "depth", "digest")
 
 
-def packed(data: bytes) -> bytes:
-    """A zlib stream with the usual header; stored as it is where it would shrink beyond the classifier's ratio."""
-    out = zlib.compress(data, 6)
-    return out if len(data) < 8 * len(out) else b"\x78\x9c" + zlib.compress(data, 0)[2:]
+#: Stands before every text, so that also null, empty and short ones make items that are long enough to be looked at.
+LEAD = "0123456789 abcdefghijklmnopqrstuvwxyz ABCDEFGHIJKLMNOPQRSTUVWXYZ. "
+_LEAF = f"md5('{LEAD}' || coalesce(text, ''))"
 
 
-@query("SELECT doc_id, 1 AS depth, md5(text) AS digest FROM documents WHERE strlen(text) >= 40")
+def led(s: str | None) -> bytes:
+    return (LEAD + (s or "")).encode()
+
+
+@query(f"SELECT doc_id, CAST(1 AS INTEGER) AS depth, {_LEAF} AS digest FROM documents")
 def zlib_expand(spark, d):
-    docs = read(spark, d, "documents").where("octet_length(text) >= 40")
-    return leaf_digests(made(docs, "doc_id", "text", lambda k, s: packed(s.encode())), 1, "doc_id")
+    docs = read(spark, d, "documents").select("doc_id", "text")
+    return level_digests(made(docs, "doc_id", "text", lambda k, s: zlib.compress(led(s), 6)), "doc_id").where("depth = 1")
 
 
 def _archive(k: int, s: str) -> bytes:
-    if k % 3 == 0:
-        return gzip.compress(s.encode(), mtime=0)
-    if k % 3 == 1:
-        return bz2.compress(s.encode())
+    """By turns gzip, bzip2, a zip, and a zip stored in a zip."""
+    if k % 4 == 0:
+        return gzip.compress(led(s), mtime=0)
+    if k % 4 == 1:
+        return bz2.compress(led(s))
+    inner = io.BytesIO()
+    with zipfile.ZipFile(inner, "w", zipfile.ZIP_DEFLATED) as z:
+        z.writestr(zipfile.ZipInfo("a.txt"), led(s))
+    if k % 4 == 2:
+        return inner.getvalue()
     out = io.BytesIO()
-    with zipfile.ZipFile(out, "w", zipfile.ZIP_DEFLATED) as z:
-        z.writestr(zipfile.ZipInfo("a.txt"), s)
+    with zipfile.ZipFile(out, "w", zipfile.ZIP_STORED) as z:
+        z.writestr(zipfile.ZipInfo("in.zip"), inner.getvalue())
+        z.writestr(zipfile.ZipInfo("b.txt"), led(s)[::-1])
     return out.getvalue()
 
 
-@query("SELECT doc_id, 1 AS depth, md5(text) AS digest FROM documents WHERE strlen(text) >= 40")
+@query(
+    f"SELECT doc_id, CAST(CASE WHEN doc_id % 4 = 3 THEN 2 ELSE 1 END AS INTEGER) AS depth, {_LEAF} AS digest FROM documents "
+    f"UNION ALL SELECT doc_id, CAST(1 AS INTEGER), md5(reverse('{LEAD}' || coalesce(text, ''))) FROM documents WHERE doc_id % 4 = 3 AND strlen(coalesce(text, '')) = length(coalesce(text, ''))"
+)
 def archive_expand(spark, d):
-    docs = read(spark, d, "documents").where("octet_length(text) >= 40")
-    return leaf_digests(made(docs, "doc_id", "text", _archive), 1, "doc_id")
+    """All members of all levels but the zip stored in a zip; the reversed text stands for ASCII texts only."""
+    docs = read(spark, d, "documents").select("doc_id", "text")
+    found = level_digests(made(docs, "doc_id", "text", _archive), "doc_id").where("depth > 0")
+    plain = docs.select("doc_id", (F.octet_length(F.coalesce("text", F.lit(""))) == F.length(F.coalesce("text", F.lit("")))).alias("ascii"), F.md5(F.encode(F.concat(F.lit(LEAD), F.coalesce("text", F.lit(""))), "UTF-8")).alias("leaf"), F.md5(F.encode(F.reverse(F.concat(F.lit(LEAD), F.coalesce("text", F.lit("")))), "UTF-8")).alias("back"))
+    kept = found.join(plain, "doc_id").where("digest = leaf or (ascii and digest = back)")
+    return kept.select("doc_id", "depth", "digest")
 
 
 @query("SELECT doc_id, md5(text) AS digest FROM documents")
@@ -93,22 +106,19 @@ def base85_decode(spark, d):
     return read(spark, d, "documents").select("doc_id", F.md5(there_and_back("text")).alias("digest"))
 
 
-@query("SELECT doc_id, CAST(doc_id % 4 AS INTEGER) AS depth, md5(text) AS digest FROM documents WHERE strlen(text) >= 40")
+@query(f"SELECT doc_id, CAST(doc_id % 4 AS INTEGER) AS depth, {_LEAF} AS digest FROM documents")
 def nested_fixpoint(spark, d):
-    """Texts wrapped zero to three times, in turn by zlib and gzip; the innermost level is the text again."""
+    """Texts wrapped zero to three times, in turn by zlib and gzip, unfolded until nothing new appears: where is each text?"""
 
     def wrap(k: int, s: str) -> bytes:
-        data = s.encode()
+        data = led(s)
         for i in range(k % 4):
-            data = packed(data) if i % 2 == 0 else gzip.compress(data, mtime=0)
+            data = zlib.compress(data, 6) if i % 2 == 0 else gzip.compress(data, mtime=0)
         return data
 
-    docs = read(spark, d, "documents").where("octet_length(text) >= 40")
-    items, out = made(docs, "doc_id", "text", wrap), None
-    for depth in range(4):
-        own = leaf_digests(items.where(F.col("root") % 4 == depth), depth, "doc_id").withColumn("depth", F.col("depth").cast("int"))
-        out = own if out is None else out.unionByName(own)
-    return out
+    docs = read(spark, d, "documents").select("doc_id", "text")
+    leaf = docs.select("doc_id", F.md5(F.encode(F.concat(F.lit(LEAD), F.coalesce("text", F.lit(""))), "UTF-8")).alias("digest"))
+    return level_digests(made(docs, "doc_id", "text", wrap), "doc_id").join(leaf, ["doc_id", "digest"]).select("doc_id", "depth", "digest")
 
 
 def _verdicts(items: DataFrame, key: str) -> DataFrame:

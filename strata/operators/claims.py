@@ -28,13 +28,57 @@ def claim_of_bytes(off: Column, length: Column, block: int = 512, compat: bool =
     return F.when((length > 0) & (last >= first), F.struct(first.alias("first"), last.alias("last")))
 
 
-def merge_claims(df: DataFrame, key: str) -> DataFrame:
-    """Union of intervals per key; adjacent ones are one."""
-    w = Window.partitionBy(key).orderBy("pos", "len")
+def merge_claims(df: DataFrame, key: str, bin_size: int = BIN) -> DataFrame:
+    """Union of intervals per key; adjacent ones are one. Null keys are one key; intervals without position or length are left out.
+
+    They are merged by the bin that they begin in first, so one source is many tasks; what is left of each bin is then
+    merged over the source.
+    """
+    rows = df.where("pos is not null and len > 0").withColumn("bin_", F.expr(f"pos div {bin_size}"))
+    return _islands(_islands(rows, [key, "bin_"]).select(key, "pos", "len"), [key])
+
+
+def _islands(df: DataFrame, keys: list[str]) -> DataFrame:
+    w = Window.partitionBy(*keys).orderBy("pos", "len")
     end = F.col("pos") + F.col("len")
     marked = df.withColumn("before_", F.max(end).over(w.rowsBetween(Window.unboundedPreceding, -1)))
     islands = marked.withColumn("island_", F.sum(F.when(F.col("pos") <= F.col("before_"), 0).otherwise(1)).over(w))
-    return islands.groupBy(key, "island_").agg(F.min("pos").alias("pos"), F.max(end).alias("end")).select(key, "pos", (F.col("end") - F.col("pos")).alias("len"))
+    return islands.groupBy(*keys, "island_").agg(F.min("pos").alias("pos"), F.max(end).alias("end")).select(*keys, "pos", (F.col("end") - F.col("pos")).alias("len"))
+
+
+def before_ranges(block: Column, ranges: Column) -> Column:
+    """The block lies before all of the ranges (array of struct(pos, len)); true without ranges, null for a null array."""
+    return F.forall(ranges, lambda r: block < r["pos"])
+
+
+def within_ranges(block: Column, ranges: Column) -> Column:
+    """One of the ranges holds the block; null for a null array."""
+    return F.exists(ranges, lambda r: (block >= r["pos"]) & (block < r["pos"] + r["len"]))
+
+
+def after_ranges(block: Column, ranges: Column) -> Column:
+    """The block lies behind the ends of all ranges; true without ranges, null for a null array."""
+    return F.forall(ranges, lambda r: block >= r["pos"] + r["len"])
+
+
+def range_inside(inner: Column, outer: Column) -> Column:
+    """The range begins no earlier than the other and ends before it does (an equal end is not inside)."""
+    return (inner["pos"] >= outer["pos"]) & (inner["pos"] + inner["len"] < outer["pos"] + outer["len"])
+
+
+def last_block(ranges: Column) -> Column:
+    """The last block of all ranges, whatever their order; null without ranges."""
+    return F.array_max(F.transform(ranges, lambda r: r["pos"] + r["len"] - 1))
+
+
+def outside_parent(items: DataFrame, item: str, parent: str) -> DataFrame:
+    """Items (with pos and len) that reach out of the range of their parent: a check, empty for sound results.
+
+    Items without parent, or whose parent is not there, cannot be checked and are left out.
+    """
+    up = items.select(F.col(item).alias("up_"), F.col("pos").alias("up_pos_"), F.col("len").alias("up_len_"))
+    out = (F.col("pos") < F.col("up_pos_")) | (F.col("pos") + F.col("len") > F.col("up_pos_") + F.col("up_len_"))
+    return items.join(up, F.col(parent) == F.col("up_")).where(out).drop("up_", "up_pos_", "up_len_")
 
 
 def runs(df: DataFrame, key: str, order: list[str], value: str) -> DataFrame:

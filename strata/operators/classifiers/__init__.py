@@ -8,13 +8,28 @@ are approximate.
 from __future__ import annotations
 
 from dataclasses import dataclass, field
+from functools import partial
 
-#: Bounds on what one item may unfold to.
-MAX_CHILD_BYTES = 64 << 20
 MAX_DEPTH = 16
 THRESHOLD = 50
 
 
+@dataclass(frozen=True)
+class Limits:
+    """Bounds on what one item may unfold to. A verdict whose children were cut says TRUNCATED; None is no bound.
+
+    ``zlib_input`` and ``zlib_ratio`` (output to input) are those of the described zlib classifier.
+    """
+
+    child_bytes: int | None = 64 << 20
+    zlib_input: int | None = 10_000_000
+    zlib_ratio: int | None = 10
+
+
+#: No bound at all, for inputs that are trusted.
+WHOLE = Limits(None, None, None)
+
+
 @dataclass
 class Verdict:
     classifier: str
@@ -26,16 +41,25 @@ class Verdict:
     children: list[tuple[str, bytes]] = field(default_factory=list)
 
 
-def known():
+_registered: dict = {}
+
+
+def register(name: str, classify) -> None:
+    """Adds a classifier ``classify(data) -> Verdict | None``, or puts one in another's place, in this process."""
+    _registered[name] = classify
+
+
+def known(limits: Limits = Limits()):  # noqa: B008  frozen
     """Classifiers by name; types come from the registry."""
     from strata.operators.classifiers import archive, av, fat, image, jbig, mbr, ole, pdf, zlib_
 
-    return {"sleuth": fat.classify, "partitiontable": mbr.classify, "ole": ole.classify, "pdf": pdf.classify, "compression": archive.classify, "image": image.classify, "video": av.classify, "jbig": jbig.classify, "zlib": zlib_.classify}
+    own = {"sleuth": fat.classify, "partitiontable": mbr.classify, "ole": ole.classify, "pdf": pdf.classify, "image": image.classify, "video": av.classify, "jbig": jbig.classify}
+    return own | {"compression": partial(archive.classify, limits=limits), "zlib": partial(zlib_.classify, limits=limits)} | _registered
 
 
-def ask(names: list[str], data: bytes, extra: dict | None = None) -> Verdict | None:
-    """The first verdict at or above the threshold, in the given order."""
-    functions = known() | (extra or {})
+def ask(names: list[str], data: bytes, extra: dict | None = None, limits: Limits = Limits(), thresholds: dict[str, int] | None = None) -> Verdict | None:  # noqa: B008
+    """The first verdict at or above its classifier's threshold (``thresholds``, else the general one), in the given order."""
+    functions = known(limits) | (extra or {})
     for name in names:
         f = functions.get(name)
         if f is None:
@@ -44,7 +68,12 @@ def ask(names: list[str], data: bytes, extra: dict | None = None) -> Verdict | N
             v = f(data)
         except Exception:  # noqa: BLE001  a broken input or classifier must not take the item with it
             continue
-        if v is not None and v.confidence >= THRESHOLD:
-            v.children = [(n, c) for n, c in v.children if 0 < len(c) <= MAX_CHILD_BYTES]
+        if v is not None and v.confidence >= (thresholds or {}).get(name, THRESHOLD):
+            v.children, cut = [(n, c) for n, c in v.children if c], False
+            if limits.child_bytes is not None:
+                cut = any(len(c) > limits.child_bytes for _, c in v.children)
+                v.children = [(n, c[: limits.child_bytes]) for n, c in v.children]
+            if cut and "TRUNCATED" not in v.description:
+                v.description += " TRUNCATED"
             return v
     return None

@@ -45,6 +45,19 @@ def block_lines(blocks: DataFrame) -> DataFrame:
     return blocks.select("offset", block_lines_column().alias("line"))
 
 
+def with_header(lines: DataFrame, title: str) -> DataFrame:
+    """The lines (offset, line) with a title and the names of the columns before them."""
+    spark = lines.sparkSession
+    head = spark.createDataFrame([(-2, title), (-1, "%13s %s" % ("Offset", "Description"))], "offset long, line string")
+    return head.unionByName(lines.select(F.col("offset").cast("long").alias("offset"), "line"))
+
+
+def tree_lines(items: DataFrame) -> DataFrame:
+    """path, line: every item with its confidence, indented by depth; ordered by path they show the tree."""
+    shown = F.concat(F.repeat(F.lit("  "), F.col("depth")), F.format_string("%s (%d)", F.coalesce("brief", F.lit("?")), F.coalesce("confidence", F.lit(-1))))
+    return items.select("path", shown.alias("line"))
+
+
 def path_lines(items: DataFrame) -> DataFrame:
     """line per positively identified item; -1 where its place in the source is not known."""
     place = F.coalesce("abs_off", F.lit(-1).cast("long"))
