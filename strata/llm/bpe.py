@@ -21,9 +21,7 @@ import hashlib
 import heapq
 import json
 import mmap
-import os
 import struct
-import tempfile
 from array import array
 from collections import Counter
 
@@ -32,8 +30,9 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from strata.llm.common import checkpoint, pieces, table, texts
+from strata.llm.common import checkpoint, pieces, shared_path, table, texts
 from strata.llm.tokens import byte_letters
+from strata.session import shared_dir
 
 LEXICON_WORDS = 16_384
 #: Fixed pattern of byte-level pre-tokenization.
@@ -303,13 +302,18 @@ def build_lexicon(df: DataFrame, tokenizer_path: str, text_col: str = "text", wo
 
 
 def ship(spark, data: bytes) -> str:
-    """Sends a file to all executors; its name there. Equal data keep one path, which may be added again."""
+    """Sends a file to all executors, from the folder that they share with the driver; its name there. Equal data
+    keep one path, which may be added again."""
     name = f"lexicon-{hashlib.sha256(data).hexdigest()[:24]}.bin"
-    path = os.path.join(os.path.realpath(tempfile.gettempdir()), name)
-    with open(path + ".new", "wb") as f:
-        f.write(data)
-    os.replace(path + ".new", path)
-    spark.sparkContext.addFile(path)
+    jvm, new = spark._jvm, shared_path(spark, "lexicon")
+    path = jvm.org.apache.hadoop.fs.Path(f"{shared_dir(spark).rstrip('/')}/{name}")
+    fs = path.getFileSystem(spark._jsc.hadoopConfiguration())
+    if not fs.exists(path):
+        out = fs.create(jvm.org.apache.hadoop.fs.Path(new))
+        out.write(data)
+        out.close()
+        fs.rename(jvm.org.apache.hadoop.fs.Path(new), path)
+    spark.sparkContext.addFile(fs.makeQualified(path).toString())
     return name
 
 

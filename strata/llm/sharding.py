@@ -83,11 +83,11 @@ def numbered(df: DataFrame, order: list[str]) -> tuple[DataFrame, int]:
 
 def shard_rows(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", shards: int = 8, seed: int = 20240229) -> DataFrame:
     """id, size, text_crc32, row_number, shard and slot of every row. Native: DataFrame functions only."""
-    text = F.coalesce(F.col(text_col), F.lit(""))
-    light = df.select(F.col(id_col), (F.octet_length(text) + 1).cast("long").alias("size"), F.crc32(text.cast("binary")).cast("long").alias("text_crc32"))
-    rows, n = numbered(light, [id_col, "text_crc32", "size"])
+    text = F.coalesce(F.col(f"`{text_col}`"), F.lit(""))
+    light = df.select(F.col(f"`{id_col}`").alias("id_"), (F.octet_length(text) + 1).cast("long").alias("size"), F.crc32(text.cast("binary")).cast("long").alias("text_crc32"))
+    rows, n = numbered(light, ["id_", "text_crc32", "size"])
     p = permuted(F.col("row_number"), n, seed)
-    return rows.withColumn("p_", p).select(id_col, "size", "text_crc32", "row_number", (F.col("p_") % shards).cast("int").alias("shard"), F.expr(f"p_ div {shards}").cast("long").alias("slot"))
+    return rows.withColumn("p_", p).select(F.col("id_").alias(id_col), "size", "text_crc32", "row_number", (F.col("p_") % shards).cast("int").alias("shard"), F.expr(f"p_ div {shards}").cast("long").alias("slot"))
 
 
 def op9_feistel_shards(spark, sf_dir: str) -> DataFrame:
