@@ -2,7 +2,12 @@
 
 Each stage is a function (spark, docs, sf_dir) over all rows that the stage before it kept; its result is
 written as Parquet under the shared folder and read again, so a lost executor never repeats more than one
-stage. All stages but the last return the columns of ``documents``.
+stage; tables of earlier stages are deleted. All stages but the last return the columns of ``documents``.
+
+Cases, in every stage: a null or empty text is no toxic one, has too few words for the quality rules and goes there;
+texts of any length are read whole; rows that repeat an id and text are kept or dropped alike (near duplicates keep the
+rows of the least id of a group, so exact repeats of that row stay); rows with a null id pass the near-duplicate stages;
+an empty table gives empty results; further columns pass through all stages but packing, whatever their names.
 """
 
 from __future__ import annotations
@@ -11,7 +16,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from strata.llm import minhash, packing, quality, toxicity, windows
-from strata.llm.common import shared_path, table
+from strata.llm.common import remove, shared_path, table
 
 
 #: Rows of the Arrow batches in all stages: whole texts of any length pass through them.
@@ -70,9 +75,12 @@ ORACLE_SQL = None
 
 
 def run(spark, sf_dir: str) -> DataFrame:
-    docs = table(spark, sf_dir, "documents")
+    docs, before = table(spark, sf_dir, "documents"), None
     for name, stage in STAGES[:-1]:
         path = shared_path(spark, f"stage-{name}")
         stage(spark, docs, sf_dir).write.parquet(path)
         docs = spark.read.parquet(path)
+        if before is not None:
+            remove(spark, before)
+        before = path
     return STAGES[-1][1](spark, docs, sf_dir)
