@@ -8,7 +8,9 @@ integers, and match if at the best offset at most ``MAX_ERRORS`` of the bits of
 
 Plan: recordings of equal fingerprints are one class. Pairs of consecutive integers are winnowed: the least hash
 of every eight is kept, so two recordings that share a run of nine pairs share a key. Keys are dealt by ranges and
-neighbours in that order become candidates, so rows grow with the recordings, never with their square.
+neighbours in that order become candidates, so rows grow with the recordings, never with their square. Then the
+rows of each key that several components hold are compared in cells of bounded size, as far as two components are
+not joined yet: any two recordings that share a key are in one component, or proven not to match.
 
 Cases: null or empty sound, and sound shorter than the filters, gives an empty fingerprint that matches nothing;
 sound of any length is read whole; repeated ids give repeated rows; an empty table gives an empty result; extra
@@ -22,8 +24,9 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from strata.llm.common import binary_array, checkpoint, components, mix64, pieces, shared_path, small_batches, table, texts
-from strata.llm.minhash import neighbours
+from strata.llm.common import binary_array, checkpoint, compact, components, mix64, pieces, shared_path, small_batches, table, texts
+from strata.llm.minhash import SMALL, neighbours
+from strata.llm.windows import CELL, in_cells
 
 RATE = 4000
 FRAME, HOP = 512, 256
@@ -31,6 +34,8 @@ SPAN = 8  #: frames that a filter looks at
 LEAST_OVERLAP = 12
 MAX_ERRORS = 0.2
 WINNOW = 8
+#: Occurrences of an integer above which its offsets are counted by a transform instead of one by one.
+OFTEN = 64
 LOW, HIGH = 110.0, 1800.0
 
 
@@ -97,10 +102,17 @@ def align(a: np.ndarray, b: np.ndarray) -> tuple[int, int, float]:
     once = np.flatnonzero(hi > lo)
     if not len(once):
         return 0, 0, 1.0
-    n = np.minimum(hi[once] - lo[once], 8)  # an integer that holds for long says little about the offset
-    at = np.repeat(lo[once] - (np.cumsum(n) - n), n) + np.arange(n.sum())
-    shift = order[at] - np.repeat(once, n)
-    best = int(np.bincount(shift - shift.min()).argmax() + shift.min())
+    n = hi[once] - lo[once]
+    votes = np.zeros(len(a) + len(b) - 1, np.int64)  # by offset, from 1 - len(b) on
+    often = n > OFTEN
+    for value in np.unique(b[once[often]]):  # sound that holds for long: its places are correlated by transform
+        size = 1 << (len(votes) - 1).bit_length()
+        x, y = np.fft.rfft(a == value, size), np.fft.rfft((b == value)[::-1], size)
+        votes += np.rint(np.fft.irfft(x * y, size)[: len(votes)]).astype(np.int64)
+    once, n, begin = once[~often], n[~often], lo[once[~often]]
+    at = np.repeat(begin - (np.cumsum(n) - n), n) + np.arange(n.sum())
+    votes += np.bincount(order[at] - np.repeat(once, n) + len(b) - 1, minlength=len(votes))
+    best = int(votes.argmax()) - (len(b) - 1)
     x, y = a[max(0, best) :], b[max(0, -best) :]
     m = min(len(x), len(y))
     wrong = int(np.bitwise_count(x[:m] ^ y[:m]).sum())
@@ -151,17 +163,79 @@ def matches(prints: DataFrame) -> DataFrame:
             kinds = [pa.int64()] * 4 + [pa.float64()]
             yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(cols, kinds, strict=True)], names=["a", "b", "offset", "overlap", "errors"])
 
-    pairs = checkpoint(neighbours(prints.mapInArrow(keys, "node long, key long, next long")).select("a", "b"))
+    banded = prints.mapInArrow(keys, "node long, key long, next long")
+    pairs, _ = compact(neighbours(banded).select("a", "b"))
     both = pairs.join(prints.select(F.col("id").alias("a"), F.col("items").alias("x")), "a").join(prints.select(F.col("id").alias("b"), F.col("items").alias("y")), "b")
     at = shared_path(spark, "chroma")
     with small_batches(spark, 2048):
         both.select("a", "b", "x", "y").mapInArrow(check, "a long, b long, offset long, overlap long, errors double").write.parquet(at)
+    found = spark.read.schema("a long, b long, offset long, overlap long, errors double").parquet(at)
+    return found.union(open_matches(prints, banded.select("key", F.col("node").alias("doc")), found))
+
+
+def open_matches(prints: DataFrame, rows: DataFrame, found: DataFrame) -> DataFrame:
+    """Matches of recordings that share a key and are in two components of ``found``; one for each two that they join.
+
+    Rows outside the key's main component meet all rows of the key, in cells of ``CELL`` by ``CELL`` rows.
+    """
+    spark = prints.sparkSession
+    parts = int(spark.conf.get("spark.sql.shuffle.partitions"))
+    roots = components(found.select("a", "b")).select(F.col("node").alias("doc"), "root")
+    rows = checkpoint(rows.join(roots, "doc", "left").select("key", "doc", F.coalesce("root", "doc").alias("root")))
+    keys = rows.groupBy("key", "root").agg(F.count("*").alias("c")).groupBy("key").agg(F.sum("c").alias("held"), F.count("*").alias("roots"), F.max(F.struct("c", "root")).alias("main"))
+    keys = keys.where(f"roots > 1 and held > {SMALL}").select("key", F.col("main.root").alias("main"), F.ceil((F.col("held") - F.col("main.c")) / CELL).alias("rows_"), F.ceil(F.col("held") / CELL).alias("cols_"))
+    mixed = rows.join(keys, "key").withColumn("out", F.col("root") != F.col("main")).withColumn("i", F.pmod(F.xxhash64("doc"), "rows_")).withColumn("j", F.pmod(F.xxhash64("doc", F.lit(1)), "cols_"))
+    mixed = mixed.join(prints.select(F.col("id").alias("doc"), F.col("items").alias("shingles")), "doc").withColumn("lo", F.lit(0).cast("long")).withColumn("open", F.lit(False))
+    kinds = [pa.int64()] * 4 + [pa.float64()]
+
+    def one_cell(held: list[tuple]):
+        doc, root, out, u, v, items = zip(*held, strict=True)
+        items, up = [np.frombuffer(x, "<u4") for x in items], {r: r for r in root}
+        v_rows = np.flatnonzero(v)
+        docs, is_out = np.array(doc), np.array(out)
+
+        def find(x):
+            while up[x] != x:
+                up[x] = x = up[up[x]]
+            return x
+
+        for p in np.flatnonzero(u).tolist():
+            for q in v_rows[(docs[v_rows] != doc[p]) & ~(is_out[v_rows] & (docs[v_rows] < doc[p]))].tolist():
+                rp, rq = find(root[p]), find(root[q])
+                if rp == rq:
+                    continue
+                a, b = (p, q) if doc[p] < doc[q] else (q, p)
+                offset, overlap, errors = align(items[a], items[b])
+                if overlap >= LEAST_OVERLAP and errors <= MAX_ERRORS:
+                    up[max(rp, rq)] = min(rp, rq)
+                    yield doc[a], doc[b], offset, overlap, errors
+
+    def batch_of(rows_: list[tuple]) -> pa.RecordBatch:
+        cols = list(zip(*rows_, strict=True)) or [()] * 5
+        return pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(cols, kinds, strict=True)], names=["a", "b", "offset", "overlap", "errors"])
+
+    def compare(batches):
+        group, held = None, []
+        for b in batches:
+            for row in zip(*[c.to_pylist() for c in b.columns], strict=True):
+                if row[:3] != group:
+                    if held:
+                        yield batch_of(list(one_cell(held)))
+                    group, held = row[:3], []
+                held.append(row[3:])
+        if held:
+            yield batch_of(list(one_cell(held)))
+
+    cells = in_cells(mixed).select("key", "i", "j", "doc", "root", "out", "u", "v", "shingles")
+    at = shared_path(spark, "open-chroma")
+    with small_batches(spark, 2048):
+        cells.repartition(parts, "key", "i", "j").sortWithinPartitions("key", "i", "j", "doc").mapInArrow(compare, "a long, b long, offset long, overlap long, errors double").write.parquet(at)
     return spark.read.schema("a long, b long, offset long, overlap long, errors double").parquet(at)
 
 
 def recording_classes(df: DataFrame, id_col: str = "id", pcm_col: str = "pcm") -> DataFrame:
-    """id, n_items, component_id (least id reachable over matches and equal fingerprints), n_links (recordings of other
-    fingerprint found to match), fingerprint (checksum)."""
+    """id, n_items, component_id (least id reachable over matches and equal fingerprints), n_linked (other recordings of
+    that component), fingerprint (checksum)."""
     spark = df.sparkSession
     at = shared_path(spark, "fingerprints")
     with small_batches(spark, 512):
@@ -170,13 +244,15 @@ def recording_classes(df: DataFrame, id_col: str = "id", pcm_col: str = "pcm") -
     real = seen.where("id is not null and octet_length(items) > 0")
     classes = checkpoint(real.groupBy("h1", "h2").agg(F.min("id").alias("node"), F.first("items").alias("items")))
     found = matches(classes.select(F.col("node").alias("id"), "items"))
-    ends = found.select("a", "b").distinct()
-    links = ends.select(F.col("a").alias("node"), "b").union(ends.select(F.col("b").alias("node"), "a")).groupBy("node").agg(F.count("*").alias("n_links"))
-    roots = components(ends)
-    named = classes.select("h1", "h2", "node").join(roots, "node", "left").join(links, "node", "left").select("h1", "h2", F.coalesce("root", "node").alias("component_id"), F.coalesce("n_links", F.lit(0)).alias("n_links"))
+    roots = components(found.select("a", "b"))
+    sizes = real.groupBy("h1", "h2").agg(F.count("*").alias("n"))
+    named = classes.select("h1", "h2", "node").join(roots, "node", "left").join(sizes, ["h1", "h2"]).select("h1", "h2", F.coalesce("root", "node").alias("component_id"), "n")
+    named = checkpoint(named)
+    sums = named.groupBy("component_id").agg((F.sum("n") - 1).alias("n_linked"))
+    named = named.join(sums, "component_id").select("h1", "h2", "component_id", "n_linked")
     rows = seen.select("id", F.expr("CAST(octet_length(items) div 4 AS bigint)").alias("n_items"), "h1", "h2", F.col("h2").alias("fingerprint"))
-    linked = rows.where("id is not null and n_items > 0").join(named, ["h1", "h2"]).select("id", "n_items", "component_id", "n_links", "fingerprint")
-    alone = rows.where("id is null or n_items = 0").select("id", "n_items", F.col("id").alias("component_id"), F.lit(0).cast("long").alias("n_links"), "fingerprint")
+    linked = rows.where("id is not null and n_items > 0").join(named, ["h1", "h2"]).select("id", "n_items", "component_id", "n_linked", "fingerprint")
+    alone = rows.where("id is null or n_items = 0").select("id", "n_items", F.col("id").alias("component_id"), F.lit(0).cast("long").alias("n_linked"), "fingerprint")
     return linked.union(alone)
 
 

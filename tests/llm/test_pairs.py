@@ -211,10 +211,49 @@ def test_recordings(spark):
     df = chroma.rendered(spark.createDataFrame(list(texts.items()), "id long, text string"), "id", "text")
     got = {r["id"]: r for r in chroma.recording_classes(df.withColumn("items", F.lit("clash"))).collect()}
     assert {i: r["component_id"] for i, r in got.items()} == {1: 1, 2: 1, 3: 1, 4: 4, 5: 5, 6: 6, 7: 7}
-    assert got[3]["n_links"] == 1 and got[5]["n_items"] == 0
+    assert got[3]["n_linked"] == 2 and got[5]["n_items"] == 0
     assert chroma.recording_classes(df.limit(0)).count() == 0
 
 
+def test_alignment_counts_all_offsets():
+    """Long steady sound: the histogram is exact, whichever way an integer's offsets are counted."""
+    r = np.random.default_rng(8)
+    for _ in range(30):
+        a = r.choice([1, 1, 1, 1, 2, 3, 4], int(r.integers(1, 400))).astype(np.uint32)
+        b = r.choice([1, 1, 1, 1, 2, 3, 5], int(r.integers(1, 400))).astype(np.uint32)
+        votes = {k: int((a[max(0, k) : len(b) + k] == b[max(0, -k) : max(0, -k) + len(a[max(0, k) : len(b) + k])]).sum()) for k in range(1 - len(b), len(a))}
+        offset, overlap, _ = chroma.align(a, b)
+        assert not max(votes.values()) or votes[offset] == max(votes.values())
+        assert overlap == len(a[max(0, offset) : len(b) + offset])
+
+
+def test_recordings_match_brute_force(spark):
+    """Classes against all pairs: parts of long recordings, shifted by whole frames and with noise."""
+    from tests.llm.helpers import components
+
+    r, t = np.random.default_rng(5), np.arange(256) / chroma.RATE
+    tones = [9000 * np.sin(2 * np.pi * 220 * 2 ** (k / 12) * t) for k in range(36)]
+    rows = []
+    for k in range(120):
+        base = [int(x) for x in np.random.default_rng(k % 15).integers(0, 36, 90)]
+        at = int(r.integers(0, 30))
+        sound = np.concatenate([tones[x] for x in base[at : at + 55]]) + r.normal(0, (0, 100, 300)[k % 3], 55 * 256)
+        rows.append((k, sound.astype("<i2").tobytes()))
+    df = spark.createDataFrame(rows, "id long, pcm binary")
+    prints = {x["id"]: np.frombuffer(x["items"], "<u4") for x in chroma.fingerprints(df).collect()}
+    links = set()
+    for a in prints:
+        for b in prints:
+            if a < b:
+                _, overlap, errors = chroma.align(prints[a], prints[b])
+                if overlap >= chroma.LEAST_OVERLAP and errors <= chroma.MAX_ERRORS:
+                    links.add((a, b))
+    want = components(list(prints), links)
+    got = {x["id"]: x["component_id"] for x in chroma.recording_classes(df).collect()}
+    together = sum(got[a] == got[b] for a, b in links)
+    assert together >= 0.9 * len(links) and all(want[i] == want[got[i]] for i in got)
+
+
 def brute_list(captures, entries):
     on = defaultdict(list)
     for p, at, action in entries:
