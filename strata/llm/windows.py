@@ -297,10 +297,22 @@ def similar_stretches(x: np.ndarray, y: np.ndarray, percent: int, size: int = SP
         sums = np.where(views, np.lib.stride_tricks.sliding_window_view(mix64(y), size)[starts], np.uint64(0)).sum(axis=1)
         _, sets = np.unique(sums, return_inverse=True)
         starts, sets = starts[ok], sets[ok].tolist()
+        # stretches that x has just so, and where
+        weights = np.cumprod(np.full(size, 0x9E3779B97F4A7C15, np.uint64))
+        of_x, of_y = ((np.lib.stride_tricks.sliding_window_view(mix64(z), size) * weights).sum(axis=1) for z in (x, y))
+        by_sum = np.argsort(of_x, kind="stable")
+        near = by_sum[np.minimum(np.searchsorted(of_x[by_sum], of_y), len(of_x) - 1)]
+        just = np.where(of_x[near] == of_y, near, -1)
     else:
-        sets = None
+        sets = just = None
+    equal = sorted_x[1:] == sorted_x[:-1]
+    lone = None
+    if equal.any():
+        single = np.ones(len(x), bool)
+        single[1:][equal] = single[:-1][equal] = False
+        lone = hit & single[np.minimum(at, len(x) - 1)]
     # where nothing repeats: at each shift, a start's common shingles are those whose place in x is in the window
-    exact = sets is None and 1 < len(shifts) <= 16 and bool((sorted_x[1:] != sorted_x[:-1]).all())
+    exact = sets is None and lone is None and 1 < len(shifts) <= 16
 
     def possible(starts: np.ndarray) -> np.ndarray:
         views = np.lib.stride_tricks.sliding_window_view(np.where(hit, place, -len(x) - size), size)[starts]
@@ -313,15 +325,22 @@ def similar_stretches(x: np.ndarray, y: np.ndarray, percent: int, size: int = SP
     while k + 1 < len(todo):
         k += 1
         s = todo[k]
-        if (out and s + size - 1 <= out[-1][3]) or (sets and sets[k] in failed):
+        x0 = -1 if just is None else int(just[s])
+        if (out and s + size - 1 <= out[-1][3]) or (sets and x0 < 0 and sets[k] in failed):
             continue
-        own = shift[s : s + size][hit[s : s + size]]
-        # the commonest shift, of equals the largest: where words repeat, that is the one of the stretch's first shingles
-        d = int(own.max() - np.bincount(own.max() - own).argmax())
-        x0 = min(max(0, s + d), len(x) - size)
-        p, q = np.unique(x[x0 : x0 + size]), np.unique(y[s : s + size])
-        both = len(np.intersect1d(p, q, assume_unique=True))
-        if 100 * both < percent * (len(p) + len(q) - both):
+        similar, q = x0 >= 0, np.unique(y[s : s + size])
+        # the commonest shift, of equals the largest: where words repeat, that is the one of the stretch's first
+        # shingles; before it the one of shingles that x has once
+        for which in (hit,) if lone is None else (lone, hit):
+            own = shift[s : s + size][which[s : s + size]]
+            if similar or not len(own):
+                continue
+            d = int(own.max() - np.bincount(own.max() - own).argmax())
+            x0 = min(max(0, s + d), len(x) - size)
+            p = np.unique(x[x0 : x0 + size])
+            both = len(np.intersect1d(p, q, assume_unique=True))
+            similar = 100 * both >= percent * (len(p) + len(q) - both)
+        if not similar:
             if sets:
                 failed.add(sets[k])
             elif exact and k + 1 < len(todo):
