@@ -2,61 +2,192 @@
 
 from __future__ import annotations
 
+import os
+import re
+
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from strata.functions import magic
+from strata.functions import magic, text
 from strata.functions.types import BY_NAME
 from strata.operators import claims, expand
+from strata.operators.classifiers import Limits, Verdict, ask
 from strata.plans import render
 from strata.session import checkpoint
 from strata.sources import blocks as source
 
-#: Bytes of a root item that are handed to its classifier; bounds a row, whatever follows in the file.
+#: Bytes of a root item that its classifier may see; bounds a row, whatever follows in the file.
 MAX_ITEM = 64 << 20
+#: Bytes that a classifier sees first; it is asked again with four times as much until the item's end lies inside.
+HEAD = 4096
+#: Classifiers whose refusal of the first bytes stands, whatever follows.
+FIRM = {"zlib", "video", "compression", "partitiontable", "sleuth", "jbig", "text"}
+PRINTABLE = re.compile(text.PRINTABLE.encode())
+
+
+class Reader:
+    """Bytes of a file by place; what lies in the last megabyte that was read is not read again."""
+
+    def __init__(self, f, size: int):
+        self.f, self.size, self.at, self.data = f, size, 0, b""
+
+    def read(self, at: int, n: int) -> bytes:
+        if at < self.at or at + n > self.at + len(self.data):
+            self.f.seek(at)
+            self.at, self.data = at, self.f.read(max(n, 1 << 20))
+        return self.data[at - self.at : at - self.at + n]
+
+
+def text_span(data: bytes) -> Verdict | None:
+    """How far a text reaches. Every kind of text that the cascade gives has a confidence of 50 or more."""
+    n = PRINTABLE.match(data).end()
+    return Verdict("text", 100, "TEXT", "", n) if n >= text.MIN_TEXT else None
+
 
+def _settled(v: Verdict, data: bytes) -> bool:
+    """More bytes behind the data would not change the verdict."""
+    if v.classifier == "zlib":
+        return v.confidence == 100
+    if v.classifier == "pdf":
+        return data.count(b"%%EOF") > 1
+    by_header = (v.classifier == "video" and "MP3" not in v.brief) or (v.classifier == "sleuth" and not v.length)
+    return by_header or 0 < v.length < len(data)
 
-def classify(spark: SparkSession, path: str, block_size: int = 512, start_block: int = 0, style: int = 0, max_item: int = MAX_ITEM) -> DataFrame:
-    """Lines of the report: style 0 one per block, style 1 one per identified item.
 
-    Only blocks whose signatures a classifier claims become items; constant blocks are settled by detection.
-    Items are classified and unfolded, the ordered sweep decides which of them own blocks, and every block is
-    shown with its owner.
+def span_at(reader: Reader, at: int, names: list[str], max_item: int, limits: Limits, thresholds: dict[str, int] | None) -> tuple[Verdict, int] | None:
+    """The verdict on what begins at a place, and the bytes that it takes to give it."""
+    for name in names:
+        n = HEAD
+        while True:
+            n = min(n, max_item)
+            data = reader.read(at, n)
+            v = ask([name], data, {"text": text_span}, limits, thresholds)
+            if n == max_item or at + len(data) >= reader.size or (name in FIRM if v is None else _settled(v, data)):
+                break
+            n *= 4
+        if v is not None and v.confidence > 0:
+            return v, len(data)
+    return None
+
+
+def root_items(candidates: DataFrame, path: str, block_size: int, max_item: int, limits: Limits, thresholds: dict[str, int] | None, range_blocks: int) -> DataFrame:
+    """block, claim_end (exclusive), n_bytes of the items that own blocks. Input: block, types.
+
+    Left to right, a block is looked at unless the claim of an item before it holds it. Ranges of blocks are folded
+    in parallel, first as if nothing reached into them; those that a claim does reach into are folded again from
+    its end, until nothing changes. Ranges are as long as an item may be, so two rounds are the rule, and a range
+    depends on those before it only: there are never more rounds than ranges.
+    """
+    size = os.path.getsize(path)
+
+    def fold(batches):
+        import pyarrow as pa
+
+        now, covered, reader = None, 0, None
+        with open(path, "rb") as f:
+            reader = Reader(f, size)
+            for b in batches:
+                rows = []
+                for part, block, types, entry in zip(*[c.to_pylist() for c in b.columns], strict=True):
+                    if part != now:
+                        now, covered = part, entry
+                    if block < covered:
+                        continue
+                    found = span_at(reader, block * block_size, expand.asked(types), max_item, limits, thresholds)
+                    if found:
+                        covered = block + max(1, -(-found[0].length // block_size))
+                        rows.append((part, block, covered, found[1]))
+                cols = list(zip(*rows, strict=True)) or [()] * 4
+                yield pa.RecordBatch.from_arrays([pa.array(c, pa.int64()) for c in cols], names=["part", "block", "claim_end", "n_bytes"])
+
+    dealt = candidates.select(F.expr(f"block div {range_blocks}").alias("part"), "block", "types")
+
+    def folded(rows: DataFrame) -> DataFrame:
+        ordered = rows.select("part", "block", "types", "entry").repartition("part").sortWithinPartitions("part", "block")
+        return ordered.mapInArrow(fold, "part long, block long, claim_end long, n_bytes long")
+
+    start = (F.col("part") * range_blocks).alias("entry")
+    state, entries = checkpoint(folded(dealt.withColumn("entry", start))), None
+    while True:
+        reach = state.groupBy("part").agg(F.max("claim_end").alias("exit")).where(F.col("exit") > (F.col("part") + 1) * range_blocks)
+        later = F.explode(F.sequence(F.col("part") + 1, F.expr(f"least((exit - 1) div {range_blocks}, {size // block_size // range_blocks})")))
+        found = checkpoint(reach.where(F.col("part") < size // block_size // range_blocks).select("exit", later.alias("part")).groupBy("part").agg(F.max("exit").alias("entry")))
+        if entries is None:
+            changed = found
+        else:
+            both = found.join(entries.withColumnRenamed("entry", "was"), "part", "full")
+            changed = both.where(~F.col("entry").eqNullSafe(F.col("was"))).select("part", F.coalesce("entry", start).alias("entry"))
+        if changed.isEmpty():
+            return state.drop("part")
+        again = folded(dealt.join(changed, "part"))
+        state, entries = checkpoint(state.join(changed, "part", "left_anti").unionByName(again)), found
+
+
+def constant_runs(seen: DataFrame, items: DataFrame) -> DataFrame:
+    """block, claim_end of the runs of equal constant blocks that no item claims; a run that an item reaches into begins at its end.
+
+    Input: block and fill (what the block repeats, null if it is none); block and claim_end of the items.
+    """
+    single = seen.where("fill is not null").select("fill", F.col("block").alias("pos"), F.lit(1).cast("long").alias("len"))
+    runs = claims.merge_claims(single, "fill").select(F.col("pos").alias("block"), (F.col("pos") + F.col("len")).alias("claim_end"))
+    held = claims.binned(items.select(F.col("block").alias("pos"), (F.col("claim_end") - F.col("block")).alias("len"))).withColumnRenamed("bin_", "held_bin_")
+    at = runs.withColumn("bin_", F.expr(f"block div {claims.BIN}"))
+    mine = (F.col("bin_") == F.col("held_bin_")) & (F.col("block") >= F.col("pos")) & (F.col("block") < F.col("pos") + F.col("len"))
+    start = F.coalesce(F.col("pos") + F.col("len"), "block")  # no item begins inside a run, so it is reached into at most once
+    return at.join(held, mine, "left").select(start.alias("block"), "claim_end").where("block < claim_end")
+
+
+def classify(
+    spark: SparkSession, path: str, block_size: int = 512, start_block: int = 0, style: int = 0, max_item: int = MAX_ITEM,
+    limits: Limits = Limits(), thresholds: dict[str, int] | None = None, range_blocks: int | None = None,  # noqa: B008  frozen
+) -> DataFrame:
+    """Lines of the report: style 0 one per block, style 1 one per identified item, style 2 one per item and constant run.
+
+    Only blocks whose signatures a classifier claims and that no item before them holds are looked at, each with as
+    many bytes as its end needs; constant blocks are settled by detection. Items that own blocks are classified and
+    unfolded, and every block is shown with its owner. An item that ``max_item`` bytes do not hold says TRUNCATED.
     """
     source.register(spark)
     scanned = spark.read.format("blocks").option("path", path).option("blockSize", block_size).option("startBlock", start_block).load()
-    seen = scanned.select("block", magic.detect(F.col("window"), block_size).alias("types"))
-    seen = checkpoint(seen)
     constant = F.col("types") == F.array(F.lit(BY_NAME["CONSTANT"]))  # a text of one letter is a text
+    seen = scanned.select("block", magic.detect(F.col("window"), block_size).alias("types"), F.hex(F.substring("window", 1, 4)).alias("fill"))
+    seen = checkpoint(seen.withColumn("fill", F.when(constant, F.col("fill"))))
     candidates = seen.where((F.size(F.array_except("types", F.array(F.lit(BY_NAME["UNIDENTIFIED"]), F.lit(BY_NAME["CONSTANT"])))) > 0) & ~constant)
+    kept = root_items(candidates, path, block_size, max_item, limits, thresholds, range_blocks or max(1, max_item // block_size))
+    if style == 2:
+        runs = constant_runs(seen, kept).select("block", "claim_end", F.lit("Constant").alias("brief"))
 
     def cut(batches):
         import pyarrow as pa
 
         with open(path, "rb") as f:
+            reader = Reader(f, 0)
             for b in batches:
-                for block in b.column(0).to_pylist():
-                    f.seek(block * block_size)
-                    yield pa.RecordBatch.from_arrays([pa.array([block]), pa.array([f.read(max_item)], pa.binary())], names=["block", "payload"])
+                for block, n in zip(*[c.to_pylist() for c in b.columns], strict=True):
+                    payload = reader.read(block * block_size, n)
+                    yield pa.RecordBatch.from_arrays([pa.array([block]), pa.array([payload], pa.binary())], names=["block", "payload"])
 
-    items = expand.roots(candidates.select("block").mapInArrow(cut, "block long, payload binary"), "block", "payload")
-    found = checkpoint(expand.expand(items))
+    items = expand.roots(kept.select("block", "n_bytes").mapInArrow(cut, "block long, payload binary"), "block", "payload")
+    found = checkpoint(expand.expand(items, limits=limits, thresholds=thresholds))
     top = found.where("depth = 0 and confidence > 0").select(F.col("root").alias("block"), "length", "brief", "description", "path", "confidence")
-    span = F.greatest(F.lit(1).cast("long"), F.call_function("div", F.col("length") + (block_size - 1), F.lit(block_size)))
-    sweep_in = top.select(F.lit(path).alias("source"), "block", (F.col("block") + span).alias("claim_end"), F.lit(False).alias("constant"))
-    kept = checkpoint(claims.accept_sweep(sweep_in, "source").select("block"))
-    owners = top.join(kept, "block")
-    claimed = owners.select(F.lit(path).alias("source"), F.col("block").alias("pos"), span.alias("len"), F.col("block").alias("owner"))
-    by_block = claims.first_writer(claimed, "source", "owner", "owner").select("block", "owner")
+    whole = kept.select("block", "claim_end", (F.col("n_bytes") == max_item).alias("full"))
+    bounded = F.col("full") & ((F.col("length") == 0) | (F.col("length") >= max_item)) & ~F.contains("description", F.lit("TRUNCATED"))
+    owners = checkpoint(top.join(whole, "block").withColumn("description", F.when(bounded, F.concat("description", F.lit(" TRUNCATED"))).otherwise(F.col("description"))))
+    if style == 2:
+        rows = owners.select("block", "claim_end", "brief").unionByName(runs)
+        return rows.select((F.col("block") * block_size).alias("offset"), F.format_string("%13d %-12s # %d blocks", F.col("block") * block_size, "brief", F.col("claim_end") - F.col("block")).alias("line")).orderBy("offset")
+    if style == 1:
+        told = F.when(F.col("depth") == 0, F.col("root") * block_size).alias("abs_off")
+        marked = found.join(owners.select("path", F.col("description").alias("own")), "path", "left")
+        return render.path_lines(marked.select("path", "brief", F.coalesce("own", "description").alias("description"), "confidence", told)).orderBy("path")
     depth = found.agg(F.max("depth")).first()[0] or 0
     ordered = found.withColumn("ord", F.element_at(F.split("node", "/"), -1).cast("long"))
     shown = render.nested_text(ordered, depth).withColumnRenamed("node", "path")
-    if style == 1:
-        own = found.join(kept.withColumnRenamed("block", "root"), "root")
-        placed = own.select("path", "brief", "description", "confidence", F.when(F.col("depth") == 0, F.col("root") * block_size).alias("abs_off"))
-        return render.path_lines(placed).orderBy("path")
+    held = claims.binned(owners.select(F.lit(path).alias("source"), F.col("block").alias("pos"), (F.col("claim_end") - F.col("block")).alias("len"), F.col("block").alias("owner")))
+    at = seen.withColumn("bin_", F.expr(f"block div {claims.BIN}"))
+    mine = (at["bin_"] == held["bin_"]) & (at["block"] >= held["pos"]) & (at["block"] < held["pos"] + held["len"])
     told = owners.join(shown, "path", "left").select(F.col("block").alias("owner"), F.coalesce("shown", "brief").alias("brief"), "description", "path")
-    rows = seen.join(by_block, "block", "left").join(told, "owner", "left").select(
+    rows = at.join(held, mine, "left").select("block", "types", "owner").join(told, "owner", "left").select(
         (F.col("block") * block_size).alias("offset"),
         F.coalesce("brief", F.when(constant, "Constant").otherwise("Unidentified")).alias("brief"), "description",
         F.coalesce("path", F.concat(F.lit("/src/"), F.col("block").cast("string"))).alias("path"),

@@ -54,27 +54,57 @@ def base64_confidence(text: Column) -> Column:
     return F.when(~text.rlike(BASE64), 0).when(whole, 100).otherwise(60)
 
 
-def csv_look(text: Column, delimiter: str, lines: int) -> Column:
+def named(value: Column, use) -> Column:
+    """``use(value)`` with the value computed once, and only where the whole is asked for."""
+    return F.get(F.transform(F.array(value), use), 0)
+
+
+def csv_lines(text: Column) -> Column:
+    """The lines that the longest look needs; what follows them is not split."""
+    most = CSV_LOOKS[-1][0]
+    return F.slice(F.split(text, "\n", most + 1), 1, most)
+
+
+def delimiter_counts(lines: Column, delimiter: Column) -> Column:
+    """Delimiters of every line; null for lines of two characters or fewer."""
+    return F.transform(lines, lambda x: F.when(F.length(x) > 2, (F.length(x) - F.length(F.replace(x, delimiter, F.lit("")))).cast("double")))
+
+
+def csv_look(counts: Column, lines: int) -> Column:
     """(1 - sd / mean) * 100 of delimiters per line, 0 where they vary more than their mean, the median is below 1,
     or fewer than two lines of over two characters exist."""
-    usable = F.filter(F.slice(F.split(text, "\n"), 1, lines), lambda x: F.length(x) > 2)
-    counts = F.array_sort(F.transform(usable, lambda x: (F.length(x) - F.length(F.replace(x, F.lit(delimiter), F.lit("")))).cast("double")))
+    usable = F.array_sort(F.filter(F.slice(counts, 1, lines), lambda x: x.isNotNull()))
 
-    def confidence(c: Column) -> Column:
+    def spread(c: Column, mean: Column) -> Column:
         n = F.size(c)
-        mean = F.aggregate(c, F.lit(0.0), lambda s, x: s + x) / n
         sd = F.sqrt(F.aggregate(c, F.lit(0.0), lambda s, x: s + (x - mean) * (x - mean)) / (n - 1))
         middle = F.floor((n - 1) / 2).cast("int")
         median = (F.get(c, middle) + F.get(c, (n - 1) - middle)) / 2
-        return F.when((n < 2) | (mean == 0), 0.0).when((sd / mean > 1) | (median < 1), 0.0).otherwise((1 - sd / mean) * 100)
+        ratio = lambda r: F.when((r > 1) | (median < 1), 0.0).otherwise((1 - r) * 100)
+        return F.when((n < 2) | (mean == 0), 0.0).otherwise(named(sd / mean, ratio))
 
-    return F.get(F.transform(F.array(counts), confidence), 0)
+    mean = lambda c: F.aggregate(c, F.lit(0.0), lambda s, x: s + x) / F.size(c)
+    return named(usable, lambda c: F.when(F.size(c) < 2, 0.0).otherwise(named(mean(c), lambda m: spread(c, m))))
 
 
-def csv_confidence(text: Column, delimiter: str) -> Column:
+def _csv_of_counts(counts: Column) -> Column:
     (short, low), (long_, high) = CSV_LOOKS
-    second = csv_look(text, delimiter, long_)
-    return F.when((csv_look(text, delimiter, short) >= low) & (second >= high), second).otherwise(0.0)
+    second = lambda: named(csv_look(counts, long_), lambda s: F.when(s >= high, s).otherwise(0.0))
+    return F.when(csv_look(counts, short) >= low, second()).otherwise(0.0)
+
+
+def csv_confidence(text: Column, delimiter: str) -> Column:
+    return named(delimiter_counts(csv_lines(text), F.lit(delimiter)), _csv_of_counts)
+
+
+def first_csv_confidence(text: Column) -> Column:
+    """Confidence for the first delimiter that gives one; null without."""
+
+    def of(lines: Column) -> Column:
+        each = F.transform(F.array(*map(F.lit, CSV_DELIMITERS)), lambda d: named(delimiter_counts(lines, d), _csv_of_counts))
+        return F.get(F.filter(each, lambda c: c > 0), 0)
+
+    return named(csv_lines(text), of)
 
 
 def log_confidence(text: Column) -> Column:
@@ -85,12 +115,11 @@ def log_confidence(text: Column) -> Column:
 
 
 def verdict(text: Column) -> Column:
-    """struct(brief, confidence) of a printable prefix; null where it is under 32 characters."""
+    """struct(brief, confidence) of a printable prefix; null where it is under 32 characters. Each value is computed once, in its branch."""
     kind = lambda brief, confidence: F.struct(F.lit(brief).alias("brief"), confidence.cast("int").alias("confidence"))
-    xml, html, b64 = xml_confidence(text), html_confidence(text), base64_confidence(text)
-    asked = F.when(F.length(text) < MIN_TEXT, None).when(text.rlike(BLANK), kind("WHITESPACE", F.lit(100)))
-    asked = asked.when((xml >= 50) & (html >= 50), kind("HTML", html)).when(xml >= 50, kind("XML", xml))
-    asked = asked.when(text.rlike(HEX), kind("HEX", F.lit(100))).when(b64 > 0, kind("BASE64", b64)).when(text.rlike(BASE85), kind("BASE85", F.lit(100)))
-    for d in CSV_DELIMITERS:
-        asked = asked.when(csv_confidence(text, d) > 0, kind("CSV", F.floor(csv_confidence(text, d))))
-    return asked.when(log_confidence(text) >= 50, kind("LOG", log_confidence(text))).otherwise(kind("TEXT", F.lit(100)))
+    marked = lambda xml: named(html_confidence(text), lambda h: F.when(h >= 50, kind("HTML", h)).otherwise(kind("XML", xml)))
+    log = lambda: named(log_confidence(text), lambda c: F.when(c >= 50, kind("LOG", c)).otherwise(kind("TEXT", F.lit(100))))
+    csv = lambda: named(first_csv_confidence(text), lambda c: F.when(c > 0, kind("CSV", F.floor(c))).otherwise(log()))
+    coded = F.when(text.rlike(HEX), kind("HEX", F.lit(100))).when(text.rlike(BASE64), kind("BASE64", base64_confidence(text))).when(text.rlike(BASE85), kind("BASE85", F.lit(100)))
+    asked = named(xml_confidence(text), lambda xml: F.when(xml >= 50, marked(xml)).otherwise(coded.otherwise(csv())))
+    return F.when(F.length(text) < MIN_TEXT, None).when(text.rlike(BLANK), kind("WHITESPACE", F.lit(100))).otherwise(asked)

@@ -7,11 +7,18 @@ are approximate.
 
 from __future__ import annotations
 
+import signal
+import threading
+from collections.abc import Iterator, Mapping
+from contextlib import contextmanager
 from dataclasses import dataclass, field
 from functools import partial
 
 MAX_DEPTH = 16
 THRESHOLD = 50
+#: Seconds that a classifier may take for one item, where it has no time of its own; None is no end (fixed values).
+TIMEOUT = 60.0
+TIMEOUTS = {"compression": 600.0, "sleuth": None}
 
 
 @dataclass(frozen=True)
@@ -24,6 +31,7 @@ class Limits:
     child_bytes: int | None = 64 << 20
     zlib_input: int | None = 10_000_000
     zlib_ratio: int | None = 10
+    timeouts: Mapping[str, float | None] = field(default_factory=lambda: dict(TIMEOUTS), hash=False)
 
 
 #: No bound at all, for inputs that are trusted.
@@ -57,15 +65,39 @@ def known(limits: Limits = Limits()):  # noqa: B008  frozen
     return own | {"compression": partial(archive.classify, limits=limits), "zlib": partial(zlib_.classify, limits=limits)} | _registered
 
 
+@contextmanager
+def within(seconds: float | None) -> Iterator[None]:
+    """Raises TimeoutError in what runs longer. Signals reach the main thread only, so elsewhere nothing is bounded;
+    Python workers of Spark run functions in theirs. A call into compiled code is left when it returns."""
+    if not seconds or threading.current_thread() is not threading.main_thread():
+        yield
+        return
+
+    def late(*_):
+        raise TimeoutError(f"no answer within {seconds} seconds")
+
+    before = signal.signal(signal.SIGALRM, late)
+    signal.setitimer(signal.ITIMER_REAL, seconds)
+    try:
+        yield
+    finally:
+        signal.setitimer(signal.ITIMER_REAL, 0)
+        signal.signal(signal.SIGALRM, before)
+
+
 def ask(names: list[str], data: bytes, extra: dict | None = None, limits: Limits = Limits(), thresholds: dict[str, int] | None = None) -> Verdict | None:  # noqa: B008
-    """The first verdict at or above its classifier's threshold (``thresholds``, else the general one), in the given order."""
+    """The first verdict at or above its classifier's threshold (``thresholds``, else the general one), in the given order.
+
+    A classifier that raises or takes longer than its time gives none.
+    """
     functions = known(limits) | (extra or {})
     for name in names:
         f = functions.get(name)
         if f is None:
             continue
         try:
-            v = f(data)
+            with within(limits.timeouts.get(name, TIMEOUT)):
+                v = f(data)
         except Exception:  # noqa: BLE001  a broken input or classifier must not take the item with it
             continue
         if v is not None and v.confidence >= (thresholds or {}).get(name, THRESHOLD):

@@ -36,6 +36,14 @@ def decode_text(brief: str, body: str) -> bytes:
     return b""
 
 
+OWNER = {code: k for code, _, _, k in TYPES}
+
+
+def asked(types: list[int]) -> list[str]:
+    """Names of the classifiers that claim one of the types, in the order in which they are asked."""
+    return sorted({OWNER[t] for t in types if OWNER.get(t)}, key=lambda n: (PRECEDENCE.index(n) if n in PRECEDENCE else len(PRECEDENCE), n))
+
+
 def classify_items(items: DataFrame, limits: Limits = Limits(), thresholds: dict[str, int] | None = None) -> DataFrame:  # noqa: B008  frozen
     """Verdict, digest and children of every item; an item without payload is unidentified. Detection and the text cascade are native; formats are parsed in Arrow batches."""
     prefix = text.printable_prefix(F.col("payload"))
@@ -43,14 +51,13 @@ def classify_items(items: DataFrame, limits: Limits = Limits(), thresholds: dict
     seen = items.withColumn("types", magic.detect(F.substring("payload", 1, 2048))).withColumn("prefix", prefix)
     is_text = F.arrays_overlap("types", F.array(*[F.lit(c) for c, _, _, k in TYPES if k == "text"]))
     seen = seen.withColumn("text", F.when(is_text, text.verdict(F.col("prefix"))))
-    owner = {code: k for code, _, _, k in TYPES}
     constant = BY_NAME["CONSTANT"]
 
     def run(batches):
         for b in batches:
             rows = []
             for r in b.to_pylist():
-                names = sorted({owner[t] for t in r["types"] if owner.get(t)}, key=lambda n: (PRECEDENCE.index(n) if n in PRECEDENCE else 99, n))
+                names = asked(r["types"])
                 found = r["text"]
                 text_verdict = None
                 if found is not None:

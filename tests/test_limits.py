@@ -82,3 +82,19 @@ def test_items_without_payload(spark):
     got = {r["root"]: r["confidence"] for r in found.where("depth = 0").collect()}
     assert got == {1: -1, 2: -1, 3: 100} and found.where(F.col("depth") == 1).count() == 1
     assert expand.expand(expand.roots(rows.limit(0), "id", "data")).count() == 0
+
+
+def test_a_hanging_classifier_is_left(monkeypatch):
+    import time
+
+    monkeypatch.setattr(classifiers, "_registered", {})
+
+    def hang(data):
+        while True:
+            time.sleep(0.01)
+
+    classifiers.register("hang", hang)
+    classifiers.register("mine", lambda data: Verdict("mine", 60, "MINE", "made"))
+    began = time.monotonic()
+    assert ask(["hang", "mine"], b"x", limits=Limits(timeouts={"hang": 0.2})).classifier == "mine"
+    assert time.monotonic() - began < 5
