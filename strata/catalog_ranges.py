@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from strata import api
 from strata.functions.types import BY_NAME
 from strata.operators import claims, routing
 from strata.operators.classifiers import Verdict
@@ -179,3 +180,18 @@ def thresholds_per_classifier(spark, d):
             yield pa.RecordBatch.from_arrays([b.column(0).cast(pa.int64()), pa.array([v.classifier for v in out]), pa.array([v.confidence for v in out], pa.int32())], names=["s_suppkey", "classifier", "confidence"])
 
     return read(spark, d, "supplier").select("s_suppkey").mapInArrow(run, "s_suppkey long, classifier string, confidence int")
+
+
+_FILL = "CASE WHEN event_id % 50 = 0 THEN NULL ELSE CAST({div} % 3 AS VARCHAR{n}) END"
+
+
+@query(
+    f"WITH s AS (SELECT event_id AS b, {_FILL.format(div='(event_id // 7)', n='')} AS fill FROM events), r AS (SELECT min(b) AS b, max(b) + 1 AS e FROM (SELECT fill, b, b - row_number() OVER (PARTITION BY fill ORDER BY b) AS g FROM s WHERE fill IS NOT NULL) GROUP BY fill, g), "
+    "i AS (SELECT event_id AS pos, event_id + 1 + (event_id // 50) % 40 AS e FROM events WHERE event_id % 50 = 0) SELECT * FROM (SELECT coalesce(i.e, r.b) AS block, r.e AS claim_end FROM r LEFT JOIN i ON r.b >= i.pos AND r.b < i.e) WHERE block < claim_end"
+)
+def constant_run_split(spark, d):
+    """Runs of equal constant blocks that no item claims, cut where an item reaches into them."""
+    events = read(spark, d, "events")
+    seen = events.select(F.col("event_id").alias("block"), F.expr(_FILL.format(div="(event_id div 7)", n="(2)")).alias("fill"))
+    items = events.where("event_id % 50 = 0").select(F.col("event_id").alias("block"), F.expr("event_id + 1 + (event_id div 50) % 40").alias("claim_end"))
+    return api.constant_runs(seen, items)
