@@ -18,6 +18,8 @@ ORACLE_SQL: dict[str, str] = {}
 
 def query(sql: str):
     def add(f):
+        if f.__name__ in QUERIES:
+            raise ValueError(f"two queries are named {f.__name__}")
         QUERIES[f.__name__] = f
         ORACLE_SQL[f.__name__] = sql
         return f
@@ -189,7 +191,7 @@ _FILL = "CASE WHEN event_id % 50 = 0 THEN NULL ELSE CAST({div} % 3 AS VARCHAR{n}
     f"WITH s AS (SELECT event_id AS b, {_FILL.format(div='(event_id // 7)', n='')} AS fill FROM events), r AS (SELECT min(b) AS b, max(b) + 1 AS e FROM (SELECT fill, b, b - row_number() OVER (PARTITION BY fill ORDER BY b) AS g FROM s WHERE fill IS NOT NULL) GROUP BY fill, g), "
     "i AS (SELECT event_id AS pos, event_id + 1 + (event_id // 50) % 40 AS e FROM events WHERE event_id % 50 = 0) SELECT * FROM (SELECT coalesce(i.e, r.b) AS block, r.e AS claim_end FROM r LEFT JOIN i ON r.b >= i.pos AND r.b < i.e) WHERE block < claim_end"
 )
-def constant_run_split(spark, d):
+def unclaimed_constant_runs(spark, d):
     """Runs of equal constant blocks that no item claims, cut where an item reaches into them."""
     events = read(spark, d, "events")
     seen = events.select(F.col("event_id").alias("block"), F.expr(_FILL.format(div="(event_id div 7)", n="(2)")).alias("fill"))
