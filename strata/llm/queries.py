@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from strata.llm import bpe, chroma, minhash, packing, pfor, quality, sharding, toxicity, urllists, windows
+from strata.llm import bpe, chroma, minhash, packing, pfor, quality, sharding, streamdedup, toxicity, urllists, windows
 
 QUERIES = {
     "op1_quality_cascade": quality.op1_quality_cascade,
@@ -15,6 +15,7 @@ QUERIES = {
     "op8_slack_packing": packing.op8_slack_packing,
     "op9_feistel_shards": sharding.op9_feistel_shards,
     "op10_circulant_minhash": minhash.op10_circulant_minhash,
+    "op11_stream_dedup": streamdedup.op11_stream_dedup,
 }
 
 ORACLE_SQL = {
@@ -22,4 +23,5 @@ ORACLE_SQL = {
     "op3_temporal_list": urllists.OP3_SQL,
     "op9_feistel_shards": sharding.op9_sql(),
     "op10_circulant_minhash": minhash.OP10_SQL,
+    "op11_stream_dedup": streamdedup.OP11_SQL,
 }
