@@ -29,7 +29,7 @@ from pyspark.sql import functions as F
 from strata.llm.common import remove, shared_path
 
 #: Characters that do not count (fixed values: space and 9 to 13).
-BLANKS = " \t\n\x0b\x0c\r"
+OFTEN, SELDOM = " \n", "\t\x0b\x0c\r"
 #: At most so many digests can each hold more than this share of all rows; they are broadcast.
 HOT_SHARE = 50_000
 #: Digests with hits are broadcast up to this many (some 100 bytes each); beyond it all texts are summed.
@@ -58,8 +58,14 @@ def settings(spark: SparkSession, values: dict[str, str]):
 
 
 def normalised(text: Column) -> Column:
-    """The text without white space; null is empty."""
-    return F.translate(F.coalesce(text, F.lit("")), BLANKS, "")
+    """The text without white space; null is empty. The four rare characters are looked for only where one is there."""
+    out = text = F.coalesce(text, F.lit(""))
+    for c in OFTEN:
+        out = F.replace(out, F.lit(c), F.lit(""))
+    every = out
+    for c in SELDOM:
+        every = F.replace(every, F.lit(c), F.lit(""))
+    return F.when(text.rlike(f"[{SELDOM}]"), every).otherwise(out)
 
 
 def sha256(text: Column) -> Column:
@@ -105,10 +111,8 @@ def held(spark: SparkSession, at: str) -> DataFrame:
     return state.select(F.col("key")[key].alias("digest"), value[names["n"]].alias("n"), best["id"].alias("keep_id"), best["file"].alias("keep_file"), best["row"].alias("keep_row"))
 
 
-def mixed_digests(rows: DataFrame, hits: DataFrame, n_hits: int) -> DataFrame:
-    """Digests (of ``hits``) that stand for texts which differ in some byte."""
-    if n_hits <= BROADCAST_ROWS:
-        rows = rows.join(F.broadcast(hits.select("digest")), "digest", "left_semi")
+def mixed_digests(rows: DataFrame) -> DataFrame:
+    """Digests that stand for texts which differ in some byte, among rows (digest, body)."""
     sums = rows.groupBy("digest").agg(F.min("body").alias("least"), F.max("body").alias("greatest"))
     return sums.where("least != greatest").select("digest")
 
@@ -119,9 +123,12 @@ def resolve(spark: SparkSession, source: str, at: str, id_col: str = "doc_id", t
     state = spark.read.parquet(f"{at}/held")
     n, multi = state.agg(F.coalesce(F.sum("n"), F.lit(0)), F.count_if(F.col("n") > 1)).first()
     texts = _seen(spark.read.parquet(source), id_col, text_col, digest)
-    texts.select("id", "file", "row", "digest").write.mode("overwrite").parquet(f"{at}/rows")
-    rows = spark.read.parquet(f"{at}/rows")
-    mixed_digests(texts, state.where("n > 1"), multi).write.mode("overwrite").parquet(f"{at}/mixed")
+    few = multi <= BROADCAST_ROWS  # then the hits' bodies are kept by the pass that makes the rows
+    marked = texts.join(F.broadcast(state.where("n > 1").select("digest", F.lit(True).alias("hit"))), "digest", "left") if few else texts.withColumn("hit", F.lit(False))
+    marked.select("id", "points", "file", "row", "digest", F.when(F.col("hit"), F.col("body")).alias("body")).write.mode("overwrite").parquet(f"{at}/rows")
+    kept = spark.read.parquet(f"{at}/rows")
+    rows = kept.select("id", "file", "row", "digest")
+    mixed_digests(kept.where("body is not null") if few else texts).write.mode("overwrite").parquet(f"{at}/mixed")
     mixed = spark.read.parquet(f"{at}/mixed")
 
     def told(df: DataFrame) -> DataFrame:
@@ -131,7 +138,7 @@ def resolve(spark: SparkSession, source: str, at: str, id_col: str = "doc_id", t
     n_mixed = mixed.count()
     if n_mixed:
         state = state.join(mixed, "digest", "left_anti")
-        apart = texts.join(F.broadcast(mixed) if n_mixed <= BROADCAST_ROWS else mixed, "digest", "left_semi")
+        apart = (kept if few else texts).join(F.broadcast(mixed) if n_mixed <= BROADCAST_ROWS else mixed, "digest", "left_semi")
         groups = apart.groupBy("digest", "body").agg(F.count("*").alias("n"), _best().alias("best")).select("digest", "body", "n", F.col("best.id").alias("keep_id"), F.col("best.file").alias("keep_file"), F.col("best.row").alias("keep_row"))
         told(apart.join(groups, ["digest", "body"])).write.mode("overwrite").parquet(f"{at}/apart")
     hot = F.col("n") > max(1000, n // HOT_SHARE)
