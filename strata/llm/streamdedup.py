@@ -41,6 +41,8 @@ STATE = {
     "spark.sql.streaming.stateStore.rocksdb.changelogCheckpointing.enabled": "true",
     "spark.sql.streaming.stateStore.rocksdb.boundedMemoryUsage": "true",
     "spark.sql.streaming.stateStore.rocksdb.maxMemoryUsageMB": "200",
+    "spark.sql.streaming.stateStore.rocksdb.allowFAllocate": "false",  # else each part of the state sets 4 MB of disk aside
+    "spark.sql.streaming.stateStore.maintenanceInterval": "10s",  # parts that no stream uses any more are let go of
 }
 
 
