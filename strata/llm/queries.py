@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from strata.llm import bpe, chroma, minhash, packing, pfor, quality, sharding, streamdedup, toxicity, urllists, windows
+from strata.llm import bpe, chroma, minhash, packing, pfor, prefixtree, quality, sharding, streamdedup, toxicity, urllists, windows
 
 QUERIES = {
     "op1_quality_cascade": quality.op1_quality_cascade,
@@ -16,6 +16,7 @@ QUERIES = {
     "op9_feistel_shards": sharding.op9_feistel_shards,
     "op10_circulant_minhash": minhash.op10_circulant_minhash,
     "op11_stream_dedup": streamdedup.op11_stream_dedup,
+    "op12_prefix_tree": prefixtree.op12_prefix_tree,
 }
 
 ORACLE_SQL = {
@@ -24,4 +25,5 @@ ORACLE_SQL = {
     "op9_feistel_shards": sharding.op9_sql(),
     "op10_circulant_minhash": minhash.OP10_SQL,
     "op11_stream_dedup": streamdedup.OP11_SQL,
+    "op12_prefix_tree": prefixtree.OP12_SQL,
 }
