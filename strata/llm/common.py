@@ -103,13 +103,17 @@ def shingle_hashes(words: np.ndarray, width: int) -> np.ndarray:
 _SPACES = np.isin(np.arange(256), [9, 10, 11, 12, 13, 32])
 _VALUES = np.random.default_rng(29).integers(1, 1 << 63, 256, dtype=np.uint64) * np.uint64(2) + np.uint64(1)
 _VALUES[65:91] = _VALUES[97:123]
-_VALUES[_SPACES] = 0
 _BASE = 0x9E3779B97F4A7C15
+#: Values that do not tell white space from letters, for other ways to part words.
+LETTER_VALUES = _VALUES.copy()
+_VALUES[_SPACES] = 0
 
 
-def word_hashes(column: pa.Array) -> tuple[np.ndarray, np.ndarray]:
+def word_hashes(column: pa.Array, spaces: np.ndarray = _SPACES, values: np.ndarray = _VALUES) -> tuple[np.ndarray, np.ndarray]:
     """64-bit hashes of the lower-cased (A-Z) words of all texts of a column, and where each text's begin (one more at the end).
 
+    ``spaces`` says which bytes part words; ``values`` must be 0 there.
+
     A word's hash is the sum of its bytes' values times powers of ``_BASE``, mixed. All texts are hashed in one pass;
     null is empty.
     """
@@ -121,7 +125,7 @@ def word_hashes(column: pa.Array) -> tuple[np.ndarray, np.ndarray]:
         return np.zeros(0, np.uint64), np.zeros(len(arr) + 1, np.int64)
     data = np.frombuffer(arr.buffers()[2], np.uint8)[offsets[0] : offsets[-1]]
     offsets = offsets - offsets[0]
-    letter = ~_SPACES[data]
+    letter = ~spaces[data]
     opens = letter.copy()
     opens[1:] &= ~letter[:-1]
     edges = offsets[:-1][np.diff(offsets) > 0]
@@ -131,7 +135,7 @@ def word_hashes(column: pa.Array) -> tuple[np.ndarray, np.ndarray]:
         return np.zeros(0, np.uint64), np.zeros(len(arr) + 1, np.int64)
     place = np.arange(begin[0], len(data)) - np.repeat(begin, np.diff(np.append(begin, len(data))))
     powers = np.cumprod(np.full(int(place.max()) + 1, _BASE, np.uint64))
-    sums = np.add.reduceat(_VALUES[data[begin[0] :]] * powers[place], begin - begin[0])
+    sums = np.add.reduceat(values[data[begin[0] :]] * powers[place], begin - begin[0])
     return mix64(sums), np.searchsorted(begin, offsets)
 
 

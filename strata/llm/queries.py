@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from strata.llm import bpe, chroma, minhash, packing, pfor, prefixtree, quality, sharding, streamdedup, toxicity, urllists, windows
+from strata.llm import bpe, chroma, minhash, packing, pfor, prefixtree, quality, sharding, streamdedup, toxicity, urllists, wavelet, windows
 
 QUERIES = {
     "op1_quality_cascade": quality.op1_quality_cascade,
@@ -17,6 +17,7 @@ QUERIES = {
     "op10_circulant_minhash": minhash.op10_circulant_minhash,
     "op11_stream_dedup": streamdedup.op11_stream_dedup,
     "op12_prefix_tree": prefixtree.op12_prefix_tree,
+    "op13_wavelet_search": wavelet.op13_wavelet_search,
 }
 
 ORACLE_SQL = {
@@ -26,4 +27,5 @@ ORACLE_SQL = {
     "op10_circulant_minhash": minhash.OP10_SQL,
     "op11_stream_dedup": streamdedup.OP11_SQL,
     "op12_prefix_tree": prefixtree.OP12_SQL,
+    "op13_wavelet_search": wavelet.OP13_SQL,
 }
