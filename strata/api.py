@@ -4,20 +4,24 @@ from __future__ import annotations
 
 import os
 import re
+from contextlib import contextmanager
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from strata import config
 from strata.functions import magic, text
 from strata.functions.types import BY_NAME
 from strata.operators import claims, expand
-from strata.operators.classifiers import Limits, Verdict, ask
+from strata.operators.classifiers import MAX_DEPTH, VIEWED, Limits, Registry, Verdict, ask, registry
 from strata.plans import render
 from strata.session import checkpoint
 from strata.sources import blocks as source
+from strata.sources.views import Extents, Reader
 
-#: Bytes of a root item that its classifier may see; bounds a row, whatever follows in the file.
-MAX_ITEM = 64 << 20
+#: Bytes of a root item that its classifier may see (fixed value: the most that a text may have); bounds a row, whatever
+#: follows in the file. Classifiers that take views read what they need of the rest of the file.
+MAX_ITEM = 104_857_600
 #: Bytes that a classifier sees first; it is asked again with four times as much until the item's end lies inside.
 HEAD = 4096
 #: Classifiers whose refusal of the first bytes stands, whatever follows.
@@ -25,19 +29,6 @@ FIRM = {"zlib", "video", "compression", "partitiontable", "sleuth", "jbig", "tex
 PRINTABLE = re.compile(text.PRINTABLE.encode())
 
 
-class Reader:
-    """Bytes of a file by place; what lies in the last megabyte that was read is not read again."""
-
-    def __init__(self, f, size: int):
-        self.f, self.size, self.at, self.data = f, size, 0, b""
-
-    def read(self, at: int, n: int) -> bytes:
-        if at < self.at or at + n > self.at + len(self.data):
-            self.f.seek(at)
-            self.at, self.data = at, self.f.read(max(n, 1 << 20))
-        return self.data[at - self.at : at - self.at + n]
-
-
 def text_span(data: bytes) -> Verdict | None:
     """How far a text reaches. Every kind of text that the cascade gives has a confidence of 50 or more."""
     n = PRINTABLE.match(data).end()
@@ -54,15 +45,16 @@ def _settled(v: Verdict, data: bytes) -> bool:
     return by_header or 0 < v.length < len(data)
 
 
-def span_at(reader: Reader, at: int, names: list[str], max_item: int, limits: Limits, thresholds: dict[str, int] | None) -> tuple[Verdict, int] | None:
+def span_at(reader: Reader, at: int, names: list[str], max_item: int, limits: Limits, reg: Registry | None = None) -> tuple[Verdict, int] | None:
     """The verdict on what begins at a place, and the bytes that it takes to give it."""
     for name in names:
         n = HEAD
         while True:
             n = min(n, max_item)
             data = reader.read(at, n)
-            v = ask([name], data, {"text": text_span}, limits, thresholds)
-            if n == max_item or at + len(data) >= reader.size or (name in FIRM if v is None else _settled(v, data)):
+            whole = Extents(reader, [(at, reader.size - at)]) if name in VIEWED else None
+            v = ask([name], data, {"text": text_span}, limits, None, reg, whole)
+            if whole or n == max_item or at + len(data) >= reader.size or (name in FIRM if v is None else _settled(v, data)):
                 break
             n *= 4
         if v is not None and v.confidence > 0:
@@ -70,127 +62,138 @@ def span_at(reader: Reader, at: int, names: list[str], max_item: int, limits: Li
     return None
 
 
-def root_items(candidates: DataFrame, path: str, block_size: int, max_item: int, limits: Limits, thresholds: dict[str, int] | None, range_blocks: int) -> DataFrame:
-    """block, claim_end (exclusive), n_bytes of the items that own blocks. Input: block, types.
+def claimed(v: Verdict, block: int, block_size: int, blocks: int) -> list[tuple[int, int]]:
+    """Ranges (pos, len) of blocks that an item at a block claims: those whose first bytes it is made of, and its own block."""
+    if not v.ranges:
+        return [(block, max(1, -(-v.length // block_size)))]
+    spans, out = {(block, block + 1)}, []
+    for offset, n in v.ranges:
+        first, last = block + -(-offset // block_size), block + (offset + n - 1) // block_size
+        if block <= first <= last:
+            spans.add((first, min(last + 1, blocks)))
+    for first, end in sorted(x for x in spans if x[0] < x[1]):
+        if out and first <= out[-1][1]:
+            out[-1] = (out[-1][0], max(end, out[-1][1]))
+        else:
+            out.append((first, end))
+    return [(first, end - first) for first, end in out]
 
-    Left to right, a block is looked at unless the claim of an item before it holds it. Ranges of blocks are folded
-    in parallel, first as if nothing reached into them; those that a claim does reach into are folded again from
-    its end, until nothing changes. Ranges are as long as an item may be, so two rounds are the rule, and a range
-    depends on those before it only: there are never more rounds than ranges.
-    """
-    size = os.path.getsize(path)
 
-    def fold(batches):
-        import pyarrow as pa
+def root_items(
+    candidates: DataFrame, path: str, block_size: int, max_item: int, limits: Limits, thresholds: dict[str, int] | None, range_blocks: int, reg: Registry | None = None
+) -> DataFrame:
+    """block, claim_end (exclusive, of the range that the item's block is in), ranges, n_bytes (those that its classifier
+    takes; -1: it takes a view) of the items that own blocks. Input: block, types. See ``claims.fold_claims``."""
+    size, reg = os.path.getsize(path), registry(reg, thresholds)
+    blocks = -(-size // block_size)
 
-        now, covered, reader = None, 0, None
+    @contextmanager
+    def opened():
         with open(path, "rb") as f:
             reader = Reader(f, size)
-            for b in batches:
-                rows = []
-                for part, block, types, entry in zip(*[c.to_pylist() for c in b.columns], strict=True):
-                    if part != now:
-                        now, covered = part, entry
-                    if block < covered:
-                        continue
-                    found = span_at(reader, block * block_size, expand.asked(types), max_item, limits, thresholds)
-                    if found:
-                        covered = block + max(1, -(-found[0].length // block_size))
-                        rows.append((part, block, covered, found[1]))
-                cols = list(zip(*rows, strict=True)) or [()] * 4
-                yield pa.RecordBatch.from_arrays([pa.array(c, pa.int64()) for c in cols], names=["part", "block", "claim_end", "n_bytes"])
-
-    dealt = candidates.select(F.expr(f"block div {range_blocks}").alias("part"), "block", "types")
-
-    def folded(rows: DataFrame) -> DataFrame:
-        ordered = rows.select("part", "block", "types", "entry").repartition("part").sortWithinPartitions("part", "block")
-        return ordered.mapInArrow(fold, "part long, block long, claim_end long, n_bytes long")
-
-    start = (F.col("part") * range_blocks).alias("entry")
-    state, entries = checkpoint(folded(dealt.withColumn("entry", start))), None
-    while True:
-        reach = state.groupBy("part").agg(F.max("claim_end").alias("exit")).where(F.col("exit") > (F.col("part") + 1) * range_blocks)
-        later = F.explode(F.sequence(F.col("part") + 1, F.expr(f"least((exit - 1) div {range_blocks}, {size // block_size // range_blocks})")))
-        found = checkpoint(reach.where(F.col("part") < size // block_size // range_blocks).select("exit", later.alias("part")).groupBy("part").agg(F.max("exit").alias("entry")))
-        if entries is None:
-            changed = found
-        else:
-            both = found.join(entries.withColumnRenamed("entry", "was"), "part", "full")
-            changed = both.where(~F.col("entry").eqNullSafe(F.col("was"))).select("part", F.coalesce("entry", start).alias("entry"))
-        if changed.isEmpty():
-            return state.drop("part")
-        again = folded(dealt.join(changed, "part"))
-        state, entries = checkpoint(state.join(changed, "part", "left_anti").unionByName(again)), found
+
+            def step(types, block: int, covered: claims.Covered):
+                if covered.free(block) != block:
+                    return None
+                found = span_at(reader, block * block_size, reg.asked(types), max_item, limits, reg)
+                if not found:
+                    return None
+                return block, claimed(found[0], block, block_size, blocks), -1 if found[0].classifier in VIEWED else found[1]
+
+            yield step
+
+    rows = candidates.select(F.lit(path).alias(claims.ONE), "block", F.col("types").alias("arg"))
+    kept = claims.fold_claims(rows, claims.ONE, opened, range_blocks)
+    own = F.filter("ranges", lambda r: (r["pos"] <= F.col("block")) & (r["pos"] + r["len"] > F.col("block")))[0]
+    return kept.select("block", (own["pos"] + own["len"]).alias("claim_end"), "ranges", F.col("extra").alias("n_bytes"))
 
 
-def constant_runs(seen: DataFrame, items: DataFrame) -> DataFrame:
-    """block, claim_end of the runs of equal constant blocks that no item claims; a run that an item reaches into begins at its end.
+def constant_runs(seen: DataFrame, items: DataFrame | None = None) -> DataFrame:
+    """block, claim_end of the runs of equal constant blocks; without the blocks that items claim, if they are given.
 
-    Input: block and fill (what the block repeats, null if it is none); block and claim_end of the items.
+    Input: block and fill (what the block repeats, null if it is none); block and claim_end of the items' claims.
     """
     single = seen.where("fill is not null").select("fill", F.col("block").alias("pos"), F.lit(1).cast("long").alias("len"))
     runs = claims.merge_claims(single, "fill").select(F.col("pos").alias("block"), (F.col("pos") + F.col("len")).alias("claim_end"))
-    held = claims.binned(items.select(F.col("block").alias("pos"), (F.col("claim_end") - F.col("block")).alias("len"))).withColumnRenamed("bin_", "held_bin_")
-    at = runs.withColumn("bin_", F.expr(f"block div {claims.BIN}"))
-    mine = (F.col("bin_") == F.col("held_bin_")) & (F.col("block") >= F.col("pos")) & (F.col("block") < F.col("pos") + F.col("len"))
-    start = F.coalesce(F.col("pos") + F.col("len"), "block")  # no item begins inside a run, so it is reached into at most once
-    return at.join(held, mine, "left").select(start.alias("block"), "claim_end").where("block < claim_end")
+    if items is None:
+        return runs
+    both = [x.select(F.lit(0).alias("k"), F.lit(w).alias("w"), F.col("block").alias("pos"), (F.col("claim_end") - F.col("block")).alias("len")) for w, x in enumerate((items, runs))]
+    owned = claims.owned_fragments(both[0].unionByName(both[1]).withColumn("o", F.col("w")), "k", "w", "o").where("w = 1")
+    # runs of two fills may touch: their borders count
+    cut = claims.binned(owned, claims.BIN).select("bin_", "pos", "len")
+    parts = claims.binned(runs.select(F.col("block").alias("rpos"), F.col("block").alias("pos"), (F.col("claim_end") - F.col("block")).alias("len"))).select("bin_", F.col("pos").alias("a"), (F.col("pos") + F.col("len")).alias("b"))
+    met = parts.join(cut, "bin_").where("a < pos + len and pos < b")
+    return met.select(F.greatest("a", "pos").alias("block"), F.least("b", F.col("pos") + F.col("len")).alias("claim_end")).distinct()
 
 
 def classify(
     spark: SparkSession, path: str, block_size: int = 512, start_block: int = 0, style: int = 0, max_item: int = MAX_ITEM,
-    limits: Limits = Limits(), thresholds: dict[str, int] | None = None, range_blocks: int | None = None,  # noqa: B008  frozen
+    limits: Limits = Limits(), thresholds: dict[str, int] | None = None, range_blocks: int | None = None, reg: Registry | None = None, max_depth: int = MAX_DEPTH,  # noqa: B008  frozen
 ) -> DataFrame:
     """Lines of the report: style 0 one per block, style 1 one per identified item, style 2 one per item and constant run.
 
-    Only blocks whose signatures a classifier claims and that no item before them holds are looked at, each with as
+    Only blocks whose signatures a classifier of the registry claims and that no item before them holds are looked at, each with as
     many bytes as its end needs; constant blocks are settled by detection. Items that own blocks are classified and
-    unfolded, and every block is shown with its owner. An item that ``max_item`` bytes do not hold says TRUNCATED.
+    unfolded, and every block is shown with its owner: items and constant runs own what nothing before them claims. Members of an item that lie in
+    the file as they are have lines at their own blocks. An item that ``max_item`` bytes do not hold says TRUNCATED.
     """
     source.register(spark)
+    reg = registry(reg, thresholds)
+    size = os.path.getsize(path)
     scanned = spark.read.format("blocks").option("path", path).option("blockSize", block_size).option("startBlock", start_block).load()
     constant = F.col("types") == F.array(F.lit(BY_NAME["CONSTANT"]))  # a text of one letter is a text
     seen = scanned.select("block", magic.detect(F.col("window"), block_size).alias("types"), F.hex(F.substring("window", 1, 4)).alias("fill"))
     seen = checkpoint(seen.withColumn("fill", F.when(constant, F.col("fill"))))
-    candidates = seen.where((F.size(F.array_except("types", F.array(F.lit(BY_NAME["UNIDENTIFIED"]), F.lit(BY_NAME["CONSTANT"])))) > 0) & ~constant)
-    kept = root_items(candidates, path, block_size, max_item, limits, thresholds, range_blocks or max(1, max_item // block_size))
-    if style == 2:
-        runs = constant_runs(seen, kept).select("block", "claim_end", F.lit("Constant").alias("brief"))
-
-    def cut(batches):
-        import pyarrow as pa
-
-        with open(path, "rb") as f:
-            reader = Reader(f, 0)
-            for b in batches:
-                for block, n in zip(*[c.to_pylist() for c in b.columns], strict=True):
-                    payload = reader.read(block * block_size, n)
-                    yield pa.RecordBatch.from_arrays([pa.array([block]), pa.array([payload], pa.binary())], names=["block", "payload"])
-
-    items = expand.roots(kept.select("block", "n_bytes").mapInArrow(cut, "block long, payload binary"), "block", "payload")
-    found = checkpoint(expand.expand(items, limits=limits, thresholds=thresholds))
+    wanted = sorted({t for _, t, _, _ in reg.rows()} - {BY_NAME["UNIDENTIFIED"], BY_NAME["CONSTANT"]})
+    candidates = seen.where(F.arrays_overlap("types", F.array(*[F.lit(t) for t in wanted])) & ~constant)
+    kept = checkpoint(root_items(candidates, path, block_size, max_item, limits, None, range_blocks or max(1, max_item // block_size), reg))
+    offset = F.col("block") * block_size
+    extent = F.array(F.struct(offset.alias("pos"), F.when(F.col("n_bytes") < 0, size - offset).otherwise(F.col("n_bytes")).alias("len")))
+    placed = kept.select("block", F.lit(None).cast("binary").alias("payload"), extent.alias("extents"), F.when(F.col("n_bytes") < 0, HEAD).otherwise(F.col("n_bytes")).cast("long").alias("take"))
+    items = expand.roots(placed, "block", "payload", "extents", "take")
+    found = checkpoint(expand.expand(items, max_depth, limits, None, reg, path))
     top = found.where("depth = 0 and confidence > 0").select(F.col("root").alias("block"), "length", "brief", "description", "path", "confidence")
-    whole = kept.select("block", "claim_end", (F.col("n_bytes") == max_item).alias("full"))
+    whole = kept.select("block", (F.col("n_bytes") == max_item).alias("full"))
     bounded = F.col("full") & ((F.col("length") == 0) | (F.col("length") >= max_item)) & ~F.contains("description", F.lit("TRUNCATED"))
     owners = checkpoint(top.join(whole, "block").withColumn("description", F.when(bounded, F.concat("description", F.lit(" TRUNCATED"))).otherwise(F.col("description"))))
-    if style == 2:
-        rows = owners.select("block", "claim_end", "brief").unionByName(runs)
-        return rows.select((F.col("block") * block_size).alias("offset"), F.format_string("%13d %-12s # %d blocks", F.col("block") * block_size, "brief", F.col("claim_end") - F.col("block")).alias("line")).orderBy("offset")
     if style == 1:
-        told = F.when(F.col("depth") == 0, F.col("root") * block_size).alias("abs_off")
         marked = found.join(owners.select("path", F.col("description").alias("own")), "path", "left")
-        return render.path_lines(marked.select("path", "brief", F.coalesce("own", "description").alias("description"), "confidence", told)).orderBy("path")
+        return render.path_lines(marked.select("path", "brief", F.coalesce("own", "description").alias("description"), "confidence", "abs_off")).orderBy("path")
+    # who owns which blocks: items by their ranges and constant runs, in the order of their first blocks
+    of_items = kept.join(owners.select("block"), "block").select("block", F.lit(0).alias("constant"), F.explode("ranges").alias("r")).select("block", "constant", "r.pos", "r.len")
+    of_runs = constant_runs(seen).select("block", F.lit(1).alias("constant"), F.col("block").alias("pos"), (F.col("claim_end") - F.col("block")).alias("len"))
+    fragments = of_items.unionByName(of_runs).select(F.lit(path).alias("source"), (F.col("block") * 2 + F.col("constant")).alias("w"), F.col("block").alias("order"), "pos", "len")
+    fragments = checkpoint(claims.owned_fragments(fragments, "source", "w", "order").select("source", F.expr("w div 2").alias("owner"), (F.col("w") % 2 == 1).alias("constant"), "pos", "len"))
+    if style == 2:
+        of_items = fragments.where("not constant").groupBy("owner").agg(F.sum("len").alias("len")).join(owners.select(F.col("block").alias("owner"), "brief"), "owner").select(F.col("owner").alias("pos"), "len", "brief")
+        rows = of_items.unionByName(fragments.where("constant").select("pos", "len", F.lit("Constant").alias("brief")))
+        return rows.select((F.col("pos") * block_size).alias("offset"), F.format_string("%13d %-12s # %d blocks", F.col("pos") * block_size, "brief", "len").alias("line")).orderBy("offset")
     depth = found.agg(F.max("depth")).first()[0] or 0
     ordered = found.withColumn("ord", F.element_at(F.split("node", "/"), -1).cast("long"))
     shown = render.nested_text(ordered, depth).withColumnRenamed("node", "path")
-    held = claims.binned(owners.select(F.lit(path).alias("source"), F.col("block").alias("pos"), (F.col("claim_end") - F.col("block")).alias("len"), F.col("block").alias("owner")))
+    told = owners.join(shown, "path", "left").select(F.col("block").alias("owner"), F.lit(False).alias("constant"), F.coalesce("shown", "brief").alias("brief"), "description", "path")
+    members = ordered.select(F.lit(path).alias("source"), "node", "parent", F.expr(f"abs_off div {block_size}").alias("block"), "ord")
+    promoted = claims.promoted_members(members, "source").select("node", "block").join(ordered.select("node", "path", F.col("brief").alias("own_brief"), "description"), "node").join(shown, "path", "left")
+    promoted = promoted.select("block", F.coalesce("shown", "own_brief").alias("m_brief"), F.col("description").alias("m_description"), F.col("path").alias("m_path"))
+    held = claims.binned(fragments).select("bin_", "pos", "len", "owner", "constant")
     at = seen.withColumn("bin_", F.expr(f"block div {claims.BIN}"))
     mine = (at["bin_"] == held["bin_"]) & (at["block"] >= held["pos"]) & (at["block"] < held["pos"] + held["len"])
-    told = owners.join(shown, "path", "left").select(F.col("block").alias("owner"), F.coalesce("shown", "brief").alias("brief"), "description", "path")
-    rows = at.join(held, mine, "left").select("block", "types", "owner").join(told, "owner", "left").select(
+    first = F.when(F.col("constant"), F.col("pos")).otherwise(F.col("owner"))  # a run begins where nothing before it claims it
+    rows = at.join(held, mine, "left").select("block", "types", "owner", "constant", first.alias("first")).join(told, ["owner", "constant"], "left").join(promoted, "block", "left").select(
         (F.col("block") * block_size).alias("offset"),
-        F.coalesce("brief", F.when(constant, "Constant").otherwise("Unidentified")).alias("brief"), "description",
-        F.coalesce("path", F.concat(F.lit("/src/"), F.col("block").cast("string"))).alias("path"),
-        F.when(F.col("owner") != F.col("block"), F.col("owner") * block_size).alias("owner_offset"),
+        F.coalesce("m_brief", "brief", F.when(F.col("constant") | (F.col("types") == F.array(F.lit(BY_NAME["CONSTANT"]))), "Constant").otherwise("Unidentified")).alias("brief"), F.coalesce("m_description", "description").alias("description"),
+        F.coalesce("m_path", "path", F.concat(F.lit("/src/"), F.col("block").cast("string"))).alias("path"),
+        F.when(F.col("m_path").isNull() & (F.col("first") != F.col("block")), F.col("first") * block_size).alias("owner_offset"),
     )
     return render.block_lines(rows).orderBy("offset")
+
+
+def report(spark: SparkSession, path: str, out: str, title: str = "Contents by block", settings: dict[str, str] | None = None, **options) -> None:
+    """Writes the lines of ``classify`` as ordered text; those by block begin with a title and the names of their columns.
+
+    ``settings``: configuration as ``config.load`` gives it; ``options`` go before it.
+    """
+    options = (config.options(settings) if settings else {}) | options
+    lines = classify(spark, path, **options)
+    style = options.get("style", 0)
+    render.write_lines(render.with_header(lines, title) if style == 0 else lines, out, "path" if style == 1 else "offset")

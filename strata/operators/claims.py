@@ -2,13 +2,19 @@
 
 from __future__ import annotations
 
+import heapq
 from collections.abc import Iterator
+from contextlib import contextmanager
 
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
+from pyspark.sql.pandas.types import to_arrow_schema
 from pyspark.sql.window import Window
 
+from strata.session import checkpoint
+
 BIN = 4096
 
 
@@ -114,42 +120,211 @@ def continuations(claims: DataFrame) -> DataFrame:
     return claims.withColumn("block", F.explode(F.sequence(F.col("pos"), F.col("pos") + F.col("len") - 1)))
 
 
+def owned_fragments(claims: DataFrame, key: str, owner: str, order: str, bin_size: int | None = None) -> DataFrame:
+    """key, owner, pos, len: which stretch of blocks belongs to whom, if of all claims on a block the one that was written
+    first (least ``order``, then least owner) has it. Input: key, owner, order, pos, len.
+
+    Claims are dealt by bins; in each, one sweep over the beginnings in order holds the claims that reach over the sweep's place
+    by their rank, and gives a stretch whenever the first of them changes. What is given are stretches, at most two for
+    each claim and bin, never blocks. Stretches of one owner that touch are one. Claims without position or length are left out.
+    """
+    size = bin_size or RANGE_BLOCKS
+    rows = claims.where("pos is not null and len > 0").select(F.col(key).alias("k_"), F.col(owner).alias("w_"), F.col(order).alias("o_"), "pos", (F.col("pos") + F.col("len")).alias("end_"))
+    dealt = rows.withColumn("bin_", F.explode(F.sequence(F.expr(f"pos div {size}"), F.expr(f"(end_ - 1) div {size}"))))
+    low, high = F.greatest("pos", F.col("bin_") * size).cast("long"), F.least("end_", (F.col("bin_") + 1) * size).cast("long")
+    dealt = dealt.select("k_", "bin_", low.alias("pos"), high.alias("end_"), "o_", "w_")
+    schema = T.StructType([dealt.schema["k_"], dealt.schema["w_"], T.StructField("pos", T.LongType()), T.StructField("len", T.LongType())])
+    arrow = to_arrow_schema(schema)
+
+    def sweep(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        now, at, held, out = None, 0, [], []
+
+        def until(place: int | None):
+            nonlocal at
+            while held and (place is None or at < place):
+                _, w, end = held[0]
+                if end <= at:
+                    heapq.heappop(held)
+                    continue
+                stop = end if place is None else min(end, place)
+                if out and out[-1][0] == now[0] and out[-1][1] == w and out[-1][2] + out[-1][3] == at:
+                    out[-1][3] += stop - at
+                else:
+                    out.append([now[0], w, at, stop - at])
+                at = stop
+
+        def batch():
+            cols = list(zip(*out, strict=True)) or [()] * 4
+            out.clear()
+            return pa.RecordBatch.from_arrays([pa.array(c, f.type) for c, f in zip(cols, arrow, strict=True)], schema=arrow)
+
+        for b in batches:
+            for k, bin_, pos, end, o, w in zip(*[c.to_pylist() for c in b.columns], strict=True):
+                if (k, bin_) != now:
+                    until(None)
+                    now, at = (k, bin_), pos
+                until(pos)
+                at = max(at, pos)
+                heapq.heappush(held, (o, w, end))
+            yield batch()
+        until(None)
+        yield batch()
+
+    painted = dealt.repartition("k_", "bin_").sortWithinPartitions("k_", "bin_", "pos").mapInArrow(sweep, schema)
+    whole = merge_claims(painted.select(F.struct("k_", "w_").alias("at_"), "pos", "len"), "at_", size)
+    return whole.select(F.col("at_.k_").alias(key), F.col("at_.w_").alias(owner), "pos", "len")
+
+
 def first_writer(claims: DataFrame, key: str, owner: str, order: str) -> DataFrame:
-    """Owner of every claimed block: the claim that was written first keeps it."""
-    return continuations(claims).groupBy(key, "block").agg(F.min(F.struct(F.col(order).alias("o"), F.col(owner).alias("w"))).alias("m")).select(key, "block", F.col("m.w").alias(owner))
+    """Owner of every claimed block: the claim that was written first keeps it. One row per block of the owned fragments: for sinks."""
+    return continuations(owned_fragments(claims, key, owner, order)).select(key, "block", owner)
 
 
-def accept_sweep(df: DataFrame, key: str) -> DataFrame:
-    """key, block, start: the blocks kept by the ordered sweep. Input: key, block, claim_end (exclusive), constant.
+def promoted_members(items: DataFrame, key: str) -> DataFrame:
+    """key, node, block, up: the members that get rows of their own, with the block of the item or member that they were told by.
+    Input: key, node (unique in its key), parent (null for items), block (null if not known), ord.
 
-    Left to right, a block is kept unless the claim of a kept block holds it; a constant run is cut at that
-    claim's end. Whether a block counts depends on those kept before it, so each source is folded in order by one
-    task, row after row with nothing held; feed only blocks with claims and constant runs, which are few.
+    When something is shown at its block, those of its members that lie behind it wait for their own blocks; of several
+    that wait for one block the first stays (told at the least block, then of least ``ord``, then ``node``), and what is dropped takes its
+    members along. Whether a member counts depends on what lies before it, so rounds settle it: each takes the members whose parents count
+    so far, until nothing changes.
+    """
+    rows = checkpoint(items.select(key, "node", "parent", "block", "ord"))
+    top = rows.where("parent is null").select(key, "node", "block", F.lit(None).cast("long").alias("up"))
+    below, state, before = rows.where("parent is not null and block is not null"), checkpoint(top), None
+    while True:
+        up = state.select(F.col(key).alias("k_"), F.col("node").alias("up_node_"), F.col("block").alias("up"))
+        may = below.join(up, (below[key].eqNullSafe(up["k_"])) & (below["parent"] == up["up_node_"])).where("block > up")
+        first = may.groupBy(key, "block").agg(F.min(F.struct("up", "ord", "node")).alias("m"))
+        state = checkpoint(top.unionByName(first.select(key, F.col("m.node").alias("node"), "block", F.col("m.up").alias("up"))))
+        now = tuple(state.agg(F.count("*"), F.sum(F.xxhash64(key, "node", "up").cast("decimal(38,0)"))).first())
+        if now == before:
+            return state.where("up is not null")
+        before = now
+
+
+RANGES = T.ArrayType(T.StructType([T.StructField("pos", T.LongType()), T.StructField("len", T.LongType())]))
+#: Blocks that one task of a sweep folds at a time, where the caller gives no other number.
+RANGE_BLOCKS = 1 << 17
+
+
+class Covered:
+    """Which blocks the claims so far hold, asked from left to right: an interval set of which the past is forgotten."""
+
+    def __init__(self):
+        self.ahead: list[tuple[int, int]] = []
+        self.end = 0
+
+    def add(self, pos: int, length: int) -> None:
+        if length > 0:
+            heapq.heappush(self.ahead, (pos, pos + length))
+
+    def free(self, block: int) -> int:
+        """The first block at or after this one that no claim holds."""
+        at = block
+        while True:
+            while self.ahead and self.ahead[0][0] <= at:
+                self.end = max(self.end, heapq.heappop(self.ahead)[1])
+            if at >= self.end:
+                return at
+            at = self.end
+
+
+def fold_claims(rows: DataFrame, key: str, opened, range_blocks: int = RANGE_BLOCKS) -> DataFrame:
+    """key, block, start, ranges, extra of the rows that own blocks. Input: key, block (no nulls), arg (of any type).
+
+    Left to right, ``step(arg, block, covered)`` says of each row whether it counts: nothing, or (start, claimed ranges
+    (pos, len), extra). ``opened()`` is a context manager, entered once per task, that gives the step. What a row claims
+    holds blocks behind it, in any number of ranges, and ranges behind its own block only: what lies before is decided.
+
+    Every source is cut into parts of ``range_blocks`` blocks. Parts are folded in parallel, first as if nothing reached
+    into them; those that ranges of earlier parts do reach into are folded again with these, until nothing
+    changes. A part depends on those before it only, so there are never more rounds than parts; claims that are no longer than a part
+    need two as a rule. Null keys are one source; rows of one block are taken in no certain order.
     """
-    rows = df.select(key, "block", "claim_end", "constant")
+    size = range_blocks
+    dealt = rows.select(F.col(key).alias("k_"), F.expr(f"block div {size}").alias("part_"), "block", "arg")
+    kind, arg = dealt.schema["k_"].dataType, dealt.schema["arg"].dataType
+    schema = T.StructType([T.StructField("k_", kind), T.StructField("part_", T.LongType()), T.StructField("block", T.LongType()), T.StructField("start", T.LongType()), T.StructField("ranges", RANGES), T.StructField("extra", T.LongType())])
+    arrow = to_arrow_schema(schema)
 
     def fold(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        source, covered, started = None, 0, False
-        for b in batches:
-            keys, kept, starts = [], [], []
-            for k, block, end, constant in zip(*[c.to_pylist() for c in b.columns], strict=True):
-                if not started or k != source:
-                    source, covered, started = k, block, True
-                if block < covered and not (constant and end > covered):
-                    continue
-                keys.append(k)
-                kept.append(block)
-                starts.append(max(block, covered))
-                covered = max(covered, end)
-            yield pa.RecordBatch.from_arrays([pa.array(keys, b.schema.field(0).type), pa.array(kept, pa.int64()), pa.array(starts, pa.int64())], names=[key, "block", "start"])
+        now, covered = None, Covered()
+        with opened() as step:
+            for b in batches:
+                out = []
+                for k, part, looked_at, block, length, own in zip(*[c.to_pylist() for c in b.columns], strict=True):
+                    if (k, part) != now:
+                        now, covered = (k, part), Covered()
+                    if not looked_at:
+                        covered.add(block, length)
+                        continue
+                    found = step(own, block, covered)
+                    if found:
+                        for pos, n in found[1]:
+                            covered.add(pos, n)
+                        out.append((k, part, block, found[0], [{"pos": p, "len": n} for p, n in found[1]], found[2]))
+                cols = list(zip(*out, strict=True)) or [()] * len(arrow)
+                yield pa.RecordBatch.from_arrays([pa.array(c, f.type) for c, f in zip(cols, arrow, strict=True)], schema=arrow)
+
+    def folded(rows: DataFrame, entries: DataFrame | None) -> DataFrame:
+        both = rows.select("k_", "part_", F.lit(True).alias("looked_at"), "block", F.lit(0).cast("long").alias("len"), "arg")
+        if entries is not None:
+            both = both.unionByName(entries.select("k_", "part_", F.lit(False).alias("looked_at"), F.col("pos").alias("block"), "len", F.lit(None).cast(arg).alias("arg")))
+        return both.repartition("k_", "part_").sortWithinPartitions("k_", "part_", "looked_at", "block").mapInArrow(fold, schema)
+
+    def same(x: DataFrame, y: DataFrame):
+        return x["k_"].eqNullSafe(y["k_"]) & (x["part_"] == y["part_"])
+
+    last = dealt.groupBy("k_").agg(F.max("part_").alias("last_"))
+    state, before = checkpoint(folded(dealt, None)), None
+    while True:
+        claim = state.select("k_", "part_", F.explode("ranges").alias("r")).select("k_", "part_", F.col("r.pos").alias("pos"), (F.col("r.pos") + F.col("r.len")).alias("end"))
+        first = F.greatest(F.col("part_") + 1, F.expr(f"pos div {size}"))
+        reach = claim.where(F.col("end") > (F.col("part_") + 1) * size).join(last, claim["k_"].eqNullSafe(last["k_"])).select(claim["k_"], "pos", "end", first.alias("first_"), F.least(F.expr(f"(end - 1) div {size}"), "last_").alias("last_"))
+        cut = reach.where("first_ <= last_").select("k_", "pos", "end", F.explode(F.sequence("first_", "last_")).alias("part_"))
+        low, high = F.greatest("pos", F.col("part_") * size), F.least("end", (F.col("part_") + 1) * size)
+        merged = merge_claims(cut.select(F.struct("k_", "part_").alias("at_"), low.alias("pos"), (high - low).alias("len")), "at_")
+        entries = checkpoint(merged.select("at_.k_", "at_.part_", "pos", "len"))
+        changed = entries if before is None else entries.exceptAll(before).unionAll(before.exceptAll(entries))
+        changed = checkpoint(changed.select("k_", "part_").distinct())
+        if changed.isEmpty():
+            return state.select(F.col("k_").alias(key), "block", "start", "ranges", "extra")
+        again = folded(dealt.join(changed, same(dealt, changed), "left_semi"), entries.join(changed, same(entries, changed), "left_semi"))
+        state, before = checkpoint(state.join(changed, same(state, changed), "left_anti").unionByName(again)), entries
+
+
+#: Name of the key where all rows are of one source.
+ONE = "source_"
+
+
+def accept_sweep(df: DataFrame, key: str, range_blocks: int = RANGE_BLOCKS) -> DataFrame:
+    """key, block, start: the blocks kept by the ordered sweep. Input: key, block, constant, and claim_end (exclusive) or
+    ``ranges`` (array of pos, len; null claims nothing).
+
+    Left to right, a block is kept unless the claim of a kept block holds it; a constant run (``claim_end`` is its end) begins
+    at the first block that no claim holds, and is dropped if that lies behind it.
+    """
+    own = [c for c in ("claim_end", "ranges") if c in df.columns]
+    rows = df.where("block is not null").select(key, F.col("block").cast("long").alias("block"), F.struct("constant", *[F.col(c).cast("long" if c == "claim_end" else RANGES).alias(c) for c in own]).alias("arg"))
+
+    @contextmanager
+    def opened():
+        def step(arg, block: int, covered: Covered):
+            start, end = covered.free(block), arg.get("claim_end")
+            if start != block and not (arg["constant"] and end is not None and end > start):
+                return None
+            if arg.get("ranges") is not None:
+                return start, [(r["pos"], r["len"]) for r in arg["ranges"] if r["len"] > 0], 0
+            return start, [(start, end - start)] if end is not None and end > start else [], 0
+
+        yield step
 
-    kind = df.schema[key].dataType.simpleString()
-    dealt = rows.repartition(key).sortWithinPartitions(key, "block", "claim_end")
-    return dealt.mapInArrow(fold, f"{key} {kind}, block long, start long")
+    return fold_claims(rows, key, opened, range_blocks).select(key, "block", "start")
 
 
 def emit_blocks(accepted: DataFrame, claims: DataFrame, key: str, owner: str) -> DataFrame:
     """One row per block: an accepted block shows itself, any other claimed block its owner."""
     own = accepted.select(key, "block", F.col("block").alias(owner), F.lit(False).alias("continued"))
-    more = first_writer(claims, key, owner, owner).join(accepted.select(key, "block"), [key, "block"], "left_anti")
+    more = first_writer(claims.withColumn("order_", F.col(owner)), key, owner, "order_").join(accepted.select(key, "block"), [key, "block"], "left_anti")
     return own.unionByName(more.select(key, "block", owner, F.lit(True).alias("continued")))

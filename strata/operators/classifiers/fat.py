@@ -1,63 +1,82 @@
-"""FAT12/16/32 walked for allocated files; NTFS and EXT are recognised by their signatures only."""
+"""FAT12/16/32 walked for allocated files; NTFS and EXT are recognised by their signatures only.
+
+The volume is read by place, so its size does not matter. The verdict claims what is in use: the area before the
+clusters, and the stretches of every directory and file (up to the file's size), not what is free or slack.
+Files are told by where they lie.
+"""
 
 import struct
 
 from strata.operators.classifiers import Verdict
+from strata.sources.views import view
 
 
-def classify(data: bytes):
-    if data[3:7] == b"NTFS" or data[0x438:0x43A] == b"\x53\xef":
-        name = "NTFS" if data[3:7] == b"NTFS" else "EXT"
+def classify(data):
+    v = view(data)
+    head = v.read(0, 2048)
+    if head[3:7] == b"NTFS" or head[0x438:0x43A] == b"\x53\xef":
+        name = "NTFS" if head[3:7] == b"NTFS" else "EXT"
         return Verdict("sleuth", 100, name, f"{name} file system")
-    if data[54:58] != b"FAT1" and data[82:87] != b"FAT32":
+    if head[54:58] != b"FAT1" and head[82:87] != b"FAT32":
         return Verdict("sleuth", 0, "FAT", "Not properly detected")
-    sector, per, reserved, fats, roots, small, _, fat16 = struct.unpack_from("<HBHBHHBH", data, 11)
-    big, fat32 = struct.unpack_from("<II", data, 32)
+    sector, per, reserved, fats, roots, small, _, fat16 = struct.unpack_from("<HBHBHHBH", head, 11)
+    big, fat32 = struct.unpack_from("<II", head, 32)
     total, fat_size = small or big, fat16 or fat32
     if not (sector and per and fats and fat_size and total):
         return Verdict("sleuth", 0, "FAT", "Not properly detected")
     root_at = (reserved + fats * fat_size) * sector
     data_at = root_at + -(-roots * 32 // sector) * sector
-    clusters = (total - data_at // sector) // per
+    clusters, size = (total - data_at // sector) // per, per * sector
     bits = 12 if clusters < 4085 else 16 if clusters < 65525 else 32
-    table = data[reserved * sector : (reserved + fat_size) * sector]
+    table_at = reserved * sector
 
     def after(c: int) -> int:
         if bits == 12:
-            v = struct.unpack_from("<H", table, c * 3 // 2)[0]
-            return v >> 4 if c & 1 else v & 0xFFF
-        return struct.unpack_from("<H", table, 2 * c)[0] if bits == 16 else struct.unpack_from("<I", table, 4 * c)[0] & 0x0FFFFFFF
+            b = v.read(table_at + c * 3 // 2, 2)
+            x = struct.unpack("<H", b)[0] if len(b) == 2 else 0xFFF
+            return x >> 4 if c & 1 else x & 0xFFF
+        b = v.read(table_at + c * bits // 8, bits // 8)
+        return int.from_bytes(b, "little") & 0x0FFFFFFF if len(b) == bits // 8 else last
 
     last = {12: 0xFF8, 16: 0xFFF8, 32: 0x0FFFFFF8}[bits]
 
-    def read(c: int) -> bytes:
-        out, seen = [], set()
-        while 2 <= c < min(last, clusters + 2) and c not in seen:
+    def stretches(c: int, most: int | None = None) -> list[tuple[int, int]]:
+        """Where a chain of clusters lies, up to ``most`` bytes; a loop or a bad pointer ends it."""
+        out, seen, left = [], set(), most
+        while 2 <= c < min(last, clusters + 2) and c not in seen and left != 0:
             seen.add(c)
-            at = data_at + (c - 2) * per * sector
-            out.append(data[at : at + per * sector])
+            at, n = data_at + (c - 2) * size, size if left is None else min(size, left)
+            if out and sum(out[-1]) == at:
+                out[-1] = (out[-1][0], out[-1][1] + n)
+            else:
+                out.append((at, n))
+            left = None if left is None else left - n
             c = after(c)
-        return b"".join(out)
+        return out
 
-    children: list[tuple[str, bytes]] = []
-    first = read(struct.unpack_from("<I", data, 44)[0]) if bits == 32 else data[root_at:data_at]
+    stored: list[tuple[str, list[tuple[int, int]]]] = []
+    ranges = [(0, data_at)]
+    first = stretches(struct.unpack_from("<I", head, 44)[0]) if bits == 32 else [(root_at, data_at - root_at)]
     todo, seen = [("", first)], set()
     while todo:
-        path, body = todo.pop()
+        path, places = todo.pop()
+        ranges += [x for x in places if x[0] >= data_at]
+        body = b"".join(v.read(*x) for x in places)
         for at in range(0, len(body) - 31, 32):
             name, ext, flags = body[at : at + 8], body[at + 8 : at + 11], body[at + 11]
             if name[:1] == b"\0":
                 break
             if name[0] == 0xE5 or flags & 0x08 or name[:1] == b".":  # deleted, label or long name, self and parent
                 continue
-            high, low, size = struct.unpack_from("<H", body, at + 20)[0], *struct.unpack_from("<HI", body, at + 26)
+            high, low, length = struct.unpack_from("<H", body, at + 20)[0], *struct.unpack_from("<HI", body, at + 26)
             cluster = (high << 16 if bits == 32 else 0) | low
             full = path + name.decode("latin-1").rstrip() + ("." + ext.decode("latin-1").rstrip() if ext.strip() else "")
             if cluster in seen:
                 continue
             seen.add(cluster)
             if flags & 0x10:
-                todo.append((full + "/", read(cluster)))
-            elif size:
-                children.append((full, read(cluster)[:size]))
-    return Verdict("sleuth", 100, f"FAT{bits}", f"{total * sector} bytes ({clusters} units of {per * sector} size)", total * sector, f"fat{bits}", sorted(children))
+                todo.append((full + "/", stretches(cluster)))
+            elif length:
+                stored.append((full, stretches(cluster, length)))
+                ranges += stored[-1][1]
+    return Verdict("sleuth", 100, f"FAT{bits}", f"{total * sector} bytes ({clusters} units of {size} size)", total * sector, f"fat{bits}", ranges=ranges, stored=sorted(stored))

@@ -3,20 +3,27 @@
 from __future__ import annotations
 
 import base64
+import os
 import re
+from contextlib import nullcontext
 
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from strata.functions import magic, text
-from strata.functions.types import BY_NAME, PRECEDENCE, TYPES
-from strata.operators.classifiers import MAX_DEPTH, Limits, Verdict, ask
+from strata.functions.types import BY_NAME, TYPES
+from strata.operators.classifiers import MAX_DEPTH, VIEWED, Limits, Registry, Verdict, ask, registry
 from strata.session import checkpoint
+from strata.sources.views import Extents, Reader
 
-ITEM = "node string, parent string, root long, depth int, path string, name string, payload binary"
-VERDICT = "node string, parent string, root long, depth int, path string, name string, types array<int>, digest string, classifier string, confidence int, brief string, description string, length long"
-CHILDREN = "children array<struct<name:string,kind:string,payload:binary>>"
+STRETCHES = "array<struct<pos:bigint,len:bigint>>"
+ITEM = f"node string, parent string, root long, depth int, path string, name string, payload binary, extents {STRETCHES}, take long"
+VERDICT = "node string, parent string, root long, depth int, path string, name string, types array<int>, digest string, classifier string, confidence int, brief string, description string, length long, abs_off long"
+CHILDREN = f"children array<struct<name:string,kind:string,payload:binary,extents:{STRETCHES}>>"
+PLACED = ["node", "parent", "root", "depth", "path", "name"]
+#: Bytes of an item that lies in a file which its classifier gets at once; those that take views read on by themselves.
+MAX_LOAD = 100 << 20
 
 
 def decode_text(brief: str, body: str) -> bytes:
@@ -36,74 +43,119 @@ def decode_text(brief: str, body: str) -> bytes:
     return b""
 
 
-OWNER = {code: k for code, _, _, k in TYPES}
-
-
-def asked(types: list[int]) -> list[str]:
+def asked(types: list[int], reg: Registry | None = None) -> list[str]:
     """Names of the classifiers that claim one of the types, in the order in which they are asked."""
-    return sorted({OWNER[t] for t in types if OWNER.get(t)}, key=lambda n: (PRECEDENCE.index(n) if n in PRECEDENCE else len(PRECEDENCE), n))
+    return (reg or registry()).asked(types)
 
 
-def classify_items(items: DataFrame, limits: Limits = Limits(), thresholds: dict[str, int] | None = None) -> DataFrame:  # noqa: B008  frozen
-    """Verdict, digest and children of every item; an item without payload is unidentified. Detection and the text cascade are native; formats are parsed in Arrow batches."""
-    prefix = text.printable_prefix(F.col("payload"))
+def load(items: DataFrame, source: str, limits: Limits) -> DataFrame:
+    """Items with the bytes of those that lie in the file; at most ``MAX_LOAD`` of each, fewer where ``limits`` or ``take`` say so."""
+    most = min(MAX_LOAD, limits.child_bytes or MAX_LOAD)
+    names = [*PLACED, "payload", "extents", "take"]
+
+    def run(batches):
+        with open(source, "rb") as f:
+            reader = Reader(f, os.path.getsize(source))
+            for b in batches:
+                for i in range(b.num_rows):  # one row at a time, as each may hold much
+                    row = b.slice(i, 1)
+                    places = row.column(7)[0].as_py()
+                    if places:
+                        body = Extents(reader, [(p["pos"], p["len"]) for p in places]).read(0, min(most, row.column(8)[0].as_py() or most))
+                        row = pa.RecordBatch.from_arrays([*row.columns[:6], pa.array([body], pa.binary()), *row.columns[7:]], names=names)
+                    yield row
+
+    return items.select(*names).mapInArrow(run, ITEM)
+
+
+def classify_items(
+    items: DataFrame, limits: Limits = Limits(), thresholds: dict[str, int] | None = None, reg: Registry | None = None, source: str | None = None,  # noqa: B008  frozen
+) -> DataFrame:
+    """Verdict, digest and children of every item; an item without payload is unidentified. Detection and the text cascade are native; formats are parsed in Arrow batches.
+
+    ``source``: the file that the stretches in ``extents`` are of. Its digest is that of the bytes that were loaded.
+    """
+    reg = registry(reg, thresholds)
+    if "extents" not in items.columns:
+        items = items.withColumn("extents", F.lit(None).cast(STRETCHES))
+    if "take" not in items.columns:
+        items = items.withColumn("take", F.lit(None).cast("long"))
+    if source:
+        items = load(items, source, limits)
     items = items.withColumn("payload", F.coalesce("payload", F.lit(b""))).withColumn("digest", F.md5("payload"))
-    seen = items.withColumn("types", magic.detect(F.substring("payload", 1, 2048))).withColumn("prefix", prefix)
+    seen = items.withColumn("types", magic.detect(F.substring("payload", 1, 2048))).withColumn("prefix", text.printable_prefix(F.col("payload")))
     is_text = F.arrays_overlap("types", F.array(*[F.lit(c) for c, _, _, k in TYPES if k == "text"]))
     seen = seen.withColumn("text", F.when(is_text, text.verdict(F.col("prefix"))))
     constant = BY_NAME["CONSTANT"]
 
-    def run(batches):
-        for b in batches:
-            rows = []
-            for r in b.to_pylist():
-                names = asked(r["types"])
-                found = r["text"]
-                text_verdict = None
-                if found is not None:
-                    kids = [("decoded", d)] if (d := decode_text(found["brief"], r["prefix"])) else []
-                    text_verdict = Verdict("text", found["confidence"], found["brief"], f"text of length: {len(r['prefix'])} bytes.", len(r["prefix"]), "text", kids)
-                v = ask(names, r["payload"], {"text": lambda _, t=text_verdict: t}, limits, thresholds)
-                if v is None:
-                    brief = "Constant" if constant in r["types"] else "Unidentified"
-                    v = Verdict("", -1, brief, brief)
-                rows.append({k: r[k] for k in ("node", "parent", "root", "depth", "path", "name", "types", "digest")} | {
-                    "classifier": v.classifier, "confidence": v.confidence, "brief": v.brief.upper() if v.confidence > 0 else v.brief, "description": v.description, "length": v.length,
-                    "children": [{"name": n, "kind": v.kind, "payload": c} for n, c in v.children],
-                })
-            yield pa.RecordBatch.from_pylist(rows, schema=SCHEMA)
-
-    return seen.select("node", "parent", "root", "depth", "path", "name", "payload", "types", "digest", "prefix", "text").mapInArrow(run, f"{VERDICT}, {CHILDREN}")
-
+    def verdict(types, payload: bytes, prefix, found, whole) -> Verdict:
+        own = None
+        if found is not None:
+            kids = [("decoded", d)] if (d := decode_text(found["brief"], prefix)) else []
+            own = Verdict("text", found["confidence"], found["brief"], f"text of length: {len(prefix)} bytes.", len(prefix), "text", kids)
+        v = ask(reg.asked(types), payload, {"text": lambda _: own} if "text" not in reg.functions else None, limits, None, reg, whole)
+        if v is None:
+            brief = "Constant" if constant in types else "Unidentified"
+            return Verdict("", -1, brief, brief)
+        if whole is not None and whole.size > len(payload) and not v.stored and v.classifier not in VIEWED and "TRUNCATED" not in v.description and not 0 < v.length < len(payload):
+            v.description += " TRUNCATED"
+        return v
 
+    def run(batches):
+        with open(source, "rb") if source else nullcontext() as f:
+            reader = Reader(f, os.path.getsize(source)) if source else None
+            for b in batches:
+                told = []
+                types, prefixes, found, extents = (b.column(k).to_pylist() for k in (8, 10, 11, 7))
+                for i in range(b.num_rows):
+                    whole = Extents(reader, [(p["pos"], p["len"]) for p in extents[i]]) if source and extents[i] else None
+                    v = verdict(types[i], b.column(6)[i].as_py(), prefixes[i], found[i], whole)
+                    kids = [{"name": n, "kind": v.kind, "payload": c, "extents": None} for n, c in v.children]
+                    for n, places in v.stored:
+                        at = [{"pos": p, "len": m} for part in places for p, m in whole.places(*part)]
+                        kids += [{"name": n, "kind": v.kind, "payload": None, "extents": at}] if at else []
+                    told.append((v.classifier, v.confidence, v.brief.upper() if v.confidence > 0 else v.brief, v.description, v.length, extents[i][0]["pos"] if whole else None, kids))
+                cols = list(zip(*told, strict=True)) or [()] * 7
+                yield pa.RecordBatch.from_arrays([*b.columns[:6], b.column(8), b.column(9), *[pa.array(c, t.type) for c, t in zip(cols, list(SCHEMA)[8:], strict=True)]], schema=SCHEMA)
+
+    return seen.select(*PLACED, "payload", "extents", "types", "digest", "prefix", "text").mapInArrow(run, f"{VERDICT}, {CHILDREN}")
+
+
+_STRETCHES = pa.list_(pa.struct([("pos", pa.int64()), ("len", pa.int64())]))
 SCHEMA = pa.schema([
     ("node", pa.string()), ("parent", pa.string()), ("root", pa.int64()), ("depth", pa.int32()), ("path", pa.string()), ("name", pa.string()), ("types", pa.list_(pa.int32())), ("digest", pa.string()),
-    ("classifier", pa.string()), ("confidence", pa.int32()), ("brief", pa.string()), ("description", pa.string()), ("length", pa.int64()),
-    ("children", pa.list_(pa.struct([("name", pa.string()), ("kind", pa.string()), ("payload", pa.binary())]))),
+    ("classifier", pa.string()), ("confidence", pa.int32()), ("brief", pa.string()), ("description", pa.string()), ("length", pa.int64()), ("abs_off", pa.int64()),
+    ("children", pa.list_(pa.struct([("name", pa.string()), ("kind", pa.string()), ("payload", pa.binary()), ("extents", _STRETCHES)]))),
 ])
 
 
-def roots(df: DataFrame, id_col: str, payload: str) -> DataFrame:
-    """Items of depth 0 under a virtual root."""
+def roots(df: DataFrame, id_col: str, payload: str, *more: str) -> DataFrame:
+    """Items of depth 0 under a virtual root; ``more``: columns that go along (extents, take)."""
     path = F.concat(F.lit("/src/"), F.col(id_col).cast("string"))
-    return df.select(path.alias("node"), F.lit(None).cast("string").alias("parent"), F.col(id_col).cast("long").alias("root"), F.lit(0).alias("depth"), path.alias("path"), F.lit(None).cast("string").alias("name"), F.col(payload).alias("payload"))
+    return df.select(path.alias("node"), F.lit(None).cast("string").alias("parent"), F.col(id_col).cast("long").alias("root"), F.lit(0).alias("depth"), path.alias("path"), F.lit(None).cast("string").alias("name"), F.col(payload).alias("payload"), *more)
 
 
-def expand(items: DataFrame, max_depth: int = MAX_DEPTH, limits: Limits = Limits(), thresholds: dict[str, int] | None = None) -> DataFrame:  # noqa: B008  frozen
+def expand(
+    items: DataFrame, max_depth: int = MAX_DEPTH, limits: Limits = Limits(), thresholds: dict[str, int] | None = None, reg: Registry | None = None, source: str | None = None,  # noqa: B008  frozen
+) -> DataFrame:
     """Verdicts of the items and of all that they hold. One round per level of nesting, each checkpointed.
 
-    ``digest`` is the MD5 of an item's bytes. Equal items are items of their own; an empty input gives an empty result.
-    What lies deeper than ``max_depth`` containers is not unfolded: such items keep their own verdicts.
+    ``digest`` is the MD5 of an item's bytes, ``abs_off`` the byte of the file ``source`` at which an item begins that lies in it as it is. Equal items are items of their own; an empty input gives an empty result.
+    What lies deeper than ``max_depth`` containers is not unfolded: what holds it says NOT UNFOLDED. Members that lie in the file as
+    they are travel as stretches of it, and are read by the task that classifies them.
     """
     done, frontier = None, items
-    for _ in range(max_depth + 1):
-        level = checkpoint(classify_items(frontier, limits, thresholds))
+    for depth in range(max_depth + 1):
+        level = classify_items(frontier, limits, thresholds, reg, source)
+        if depth == max_depth:
+            level = level.withColumn("description", F.when(F.size("children") > 0, F.concat("description", F.lit(" NOT UNFOLDED"))).otherwise(F.col("description")))
+        level = checkpoint(level)
         own = level.drop("children")
         done = own if done is None else done.unionByName(own)
+        path = F.concat("path", F.lit(":mnt-"), "c.kind", F.lit("/"), F.col("at").cast("string"))
         frontier = level.select("node", "root", "depth", "path", F.posexplode("children").alias("at", "c")).select(
-            F.concat("path", F.lit(":mnt-"), "c.kind", F.lit("/"), F.col("at").cast("string")).alias("node"), F.col("node").alias("parent"), "root", (F.col("depth") + 1).alias("depth"),
-            F.concat("path", F.lit(":mnt-"), "c.kind", F.lit("/"), F.col("at").cast("string")).alias("path"), F.col("c.name").alias("name"), F.col("c.payload").alias("payload"),
+            path.alias("node"), F.col("node").alias("parent"), "root", (F.col("depth") + 1).alias("depth"), path.alias("path"), F.col("c.name").alias("name"), F.col("c.payload").alias("payload"), F.col("c.extents").alias("extents"),
         )
-        if frontier.isEmpty():
+        if depth == max_depth or frontier.isEmpty():
             break
     return done

@@ -99,7 +99,7 @@ def test_bytes_that_are_read(tmp_path):
             return super().read(at, n)
 
     with open(path, "rb") as f:
-        v, n = api.span_at(Counted(f, 8_000_000), 0, ["text"], 64 << 20, Limits(), None)
+        v, n = api.span_at(Counted(f, 8_000_000), 0, ["text"], 64 << 20, Limits())
     assert v.length == n == 8_000_000 and read < 30_000_000
 
 

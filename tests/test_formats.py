@@ -98,7 +98,9 @@ def test_boot_record():
 
 def test_fat():
     v = fat.classify(make.fat12([("A       TXT", b"hello"), ("B       BIN", b"z" * 1500)]))
-    assert v.brief == "FAT12" and v.children == [("A.TXT", b"hello"), ("B.BIN", b"z" * 1500)]
+    assert v.brief == "FAT12" and [n for n, _ in v.stored] == ["A.TXT", "B.BIN"] and v.stored[1][1][0][1] == 1500
+    v = ask(["sleuth"], make.fat12([("A       TXT", b"hello"), ("B       BIN", b"z" * 1500)]))
+    assert v.children == [("A.TXT", b"hello"), ("B.BIN", b"z" * 1500)]
     assert fat.classify(b"\xeb\x52\x90NTFS    " + bytes(600)).confidence == 100 and fat.classify(bytes(600)).confidence == 0
 
 
