@@ -170,7 +170,7 @@ def classify(
         return rows.select((F.col("pos") * block_size).alias("offset"), F.format_string("%13d %-12s # %d blocks", F.col("pos") * block_size, "brief", "len").alias("line")).orderBy("offset")
     depth = found.agg(F.max("depth")).first()[0] or 0
     ordered = found.withColumn("ord", F.element_at(F.split("node", "/"), -1).cast("long"))
-    shown = render.nested_text(ordered, depth).withColumnRenamed("node", "path")
+    shown = render.nested_text(ordered, depth, every=True).withColumnRenamed("node", "path")
     told = owners.join(shown, "path", "left").select(F.col("block").alias("owner"), F.lit(False).alias("constant"), F.coalesce("shown", "brief").alias("brief"), "description", "path")
     members = ordered.select(F.lit(path).alias("source"), "node", "parent", F.expr(f"abs_off div {block_size}").alias("block"), "ord")
     promoted = claims.promoted_members(members, "source").select("node", "block").join(ordered.select("node", "path", F.col("brief").alias("own_brief"), "description"), "node").join(shown, "path", "left")

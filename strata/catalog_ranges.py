@@ -131,6 +131,70 @@ def raw_views(spark, d):
     return read(spark, d, "documents").select("doc_id", show(blocks.raw_view(data, 100)).alias("tail"), show(blocks.raw_view(data, 100, 50)).alias("part"))
 
 
+# --- claims of several ranges, fragments, members -----------------------------------------------------------
+
+_MANY = "m AS (SELECT CAST(o_custkey % 40 AS BIGINT) AS src, CAST(o_orderkey * 13 % 20011 AS BIGINT) AS block, min(o_orderkey) AS k FROM orders GROUP BY 1, 2)"
+
+
+def _many(spark, d) -> DataFrame:
+    """Items of forty sources, each with a range from its block on and two further ones behind it."""
+    rows = read(spark, d, "orders").select((F.col("o_custkey") % 40).cast("long").alias("src"), (F.col("o_orderkey") * 13 % 20011).cast("long").alias("block"), "o_orderkey")
+    rows = rows.groupBy("src", "block").agg(F.min("o_orderkey").alias("k"))
+    span = lambda pos, n: F.struct((F.col("block") + pos).cast("long").alias("pos"), F.expr(n).cast("long").alias("len"))
+    return rows.withColumn("ranges", F.array(span(F.lit(0), "1 + k % 3"), span(10 + F.col("k") % 40, "k % 30"), span(200 + F.col("k") % 900, "k % 61")))
+
+
+@query(
+    f"WITH RECURSIVE {_MANY}, r AS (SELECT *, row_number() OVER (PARTITION BY src ORDER BY block) AS n, [[block, block + 1 + k % 3], [block + 10 + k % 40, block + 10 + k % 40 + k % 30], [block + 200 + k % 900, block + 200 + k % 900 + k % 61]] AS own FROM m), "
+    "s AS (SELECT src, CAST(0 AS BIGINT) AS n, CAST(NULL AS BIGINT) AS block, CAST([] AS BIGINT[][]) AS held, false AS kept FROM r GROUP BY src UNION ALL "
+    "SELECT src, n, block, CASE WHEN free THEN list_concat(ahead, own) ELSE ahead END, free FROM (SELECT r.src, r.n, r.block, own, list_filter(s.held, lambda x: x[2] > r.block) AS ahead, len(list_filter(s.held, lambda x: x[1] <= r.block AND x[2] > r.block)) = 0 AS free FROM s JOIN r ON r.src = s.src AND r.n = s.n + 1)) "
+    "SELECT src, block FROM s WHERE kept"
+)
+def multi_range_sweep(spark, d):
+    """Which items are kept, from left to right, if each kept one claims three ranges; folded in parts of 4,096 blocks."""
+    rows = _many(spark, d).withColumn("constant", F.lit(False))
+    return claims.accept_sweep(rows, "src", 4096).select("src", "block")
+
+
+_CLAIMS = "c AS (SELECT l_suppkey % 7 AS src, l_orderkey * 10 + l_linenumber AS writer, CAST(l_partkey * 3 % 5000 AS BIGINT) AS pos, CAST(l_quantity * 2 AS BIGINT) AS len FROM lineitem WHERE l_suppkey % 3 = 0)"
+
+
+@query(
+    f"WITH {_CLAIMS}, p AS (SELECT src, pos AS x FROM c UNION SELECT src, pos + len FROM c), e AS (SELECT src, x, lead(x) OVER (PARTITION BY src ORDER BY x) AS y FROM p), "
+    "o AS (SELECT e.src, x, y, min(writer) AS writer FROM e JOIN c ON c.src = e.src AND x >= pos AND x < pos + len GROUP BY 1, 2, 3), "
+    "g AS (SELECT *, sum(new) OVER (PARTITION BY src ORDER BY x) AS g FROM (SELECT *, CASE WHEN lag(writer) OVER w = writer AND lag(y) OVER w = x THEN 0 ELSE 1 END AS new FROM o WINDOW w AS (PARTITION BY src ORDER BY x))) "
+    "SELECT src, any_value(writer) AS writer, min(x) AS pos, max(y) - min(x) AS len FROM g GROUP BY src, g"
+)
+def owned_fragments(spark, d):
+    """Stretches of blocks by owner, if the first writer keeps a block; swept in bins of 512 blocks."""
+    rows = read(spark, d, "lineitem").where("l_suppkey % 3 = 0").select((F.col("l_suppkey") % 7).alias("src"), (F.col("l_orderkey") * 10 + F.col("l_linenumber")).alias("writer"), (F.col("l_partkey") * 3 % 5000).cast("long").alias("pos"), (F.col("l_quantity") * 2).cast("long").alias("len"))
+    return claims.owned_fragments(rows.withColumn("o", F.col("writer")), "src", "writer", "o", 512)
+
+
+_MEMBERS = (
+    "i AS (SELECT o_custkey % 20 AS src, concat('/', o_orderkey) AS node, min(CAST(o_orderkey * 4 AS BIGINT)) AS block FROM orders GROUP BY 1, 2), "
+    "a AS (SELECT o_custkey % 20 AS src, concat('/', l_orderkey) AS parent, concat('/', l_orderkey, '/', l_linenumber) AS node, CASE WHEN l_linenumber = 7 THEN NULL ELSE CAST(l_orderkey * 4 + (l_partkey % 400 - 40) * 2 + 1 AS BIGINT) END AS block, CAST(l_linenumber AS BIGINT) AS ord FROM lineitem JOIN orders ON o_orderkey = l_orderkey), "
+    "b AS (SELECT src, node AS parent, concat(node, '/0') AS node, block + (ord - 2) * 6 + 1 AS block, CAST(0 AS BIGINT) AS ord FROM a)"
+)
+
+
+@query(
+    f"WITH {_MEMBERS}, pa AS (SELECT a.src, a.block, min((i.block, a.ord, a.node)) AS m FROM a JOIN i ON i.src = a.src AND i.node = a.parent WHERE a.block > i.block GROUP BY 1, 2), "
+    "pb AS (SELECT b.src, b.block, min((pa.block, b.ord, b.node)) AS m FROM b JOIN pa ON pa.src = b.src AND pa.m[3] = b.parent WHERE b.block > pa.block GROUP BY 1, 2) "
+    "SELECT src, m[3] AS node, block, m[1] AS up FROM pa UNION ALL SELECT src, m[3], block, m[1] FROM pb"
+)
+def promoted_members(spark, d):
+    """Members and members of members at blocks of their own: odd blocks for the former, even ones for the latter."""
+    orders = read(spark, d, "orders").select((F.col("o_custkey") % 20).alias("src"), "o_orderkey")
+    items = orders.select("src", F.concat(F.lit("/"), "o_orderkey").alias("node"), F.lit(None).cast("string").alias("parent"), (F.col("o_orderkey") * 4).cast("long").alias("block"), F.lit(0).cast("long").alias("ord"))
+    place = F.when(F.col("l_linenumber") != 7, (F.col("l_orderkey") * 4 + (F.col("l_partkey") % 400 - 40) * 2 + 1).cast("long"))
+    lines = read(spark, d, "lineitem").join(orders, F.col("l_orderkey") == F.col("o_orderkey"))
+    up = F.concat(F.lit("/"), "l_orderkey")
+    one = lines.select("src", F.concat(up, F.lit("/"), "l_linenumber").alias("node"), up.alias("parent"), place.alias("block"), F.col("l_linenumber").cast("long").alias("ord"))
+    two = one.select("src", F.concat("node", F.lit("/0")).alias("node"), F.col("node").alias("parent"), (F.col("block") + (F.col("ord") - 2) * 6 + 1).alias("block"), F.lit(0).cast("long").alias("ord"))
+    return claims.promoted_members(items.unionByName(one).unionByName(two), "src")
+
+
 # --- rendering -------------------------------------------------------------------------------------------
 
 _TREE = (

@@ -240,7 +240,7 @@ def fold_claims(rows: DataFrame, key: str, opened, range_blocks: int = RANGE_BLO
     Every source is cut into parts of ``range_blocks`` blocks. Parts are folded in parallel, first as if nothing reached
     into them; those that ranges of earlier parts do reach into are folded again with these, until nothing
     changes. A part depends on those before it only, so there are never more rounds than parts; claims that are no longer than a part
-    need two as a rule. Null keys are one source; rows of one block are taken in no certain order.
+    need two as a rule. Null keys are one source; rows of one block are taken in the order of ``arg``.
     """
     size = range_blocks
     dealt = rows.select(F.col(key).alias("k_"), F.expr(f"block div {size}").alias("part_"), "block", "arg")
@@ -271,7 +271,7 @@ def fold_claims(rows: DataFrame, key: str, opened, range_blocks: int = RANGE_BLO
         both = rows.select("k_", "part_", F.lit(True).alias("looked_at"), "block", F.lit(0).cast("long").alias("len"), "arg")
         if entries is not None:
             both = both.unionByName(entries.select("k_", "part_", F.lit(False).alias("looked_at"), F.col("pos").alias("block"), "len", F.lit(None).cast(arg).alias("arg")))
-        return both.repartition("k_", "part_").sortWithinPartitions("k_", "part_", "looked_at", "block").mapInArrow(fold, schema)
+        return both.repartition("k_", "part_").sortWithinPartitions("k_", "part_", "looked_at", "block", "arg").mapInArrow(fold, schema)
 
     def same(x: DataFrame, y: DataFrame):
         return x["k_"].eqNullSafe(y["k_"]) & (x["part_"] == y["part_"])
@@ -306,7 +306,16 @@ def accept_sweep(df: DataFrame, key: str, range_blocks: int = RANGE_BLOCKS) -> D
     at the first block that no claim holds, and is dropped if that lies behind it.
     """
     own = [c for c in ("claim_end", "ranges") if c in df.columns]
-    rows = df.where("block is not null").select(key, F.col("block").cast("long").alias("block"), F.struct("constant", *[F.col(c).cast("long" if c == "claim_end" else RANGES).alias(c) for c in own]).alias("arg"))
+    rows = df.where("block is not null").select(key, F.col("block").cast("long").alias("block"), "constant", *[F.col(c).cast("long" if c == "claim_end" else RANGES).alias(c) for c in own])
+    rows = rows.withColumn("of", F.lit(-1).cast("long"))
+    if "claim_end" in own:  # runs are cut at the borders of parts: nothing inside a run counts, so each piece is settled in its own part
+        long_ = F.col("constant") & (F.col("claim_end") > F.col("block"))
+        part = F.explode(F.sequence(F.expr(f"block div {range_blocks}"), F.expr(f"(claim_end - 1) div {range_blocks}")))
+        cut = rows.where(long_).withColumn("part", part).withColumn("of", F.col("block")).withColumn("block", F.greatest("block", F.col("part") * range_blocks))
+        cut = cut.withColumn("claim_end", F.least("claim_end", (F.col("part") + 1) * range_blocks)).drop("part")
+        rows = rows.where(~F.coalesce(long_, F.lit(False))).unionByName(cut)
+    begun = (F.col("of") >= 0) & (F.col("of") < F.col("block"))  # pieces of a run that began before go first
+    rows = rows.select(key, "block", F.struct((~begun).alias("begins"), "constant", "of", *own).alias("arg"))
 
     @contextmanager
     def opened():
@@ -315,12 +324,14 @@ def accept_sweep(df: DataFrame, key: str, range_blocks: int = RANGE_BLOCKS) -> D
             if start != block and not (arg["constant"] and end is not None and end > start):
                 return None
             if arg.get("ranges") is not None:
-                return start, [(r["pos"], r["len"]) for r in arg["ranges"] if r["len"] > 0], 0
-            return start, [(start, end - start)] if end is not None and end > start else [], 0
+                return start, [(r["pos"], r["len"]) for r in arg["ranges"] if r["len"] > 0], arg["of"]
+            return start, [(start, end - start)] if end is not None and end > start else [], arg["of"]
 
         yield step
 
-    return fold_claims(rows, key, opened, range_blocks).select(key, "block", "start")
+    kept = fold_claims(rows, key, opened, range_blocks)
+    whole = kept.where("extra >= 0").groupBy(key, F.col("extra").alias("block")).agg(F.min("start").alias("start"))
+    return kept.where("extra < 0").select(key, "block", "start").unionByName(whole)
 
 
 def emit_blocks(accepted: DataFrame, claims: DataFrame, key: str, owner: str) -> DataFrame:

@@ -8,14 +8,14 @@ from pyspark.sql import functions as F
 from strata.session import checkpoint
 
 
-def nested_text(items: DataFrame, max_depth: int) -> DataFrame:
-    """node, shown: ``PDF-(TEXT ZLIB-(TEXT))``. Input: node, parent, depth, ord, brief, confidence.
+def nested_text(items: DataFrame, max_depth: int, every: bool = False) -> DataFrame:
+    """node, shown: ``PDF-(TEXT ZLIB-(TEXT))``, of the items of depth 0 or of ``every`` one. Input: node, parent, depth, ord, brief, confidence.
 
     Items of no positive confidence are left out with all below them. Siblings are equal if their whole
     descriptions before collapsing are; the first of them stays. One round per level, deepest first.
     """
     own = items.where("confidence > 0")
-    below = None
+    below = found = None
     for depth in range(max_depth, -1, -1):
         level = own.where(F.col("depth") == depth)
         if below is None:
@@ -30,7 +30,8 @@ def nested_text(items: DataFrame, max_depth: int) -> DataFrame:
                 "node", "parent", "ord", F.concat("brief", F.coalesce("f", F.lit(""))).alias("full"), F.concat("brief", F.coalesce("s", F.lit(""))).alias("shown")
             )
         below = checkpoint(done)
-    return below.select("node", "shown")
+        found = below if found is None or not every else found.unionByName(below)
+    return found.select("node", "shown")
 
 
 def block_lines_column():
