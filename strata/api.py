@@ -12,7 +12,7 @@ from pyspark.sql import functions as F
 from strata import config
 from strata.functions import magic, text
 from strata.functions.types import BY_NAME
-from strata.operators import claims, expand
+from strata.operators import claims, expand, markers
 from strata.operators.classifiers import MAX_DEPTH, VIEWED, Limits, Registry, Verdict, ask, registry
 from strata.plans import render
 from strata.session import checkpoint
@@ -26,6 +26,9 @@ MAX_ITEM = 104_857_600
 HEAD = 4096
 #: Classifiers whose refusal of the first bytes stands, whatever follows.
 FIRM = {"zlib", "video", "compression", "partitiontable", "sleuth", "jbig", "text"}
+#: Classifiers of formats with end markers, and bytes that are read behind a marker (a comment, a trailer).
+ENDED = {"pdf", "compression", "image"}
+AHEAD = 1 << 20
 PRINTABLE = re.compile(text.PRINTABLE.encode())
 
 
@@ -45,18 +48,38 @@ def _settled(v: Verdict, data: bytes) -> bool:
     return by_header or 0 < v.length < len(data)
 
 
-def span_at(reader: Reader, at: int, names: list[str], max_item: int, limits: Limits, reg: Registry | None = None) -> tuple[Verdict, int] | None:
-    """The verdict on what begins at a place, and the bytes that it takes to give it."""
+def steps(at: int, max_item: int, ends: list[int] | None):
+    """Numbers of bytes to try in turn: four times as many each, but up to behind the next end markers where there are such.
+
+    No more than ``AHEAD`` bytes are tried where no (further) marker follows.
+    """
+    n = min(HEAD, max_item)
+    yield n
+    if ends is not None:
+        for end in ends:
+            if end - at >= max_item:
+                return
+            if end - at + AHEAD > n:
+                n = min(max_item, end - at + AHEAD)
+                yield n
+        if len(ends) < 2:
+            if n < AHEAD:
+                yield min(AHEAD, max_item)
+            return
+    while n < max_item:
+        n = min(max_item, n * 4)
+        yield n
+
+
+def span_at(reader: Reader, at: int, names: list[str], max_item: int, limits: Limits, reg: Registry | None = None, ends: list[int] | None = None) -> tuple[Verdict, int] | None:
+    """The verdict on what begins at a place, and the bytes that it takes to give it. ``ends``: see ``markers.with_ends``."""
     for name in names:
-        n = HEAD
-        while True:
-            n = min(n, max_item)
+        for n in steps(at, max_item, ends if name in ENDED else None):
             data = reader.read(at, n)
             whole = Extents(reader, [(at, reader.size - at)]) if name in VIEWED else None
             v = ask([name], data, {"text": text_span}, limits, None, reg, whole)
             if whole or n == max_item or at + len(data) >= reader.size or (name in FIRM if v is None else _settled(v, data)):
                 break
-            n *= 4
         if v is not None and v.confidence > 0:
             return v, len(data)
     return None
@@ -83,7 +106,7 @@ def root_items(
     candidates: DataFrame, path: str, block_size: int, max_item: int, limits: Limits, thresholds: dict[str, int] | None, range_blocks: int, reg: Registry | None = None
 ) -> DataFrame:
     """block, claim_end (exclusive, of the range that the item's block is in), ranges, n_bytes (those that its classifier
-    takes; -1: it takes a view) of the items that own blocks. Input: block, types. See ``claims.fold_claims``."""
+    takes; -1: it takes a view) of the items that own blocks. Input: block, types, and maybe ends. See ``claims.fold_claims``."""
     size, reg = os.path.getsize(path), registry(reg, thresholds)
     blocks = -(-size // block_size)
 
@@ -92,17 +115,18 @@ def root_items(
         with open(path, "rb") as f:
             reader = Reader(f, size)
 
-            def step(types, block: int, covered: claims.Covered):
+            def step(arg, block: int, covered: claims.Covered):
                 if covered.free(block) != block:
                     return None
-                found = span_at(reader, block * block_size, reg.asked(types), max_item, limits, reg)
+                found = span_at(reader, block * block_size, reg.asked(arg["types"]), max_item, limits, reg, arg["ends"])
                 if not found:
                     return None
                 return block, claimed(found[0], block, block_size, blocks), -1 if found[0].classifier in VIEWED else found[1]
 
             yield step
 
-    rows = candidates.select(F.lit(path).alias(claims.ONE), "block", F.col("types").alias("arg"))
+    ends = F.col("ends") if "ends" in candidates.columns else F.lit(None).cast("array<bigint>").alias("ends")
+    rows = candidates.select(F.lit(path).alias(claims.ONE), "block", F.struct("types", ends).alias("arg"))
     kept = claims.fold_claims(rows, claims.ONE, opened, range_blocks)
     own = F.filter("ranges", lambda r: (r["pos"] <= F.col("block")) & (r["pos"] + r["len"] > F.col("block")))[0]
     return kept.select("block", (own["pos"] + own["len"]).alias("claim_end"), "ranges", F.col("extra").alias("n_bytes"))
@@ -142,11 +166,12 @@ def classify(
     size = os.path.getsize(path)
     scanned = spark.read.format("blocks").option("path", path).option("blockSize", block_size).option("startBlock", start_block).load()
     constant = F.col("types") == F.array(F.lit(BY_NAME["CONSTANT"]))  # a text of one letter is a text
-    seen = scanned.select("block", magic.detect(F.col("window"), block_size).alias("types"), F.hex(F.substring("window", 1, 4)).alias("fill"))
+    seen = scanned.select("block", magic.detect(F.col("window"), block_size).alias("types"), F.hex(F.substring("window", 1, 4)).alias("fill"), markers.marked(F.col("window"), block_size).alias("marks"))
     seen = checkpoint(seen.withColumn("fill", F.when(constant, F.col("fill"))))
     wanted = sorted({t for _, t, _, _ in reg.rows()} - {BY_NAME["UNIDENTIFIED"], BY_NAME["CONSTANT"]})
     candidates = seen.where(F.arrays_overlap("types", F.array(*[F.lit(t) for t in wanted])) & ~constant)
-    kept = checkpoint(root_items(candidates, path, block_size, max_item, limits, None, range_blocks or max(1, max_item // block_size), reg))
+    ended = markers.with_ends(candidates.select(F.lit(path).alias(claims.ONE), "block", "types"), markers.end_markers(seen.select(F.lit(path).alias(claims.ONE), "block", "marks"), claims.ONE, block_size), claims.ONE, block_size)
+    kept = checkpoint(root_items(ended, path, block_size, max_item, limits, None, range_blocks or max(1, max_item // block_size), reg))
     offset = F.col("block") * block_size
     extent = F.array(F.struct(offset.alias("pos"), F.when(F.col("n_bytes") < 0, size - offset).otherwise(F.col("n_bytes")).alias("len")))
     placed = kept.select("block", F.lit(None).cast("binary").alias("payload"), extent.alias("extents"), F.when(F.col("n_bytes") < 0, HEAD).otherwise(F.col("n_bytes")).cast("long").alias("take"))

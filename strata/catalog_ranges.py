@@ -2,12 +2,16 @@
 
 from __future__ import annotations
 
+import struct
+
+import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.window import Window
 
 from strata import api
 from strata.functions.types import BY_NAME
-from strata.operators import claims, routing
+from strata.operators import chains, claims, markers, routing
 from strata.operators.classifiers import Verdict
 from strata.plans import render
 from strata.sources import blocks
@@ -195,6 +199,98 @@ def promoted_members(spark, d):
     return claims.promoted_members(items.unionByName(one).unionByName(two), "src")
 
 
+# --- end markers --------------------------------------------------------------------------------------------
+
+_MARKED = "coalesce(text, '') || CASE doc_id % 4 WHEN 0 THEN '%%EOF' || coalesce(text, '') || '%%EOF' WHEN 1 THEN 'IEND%%EOF' ELSE '' END"
+
+
+@query(
+    f"WITH t AS (SELECT doc_id, {_MARKED} AS s, hex(encode({_MARKED})) AS h FROM documents), n AS (SELECT doc_id, h, len(h) // 2 AS n FROM t WHERE len(h) > 0), "
+    "w(marker, m) AS (VALUES ('pdf', '2525454F46'), ('zip', '504B0506'), ('jpg', 'FFD9'), ('png', '49454E44')), "
+    "f AS (SELECT doc_id, marker, CAST(p AS BIGINT) AS pos FROM (SELECT doc_id, h, unnest(range(n)) AS p FROM n WHERE doc_id % 4 < 2), w WHERE substring(h, CAST(2 * p + 1 AS BIGINT), len(m)) = m), "
+    "c AS (SELECT doc_id, marker, CAST(unnest(range(0, n, 512)) AS BIGINT) AS pos FROM n, w WHERE marker IN ('pdf', 'png')) "
+    'SELECT c.doc_id, c.marker, c.pos, min(f.pos) AS "end" FROM c LEFT JOIN f ON f.doc_id = c.doc_id AND f.marker = c.marker AND f.pos >= c.pos GROUP BY 1, 2, 3'
+)
+def next_end_marker(spark, d):
+    """The next end marker of two formats at or behind every block of texts that hold some; bins of 4,096 bytes."""
+    text = F.coalesce("text", F.lit(""))
+    more = F.when(F.col("doc_id") % 4 == 0, F.concat(F.lit("%%EOF"), text, F.lit("%%EOF"))).when(F.col("doc_id") % 4 == 1, "IEND%%EOF").otherwise("")
+    docs = read(spark, d, "documents").select("doc_id", F.encode(F.concat(text, more), "UTF-8").alias("data"))
+    cut = blocks.column_blocks(docs, "doc_id", "data", look_ahead=1024).select("doc_id", "block", "window")
+    asked = cut.select("doc_id", F.explode(F.array(F.lit("pdf"), F.lit("png"))).alias("marker"), (F.col("block") * 512).alias("pos"))
+    return markers.next_markers(asked, markers.end_markers(cut, "doc_id"), "doc_id", 4096)
+
+
+# --- chains and trees ------------------------------------------------------------------------------------------
+
+_LINKS = "l AS (SELECT o_custkey % 40 AS src, row_number() OVER (PARTITION BY o_custkey % 40 ORDER BY o_orderkey) - 1 AS node, count(*) OVER (PARTITION BY o_custkey % 40) AS n, o_orderkey FROM orders), t AS (SELECT src, node, CASE WHEN node % 16 = 15 THEN n + 7 WHEN node % 97 = 40 THEN node - 9 ELSE node + 1 + node % 3 * 16 END AS nxt, o_orderkey FROM l)"
+
+
+def _numbered(spark, d, sources: int) -> DataFrame:
+    """src, node (place of an order among those of its source), n, o_orderkey."""
+    orders = read(spark, d, "orders").select((F.col("o_custkey") % sources).alias("src"), "o_orderkey")
+    w = Window.partitionBy("src").orderBy("o_orderkey")
+    return orders.withColumn("node", (F.row_number().over(w) - 1).cast("long")).withColumn("n", F.count("*").over(Window.partitionBy("src")))
+
+
+@query(
+    f"WITH RECURSIVE {_LINKS}, w AS (SELECT src, node AS start, 0 AS rank, node, [node] AS seen FROM t WHERE node % 29 = 0 UNION ALL "
+    "SELECT w.src, start, rank + 1, u.node, list_append(seen, u.node) FROM w JOIN t ON t.src = w.src AND t.node = w.node JOIN t u ON u.src = t.src AND u.node = t.nxt WHERE NOT list_contains(seen, u.node)) "
+    "SELECT w.src, start, count(*) AS n_sectors, md5(string_agg(CAST(o_orderkey AS VARCHAR), '' ORDER BY rank)) AS digest FROM w JOIN t ON t.src = w.src AND t.node = w.node GROUP BY 1, 2"
+)
+def allocation_chains(spark, d):
+    """Chains of sectors in forty allocation tables with ends, shared ends and loops; digest of what the sectors hold, in order."""
+    rows = _numbered(spark, d, 40)
+    node = F.col("node")
+    links = rows.select("src", "node", F.when(node % 16 == 15, F.col("n") + 7).when(node % 97 == 40, node - 9).otherwise(node + 1 + node % 3 * 16).alias("next"), F.col("o_orderkey").cast("string").alias("data"))
+    found = chains.follow(links, links.where("node % 29 = 0").select("src", F.col("node").alias("start")), "src")
+    whole = found.join(links.select("src", "node", "data"), ["src", "node"]).groupBy("src", "start").agg(F.count("*").alias("n_sectors"), F.array_sort(F.collect_list(F.struct("rank", "data"))).alias("parts"))
+    return whole.select("src", "start", "n_sectors", F.md5(F.array_join(F.transform("parts", lambda x: x["data"]), "")).alias("digest"))
+
+
+@query(
+    "WITH RECURSIVE e AS (SELECT o_custkey % 30 AS src, row_number() OVER (PARTITION BY o_custkey % 30 ORDER BY o_orderkey) - 1 AS entry, concat('n', o_orderkey) AS name, CASE WHEN o_orderkey % 4 = 0 THEN 2 ELSE 1 END AS kind FROM orders), "
+    "p AS (SELECT src, CAST(3 AS BIGINT) AS entry, '' AS up FROM e WHERE entry = 0 UNION ALL "
+    "SELECT p.src, n.entry, n.up FROM p JOIN e ON e.src = p.src AND e.entry = p.entry, LATERAL (SELECT 3 * p.entry + 1 AS entry, up UNION ALL SELECT 3 * p.entry + 2, up UNION ALL SELECT 3 * p.entry + 3, concat(up, name, '/') WHERE kind = 1) n) "
+    "SELECT e.src, e.entry, concat(up, name) AS path, CAST(kind AS INTEGER) AS kind FROM p JOIN e ON e.src = p.src AND e.entry = p.entry"
+)
+def directory_paths(spark, d):
+    """Paths in thirty directory trees of some hundred entries; entries are the places of a tree in which each has two siblings and a child."""
+    rows, at = _numbered(spark, d, 30), F.col("node")
+    kind = F.when(F.col("o_orderkey") % 4 == 0, 2).otherwise(1)
+    entries = rows.select("src", at.alias("entry"), F.concat(F.lit("n"), "o_orderkey").alias("name"), kind.alias("kind"), (at * 3 + 1).alias("left"), (at * 3 + 2).alias("right"), (at * 3 + 3).alias("child"))
+    return chains.directory_paths(entries, "src")
+
+
+@query(
+    "WITH s AS (SELECT s_suppkey AS k, unnest(range(0, s_suppkey % 6 + 1)) AS i FROM supplier WHERE s_suppkey % 9 <> 0) "
+    "SELECT k AS s_suppkey, CAST(0 AS BIGINT) AS record, 0 AS level, 0 AS slot, CAST(0 AS BIGINT) AS place, CAST(131 AS BIGINT) AS kind, CAST(1 AS BIGINT) AS start, k + 1 AS sectors FROM s WHERE i = 0 UNION ALL "
+    "SELECT k, 0, 0, 1, 0, CASE WHEN k % 2 = 0 THEN 5 ELSE 15 END, 2, 7 FROM s WHERE i = 0 UNION ALL "
+    "SELECT k, 2, CAST(i + 1 AS INTEGER), 0, 2 + i * 2, 11, 2 + i * 2 + 1, k + i FROM s"
+)
+def partition_chain(spark, d):
+    """Partitions told by boot records and their chains of extended records, which lie at computed sectors; a ninth of the records is invalid."""
+
+    @F.pandas_udf("binary")
+    def disk(keys: pd.Series) -> pd.Series:
+        entry = lambda boot, kind, first, n: struct.pack("<8B2I", boot, 1, 1, 0, kind, 254, 255, 255, first, n)
+
+        def one(k: int) -> bytes:
+            out = bytearray(512 * 16)
+            put = lambda at, own: out.__setitem__(slice(at * 512, at * 512 + 512), bytes(446) + own.ljust(64, b"\0") + b"\x55\xaa")
+            put(0, entry(0x80 if k % 9 else 0x13, 0x83, 1, k + 1) + entry(0, 0x05 if k % 2 == 0 else 0x0F, 2, 7))
+            last = k % 6
+            for i in range(last + 1):  # the last record of some links back to the first
+                more = entry(0, 0x05, 2 * (i + 1), 9) if i < last else entry(0, 0x0F, 0, 9) if k % 4 == 1 else b""
+                put(2 + 2 * i, entry(0, 0x0B, 1, k + i) + more)
+            return bytes(out)
+
+        return keys.map(one)
+
+    disks = read(spark, d, "supplier").select("s_suppkey", disk("s_suppkey").alias("data"))
+    return chains.partition_chain(blocks.column_blocks(disks, "s_suppkey", "data").select("s_suppkey", F.col("block").alias("sector"), "data"), "s_suppkey")
+
+
 # --- rendering -------------------------------------------------------------------------------------------
 
 _TREE = (

@@ -13,7 +13,7 @@ import pytest
 
 from strata import api
 from strata.functions import magic
-from strata.operators import expand
+from strata.operators import expand, markers
 from strata.operators.classifiers import Limits
 
 
@@ -103,6 +103,50 @@ def test_bytes_that_are_read(tmp_path):
     assert v.length == n == 8_000_000 and read < 30_000_000
 
 
+def test_bytes_that_damaged_items_take(tmp_path):
+    """Without an end marker ahead no more than a megabyte is read, with one no more than up to a megabyte behind it."""
+    rng = random.Random(5)
+    noise = rng.randbytes(1 << 20).replace(b"%%EOF", b"").replace(b"PK", b"").replace(b"\xff\xd9", b"") * 40
+    pdf = b"%PDF-1.4\n/Type /Page \n"
+    for name, head, tail, ends in (("pdf", pdf, b"", []), ("compression", b"PK\x03\x04" + bytes(60), b"", []), ("image", make_jpg(), b"", []), ("pdf", pdf, b"%%EOF", [2_000_000])):
+        data = head + noise[: 2_000_000 - len(head)] + tail + noise
+        (tmp_path / "f").write_bytes(data)
+        most = 0
+
+        class Counted(api.Reader):
+            def read(self, at, n):
+                nonlocal most
+                most = max(most, n)
+                return super().read(at, n)
+
+        with open(tmp_path / "f", "rb") as f:
+            found = api.span_at(Counted(f, len(data)), 0, [name], 64 << 20, Limits(), None, ends)
+        assert most <= (ends[0] if ends else 0) + (1 << 20) and (not ends or found[0].length == 2_000_005)
+
+
+def make_jpg() -> bytes:
+    from strata.catalog_formats import jpg
+
+    return jpg(8, 9)[:-2]
+
+
+def test_markers_across_borders(spark):
+    """Every marker is found once, at the block in which it begins, and the next one for every place."""
+    rng = random.Random(8)
+    data = bytearray(rng.randbytes(9000).replace(b"\xff\xd9", b"  "))
+    want = {("pdf", p) for p in (0, 509, 600, 1024, 3000)} | {("zip", p) for p in (40, 2046)} | {("jpg", p) for p in (1535, 5000, 5002)} | {("png", 8996)}
+    for name, p in want:
+        data[p : p + len(markers.MARKERS[name])] = markers.MARKERS[name]
+    rows = [("a", i, bytearray(data[i * 512 : i * 512 + 1024])) for i in range(-(-len(data) // 512))] + [("b", 0, bytearray(b"nothing")), (None, 0, None)]
+    marks = markers.end_markers(spark.createDataFrame(rows, "k string, block long, window binary"), "k")
+    assert {(r["marker"], r["pos"]) for r in marks.collect()} == want and marks.count() == len(want)
+    asked = [("a", m, p, p) for m in markers.MARKERS for p in range(0, 9000, 50)] + [("b", "pdf", 0, 1)]
+    for size in (64, 1000, 1 << 24):
+        got = markers.next_markers(spark.createDataFrame(asked, "k string, marker string, pos long, mine long"), marks, "k", size).collect()
+        assert {(r["k"], r["marker"], r["pos"], r["mine"]): r["end"] for r in got} == {(k, m, p, x): min((e for n, e in want if n == m and e >= p and k == "a"), default=None) for k, m, p, x in asked}
+        assert len(got) == len(asked)
+
+
 def test_an_item_beyond_the_bound_says_so(spark, tmp_path):
     (tmp_path / "text").write_bytes(b"words of a text " * 4096)
     lines = [r["line"] for r in api.classify(spark, str(tmp_path / "text"), max_item=16384, style=1).collect()]
