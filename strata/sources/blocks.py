@@ -4,11 +4,16 @@ from __future__ import annotations
 
 import os
 
+import numpy as np
+import pyarrow as pa
+import pyarrow.compute  # noqa: F401  used as pa.compute
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
-from pyspark.sql.datasource import DataSource, DataSourceReader, InputPartition
+from pyspark.sql.datasource import DataSource, DataSourceReader, EqualTo, GreaterThan, GreaterThanOrEqual, InputPartition, LessThan, LessThanOrEqual
 
 LOOK_AHEAD = 2048
+#: Blocks in one Arrow batch.
+BATCH = 2048
 SCHEMA = "source_id string, block long, window_len int, window binary"
 
 
@@ -17,36 +22,66 @@ class _Range(InputPartition):
         self.first, self.last = first, last
 
 
+def windows(data: bytes, n: int, size: int, look: int) -> pa.Array:
+    """The first n blocks of the data, each with all that is there of its look-ahead, as one binary array."""
+    whole = max(0, min(n, (len(data) - look) // size + 1))  # blocks whose window is not cut
+    lengths = np.full(n, look, np.int64)
+    lengths[whole:] = np.maximum(0, np.minimum(look, len(data) - np.arange(whole, n) * size))
+    offsets = np.concatenate([[0], np.cumsum(lengths)])
+    out = np.empty(int(offsets[-1]), np.uint8)
+    flat = np.frombuffer(data, np.uint8)
+    if whole:
+        out[: whole * look].reshape(whole, look)[:] = np.lib.stride_tricks.sliding_window_view(flat, look)[: whole * size : size]
+    for i in range(whole, n):
+        out[offsets[i] : offsets[i + 1]] = flat[i * size : i * size + lengths[i]]
+    return pa.Array.from_buffers(pa.large_binary(), n, [None, pa.py_buffer(offsets.astype(np.int64)), pa.py_buffer(out)]).cast(pa.binary())
+
+
 class BlockReader(DataSourceReader):
     def __init__(self, options):
         self.path = options["path"]
         self.size = int(options.get("blockSize", 512))
         self.start = int(options.get("startBlock", 0))
         self.per = int(options.get("blocksPerPartition", 65536))
+        self.end: int | None = None
+
+    def pushFilters(self, filters):
+        """Comparisons of ``block`` with a number bound the blocks that are read at all; the rest is left to Spark."""
+        for f in filters:
+            low = high = None
+            if getattr(f, "attribute", None) == ("block",) and isinstance(getattr(f, "value", None), int):
+                low = {EqualTo: f.value, GreaterThan: f.value + 1, GreaterThanOrEqual: f.value}.get(type(f))
+                high = {EqualTo: f.value + 1, LessThan: f.value, LessThanOrEqual: f.value + 1}.get(type(f))
+            if low is None and high is None:
+                yield f
+                continue
+            self.start = max(self.start, low) if low is not None else self.start
+            self.end = high if self.end is None else min(self.end, high) if high is not None else self.end
 
     def partitions(self):
         if not os.path.isfile(self.path) or not os.path.getsize(self.path):
             raise ValueError(f"not a file with data: {self.path}")
         blocks = -(-os.path.getsize(self.path) // self.size)
-        return [_Range(i, min(i + self.per, blocks)) for i in range(self.start, blocks, self.per)]
+        blocks = blocks if self.end is None else min(blocks, self.end)
+        return [_Range(i, min(i + self.per, blocks)) for i in range(self.start, blocks, self.per)] or [_Range(0, 0)]
 
     def read(self, part):
         look = max(LOOK_AHEAD, self.size)
         with open(self.path, "rb") as f:
-            for at in range(part.first, part.last, 4096):  # 4096 blocks and the look-ahead of the last one at a time
-                n = min(4096, part.last - at)
+            for at in range(part.first, part.last, BATCH):  # so many blocks and the look-ahead of the last one at a time
+                n = min(BATCH, part.last - at)
                 f.seek(at * self.size)
                 data = f.read((n - 1) * self.size + look)
-                for i in range(n):
-                    w = data[i * self.size : i * self.size + look]
-                    yield self.path, at + i, len(w), w
+                window = windows(data, n, self.size, look)
+                yield pa.RecordBatch.from_arrays([pa.array([self.path] * n), pa.array(np.arange(at, at + n)), pa.compute.binary_length(window), window], names=["source_id", "block", "window_len", "window"])
 
 
 class BlockSource(DataSource):
     """``spark.read.format("blocks").option("path", …)``: every block with its look-ahead window.
 
     Options: blockSize (512), startBlock (0), blocksPerPartition (65536). Each partition seeks to its own
-    blocks and reads the tail it needs itself, so partitions do not depend on one another.
+    blocks and reads the tail it needs itself, so partitions do not depend on one another. Rows come in Arrow batches, and
+    filters on ``block`` with numbers choose the partitions (``register`` turns that on in the session).
     """
 
     @classmethod
@@ -61,6 +96,7 @@ class BlockSource(DataSource):
 
 
 def register(spark) -> None:
+    spark.conf.set("spark.sql.python.filterPushdown.enabled", "true")
     spark.dataSource.register(BlockSource)
 
 
