@@ -46,9 +46,9 @@ def made(df: DataFrame, key: str, source: str, make) -> DataFrame:
 
 
 def level_digests(items: DataFrame, key: str) -> DataFrame:
-    """key, depth, digest of all that the items unfold to, without bounds."""
+    """key, depth, name, digest of all that the items unfold to, without bounds: every row that ``expand`` gives."""
     found = expand.expand(items, limits=WHOLE)
-    return found.select(F.col("root").alias(key), "depth", "digest")
+    return found.select(F.col("root").alias(key), "depth", "name", "brief", "digest")
 
 
 #: Stands before every text, so that also null, empty and short ones make items that are long enough to be looked at.
@@ -60,10 +60,11 @@ def led(s: str | None) -> bytes:
     return (LEAD + (s or "")).encode()
 
 
-@query(f"SELECT doc_id, CAST(1 AS INTEGER) AS depth, {_LEAF} AS digest FROM documents")
+@query(f"SELECT doc_id, CAST(1 AS INTEGER) AS depth, 'decompressed_zlib' AS name, {_LEAF} AS digest FROM documents")
 def zlib_expand(spark, d):
+    """Everything that compressed texts unfold to."""
     docs = read(spark, d, "documents").select("doc_id", "text")
-    return level_digests(made(docs, "doc_id", "text", lambda k, s: zlib.compress(led(s), 6)), "doc_id").where("depth = 1")
+    return level_digests(made(docs, "doc_id", "text", lambda k, s: zlib.compress(led(s), 6)), "doc_id").where("depth > 0").drop("brief")
 
 
 def _archive(k: int, s: str) -> bytes:
@@ -80,21 +81,44 @@ def _archive(k: int, s: str) -> bytes:
     out = io.BytesIO()
     with zipfile.ZipFile(out, "w", zipfile.ZIP_STORED) as z:
         z.writestr(zipfile.ZipInfo("in.zip"), inner.getvalue())
-        z.writestr(zipfile.ZipInfo("b.txt"), led(s)[::-1])
+        z.writestr(zipfile.ZipInfo("b.txt"), LEAD.encode() + led(s)[::-1])
     return out.getvalue()
 
 
+_BACK = f"md5(unhex(hex(encode('{LEAD}')) || array_to_string(list_reverse(regexp_extract_all(hex(encode('{LEAD}' || coalesce(text, ''))), '..')), '')))"
+
+
 @query(
-    f"SELECT doc_id, CAST(CASE WHEN doc_id % 4 = 3 THEN 2 ELSE 1 END AS INTEGER) AS depth, {_LEAF} AS digest FROM documents "
-    f"UNION ALL SELECT doc_id, CAST(1 AS INTEGER), md5(reverse('{LEAD}' || coalesce(text, ''))) FROM documents WHERE doc_id % 4 = 3 AND strlen(coalesce(text, '')) = length(coalesce(text, ''))"
+    f"SELECT doc_id, CAST(CASE WHEN doc_id % 4 = 3 THEN 2 ELSE 1 END AS INTEGER) AS depth, CASE WHEN doc_id % 4 < 2 THEN 'data' ELSE 'a.txt' END AS name, {_LEAF} AS digest FROM documents "
+    f"UNION ALL SELECT doc_id, CAST(1 AS INTEGER), 'b.txt', {_BACK} FROM documents WHERE doc_id % 4 = 3 UNION ALL SELECT doc_id, CAST(1 AS INTEGER), 'in.zip', NULL FROM documents WHERE doc_id % 4 = 3"
 )
 def archive_expand(spark, d):
-    """All members of all levels but the zip stored in a zip; the reversed text stands for ASCII texts only."""
+    """All members of all levels with their names; the digest of the zip in a zip, which SQL cannot make, is left out by its name."""
     docs = read(spark, d, "documents").select("doc_id", "text")
     found = level_digests(made(docs, "doc_id", "text", _archive), "doc_id").where("depth > 0")
-    plain = docs.select("doc_id", (F.octet_length(F.coalesce("text", F.lit(""))) == F.length(F.coalesce("text", F.lit("")))).alias("ascii"), F.md5(F.encode(F.concat(F.lit(LEAD), F.coalesce("text", F.lit(""))), "UTF-8")).alias("leaf"), F.md5(F.encode(F.reverse(F.concat(F.lit(LEAD), F.coalesce("text", F.lit("")))), "UTF-8")).alias("back"))
-    kept = found.join(plain, "doc_id").where("digest = leaf or (ascii and digest = back)")
-    return kept.select("doc_id", "depth", "digest")
+    return found.select("doc_id", "depth", "name", F.when(F.col("name") != "in.zip", F.col("digest")).alias("digest"))
+
+
+_MEMBER = "concat('m ', p_partkey, chr(233), CASE WHEN p_partkey % 3 = 0 THEN chr(9) ELSE '' END, '.txt')"
+
+
+@query(
+    f"WITH m AS (SELECT p_partkey, {_MEMBER} AS name, 'view the first member of part ' || p_name AS body FROM part) "
+    "SELECT p_partkey, CAST(0 AS BIGINT) AS ord, name, regexp_replace(name, '[^\x21-\x7E]', '.', 'g') AS safe_name, md5(body) AS digest FROM m UNION ALL "
+    "SELECT p_partkey, 1, 'dir/second.txt', 'dir/second.txt', md5(reverse(body)) FROM m"
+)
+def children_listing(spark, d):
+    """What archives hold, as rows: order, name, sanitised name and digest."""
+
+    def pack(k: int, s: str) -> bytes:
+        body, out = f"view the first member of part {s}", io.BytesIO()
+        with zipfile.ZipFile(out, "w", zipfile.ZIP_DEFLATED) as z:
+            z.writestr(zipfile.ZipInfo(f"m {k}\u00e9{chr(9) if k % 3 == 0 else ''}.txt"), body.encode())
+            z.writestr(zipfile.ZipInfo("dir/second.txt"), body[::-1].encode())
+        return out.getvalue()
+
+    found = expand.expand(made(read(spark, d, "part"), "p_partkey", "p_name", pack), limits=WHOLE)
+    return expand.listing(found).select(F.col("root").alias("p_partkey"), "ord", "name", "safe_name", "digest")
 
 
 @query("SELECT doc_id, md5(text) AS digest FROM documents")
@@ -106,9 +130,12 @@ def base85_decode(spark, d):
     return read(spark, d, "documents").select("doc_id", F.md5(there_and_back("text")).alias("digest"))
 
 
-@query(f"SELECT doc_id, CAST(doc_id % 4 AS INTEGER) AS depth, {_LEAF} AS digest FROM documents")
+@query(
+    "WITH t AS (SELECT *, unnest(range(0, doc_id % 4 + 1)) AS depth FROM documents) "
+    f"SELECT doc_id, CAST(depth AS INTEGER) AS depth, CASE WHEN depth < doc_id % 4 THEN CASE WHEN (doc_id % 4 - depth) % 2 = 1 THEN 'ZLIB' ELSE 'GZIP' END END AS wrapper, CASE WHEN depth = doc_id % 4 THEN {_LEAF} END AS digest FROM t"
+)
 def nested_fixpoint(spark, d):
-    """Texts wrapped zero to three times, in turn by zlib and gzip, unfolded until nothing new appears: where is each text?"""
+    """Texts wrapped zero to three times, in turn by zlib and gzip, unfolded until nothing new appears: what is at every level?"""
 
     def wrap(k: int, s: str) -> bytes:
         data = led(s)
@@ -117,13 +144,13 @@ def nested_fixpoint(spark, d):
         return data
 
     docs = read(spark, d, "documents").select("doc_id", "text")
-    leaf = docs.select("doc_id", F.md5(F.encode(F.concat(F.lit(LEAD), F.coalesce("text", F.lit(""))), "UTF-8")).alias("digest"))
-    return level_digests(made(docs, "doc_id", "text", wrap), "doc_id").join(leaf, ["doc_id", "digest"]).select("doc_id", "depth", "digest")
+    inside = F.col("depth") < F.col("doc_id") % 4
+    return level_digests(made(docs, "doc_id", "text", wrap), "doc_id").select("doc_id", "depth", F.when(inside, F.col("brief")).alias("wrapper"), F.when(~inside, F.col("digest")).alias("digest"))
 
 
 def _verdicts(items: DataFrame, key: str) -> DataFrame:
     v = expand.classify_items(items)
-    return v.select(F.col("root").alias(key), "classifier", "confidence", "brief", "description", "length", F.size("children").alias("n_children"))
+    return v.select(F.col("root").alias(key), "classifier", "confidence", "brief", "description", "length", F.size("children").alias("n_children"), F.array_join(F.transform("children", lambda c: F.md5(c["payload"])), " ").alias("digests"))
 
 
 def png(w: int, h: int, body: bytes) -> bytes:
@@ -189,23 +216,23 @@ def ole(streams: list[tuple[str, bytes]]) -> bytes:
     return head + b"".join(sectors)
 
 
-@query("SELECT s_suppkey, 100 AS confidence, 'compound document, ' || CASE WHEN s_suppkey % 2 = 0 THEN '2' ELSE '1' END || ' stream(s)' AS description, CASE WHEN s_suppkey % 2 = 0 THEN 2 ELSE 1 END AS n_children FROM supplier")
+@query("SELECT s_suppkey, 100 AS confidence, 'compound document, ' || CASE WHEN s_suppkey % 2 = 0 THEN '2' ELSE '1' END || ' stream(s)' AS description, CASE WHEN s_suppkey % 2 = 0 THEN 2 ELSE 1 END AS n_children, CASE WHEN s_suppkey % 2 = 0 THEN md5(repeat(s_name, 300)) || ' ' ELSE '' END || md5(repeat(s_name, 3)) AS digests FROM supplier")
 def ole_streams(spark, d):
     def make(k, s):
         own = [("Small", s.encode() * 3)] + ([("Large", s.encode() * 300)] if k % 2 == 0 else [])
         return ole(own)
 
-    return _verdicts(made(read(spark, d, "supplier"), "s_suppkey", "s_name", make), "s_suppkey").select("s_suppkey", "confidence", "description", "n_children")
+    return _verdicts(made(read(spark, d, "supplier"), "s_suppkey", "s_name", make), "s_suppkey").select("s_suppkey", "confidence", "description", "n_children", "digests")
 
 
-@query("SELECT doc_id, CASE WHEN doc_id % 5 = 0 THEN 75 WHEN doc_id % 3 = 0 THEN 50 ELSE 100 END AS confidence, CASE WHEN doc_id % 5 = 0 THEN 'Encrypted PDF document' WHEN doc_id % 3 = 0 THEN 'PDF document' ELSE 'Valid PDF document. 2 pages' END AS description, 2 AS n_children FROM documents")
+@query("SELECT doc_id, CASE WHEN doc_id % 5 = 0 THEN 75 WHEN doc_id % 3 = 0 THEN 50 ELSE 100 END AS confidence, CASE WHEN doc_id % 5 = 0 THEN 'Encrypted PDF document' WHEN doc_id % 3 = 0 THEN 'PDF document' ELSE 'Valid PDF document. 2 pages' END AS description, 2 AS n_children, md5('q w') AS second FROM documents")
 def pdf_streams(spark, d):
     def make(k, s):
         pages = b"" if k % 3 == 0 else b"<< /Type /Pages >> << /Type /Page >> << /Type/Page >>\n"
         body = zlib.compress(s.encode())
         return b"%PDF-1.4\n\xe2\xe3\xcf\xd3\n" + pages + (b"/Encrypt 1 0 R\n" if k % 5 == 0 else b"") + b"1 0 obj\nstream\n" + body + b"\nendstream\nstream\nq w\nendstream\n%%EOF\n" + b"\x91" * 64
 
-    return _verdicts(made(read(spark, d, "documents"), "doc_id", "text", make), "doc_id").select("doc_id", "confidence", "description", "n_children")
+    return _verdicts(made(read(spark, d, "documents"), "doc_id", "text", make), "doc_id").select("doc_id", "confidence", "description", "n_children", F.substring_index("digests", " ", -1).alias("second"))
 
 
 def mp3(frames: int) -> bytes:
@@ -258,6 +285,6 @@ def fat12(files: list[tuple[str, bytes]], deleted: str = "GONE") -> bytes:
     return boot + bytes(packed) + root.ljust(512, b"\0") + data.ljust(64 * 512, b"\0")
 
 
-@query("SELECT s_suppkey, 'FAT12' AS brief, '34304 bytes (64 units of 512 size)' AS description, 2 AS n_children FROM supplier")
+@query("SELECT s_suppkey, 'FAT12' AS brief, '34304 bytes (64 units of 512 size)' AS description, 2 AS n_children, md5(s_name) || ' ' || md5(repeat(s_name, CAST(s_suppkey % 200 + 1 AS BIGINT))) AS digests FROM supplier")
 def fat_walk(spark, d):
-    return _verdicts(made(read(spark, d, "supplier"), "s_suppkey", "s_name", lambda k, s: fat12([("A       TXT", s.encode()), ("B       BIN", s.encode() * (k % 200 + 1))])), "s_suppkey").select("s_suppkey", "brief", "description", "n_children")
+    return _verdicts(made(read(spark, d, "supplier"), "s_suppkey", "s_name", lambda k, s: fat12([("A       TXT", s.encode()), ("B       BIN", s.encode() * (k % 200 + 1))])), "s_suppkey").select("s_suppkey", "brief", "description", "n_children", "digests")

@@ -12,8 +12,10 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from strata.functions import magic, text
+from strata.functions.bytes import safe_name
 from strata.functions.types import BY_NAME, TYPES
 from strata.operators.classifiers import MAX_DEPTH, VIEWED, Limits, Registry, Verdict, ask, registry
+from strata.operators.routing import distinct_children
 from strata.session import checkpoint
 from strata.sources.views import Extents, Reader
 
@@ -135,6 +137,12 @@ def roots(df: DataFrame, id_col: str, payload: str, *more: str) -> DataFrame:
     return df.select(path.alias("node"), F.lit(None).cast("string").alias("parent"), F.col(id_col).cast("long").alias("root"), F.lit(0).alias("depth"), path.alias("path"), F.lit(None).cast("string").alias("name"), F.col(payload).alias("payload"), *more)
 
 
+def listing(found: DataFrame) -> DataFrame:
+    """root, parent, ord, name, safe_name, path, digest, brief of everything that something holds: one row per path, the first of equal ones."""
+    kids = found.where("depth > 0").select("root", "parent", F.element_at(F.split("node", "/"), -1).cast("long").alias("ord"), "name", safe_name(F.coalesce("name", F.lit(""))).alias("safe_name"), "path", "digest", "brief")
+    return distinct_children(kids, "path", "ord")
+
+
 def expand(
     items: DataFrame, max_depth: int = MAX_DEPTH, limits: Limits = Limits(), thresholds: dict[str, int] | None = None, reg: Registry | None = None, source: str | None = None,  # noqa: B008  frozen
 ) -> DataFrame:
