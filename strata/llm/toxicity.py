@@ -3,7 +3,7 @@
 A word is the bag of its character n-grams and itself, hashed into ``BUCKETS`` rows of an embedding
 table; a window of ``WINDOW`` words is the average of its words' vectors (a word that repeats in a window counts once), and a two-class softmax reads
 that average. Table and softmax are trained together (sparse Adagrad). A document is as toxic as its
-worst window, so one insult in a long text is not averaged away: training starts with every window under
+worst window of three words, so one insult in a long text is not averaged away: training starts with every window under
 its document's label and then keeps, of each toxic document, the window that the model finds worst.
 A held-back fifth of the training rows fits scale and offset of the final score.
 
@@ -13,7 +13,7 @@ A misspelt word shares most n-grams with the word it stands for, and so most of
 
 Cases: null and empty texts, and texts without a letter or digit, score 0; texts of any length are read
 whole; rows that are equal score equally; without labelled rows of both classes every score is 0; an
-empty table gives an empty result; other columns of the input are ignored (``score``) or kept
+empty table gives an empty result; a null id is never held out and never trains, rows that repeat an id are scored each; other columns of the input are ignored (``score``) or kept
 (``filter_toxic``).
 """
 
@@ -33,10 +33,11 @@ from strata.llm.common import pieces, table, texts, trim
 BUCKETS = 1 << 17
 MASK = BUCKETS - 1
 DIM = 8
-WINDOW = 16
+WINDOW = 3  #: words; one insult between other words is not averaged away
 GRAMS = (3, 4)
-#: Bound on the labelled rows of each class that train the model.
+#: Bounds on what trains the model: labelled rows of each class, and bytes of a text (longer ones are not in the sample).
 TRAIN_ROWS = 1200
+TRAIN_BYTES = 1 << 18
 THRESHOLD = 0.7
 PART = re.compile(r"\w+")
 
@@ -237,18 +238,20 @@ def words_of(cache: Words, words: list[bytes]) -> np.ndarray:
 
 
 def held_out(id_col: str) -> Column:
-    return F.crc32(F.col(f"`{id_col}`").cast("string").cast("binary")) % 3 == 1
+    return F.coalesce(F.crc32(F.col(f"`{id_col}`").cast("string").cast("binary")) % 3 == 1, F.lit(False))
 
 
 def training_rows(docs: DataFrame, labels: DataFrame, per_class: int = TRAIN_ROWS) -> list[tuple[str | None, int]]:
-    """A bounded sample: per class the ``per_class`` labelled rows of least id hash that may train.
+    """A bounded sample: per class the ``per_class`` labelled ids of least hash that may train, with one text each (the
+    least, if an id repeats) of at most ``TRAIN_BYTES``.
 
     Texts come by a join with at most 2 * per_class ids, which is the proven bound of what is broadcast.
     """
     can = labels.where("doc_id is not null and toxic is not null").where(~held_out("doc_id")).groupBy("doc_id").agg(F.max("toxic").alias("toxic"))
     parts = [can.where(F.col("toxic") == k).orderBy(F.xxhash64("doc_id"), "doc_id").limit(per_class) for k in (0, 1)]
     ids = parts[0].union(parts[1])
-    found = docs.select("doc_id", "text").join(F.broadcast(ids), "doc_id").select("doc_id", "text", "toxic")
+    short = docs.select("doc_id", F.coalesce("text", F.lit("")).alias("text")).where(F.octet_length("text") <= TRAIN_BYTES)
+    found = short.join(F.broadcast(ids), "doc_id").groupBy("doc_id", "toxic").agg(F.min("text").alias("text"))
     rows = sorted((r["doc_id"], r["text"] or "", r["toxic"]) for r in found.collect())
     return [(t, y) for _, t, y in rows]
 

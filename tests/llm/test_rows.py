@@ -12,6 +12,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from strata.llm import bpe, packing, pfor, quality, sharding, toxicity
+from tests.llm import helpers
 from strata.llm.tokens import ChunkEncoder
 from tests.llm.helpers import SCHEMA, clashing, documents, frame, prose, quality_counts
 
@@ -259,3 +260,38 @@ def test_closest_multisets_are_used():
         assert (used == lengths).all()
         cut = sum(len(row) for row in seqs) - int((lengths > 0).sum())
         assert cut <= len(seqs) + 12
+
+
+def test_toxicity_scored_in_plain_python(spark):
+    """Every score is that of the worst stretch of words, averaged n-gram by n-gram without arrays; labels, order and other rows do not matter."""
+    import math
+    import random
+    import zlib
+
+    r = random.Random(4)
+    plain = [helpers.prose(k, 40) for k in range(120)]
+    rude = [" ".join(w if r.random() > 0.05 else r.choice(["vilething", "nastyfool"]) for w in f"{helpers.prose(200 + k, 30)} vilething".split()) for k in range(30)]
+    model = toxicity.fit([(t, 0) for t in plain] + [(t, 1) for t in rude])
+    rows = [(1, None), (2, ""), (3, " . - "), (4, "vilething"), (5, "vilethink of all"), (6, helpers.prose(77, 500) + " nastyfool " + helpers.prose(78, 500)), (7, helpers.prose(79, 50)), (None, "vilething"), (4, "vilething")]
+    found = {}
+    for x in toxicity.score(spark.createDataFrame(rows, "doc_id long, text string"), model).collect():
+        found.setdefault(x["id"], set()).add(round(x["score"], 9))
+
+    def word(w: str) -> float | None:
+        logits = []
+        for part in toxicity.PART.findall(w.lower()):
+            marked = f"<{part}>"
+            pieces = [marked] + [marked[i : i + n] for n in toxicity.GRAMS for i in range(len(marked) - n + 1)]
+            logits += [float(model.bucket[zlib.crc32(p.encode()) % toxicity.BUCKETS]) for p in pieces]
+        return sum(logits) / len(logits) if logits else None
+
+    for i, t in rows:
+        values = [v for v in (word(w) for w in (t or "").split()) if v is not None]
+        worst = None
+        for at in range(0, len(values), toxicity.WINDOW):
+            own = values[at : at + toxicity.WINDOW]
+            mean = sum(set(own)) / len(own)
+            worst = mean if worst is None else max(worst, mean)
+        want = 0.0 if worst is None else 1 / (1 + math.exp(-(model.scale * (worst + model.bias) + model.shift)))
+        assert all(abs(x - want) < 1e-6 for x in found[i])
+    assert min(found[4]) > 0.7 and min(found[6]) > 0.7 and max(found[7]) < 0.5
