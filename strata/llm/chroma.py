@@ -6,8 +6,8 @@ a stretch of frames at once; its log ratio, cut into four levels in Gray code, g
 one 32-bit integer per frame. Two recordings are aligned by the histogram of offsets at which they hold the same
 integers, and match if at the best offset at most ``MAX_ERRORS`` of the bits of the overlap differ.
 
-Plan: recordings of equal fingerprints are one class. Pairs of consecutive integers are winnowed: the least hash
-of every eight is kept, so two recordings that share a run of nine pairs share a key. Keys are dealt by ranges and
+Plan: recordings of equal fingerprints are one class. Keys are some choices of the bits of two consecutive integers,
+so that recordings share keys although many of their bits differ (``sub_keys``). Keys are dealt by ranges and
 neighbours in that order become candidates, so rows grow with the recordings, never with their square. Then the
 rows of each key that several components hold are compared in cells of bounded size, as far as two components are
 not joined yet: any two recordings that share a key are in one component, or proven not to match.
@@ -25,7 +25,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from strata.llm.common import binary_array, checkpoint, compact, components, mix64, pieces, shared_path, small_batches, table, texts
-from strata.llm.minhash import SMALL, neighbours
+from strata.llm.minhash import neighbours
 from strata.llm.windows import CELL, in_cells
 
 RATE = 4000
@@ -33,7 +33,8 @@ FRAME, HOP = 512, 256
 SPAN = 8  #: frames that a filter looks at
 LEAST_OVERLAP = 12
 MAX_ERRORS = 0.2
-WINNOW = 8
+#: Keys of two consecutive integers: choices of bits, bits of each, and how many hashes stand for one that is kept.
+MASKS, KEY_BITS, KEPT = 8, 44, 4
 #: Occurrences of an integer above which its offsets are counted by a transform instead of one by one.
 OFTEN = 64
 LOW, HIGH = 110.0, 1800.0
@@ -119,14 +120,25 @@ def align(a: np.ndarray, b: np.ndarray) -> tuple[int, int, float]:
     return best, m, wrong / (32 * m)
 
 
-def winnowed(items: np.ndarray) -> np.ndarray:
-    """Distinct keys of a fingerprint: least hash of each ``WINNOW`` consecutive pairs of integers."""
+def key_masks() -> np.ndarray:
+    """``MASKS`` choices of ``KEY_BITS`` of the 64 bits of two consecutive integers."""
+    rng = np.random.default_rng(5)
+    return np.array([sum(1 << int(i) for i in rng.permutation(64)[:KEY_BITS]) for _ in range(MASKS)], np.uint64)
+
+
+def sub_keys(items: np.ndarray, masks: np.ndarray) -> np.ndarray:
+    """Distinct keys of a fingerprint: of each pair of integers some choices of its bits, each hashed, one hash in ``KEPT`` kept.
+
+    Which hashes are kept depends on them alone, so two recordings keep the same ones. A pair with a share e of wrong bits has a
+    key in common with a chance of (1 - e) ** KEY_BITS for each choice, and a recording has hundreds of them.
+    """
     if len(items) < 2:
         return np.zeros(0, np.int64)
-    h = mix64(items[:-1].astype(np.uint64) << np.uint64(32) | items[1:].astype(np.uint64))
-    if len(h) <= WINNOW:
-        return np.unique(h.min(keepdims=True)).view(np.int64)
-    return np.unique(np.lib.stride_tricks.sliding_window_view(h, WINNOW).min(axis=1)).view(np.int64)
+    pairs = items[:-1].astype(np.uint64) << np.uint64(32) | items[1:].astype(np.uint64)
+    seeds = np.arange(1, len(masks) + 1, dtype=np.uint64) * np.uint64(0x9E3779B97F4A7C15)
+    h = mix64((pairs[None, :] & masks[:, None]) + seeds[:, None])
+    kept = np.unique(h[h % np.uint64(KEPT) == 0])
+    return (kept if len(kept) else np.unique(h.min(axis=1))).view(np.int64)
 
 
 def fingerprints(df: DataFrame, id_col: str = "id", pcm_col: str = "pcm") -> DataFrame:
@@ -144,10 +156,11 @@ def fingerprints(df: DataFrame, id_col: str = "id", pcm_col: str = "pcm") -> Dat
 def matches(prints: DataFrame) -> DataFrame:
     """a < b, offset, overlap, errors of the recordings (id, items) that align."""
     spark = prints.sparkSession
+    masks = key_masks()
 
     def keys(batches):
         for b in pieces(batches, 1024):
-            found = [winnowed(np.frombuffer(x, "<u4")) for x in b.column(1).to_pylist()]
+            found = [sub_keys(np.frombuffer(x, "<u4"), masks) for x in b.column(1).to_pylist()]
             node = np.repeat(b.column(0).to_numpy(), [len(k) for k in found])
             key = np.concatenate(found) if found else np.zeros(0, np.int64)
             yield pa.RecordBatch.from_arrays([pa.array(node), pa.array(key), pa.array(key)], names=["node", "key", "next"])
@@ -183,7 +196,7 @@ def open_matches(prints: DataFrame, rows: DataFrame, found: DataFrame) -> DataFr
     roots = components(found.select("a", "b")).select(F.col("node").alias("doc"), "root")
     rows = checkpoint(rows.join(roots, "doc", "left").select("key", "doc", F.coalesce("root", "doc").alias("root")))
     keys = rows.groupBy("key", "root").agg(F.count("*").alias("c")).groupBy("key").agg(F.sum("c").alias("held"), F.count("*").alias("roots"), F.max(F.struct("c", "root")).alias("main"))
-    keys = keys.where(f"roots > 1 and held > {SMALL}").select("key", F.col("main.root").alias("main"), F.ceil((F.col("held") - F.col("main.c")) / CELL).alias("rows_"), F.ceil(F.col("held") / CELL).alias("cols_"))
+    keys = keys.where("roots > 1 and held > 2").select("key", F.col("main.root").alias("main"), F.ceil((F.col("held") - F.col("main.c")) / CELL).alias("rows_"), F.ceil(F.col("held") / CELL).alias("cols_"))
     mixed = rows.join(keys, "key").withColumn("out", F.col("root") != F.col("main")).withColumn("i", F.pmod(F.xxhash64("doc"), "rows_")).withColumn("j", F.pmod(F.xxhash64("doc", F.lit(1)), "cols_"))
     mixed = mixed.join(prints.select(F.col("id").alias("doc"), F.col("items").alias("shingles")), "doc").withColumn("lo", F.lit(0).cast("long")).withColumn("open", F.lit(False))
     kinds = [pa.int64()] * 4 + [pa.float64()]

@@ -320,3 +320,46 @@ def test_pipeline_stages(spark, tmp_path):
     clean = {1000 + i for i, (_, y) in enumerate(labelled) if not y}
     assert len(clean - seen["toxicity"]) <= 2 and len(seen["toxicity"] & {1000 + i for i, (_, y) in enumerate(labelled) if y}) <= 5
     assert 2 not in seen["near_duplicates"] and 14 not in seen["quality"] and seen["repeated_passages"] == seen["near_duplicates"] == seen["packing"]
+
+
+def noisy(items, share, rng):
+    """The integers with that share of their bits turned over."""
+    flips = (rng.random((len(items), 32)) < share) * (1 << np.arange(32, dtype=np.uint64))
+    return items ^ flips.sum(axis=1).astype(np.uint32)
+
+
+@pytest.mark.parametrize("share", [0.02, 0.05, 0.10])
+def test_keys_of_recordings_with_bit_errors(share):
+    """Of recordings of 300 frames at least nine in ten share a key with a copy of which that share of bits is wrong."""
+    rng, masks, met = np.random.default_rng(3), chroma.key_masks(), 0
+    for _ in range(100):
+        items = rng.integers(0, 1 << 32, 300, dtype=np.uint64).astype(np.uint32)
+        met += bool(np.intersect1d(chroma.sub_keys(items, masks), chroma.sub_keys(noisy(items, share, rng), masks)).size)
+    assert met >= 90
+
+
+def test_classes_do_not_depend_on_partitions(spark):
+    """Recordings that all share a key, so that borders of ranges split it: whatever the number of partitions, those that match are linked."""
+    rng = np.random.default_rng(9)
+    common = rng.integers(0, 1 << 32, 2, dtype=np.uint64).astype(np.uint32)
+    family = [rng.integers(0, 1 << 32, 60, dtype=np.uint64).astype(np.uint32) for _ in range(3)]
+    rows = []
+    for k in range(12):
+        items = noisy(family[k % 3], 0.08, rng)
+        items[30:32] = common
+        rows.append((k, items.astype("<u4").tobytes()))
+    prints = spark.createDataFrame([(i, bytearray(b)) for i, b in rows], "id long, items binary")
+    before = spark.conf.get("spark.sql.shuffle.partitions")
+    try:
+        for parts in ("1", "8", "64"):
+            spark.conf.set("spark.sql.shuffle.partitions", parts)
+            found = common_components(chroma.matches(prints).select("a", "b").collect())
+            assert found == {k: k % 3 for k in range(12)}
+    finally:
+        spark.conf.set("spark.sql.shuffle.partitions", before)
+
+
+def common_components(links):
+    from tests.llm.helpers import components
+
+    return components(list(range(12)), [(x["a"], x["b"]) for x in links])
