@@ -53,7 +53,7 @@ ADDED = ["host", "blocked", "n_active", "pattern", "since"]
 def active_at(captures: DataFrame, intervals: DataFrame, url_col: str = "url", at_col: str = "fetched") -> DataFrame:
     """Captures with ``host``, ``blocked``, ``n_active`` (entries active then) and the longest such pattern with its date."""
     listed = checkpoint(intervals.select(F.col("pattern").alias("p_"), F.col("since").alias("s_"), F.col("until").alias("u_")))
-    names = [c for c in captures.columns if c not in ADDED]
+    names = [c for c in captures.columns if c.lower() not in ADDED]
     row = F.struct(*[F.col(f"`{c}`") for c in names] or [F.lit(None).alias("none")])
     # all that the captures bring along stays in one struct, so no name of theirs meets one of ours
     keyed = checkpoint(captures.select(row.alias("row_"), F.monotonically_increasing_id().alias("n_"), host_of(F.col(f"`{url_col}`")).alias("h_"), F.col(f"`{at_col}`").alias("t_")))
