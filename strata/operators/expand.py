@@ -51,7 +51,7 @@ def asked(types: list[int], reg: Registry | None = None) -> list[str]:
 
 
 def load(items: DataFrame, source: str, limits: Limits) -> DataFrame:
-    """Items with the bytes of those that lie in the file; at most ``MAX_LOAD`` of each, fewer where ``limits`` or ``take`` say so."""
+    """Items with the bytes of those that lie in the file: ``take`` of them, else at most ``MAX_LOAD``, fewer where ``limits`` says so."""
     most = min(MAX_LOAD, limits.child_bytes or MAX_LOAD)
     names = [*PLACED, "payload", "extents", "take"]
 
@@ -63,7 +63,7 @@ def load(items: DataFrame, source: str, limits: Limits) -> DataFrame:
                     row = b.slice(i, 1)
                     places = row.column(7)[0].as_py()
                     if places:
-                        body = Extents(reader, [(p["pos"], p["len"]) for p in places]).read(0, min(most, row.column(8)[0].as_py() or most))
+                        body = Extents(reader, [(p["pos"], p["len"]) for p in places]).read(0, row.column(8)[0].as_py() or most)
                         row = pa.RecordBatch.from_arrays([*row.columns[:6], pa.array([body], pa.binary()), *row.columns[7:]], names=names)
                     yield row
 
