@@ -24,7 +24,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from strata.llm.common import binary_array, checkpoint, compact, components, mix64, pieces, shared_path, small_batches, table, texts
+from strata.llm.common import binary_array, checkpoint, compact, components, mix64, pieces, remove, shared_path, small_batches, table, texts
 from strata.llm.minhash import neighbours
 from strata.llm.windows import CELL, in_cells
 
@@ -153,8 +153,8 @@ def fingerprints(df: DataFrame, id_col: str = "id", pcm_col: str = "pcm") -> Dat
     return df.select(F.col(f"`{id_col}`").cast("long").alias("id"), F.col(f"`{pcm_col}`").alias("pcm")).mapInArrow(run, "id long, items binary")
 
 
-def matches(prints: DataFrame) -> DataFrame:
-    """a < b, offset, overlap, errors of the recordings (id, items) that align."""
+def matches(prints: DataFrame, at: str) -> DataFrame:
+    """a < b, offset, overlap, errors of the recordings (id, items) that align; read from tables in the folder ``at``."""
     spark = prints.sparkSession
     masks = key_masks()
 
@@ -179,14 +179,13 @@ def matches(prints: DataFrame) -> DataFrame:
     banded = prints.mapInArrow(keys, "node long, key long, next long")
     pairs, _ = compact(neighbours(banded).select("a", "b"))
     both = pairs.join(prints.select(F.col("id").alias("a"), F.col("items").alias("x")), "a").join(prints.select(F.col("id").alias("b"), F.col("items").alias("y")), "b")
-    at = shared_path(spark, "chroma")
     with small_batches(spark, 2048):
-        both.select("a", "b", "x", "y").mapInArrow(check, "a long, b long, offset long, overlap long, errors double").write.parquet(at)
-    found = spark.read.schema("a long, b long, offset long, overlap long, errors double").parquet(at)
-    return found.union(open_matches(prints, banded.select("key", F.col("node").alias("doc")), found))
+        both.select("a", "b", "x", "y").mapInArrow(check, "a long, b long, offset long, overlap long, errors double").write.parquet(f"{at}/proposed")
+    found = spark.read.schema("a long, b long, offset long, overlap long, errors double").parquet(f"{at}/proposed")
+    return found.union(open_matches(prints, banded.select("key", F.col("node").alias("doc")), found, at))
 
 
-def open_matches(prints: DataFrame, rows: DataFrame, found: DataFrame) -> DataFrame:
+def open_matches(prints: DataFrame, rows: DataFrame, found: DataFrame, at: str) -> DataFrame:
     """Matches of recordings that share a key and are in two components of ``found``; one for each two that they join.
 
     Rows outside the key's main component meet all rows of the key, in cells of ``CELL`` by ``CELL`` rows.
@@ -240,30 +239,30 @@ def open_matches(prints: DataFrame, rows: DataFrame, found: DataFrame) -> DataFr
             yield batch_of(list(one_cell(held)))
 
     cells = in_cells(mixed).select("key", "i", "j", "doc", "root", "out", "u", "v", "shingles")
-    at = shared_path(spark, "open-chroma")
     with small_batches(spark, 2048):
-        cells.repartition(parts, "key", "i", "j").sortWithinPartitions("key", "i", "j", "doc").mapInArrow(compare, "a long, b long, offset long, overlap long, errors double").write.parquet(at)
-    return spark.read.schema("a long, b long, offset long, overlap long, errors double").parquet(at)
+        cells.repartition(parts, "key", "i", "j").sortWithinPartitions("key", "i", "j", "doc").mapInArrow(compare, "a long, b long, offset long, overlap long, errors double").write.parquet(f"{at}/open")
+    return spark.read.schema("a long, b long, offset long, overlap long, errors double").parquet(f"{at}/open")
 
 
 def recording_classes(df: DataFrame, id_col: str = "id", pcm_col: str = "pcm") -> DataFrame:
     """id, n_items, component_id (least id reachable over matches and equal fingerprints), n_linked (other recordings of
     that component), fingerprint (checksum)."""
     spark = df.sparkSession
-    at = shared_path(spark, "fingerprints")
+    at = shared_path(spark, "recordings")
     with small_batches(spark, 512):
-        fingerprints(df, id_col, pcm_col).write.parquet(at)
-    seen = spark.read.schema("id long, items binary").parquet(at).withColumn("h1", F.xxhash64("items")).withColumn("h2", F.crc32("items"))
+        fingerprints(df, id_col, pcm_col).write.parquet(f"{at}/prints")
+    seen = spark.read.schema("id long, items binary").parquet(f"{at}/prints").withColumn("h1", F.xxhash64("items")).withColumn("h2", F.crc32("items"))
     real = seen.where("id is not null and octet_length(items) > 0")
     classes = checkpoint(real.groupBy("h1", "h2").agg(F.min("id").alias("node"), F.first("items").alias("items")))
-    found = matches(classes.select(F.col("node").alias("id"), "items"))
+    found = matches(classes.select(F.col("node").alias("id"), "items"), at)
     roots = components(found.select("a", "b"))
     sizes = real.groupBy("h1", "h2").agg(F.count("*").alias("n"))
     named = classes.select("h1", "h2", "node").join(roots, "node", "left").join(sizes, ["h1", "h2"]).select("h1", "h2", F.coalesce("root", "node").alias("component_id"), "n")
     named = checkpoint(named)
     sums = named.groupBy("component_id").agg((F.sum("n") - 1).alias("n_linked"))
     named = named.join(sums, "component_id").select("h1", "h2", "component_id", "n_linked")
-    rows = seen.select("id", F.expr("CAST(octet_length(items) div 4 AS bigint)").alias("n_items"), "h1", "h2", F.col("h2").alias("fingerprint"))
+    rows = checkpoint(seen.select("id", F.expr("CAST(octet_length(items) div 4 AS bigint)").alias("n_items"), "h1", "h2", F.col("h2").alias("fingerprint")))
+    remove(spark, at)
     linked = rows.where("id is not null and n_items > 0").join(named, ["h1", "h2"]).select("id", "n_items", "component_id", "n_linked", "fingerprint")
     alone = rows.where("id is null or n_items = 0").select("id", "n_items", F.col("id").alias("component_id"), F.lit(0).cast("long").alias("n_linked"), "fingerprint")
     return linked.union(alone)

@@ -13,7 +13,7 @@ from __future__ import annotations
 
 import math
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from strata.llm.common import checkpoint, table
@@ -21,9 +21,8 @@ from strata.llm.common import checkpoint, table
 #: Modulus of the round function (prime, so that products of two residues fit in a long).
 PRIME = 2147483647
 ROUNDS = 6
-#: Walks that are written out. Of a domain of a * b values at most a - 1 are no row number, so a walk
-#: is longer than this with a chance below (1 / sqrt(N)) ** WALKS, and for N < WALKS ** 2 never.
-WALKS = 64
+#: Steps outside the row numbers that are tried first (``longest_walk``).
+WALKS = 8
 
 
 def round_keys(seed: int) -> list[tuple[int, int]]:
@@ -42,8 +41,11 @@ def domain(n: int) -> tuple[int, int]:
     return a, max(1, -(-n // a))
 
 
-def permuted(number: Column, n: int, seed: int) -> Column:
-    """The keyed permutation of 0..n-1 as one expression: Feistel rounds over a grid, walked until below n."""
+def permuted(number: Column, n: int, seed: int, walks: int = WALKS) -> Column:
+    """The keyed permutation of 0..n-1 as one expression: Feistel rounds over a grid, at most ``walks`` times until below n.
+
+    ``number`` may also be a value of the grid from n on; if its walk comes back to it, it stays there.
+    """
     a, b = domain(n)
     k1 = F.array(*[F.lit(k).cast("long") for k, _ in round_keys(seed)])
     k2 = F.array(*[F.lit(k).cast("long") for _, k in round_keys(seed)])
@@ -59,7 +61,21 @@ def permuted(number: Column, n: int, seed: int) -> Column:
         start = F.struct(F.call_function("div", x, side).alias("l"), (x % side).alias("r"))
         return F.aggregate(F.sequence(F.lit(0), F.lit(ROUNDS - 1)), start, one_round, lambda s: s["l"] * F.lit(b).cast("long") + s["r"])
 
-    return F.aggregate(F.sequence(F.lit(1), F.lit(WALKS)), number.cast("long"), lambda x, i: F.when((i == 1) | (x >= n), once(x)).otherwise(x))
+    start = number.cast("long")
+    return F.aggregate(F.sequence(F.lit(1), F.lit(walks)), start, lambda x, i: F.when((i == 1) | ((x >= n) & (x != start)), once(x)).otherwise(x))
+
+
+def longest_walk(spark: SparkSession, n: int, seed: int, first: int = WALKS) -> int:
+    """A number of walks after which every row number has arrived below n.
+
+    A walk only passes values of the grid from n on, which are fewer than the square root of n and one: all of them
+    are walked, twice as far each time, until each has arrived or come back to itself (no row number leads there).
+    """
+    a, b = domain(n)
+    outside, walks = spark.range(n, a * b), first
+    while outside.where((permuted(F.col("id"), n, seed, walks) >= n) & (permuted(F.col("id"), n, seed, walks) != F.col("id"))).limit(1).count():
+        walks *= 2
+    return walks + 1
 
 
 def numbered(df: DataFrame, order: list[str]) -> tuple[DataFrame, int]:
@@ -86,7 +102,7 @@ def shard_rows(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", sh
     text = F.coalesce(F.col(f"`{text_col}`"), F.lit(""))
     light = df.select(F.col(f"`{id_col}`").alias("id_"), (F.octet_length(text) + 1).cast("long").alias("size"), F.crc32(text.cast("binary")).cast("long").alias("text_crc32"))
     rows, n = numbered(light, ["id_", "text_crc32", "size"])
-    p = permuted(F.col("row_number"), n, seed)
+    p = permuted(F.col("row_number"), n, seed, longest_walk(df.sparkSession, n, seed))
     return rows.withColumn("p_", p).select(F.col("id_").alias(id_col), "size", "text_crc32", "row_number", (F.col("p_") % shards).cast("int").alias("shard"), F.expr(f"p_ div {shards}").cast("long").alias("slot"))
 
 

@@ -31,7 +31,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from strata.llm.common import binary_array, checkpoint, compact, components, mix64, pieces, shared_path, small_batches, table, text_shingles, texts, trim
+from strata.llm.common import binary_array, checkpoint, compact, components, mix64, pieces, remove, shared_path, small_batches, table, text_shingles, texts, trim
 from strata.llm.minhash import maybe_broadcast
 
 WIDTH = 5
@@ -176,8 +176,8 @@ def frequent_keys(docs: DataFrame) -> DataFrame:
 PAIR, MEMBER, EDGE = 0, 1, 2
 
 
-def candidates(docs: DataFrame) -> DataFrame:
-    """What the keys propose, as rows (kind, a, b, x, y).
+def candidates(docs: DataFrame, at: str) -> DataFrame:
+    """What the keys propose, as rows (kind, a, b, x, y); a table below the folder ``at``.
 
     ``PAIR``: documents a < b with the stretches of both that share a key. ``MEMBER``: key, document and stretch of
     keys with more than ``SMALL`` rows, whose pairs are not all proposed. ``EDGE``: key, document and stretch of the
@@ -228,9 +228,8 @@ def candidates(docs: DataFrame) -> DataFrame:
         trim()
 
     dealt = rows.repartition(parts, "key", "part").sortWithinPartitions("key", "part", "doc", "span")
-    at = shared_path(spark, "candidates")
-    dealt.mapInArrow(run, CANDIDATE).write.parquet(at)
-    return spark.read.schema(CANDIDATE).parquet(at)
+    dealt.mapInArrow(run, CANDIDATE).write.parquet(f"{at}/candidates")
+    return spark.read.schema(CANDIDATE).parquet(f"{at}/candidates")
 
 
 def joined_parts(found: DataFrame) -> DataFrame:
@@ -391,8 +390,8 @@ def slices(batches, wanted: list[str], first: str, last: str):
     trim()
 
 
-def verified(docs: DataFrame, pairs: DataFrame, percent: int) -> DataFrame:
-    """Passages (a < b, and the first and last word in both) of the candidate pairs (a, b, x, y). Written as a table."""
+def verified(docs: DataFrame, pairs: DataFrame, percent: int, at: str) -> DataFrame:
+    """Passages (a < b, and the first and last word in both) of the candidate pairs (a, b, x, y). Written as a table below ``at``."""
     spark = docs.sparkSession
     with small_batches(spark, 1024):
         requests, _ = compact(merged_intervals(pairs))
@@ -420,9 +419,8 @@ def verified(docs: DataFrame, pairs: DataFrame, percent: int) -> DataFrame:
     # requests grow with the corpus, so both joins deal by document; slices of a are sent on to b, not whole texts
     with small_batches(spark, 64):
         with_a = asked_of(docs, requests, "a", "b").mapInArrow(cut, "a long, b long, x0 long, x1 long, y0 long, y1 long, sx binary")
-        at = shared_path(spark, "passages")
-        asked_of(docs, with_a.drop("x1"), "b", "a").mapInArrow(check, PASSAGE).write.parquet(at)
-    return spark.read.schema(PASSAGE).parquet(at)
+        asked_of(docs, with_a.drop("x1"), "b", "a").mapInArrow(check, PASSAGE).write.parquet(f"{at}/passages")
+    return spark.read.schema(PASSAGE).parquet(f"{at}/passages")
 
 
 def open_members(members: DataFrame, found: DataFrame) -> DataFrame:
@@ -534,7 +532,7 @@ class Cell:
             yield (int(self.doc[a]), int(self.doc[b]), int(self.lo[a] + x0), int(self.lo[a] + x1 + WIDTH - 1), int(self.lo[b] + y0), int(self.lo[b] + y1 + WIDTH - 1))
 
 
-def open_passages(docs: DataFrame, members: DataFrame, found: DataFrame, percent: int) -> DataFrame:
+def open_passages(docs: DataFrame, members: DataFrame, found: DataFrame, percent: int, at: str) -> DataFrame:
     """Passages of pairs that share a key and were not proposed, as far as they still matter (``open_members``)."""
     spark = docs.sparkSession
     parts = int(spark.conf.get("spark.sql.shuffle.partitions"))
@@ -568,22 +566,24 @@ def open_passages(docs: DataFrame, members: DataFrame, found: DataFrame, percent
         yield batch_of(out)
         trim()
 
-    at = shared_path(spark, "open-passages")
     with small_batches(spark, 64):
         with_shingles = asked_of(docs, rows, "doc", "key").mapInArrow(cut, ", ".join(["doc long", *[f"{c} {kinds[c]}" for c in kept], "shingles binary"]))
         dealt = in_cells(with_shingles).repartition(parts, "key", "i", "j").sortWithinPartitions("key", "i", "j", "doc", "lo")
     with small_batches(spark, 1024):
-        dealt.mapInArrow(compare, PASSAGE).write.parquet(at)
-    return spark.read.schema(PASSAGE).parquet(at)
+        dealt.mapInArrow(compare, PASSAGE).write.parquet(f"{at}/open-passages")
+    return spark.read.schema(PASSAGE).parquet(f"{at}/open-passages")
 
 
-def passages(docs: DataFrame, percent: int = 80) -> DataFrame:
-    """Near-duplicate passages of distinct texts: a < b, and for both the first and last word of the stretch."""
-    proposed = candidates(docs)
+def passages(docs: DataFrame, percent: int, at: str) -> DataFrame:
+    """Near-duplicate passages of distinct texts: a < b, and for both the first and last word of the stretch.
+
+    They are read from tables in the folder ``at``, which the caller deletes when it has what it needs.
+    """
+    proposed = candidates(docs, at)
     pairs = proposed.where(F.col("kind") == PAIR).select("a", "b", "x", "y")
-    found = verified(docs, pairs.union(joined_parts(proposed)), percent)
+    found = verified(docs, pairs.union(joined_parts(proposed)), percent, at)
     members = proposed.where(F.col("kind") == MEMBER).select(F.col("a").alias("key"), F.col("b").alias("doc"), F.col("x").alias("span"))
-    return found.union(open_passages(docs, members, found, percent))
+    return found.union(open_passages(docs, members, found, percent, at))
 
 
 def first_of_texts(docs: DataFrame) -> DataFrame:
@@ -618,8 +618,8 @@ def passage_classes(df: DataFrame, id_col: str = "doc_id", text_col: str = "text
     n_linked (other rows of that component), n_passages and n_repeated_words (held by a document of smaller id; for a
     copy of a text its whole text, if that has at least 50 words)."""
     docs = df.select(F.col(f"`{id_col}`").cast("long").alias("doc_id"), F.col(f"`{text_col}`").alias("text"))
-    copies = first_of_texts(docs)
-    found = passages(distinct_texts(docs, copies), percent)
+    copies, at = first_of_texts(docs), shared_path(df.sparkSession, "windows")
+    found = passages(distinct_texts(docs, copies), percent, at)
     n_words = F.size(F.array_remove(F.split(F.coalesce("text", F.lit("")), r"[\x20\x09-\x0D]+"), "")).cast("long")
     counted = docs.select("doc_id", n_words.alias("n_words"))
     roots = components(found.select("a", "b"))
@@ -645,6 +645,7 @@ def passage_classes(df: DataFrame, id_col: str = "doc_id", text_col: str = "text
         F.when(copy, F.col("n_words")).otherwise(F.coalesce("repeated", F.lit(0))).cast("long").alias("n_repeated_words"),
     )
     rows = checkpoint(rows)
+    remove(df.sparkSession, at)
     sizes = rows.where("component_id is not null").groupBy("component_id").agg(F.count("*").alias("n")).where("n > 1")
     return rows.join(sizes, "component_id", "left").select("doc_id", "n_words", "component_id", (F.coalesce("n", F.lit(1)) - 1).cast("long").alias("n_linked"), "n_passages", "n_repeated_words")
 
@@ -656,10 +657,11 @@ def cut_passages(df: DataFrame, id_col: str = "doc_id", text_col: str = "text",
     and the others are left empty.
     """
     docs = df.select(F.col(f"`{id_col}`").cast("long").alias("doc_id"), F.col(f"`{text_col}`").alias("text"))
-    copies = first_of_texts(docs)
-    spans = repeated_spans(passages(distinct_texts(docs, copies), percent))
+    copies, place = first_of_texts(docs), shared_path(df.sparkSession, "windows")
+    spans = repeated_spans(passages(distinct_texts(docs, copies), percent, place))
     whole = copies.select("doc_id", F.expr("array(struct(0L as lo, 9000000000000000000L as hi))").alias("spans"))
     cuts = checkpoint(spans.unionByName(whole)).select(F.col("doc_id").alias("cut_id_"), F.col("spans").alias("cut_spans_"))
+    remove(df.sparkSession, place)
     joined = df.join(maybe_broadcast(cuts, cuts.count()), F.col(f"`{id_col}`") == F.col("cut_id_"), "left").drop("cut_id_")
     at, names = df.columns.index(text_col), df.columns
 

@@ -178,7 +178,7 @@ def test_frequent_keys(spark, monkeypatch):
     got = windows.passage_classes(frame(spark, rows)).collect()
     assert {(r["component_id"], r["n_linked"]) for r in got} == {(0, 79)}
     assert all(r["n_repeated_words"] >= 70 for r in got if r["doc_id"])
-    proposed = windows.candidates(frame(spark, rows))
+    proposed = windows.candidates(frame(spark, rows), common.shared_path(spark, "windows"))
     assert proposed.where(F.col("kind") == windows.EDGE).count() > 0 and windows.joined_parts(proposed).count() > 0
 
 
@@ -338,7 +338,7 @@ def test_keys_of_recordings_with_bit_errors(share):
     assert met >= 90
 
 
-def test_classes_do_not_depend_on_partitions(spark):
+def test_classes_do_not_depend_on_partitions(spark, tmp_path):
     """Recordings that all share a key, so that borders of ranges split it: whatever the number of partitions, those that match are linked."""
     rng = np.random.default_rng(9)
     common = rng.integers(0, 1 << 32, 2, dtype=np.uint64).astype(np.uint32)
@@ -353,7 +353,7 @@ def test_classes_do_not_depend_on_partitions(spark):
     try:
         for parts in ("1", "8", "64"):
             spark.conf.set("spark.sql.shuffle.partitions", parts)
-            found = common_components(chroma.matches(prints).select("a", "b").collect())
+            found = common_components(chroma.matches(prints, str(tmp_path / parts)).select("a", "b").collect())
             assert found == {k: k % 3 for k in range(12)}
     finally:
         spark.conf.set("spark.sql.shuffle.partitions", before)

@@ -89,6 +89,15 @@ def test_permutation_is_one(spark, n):
     assert sorted(got) == list(range(n)) and (n < 50 or got != sorted(got))
 
 
+@pytest.mark.parametrize("n", [2, 5, 17, 101, 1021, 2026])
+def test_walks_go_on_until_all_have_arrived(spark, n):
+    """Whatever number of steps is tried first, no row is left outside, and the order is that of very long walks."""
+    for seed in (5, 6, 7):
+        walks = sharding.longest_walk(spark, n, seed, first=1)
+        rows = spark.range(n).select(sharding.permuted(F.col("id"), n, seed, walks).alias("p"), sharding.permuted(F.col("id"), n, seed, 200).alias("q")).collect()
+        assert sorted(r["p"] for r in rows) == list(range(n)) and all(r["p"] == r["q"] for r in rows)
+
+
 def test_block_codec():
     r = np.random.default_rng(1)
     for n in (0, 1, 127, 128, 129, 1000):
