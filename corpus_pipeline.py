@@ -15,7 +15,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from strata.llm import minhash, packing, quality, toxicity, windows
+from strata.llm import common, minhash, packing, quality, toxicity, windows
 from strata.llm.common import remove, shared_path, table
 
 
@@ -26,6 +26,7 @@ CHUNKS = 120_000
 
 
 def small_batches(spark) -> None:
+    """For what a stage returns, which is run later, so the option stays set; ``run`` sets it back when all stages are written."""
     spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", BATCH_ROWS)
 
 
@@ -75,12 +76,14 @@ ORACLE_SQL = None
 
 
 def run(spark, sf_dir: str) -> DataFrame:
+    """The last stage's table; those of the stages before it are deleted."""
     docs, before = table(spark, sf_dir, "documents"), None
-    for name, stage in STAGES[:-1]:
-        path = shared_path(spark, f"stage-{name}")
-        stage(spark, docs, sf_dir).write.parquet(path)
-        docs = spark.read.parquet(path)
-        if before is not None:
-            remove(spark, before)
-        before = path
-    return STAGES[-1][1](spark, docs, sf_dir)
+    with common.small_batches(spark, int(BATCH_ROWS)):
+        for name, stage in STAGES:
+            path = shared_path(spark, f"stage-{name}")
+            stage(spark, docs, sf_dir).write.parquet(path)
+            docs = spark.read.parquet(path)
+            if before is not None:
+                remove(spark, before)
+            before = path
+    return docs
