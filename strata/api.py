@@ -72,7 +72,8 @@ def steps(at: int, max_item: int, ends: list[int] | None):
 
 
 def span_at(reader: Reader, at: int, names: list[str], max_item: int, limits: Limits, reg: Registry | None = None, ends: list[int] | None = None) -> tuple[Verdict, int] | None:
-    """The verdict on what begins at a place, and the bytes that it takes to give it. ``ends``: see ``markers.with_ends``."""
+    """The verdict on what begins at a place, and the bytes that it takes to give it; a weak one only without others. ``ends``: see ``markers.with_ends``."""
+    chance = None
     for name in names:
         for n in steps(at, max_item, ends if name in ENDED else None):
             data = reader.read(at, n)
@@ -81,8 +82,10 @@ def span_at(reader: Reader, at: int, names: list[str], max_item: int, limits: Li
             if whole or n == max_item or at + len(data) >= reader.size or (name in FIRM if v is None else _settled(v, data)):
                 break
         if v is not None and v.confidence > 0:
-            return v, len(data)
-    return None
+            if not v.weak:
+                return v, len(data)
+            chance = chance or (v, len(data))
+    return chance
 
 
 def claimed(v: Verdict, block: int, block_size: int, blocks: int) -> list[tuple[int, int]]:

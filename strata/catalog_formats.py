@@ -229,7 +229,7 @@ def ole_streams(spark, d):
 def pdf_streams(spark, d):
     def make(k, s):
         pages = b"" if k % 3 == 0 else b"<< /Type /Pages >> << /Type /Page >> << /Type/Page >>\n"
-        body = zlib.compress(s.encode())
+        body = zlib.compress((s or "").encode())
         return b"%PDF-1.4\n\xe2\xe3\xcf\xd3\n" + pages + (b"/Encrypt 1 0 R\n" if k % 5 == 0 else b"") + b"1 0 obj\nstream\n" + body + b"\nendstream\nstream\nq w\nendstream\n%%EOF\n" + b"\x91" * 64
 
     return _verdicts(made(read(spark, d, "documents"), "doc_id", "text", make), "doc_id").select("doc_id", "confidence", "description", "n_children", F.substring_index("digests", " ", -1).alias("second"))

@@ -56,6 +56,8 @@ class Verdict:
     ranges: list[tuple[int, int]] = field(default_factory=list)
     #: children that lie in the item as they are: name, and stretches (offset, length)
     stored: list[tuple[str, list[tuple[int, int]]]] = field(default_factory=list)
+    #: nothing but a short mark speaks for it, which any bytes may bear by chance: it stands where no other classifier's verdict does
+    weak: bool = False
 
 
 #: Classifiers that take a view (``read(at, n)``, ``size``) and read what they need of it, whatever its size.
@@ -145,11 +147,11 @@ def ask(
 ) -> Verdict | None:
     """The first verdict at or above its classifier's threshold (``thresholds``, else those of ``reg``), in the given order.
 
-    A classifier that raises or takes longer than its time gives none. ``whole``: a view of all bytes of the item, for those that
+    A weak verdict stands only if no other does. A classifier that raises or takes longer than its time gives none. ``whole``: a view of all bytes of the item, for those that
     take views; children that lie in it are then told by their places, else they come as bytes.
     """
     functions = known(limits, reg.functions if reg else None) | (extra or {})
-    reg = reg or Registry()
+    reg, chance = reg or Registry(), None
     for name in names:
         f = functions.get(name)
         if f is None:
@@ -161,6 +163,9 @@ def ask(
         except Exception:  # noqa: BLE001  a broken input or classifier must not take the item with it
             continue
         if v is not None and v.confidence >= (thresholds or {}).get(name, reg.least(name)):
+            if v.weak:
+                chance = chance or v
+                continue
             if v.stored and not by_place:
                 held = view(data)
                 v.children, v.stored = v.children + [(n, b"".join(held.read(*p) for p in places)) for n, places in v.stored], []
@@ -171,4 +176,4 @@ def ask(
             if cut and "TRUNCATED" not in v.description:
                 v.description += " TRUNCATED"
             return v
-    return None
+    return chance
