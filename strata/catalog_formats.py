@@ -11,8 +11,11 @@ import zipfile
 import zlib
 
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
+from pyspark.sql.pandas.types import to_arrow_schema
 
 from strata.operators import expand
 from strata.operators.classifiers import WHOLE
@@ -35,14 +38,25 @@ def read(spark, d: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{d}/{name}.parquet")
 
 
-def made(df: DataFrame, key: str, source: str, make) -> DataFrame:
-    """Root items whose payload is ``make(key, source)``."""
+def built(df: DataFrame, key: str, source: str, make) -> DataFrame:
+    """key, payload: ``make(key, source)``. A small file is one task whatever its rows cost, so they are dealt by key first;
+    what is made goes on in batches of bounded size."""
+    schema = T.StructType([df.schema[key], T.StructField("payload", T.BinaryType())])
+    arrow = to_arrow_schema(schema)
+
+    def run(batches):
+        for b in batches:
+            rows = ((k.as_py(), make(k.as_py(), s.as_py())) for k, s in zip(b.column(0), b.column(1), strict=True))
+            for part in expand.bounded(rows, lambda row: len(row[1] or b"")):
+                yield pa.RecordBatch.from_arrays([pa.array(c, f.type) for c, f in zip(zip(*part, strict=True), arrow, strict=True)], schema=arrow)
 
-    @F.pandas_udf("binary")
-    def build(k: pd.Series, s: pd.Series) -> pd.Series:
-        return pd.Series([make(a, b) for a, b in zip(k, s, strict=True)])
+    dealt = df.select(key, source).repartition(2 * df.sparkSession.sparkContext.defaultParallelism, key)
+    return dealt.mapInArrow(run, schema)
 
-    return expand.roots(df.select(key, build(F.col(key), F.col(source)).alias("payload")), key, "payload")
+
+def made(df: DataFrame, key: str, source: str, make) -> DataFrame:
+    """Root items whose payload is ``make(key, source)``."""
+    return expand.roots(built(df, key, source, make), key, "payload")
 
 
 def level_digests(items: DataFrame, key: str) -> DataFrame:
@@ -123,11 +137,10 @@ def children_listing(spark, d):
 
 @query("SELECT doc_id, md5(text) AS digest FROM documents")
 def base85_decode(spark, d):
-    @F.pandas_udf("binary")
-    def there_and_back(s: pd.Series) -> pd.Series:
-        return s.map(lambda x: expand.decode_text("BASE85", f"<~{base64.a85encode(x.encode(), wrapcol=76).decode()}~>"))
+    def there_and_back(_, s: str | None) -> bytes | None:
+        return None if s is None else expand.decode_text("BASE85", f"<~{base64.a85encode(s.encode(), wrapcol=76).decode()}~>")
 
-    return read(spark, d, "documents").select("doc_id", F.md5(there_and_back("text")).alias("digest"))
+    return built(read(spark, d, "documents"), "doc_id", "text", there_and_back).select("doc_id", F.md5("payload").alias("digest"))
 
 
 @query(
