@@ -195,8 +195,9 @@ def promoted_members(spark, d):
     lines = read(spark, d, "lineitem").join(orders, F.col("l_orderkey") == F.col("o_orderkey"))
     up = F.concat(F.lit("/"), "l_orderkey")
     one = lines.select("src", F.concat(up, F.lit("/"), "l_linenumber").alias("node"), up.alias("parent"), place.alias("block"), F.col("l_linenumber").cast("long").alias("ord"))
-    two = one.select("src", F.concat("node", F.lit("/0")).alias("node"), F.col("node").alias("parent"), (F.col("block") + (F.col("ord") - 2) * 6 + 1).alias("block"), F.lit(0).cast("long").alias("ord"))
-    return claims.promoted_members(items.unionByName(one).unionByName(two), "src")
+    two = F.struct(F.concat("node", F.lit("/0")).alias("node"), F.col("node").alias("parent"), (F.col("block") + (F.col("ord") - 2) * 6 + 1).alias("block"), F.lit(0).cast("long").alias("ord"))
+    both = one.select("src", F.inline(F.array(F.struct("node", "parent", "block", "ord"), two)))  # the lines are joined once
+    return claims.promoted_members(items.unionByName(both), "src")
 
 
 # --- end markers --------------------------------------------------------------------------------------------

@@ -186,12 +186,39 @@ def promoted_members(items: DataFrame, key: str) -> DataFrame:
 
     When something is shown at its block, those of its members that lie behind it wait for their own blocks; of several
     that wait for one block the first stays (told at the least block, then of least ``ord``, then ``node``), and what is dropped takes its
-    members along. Whether a member counts depends on what lies before it, so rounds settle it: each takes the members whose parents count
-    so far, until nothing changes.
+    members along. Whether a member counts depends on what lies before it, so rounds settle it: each takes the members of what
+    was found to count in the round before, and sees a member once. Only where one of them takes a block from a member that was found
+    earlier, all are looked at again, until nothing changes.
     """
-    rows = checkpoint(items.select(key, "node", "parent", "block", "ord"))
+    rows = items.select(key, "node", "parent", "block", "ord")
     top = rows.where("parent is null").select(key, "node", "block", F.lit(None).cast("long").alias("up"))
-    below, state, before = rows.where("parent is not null and block is not null"), checkpoint(top), None
+    below = rows.where("parent is not null and block is not null")
+    rest, added, held = below, top, None
+
+    def members(first: DataFrame) -> DataFrame:
+        return first.select(key, F.col("m.node").alias("node"), "block", F.col("m.up").alias("up"))
+
+    while True:
+        over = added.select(F.col(key).alias("k_"), F.col("node").alias("up_node_"), F.col("block").alias("up"), F.lit(True).alias("told_"))
+        seen = rest.join(over, (rest[key].eqNullSafe(over["k_"])) & (rest["parent"] == over["up_node_"]), "left").drop("k_", "up_node_")
+        seen = checkpoint(seen.where("told_ is null or block > up"))
+        rest = seen.where("told_ is null").drop("up", "told_")
+        first = seen.where("block > up").groupBy(key, "block").agg(F.min(F.struct("up", "ord", "node")).alias("m"))
+        if held is None:
+            first = first.withColumn("taken", F.lit(False))
+        else:
+            has = held.select(F.col(key).alias("k_"), F.col("block").alias("b_"), F.col("m").alias("held_"))
+            first = first.join(has, (first[key].eqNullSafe(has["k_"])) & (first["block"] == has["b_"]), "left").where("held_ is null or m < held_")
+            first = first.select(key, "block", "m", F.col("held_").isNotNull().alias("taken"))
+        first = checkpoint(first)
+        n, taken = first.agg(F.count("*"), F.max("taken")).first()
+        if taken:
+            break
+        held, added = first if held is None else held.unionByName(first), members(first)
+        if not n or rest.isEmpty():
+            return members(held)
+    top, below = checkpoint(top), checkpoint(below)
+    state, before = top.unionByName(members(held)), None
     while True:
         up = state.select(F.col(key).alias("k_"), F.col("node").alias("up_node_"), F.col("block").alias("up"))
         may = below.join(up, (below[key].eqNullSafe(up["k_"])) & (below["parent"] == up["up_node_"])).where("block > up")

@@ -102,6 +102,28 @@ def test_members_of_members(spark):
     assert claims.promoted_members(df.limit(0), "k").count() == 0
 
 
+def test_members_are_looked_at_once(spark, monkeypatch):
+    """Members that take no block from one another are written twice at most, however deep they lie; others settle as they did."""
+    written = []
+    monkeypatch.setattr(claims, "checkpoint", lambda df, own=claims.checkpoint: written.append(own(df)) or written[-1])
+    schema = "k int, node string, parent string, block long, ord long"
+    deep = [(k, f"{k}/{n}/{i}", f"{k}/{n}/{i - 1}" if i else None, 10 * n + i, 0) for k in range(4) for n in range(50) for i in range(6)]
+    got = claims.promoted_members(spark.createDataFrame(deep, schema), "k")
+    assert {(r["node"], r["up"]) for r in got.collect()} == {(n, b - 1) for _, n, p, b, _ in deep if p}
+    # the rows, each round's rest and what counts: 1200 + (1000 + 800 + 600 + 400 + 200) + 1000
+    assert sum(df.count() for df in written) <= 1200 + 3000 + 1000 + 1000
+    r = random.Random(3)
+    rows = [(1, f"n{i}", f"n{r.randrange(i)}" if i > 5 else None, r.randrange(40) if r.random() < 0.9 else None, r.randrange(3)) for i in range(200)]
+    told = {n: b for _, n, p, b, _ in rows if p is None}
+    want: dict = {}
+    for block in range(40):
+        at = [(told[p], o, n) for _, n, p, b, o in rows if p in told and b == block and told[p] is not None and told[p] < block]
+        if at:
+            told[min(at)[2]] = block
+            want[min(at)[2]] = (block, min(at)[0])
+    assert {x["node"]: (x["block"], x["up"]) for x in claims.promoted_members(spark.createDataFrame(rows, schema), "k").collect()} == want
+
+
 def test_views(tmp_path):
     (tmp_path / "f").write_bytes(bytes(range(256)))
     with open(tmp_path / "f", "rb") as f:
