@@ -16,6 +16,8 @@ from pyspark.sql.window import Window
 from strata.session import checkpoint
 
 BIN = 4096
+#: Rows that a task sorts at a time where their number is known beforehand.
+TASK_ROWS = 250_000
 
 
 def claim_of_length(abs_off: Column, length: Column, contiguous: Column, block: int = 512) -> Column:
@@ -34,17 +36,18 @@ def claim_of_bytes(off: Column, length: Column, block: int = 512, compat: bool =
     return F.when((length > 0) & (last >= first), F.struct(first.alias("first"), last.alias("last")))
 
 
-def merge_claims(df: DataFrame, key: str, bin_size: int = BIN) -> DataFrame:
+def merge_claims(df: DataFrame, key: str, bin_size: int = BIN, tasks: int | None = None) -> DataFrame:
     """Union of intervals per key; adjacent ones are one. Null keys are one key; intervals without position or length are left out.
 
     They are merged by the bin that they begin in first, so one source is many tasks; what is left of each bin is then
-    merged over the source.
+    merged over the source. ``tasks``: number of tasks, else that of the session.
     """
     rows = df.where("pos is not null and len > 0").withColumn("bin_", F.expr(f"pos div {bin_size}"))
-    return _islands(_islands(rows, [key, "bin_"]).select(key, "pos", "len"), [key])
+    return _islands(_islands(rows, [key, "bin_"], tasks).select(key, "pos", "len"), [key], tasks)
 
 
-def _islands(df: DataFrame, keys: list[str]) -> DataFrame:
+def _islands(df: DataFrame, keys: list[str], tasks: int | None = None) -> DataFrame:
+    df = df.repartition(tasks, *keys) if tasks else df
     w = Window.partitionBy(*keys).orderBy("pos", "len")
     end = F.col("pos") + F.col("len")
     marked = df.withColumn("before_", F.max(end).over(w.rowsBetween(Window.unboundedPreceding, -1)))
@@ -129,6 +132,8 @@ def owned_fragments(claims: DataFrame, key: str, owner: str, order: str, bin_siz
     each claim and bin, never blocks. Stretches of one owner that touch are one. Claims without position or length are left out.
     """
     size = bin_size or RANGE_BLOCKS
+    shuffled = int(claims.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    tasks = max(shuffled, -(-claims.count() // TASK_ROWS))  # so that what a task sorts does not grow with the table
     rows = claims.where("pos is not null and len > 0").select(F.col(key).alias("k_"), F.col(owner).alias("w_"), F.col(order).alias("o_"), "pos", (F.col("pos") + F.col("len")).alias("end_"))
     dealt = rows.withColumn("bin_", F.explode(F.sequence(F.expr(f"pos div {size}"), F.expr(f"(end_ - 1) div {size}"))))
     low, high = F.greatest("pos", F.col("bin_") * size).cast("long"), F.least("end_", (F.col("bin_") + 1) * size).cast("long")
@@ -170,8 +175,8 @@ def owned_fragments(claims: DataFrame, key: str, owner: str, order: str, bin_siz
         until(None)
         yield batch()
 
-    painted = dealt.repartition("k_", "bin_").sortWithinPartitions("k_", "bin_", "pos").mapInArrow(sweep, schema)
-    whole = merge_claims(painted.select(F.struct("k_", "w_").alias("at_"), "pos", "len"), "at_", size)
+    painted = dealt.repartition(tasks, "k_", "bin_").sortWithinPartitions("k_", "bin_", "pos").mapInArrow(sweep, schema)
+    whole = merge_claims(painted.select(F.struct("k_", "w_").alias("at_"), "pos", "len"), "at_", size, tasks)
     return whole.select(F.col("at_.k_").alias(key), F.col("at_.w_").alias(owner), "pos", "len")
 
 

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from strata import catalog_formats as make
-from strata.operators import expand
+from strata.operators import claims, expand
 
 
 def test_batches_are_bounded():
@@ -26,3 +26,15 @@ def test_base85_keeps_nulls(spark, tmp_path):
     got = {r["doc_id"]: r["digest"] for r in make.base85_decode(spark, str(tmp_path)).collect()}
     want = {r["doc_id"]: r["digest"] for r in spark.read.parquet(str(tmp_path / "documents.parquet")).select("doc_id", F.md5("text").alias("digest")).collect()}
     assert got == want
+
+
+def test_tasks_grow_with_the_claims(spark, monkeypatch):
+    monkeypatch.setattr(claims, "TASK_ROWS", 50, raising=False)
+    rows = spark.range(1000).selectExpr("id % 7 AS k", "id AS w", "id * 3 % 900 AS pos", "id % 5 + 1 AS len")
+    got = claims.owned_fragments(rows, "k", "w", "w")
+    assert got.rdd.getNumPartitions() == 20
+    want: dict = {}
+    for k, w, pos, n in rows.orderBy("w").collect():
+        for b in range(pos, pos + n):
+            want.setdefault((k, b), w)
+    assert {(r["k"], b): r["w"] for r in got.collect() for b in range(r["pos"], r["pos"] + r["len"])} == want
