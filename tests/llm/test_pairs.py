@@ -363,3 +363,51 @@ def common_components(links):
     from tests.llm.helpers import components
 
     return components(list(range(12)), [(x["a"], x["b"]) for x in links])
+
+
+def held_together(family: list[np.ndarray], masks) -> chroma.Bucket:
+    found = [chroma.sub_keys(x, masks) for x in family]
+    row, key = np.repeat(np.arange(len(family)), [len(k) for k in found]), (np.concatenate(found).view(np.uint64) >> np.uint64(32)).astype(np.uint32)
+    return chroma.Bucket(np.arange(len(family)) * 3, np.concatenate(family), np.array([len(x) for x in family]), row, key)
+
+
+def test_recordings_that_share_keys_are_compared_together(monkeypatch):
+    """Of 150 recordings, most of which share keys without a match, those are joined that align one by one; single alignments only for long steady sound."""
+    from tests.llm.helpers import components
+
+    rng, masks, single, one = np.random.default_rng(4), chroma.key_masks(), [], chroma.align
+    common = rng.integers(0, 1 << 32, (4, 6), dtype=np.uint64).astype(np.uint32)
+    base = rng.integers(0, 1 << 32, (5, 60), dtype=np.uint64).astype(np.uint32)
+    family = []
+    for k in range(150):
+        items = noisy(base[k % 5][k % 7 : 45 + k % 11], 0.03, rng) if k % 3 == 0 else rng.integers(0, 1 << 32, int(rng.integers(12, 80)), dtype=np.uint64).astype(np.uint32)
+        at = int(rng.integers(0, len(items) - 6))
+        items[at : at + 6] = common[k % 4]  # a phrase that many hold
+        if k % 10 == 1:
+            items = np.concatenate([np.repeat(items[at], k % 4 + 1), items, items[at : at + 3]])  # integers at several places
+        family.append(items)
+    keys = [chroma.sub_keys(x, masks) for x in family]
+    near = [(i, j) for j in range(150) for i in range(j) if len(np.intersect1d(keys[i], keys[j]))]
+    good = [(i, j) for i, j in near for _, overlap, errors in [one(family[i], family[j])] if overlap >= chroma.LEAST_OVERLAP and errors <= chroma.MAX_ERRORS]
+    monkeypatch.setattr(chroma, "align", lambda *x: single.append(x) or one(*x))
+    links = list(held_together(family, masks).links())
+    assert len(near) > 5 * len(good) / 2 and 5 < len(good) and not single
+    assert components(range(150), [(a // 3, b // 3) for a, b, *_ in links]) == components(range(150), good)
+    for a, b, *rest in links:
+        assert tuple(rest) == one(family[a // 3], family[b // 3])
+    steady = [np.concatenate([np.full(100 + k, 7, np.uint32), np.arange(5, dtype=np.uint32) + 50 * k]) for k in range(4)]
+    assert len(list(held_together(steady, masks).links())) == 3 and single
+
+
+def test_parts_of_a_frequent_key_meet():
+    """Any two rows of a key meet under one hash, also where its rows go in parts; other keys stay as they are."""
+    ids, key = np.arange(100, 160), np.concatenate([np.full(60, 5), np.full(60, 9), np.full(60, 11)])
+    row = np.tile(np.arange(60), 3)
+    index, met = chroma.dealt_keys(ids, key, row, np.array([5, 11]), np.array([4, 2]))
+    cells = defaultdict(set)
+    for i, m in zip(index.tolist(), met.tolist(), strict=True):
+        cells[m].add(i)
+    for k in range(3):
+        assert all(any({x, y} <= c for c in cells.values()) for x in range(60 * k, 60 * k + 60) for y in range(60 * k, x))
+    assert all(len({int(key[i]) for i in c}) == 1 for c in cells.values()) and max(len(c) for c in cells.values() if 0 in c) < 60
+    assert [len(c) for c in cells.values() if 60 in c] == [60]
